@@ -6,10 +6,11 @@ column would put every distinct value of that column into one task. The
 versions here stay partial-aggregable:
 
 * ``exact_quantiles``: a Greenwald-Khanna sketch (``percentile_approx``,
-  mergeable, bounded size) brackets each target rank within +-2/accuracy of the
-  rows; one counting pass over the distinct values gives the exact rank of the
-  bracket's lower edge; only the values inside the bracket (a 4/accuracy slice
-  of the column) are ordered by a window to read the exact order statistics.
+  mergeable, bounded size) brackets each target rank; one counting pass over the
+  distinct values proves which bracket holds it and gives the exact rank of its
+  lower edge; only the values inside the bracket (a ~2/accuracy slice of the
+  column for large columns) are ordered by a window to read the exact order
+  statistics.
   Linear interpolation between ranks floor(h) and ceil(h), h = (n-1)p, is the
   pandas / DuckDB ``quantile_cont`` rule.
 * ``column_modes``: count per (column, value) with map-side combine, then
@@ -46,40 +47,69 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row), on=F.lit(True), how="inner")
 
 
-def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 100000) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 100000,
+                    widths=(1, 8, 64, 512)) -> DataFrame:
     """Exact linear-interpolated quantiles per (group..., column, p).
 
     Returns columns ``group..., column, p, n, value``; a column with no
     non-null values gives no rows.
+
+    Brackets: for each p the sketch gives lower / upper values at p -+ w/accuracy
+    for every width w, plus the whole range as a last resort. One pass over the
+    (value, count) rows counts, per bracket, the rows below its lower edge and
+    up to its upper edge; the narrowest bracket whose counts prove it holds both
+    target ranks is used. Only the values inside that bracket are ordered.
     """
     g = list(group_cols)
     keys = g + ["column"]
     lv = long_values(df, cols, g)
     vc = lv.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
 
-    eps = 2.0 / accuracy
     probs = [float(p) for p in probs]
-    lo_ps = [max(0.0, p - eps) for p in probs]
-    hi_ps = [min(1.0, p + eps) for p in probs]
+    levels = [w / float(accuracy) for w in widths]
+    grid = []  # (prob index, level index, lower prob, upper prob)
+    for i, p in enumerate(probs):
+        for j, e in enumerate(levels):
+            grid.append((i, j, max(0.0, p - e), min(1.0, p + e)))
     sk = lv.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in lo_ps]), accuracy).alias("_lo"),
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in hi_ps]), accuracy).alias("_hi"))
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("_min"), F.max("v").alias("_max"),
+        F.percentile_approx("v", F.array(*[F.lit(a) for _, _, a, _ in grid]), accuracy).alias("_lo"),
+        F.percentile_approx("v", F.array(*[F.lit(b) for _, _, _, b in grid]), accuracy).alias("_hi"))
+    nl = len(levels)
     idx = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)]
-    bounds = (sk.select(*keys, "n", "_lo", "_hi", F.explode(F.array(*idx)).alias("_q"))
-                .select(*keys, "n", F.col("_q.p").alias("p"),
-                        F.element_at("_lo", F.col("_q.i") + 1).alias("lo"),
-                        F.element_at("_hi", F.col("_q.i") + 1).alias("hi"))
-                .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p")))
+    base = sk.select(*keys, "n", "_min", "_max", "_lo", "_hi", F.explode(F.array(*idx)).alias("_q"))
+    lo_cols = [F.element_at("_lo", F.col("_q.i") * nl + j + 1).alias(f"lo{j}") for j in range(nl)]
+    hi_cols = [F.element_at("_hi", F.col("_q.i") * nl + j + 1).alias(f"hi{j}") for j in range(nl)]
+    bounds = (base.select(*keys, "n", F.col("_q.p").alias("p"), *lo_cols, *hi_cols,
+                          F.col("_min").alias(f"lo{nl}"), F.col("_max").alias(f"hi{nl}"))
+                  .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p")))
 
     # bounds has (#groups x #columns x #probs) rows; Spark's size-checked
     # broadcast (AQE) decides whether to ship it.
     joined = vc.join(bounds, keys, "inner")
-    below = (joined.groupBy(*keys, "p")
-                   .agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("lo"), F.col("cnt"))), F.lit(0))
-                         .alias("below")))
-    band = joined.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    band = band.join(below, keys + ["p"], "inner")
+    cnts = []
+    for j in range(nl + 1):
+        cnts.append(F.coalesce(F.sum(F.when(F.col("v") < F.col(f"lo{j}"), F.col("cnt"))), F.lit(0))
+                    .alias(f"below{j}"))
+        cnts.append(F.coalesce(F.sum(F.when(F.col("v") <= F.col(f"hi{j}"), F.col("cnt"))), F.lit(0))
+                    .alias(f"upto{j}"))
+    counted = joined.groupBy(*keys, "p").agg(*cnts)
+    # Narrowest proven bracket: below <= floor(h) and upto > ceil(h).
+    pick_lo, pick_hi, pick_below = None, None, None
+    for j in reversed(range(nl + 1)):
+        ok = ((F.col(f"below{j}") <= F.floor(F.col("h"))) & (F.col(f"upto{j}") > F.ceil(F.col("h"))))
+        lo_j, hi_j, b_j = F.col(f"lo{j}"), F.col(f"hi{j}"), F.col(f"below{j}")
+        if pick_lo is None:
+            pick_lo, pick_hi, pick_below = lo_j, hi_j, b_j
+        else:
+            pick_lo = F.when(ok, lo_j).otherwise(pick_lo)
+            pick_hi = F.when(ok, hi_j).otherwise(pick_hi)
+            pick_below = F.when(ok, b_j).otherwise(pick_below)
+    chosen = (bounds.join(counted, keys + ["p"], "inner")
+                    .select(*keys, "p", "n", "h", pick_lo.alias("lo"), pick_hi.alias("hi"),
+                            pick_below.alias("below")))
+    band = (vc.join(chosen, keys, "inner")
+              .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
     w = (Window.partitionBy(*keys, "p").orderBy("v")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     band = band.withColumn("cum", F.col("below") + F.sum("cnt").over(w))
