@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tillsight.plans import catalog_base  # noqa: F401
 from tillsight.plans import catalog_analytics  # noqa: F401
+from tillsight.plans import catalog_streaming  # noqa: F401
 from tillsight.plans.registry import ORACLE, QUERIES
 
 

@@ -45,9 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sales view as a lazy DataFrame (see module docstring)."""
-    li = table(spark, sf_dir, "lineitem").select(
+def sales(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """The sales view as a lazy DataFrame (see module docstring).
+
+    ``lineitem`` may be a streaming DataFrame: the view is then a stream-static
+    join against the order, customer and part tables.
+    """
+    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
