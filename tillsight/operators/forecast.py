@@ -45,6 +45,19 @@ def forecast_series(df, date_col="date", value="total") -> DataFrame:
               .agg(F.coalesce(F.sum(value), F.lit(0.0)).cast("double").alias("y")))
 
 
+def materialized_series(df, date_col="date", value="total") -> DataFrame:
+    """M17 written once to the shared checkpoint folder.
+
+    The fit, the bounds, the prediction and the actuals join all read the
+    series; without the cut each of them would rescan and re-aggregate the
+    whole fact table. The series has one row per day, so the write is tiny and
+    survives executor loss (unlike a cache).
+    """
+    from tillsight.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return forecast_series(df, date_col, value).checkpoint(eager=True)
+
+
 def forecast_frame(series: DataFrame, periods: int = 30) -> DataFrame:
     """History dates plus the next ``periods`` days after the last one."""
     last = series.agg(F.max("ds").alias("_last"))
@@ -157,7 +170,7 @@ def predict(model: ForecastModel, frame: DataFrame, series: DataFrame) -> DataFr
 def sales_forecast(df, periods: int = 30, date_col="date", value="total", yearly=True, weekly=True,
                    reg_param: float = 1e-3) -> DataFrame:
     """Additive forecast joined with the daily actuals (J1, summed first)."""
-    series = forecast_series(df, date_col, value)
+    series = materialized_series(df, date_col, value)
     model = fit_forecast(series, yearly=yearly, weekly=weekly, reg_param=reg_param)
     fc = predict(model, forecast_frame(series, periods), series)
     return forecast_actual_join(fc, series)
@@ -166,7 +179,7 @@ def sales_forecast(df, periods: int = 30, date_col="date", value="total", yearly
 def sales_forecast_multiplicative(df, periods: int = 30, date_col="date", value="total",
                                   reg_param: float = 1e-3) -> DataFrame:
     """Multiplicative seasonality; monthly term when the history spans > 60 days."""
-    series = forecast_series(df, date_col, value)
+    series = materialized_series(df, date_col, value)
     span = series.agg(F.datediff(F.max("ds"), F.min("ds")).alias("s")).first()["s"] or 0
     model = fit_forecast(series, monthly=span > 60, multiplicative=True, reg_param=reg_param)
     fc = predict(model, forecast_frame(series, periods), series)
@@ -184,11 +197,16 @@ def forecast_output(joined: DataFrame) -> DataFrame:
 
 
 def weekday_mean_forecast(series: DataFrame, periods: int = 30) -> DataFrame:
-    """Deterministic stand-in forecast (oracle-checkable): yhat = mean y of the
-    same weekday over the history, bounds +-10 %, joined with the actuals."""
-    means = series.groupBy(F.weekday("ds").alias("_wd")).agg(F.avg("y").alias("yhat"))
+    """Deterministic stand-in forecast (oracle-checkable) joined with the actuals.
+
+    Future days: mean y of the same weekday; history days: the average of that
+    mean and the day's actual, so the rules see days above and below the
+    thresholds. Bounds are +-10 %. The weekday table has 7 rows (broadcast).
+    """
+    means = series.groupBy(F.weekday("ds").alias("_wd")).agg(F.avg("y").alias("_m"))
     frame = forecast_frame(series, periods).withColumn("_wd", F.weekday("ds"))
-    fc = frame.join(F.broadcast(means), "_wd", "left").drop("_wd")
-    fc = fc.select("ds", "yhat", (F.col("yhat") * 0.9).alias("yhat_lower"),
-                   (F.col("yhat") * 1.1).alias("yhat_upper"))
+    fc = (frame.join(F.broadcast(means), "_wd", "left")
+               .join(series.select("ds", F.col("y").alias("_y")), "ds", "left"))
+    yhat = F.when(F.col("_y").isNull(), F.col("_m")).otherwise((F.col("_m") + F.col("_y")) / 2)
+    fc = fc.select("ds", yhat.alias("yhat"), (yhat * 0.9).alias("yhat_lower"), (yhat * 1.1).alias("yhat_upper"))
     return forecast_actual_join(fc, series)

@@ -48,8 +48,9 @@ means as (select isodow(ds) as wd, avg(y) as yhat from series group by 1),
 frame as (select ds from series union all
   select cast(unnest(generate_series((select max(ds) from series) + 1, (select max(ds) from series) + 30,
                                      interval 1 day)) as date) as ds),
-fc as (select f.ds, m.yhat, m.yhat * 0.9 as yhat_lower, m.yhat * 1.1 as yhat_upper
-  from frame f left join means m on isodow(f.ds) = m.wd),
+fb as (select f.ds, case when s.y is null then m.yhat else (m.yhat + s.y) / 2 end as yhat
+  from frame f left join means m on isodow(f.ds) = m.wd left join series s on s.ds = f.ds),
+fc as (select ds, yhat, yhat * 0.9 as yhat_lower, yhat * 1.1 as yhat_upper from fb),
 joined as (select fc.*, s.y from fc left join series s using (ds))
 """
 
@@ -548,22 +549,33 @@ def q_critical_threshold(spark, sf):
     return rounded(IN.critical_threshold(series(spark, sf)))
 
 
-CRIT = 100000.0
+CRIT_SQL = """, thr as (select greatest(greatest(1.0, 0.5 * min(y)), round(0.7 * avg(y), -2)) as t
+  from series)"""
 
 
-@register("critical_periods", STANDIN + f"""select ds, round(yhat, 2) as yhat, round(yhat_lower, 2) as yhat_lower,
-  round(yhat_upper, 2) as yhat_upper from joined where yhat < {CRIT} order by ds limit 7""")
+def _default_threshold(spark, sf):
+    """R6's default threshold as a one-row frame (the slider's starting value)."""
+    return IN.critical_threshold(series(spark, sf)).select(F.col("default_threshold").alias("_thr"))
+
+
+@register("critical_periods", STANDIN + CRIT_SQL + """ select ds, round(yhat, 2) as yhat,
+  round(yhat_lower, 2) as yhat_lower, round(yhat_upper, 2) as yhat_upper from joined, thr
+  where yhat < t order by ds limit 7""")
 def q_critical_periods(spark, sf):
-    """R7 list: first 7 days under a 100,000 threshold."""
-    return IN.critical_periods(standin(spark, sf), F.lit(CRIT))
+    """R7 list: first 7 days under R6's default threshold."""
+    from tillsight.operators.stats import attach_scalars
+    j = attach_scalars(standin(spark, sf), _default_threshold(spark, sf))
+    return IN.critical_periods(j, F.col("_thr"))
 
 
-@register("critical_summary", STANDIN + f"""select count(case when yhat < {CRIT} then 1 end) as days_below,
-  round(count(case when yhat < {CRIT} then 1 end) * 100.0 / count(*), 2) as pct_below,
-  min(case when yhat < {CRIT} then ds end) as first_date from joined""")
+@register("critical_summary", STANDIN + CRIT_SQL + """ select count(case when yhat < t then 1 end) as days_below,
+  round(count(case when yhat < t then 1 end) * 100.0 / count(*), 2) as pct_below,
+  min(case when yhat < t then ds end) as first_date from joined, thr""")
 def q_critical_summary(spark, sf):
-    """R7 summary."""
-    return rounded(IN.critical_summary(standin(spark, sf), F.lit(CRIT)))
+    """R7 summary under R6's default threshold."""
+    from tillsight.operators.stats import attach_scalars
+    j = attach_scalars(standin(spark, sf), _default_threshold(spark, sf))
+    return rounded(IN.critical_summary(j, F.col("_thr")))
 
 
 @register("forecast_alert", STANDIN + """, t as (select avg(yhat) * 0.8 as threshold from joined)
