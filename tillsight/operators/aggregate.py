@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import expressions as X
-from tillsight.operators.stats import attach_scalars, exact_quantiles, long_values
+from tillsight.operators.stats import attach_scalars, exact_quantiles
 
 
 def _sum0(c) -> F.Column:
@@ -129,15 +129,13 @@ def describe_numeric(df, cols, accuracy: int = 100000):
 
     count, mean, sample std, min, 25/50/75 % (exact, linear interpolation), max.
     """
-    lv = long_values(df, cols)
-    base = lv.groupBy("column").agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"),
-                                    F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-                                    F.max("v").alias("max"))
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy=accuracy)
-    qw = q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-                                   for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    return base.join(qw, "column", "left").select("column", "count", "mean", "std", "min",
-                                                   "p25", "p50", "p75", "max")
+    return q.groupBy("column").agg(
+        F.first("n").alias("count"), F.first("mean").alias("mean"), F.first("std").alias("std"),
+        F.first("min").alias("min"),
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
+          for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))],
+        F.first("max").alias("max"))
 
 
 def customer_features(df, key="customer_id", date_col="date", value="total", qty="quantity"):

@@ -48,12 +48,18 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 100000,
-                    widths=(1, 8, 64, 512)) -> DataFrame:
+                    widths=(1, 8, 64, 512), materialize: bool = True) -> DataFrame:
     """Exact linear-interpolated quantiles per (group..., column, p).
 
-    Returns columns ``group..., column, p, n, value``; a column with no
+    Returns columns ``group..., column, p, n, mean, std, min, max, value``
+    (the moments come from the same pass as the sketch); a column with no
     non-null values gives no rows.
 
+    The input is scanned twice: once for the sketch and moments, once for the
+    (value, count) table. With ``materialize`` that table is written once to the
+    shared checkpoint folder, so the two passes over it (bracket counts, band)
+    do not recompute the input (a join of fact tables, typically).
+
     Brackets: for each p the sketch gives lower / upper values at p -+ w/accuracy
     for every width w, plus the whole range as a last resort. One pass over the
     (value, count) rows counts, per bracket, the rows below its lower edge and
@@ -64,6 +70,10 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
     keys = g + ["column"]
     lv = long_values(df, cols, g)
     vc = lv.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
+    if materialize:
+        from tillsight.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        vc = vc.checkpoint(eager=True)
 
     probs = [float(p) for p in probs]
     levels = [w / float(accuracy) for w in widths]
@@ -73,14 +83,17 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
             grid.append((i, j, max(0.0, p - e), min(1.0, p + e)))
     sk = lv.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("_min"), F.max("v").alias("_max"),
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.percentile_approx("v", F.array(*[F.lit(a) for _, _, a, _ in grid]), accuracy).alias("_lo"),
         F.percentile_approx("v", F.array(*[F.lit(b) for _, _, _, b in grid]), accuracy).alias("_hi"))
     nl = len(levels)
     idx = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)]
-    base = sk.select(*keys, "n", "_min", "_max", "_lo", "_hi", F.explode(F.array(*idx)).alias("_q"))
+    base = sk.select(*keys, "n", "mean", "std", "_min", "_max", "_lo", "_hi",
+                     F.explode(F.array(*idx)).alias("_q"))
     lo_cols = [F.element_at("_lo", F.col("_q.i") * nl + j + 1).alias(f"lo{j}") for j in range(nl)]
     hi_cols = [F.element_at("_hi", F.col("_q.i") * nl + j + 1).alias(f"hi{j}") for j in range(nl)]
-    bounds = (base.select(*keys, "n", F.col("_q.p").alias("p"), *lo_cols, *hi_cols,
+    bounds = (base.select(*keys, "n", "mean", "std", F.col("_min").alias("min"), F.col("_max").alias("max"),
+                          F.col("_q.p").alias("p"), *lo_cols, *hi_cols,
                           F.col("_min").alias(f"lo{nl}"), F.col("_max").alias(f"hi{nl}"))
                   .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p")))
 
@@ -106,8 +119,8 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
             pick_hi = F.when(ok, hi_j).otherwise(pick_hi)
             pick_below = F.when(ok, b_j).otherwise(pick_below)
     chosen = (bounds.join(counted, keys + ["p"], "inner")
-                    .select(*keys, "p", "n", "h", pick_lo.alias("lo"), pick_hi.alias("hi"),
-                            pick_below.alias("below")))
+                    .select(*keys, "p", "n", "mean", "std", "min", "max", "h", pick_lo.alias("lo"),
+                            pick_hi.alias("hi"), pick_below.alias("below")))
     band = (vc.join(chosen, keys, "inner")
               .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
     w = (Window.partitionBy(*keys, "p").orderBy("v")
@@ -115,11 +128,11 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
     band = band.withColumn("cum", F.col("below") + F.sum("cnt").over(w))
     k_lo = F.floor("h")
     k_hi = F.ceil("h")
-    res = band.groupBy(*keys, "p", "n", "h").agg(
+    res = band.groupBy(*keys, "p", "n", "mean", "std", "min", "max", "h").agg(
         F.min(F.when(F.col("cum") > k_lo, F.col("v"))).alias("v_lo"),
         F.min(F.when(F.col("cum") > k_hi, F.col("v"))).alias("v_hi"))
     frac = F.col("h") - F.floor("h")
-    return res.select(*keys, "p", "n",
+    return res.select(*keys, "p", "n", "mean", "std", "min", "max",
                       (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
 
 
