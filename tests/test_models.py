@@ -81,3 +81,21 @@ def test_multiplicative_forecast_positive(sales):
     out = FC.sales_forecast_multiplicative(sales, periods=7)
     r = out.agg(F.min("yhat"), F.count(F.lit(1))).first()
     assert r[0] > 0 and r[1] == FC.forecast_series(sales).count() + 7
+
+
+def test_forecast_by_group_recovers_each_group(spark):
+    start = dt.date(2022, 1, 1)
+    rows = []
+    for g, (base, slope) in {"a": (500.0, 1.0), "b": (2000.0, -0.5)}.items():
+        for i in range(400):
+            d = start + dt.timedelta(days=i)
+            rows.append((g, dt.datetime(d.year, d.month, d.day), base + slope * i + (15.0 if d.weekday() == 0 else 0.0)))
+    df = spark.createDataFrame(rows, "product_line string, date timestamp, total double")
+    out = FC.forecast_by_group(df, "product_line", periods=14).collect()
+    assert len(out) == 2 * (400 + 14)
+    for r in out:
+        assert r.yhat_lower <= r.yhat <= r.yhat_upper
+        i = (r.ds - start).days
+        base, slope = (500.0, 1.0) if r.product_line == "a" else (2000.0, -0.5)
+        truth = base + slope * i + (15.0 if r.ds.weekday() == 0 else 0.0)
+        assert abs(r.yhat - truth) / truth < 0.02

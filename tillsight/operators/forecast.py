@@ -210,3 +210,63 @@ def weekday_mean_forecast(series: DataFrame, periods: int = 30) -> DataFrame:
     yhat = F.when(F.col("_y").isNull(), F.col("_m")).otherwise((F.col("_m") + F.col("_y")) / 2)
     fc = fc.select("ds", yhat.alias("yhat"), (yhat * 0.9).alias("yhat_lower"), (yhat * 1.1).alias("yhat_upper"))
     return forecast_actual_join(fc, series)
+
+
+def _group_design(days: "np.ndarray", t0: float, span: float, changepoints, seasonalities):
+    import numpy as np
+    t = (days - t0) / span
+    cols = [np.ones_like(t), t] + [np.maximum(t - c, 0.0) for c in changepoints]
+    for period, order in seasonalities:
+        for k in range(1, order + 1):
+            ang = days * (2.0 * math.pi * k / period)
+            cols += [np.sin(ang), np.cos(ang)]
+    return np.column_stack(cols)
+
+
+def forecast_by_group(df, group: str, periods: int = 30, date_col="date", value="total",
+                      reg_param: float = 1e-3, n_changepoints: int = N_CHANGEPOINTS) -> DataFrame:
+    """M19, one model per group (e.g. per category).
+
+    The data is first reduced to one row per (group, day) by a distributed
+    aggregate, so each group handed to ``applyInPandas`` is a daily series
+    (bounded by the number of days, not by the data volume, even for a group
+    holding most of the rows). Each group is fitted with the same trend +
+    Fourier design as ``fit_forecast`` (ridge normal equations in numpy) and
+    returns history + ``periods`` future days.
+    """
+    daily = (df.where(F.col(date_col).isNotNull() & F.col(group).isNotNull())
+               .groupBy(F.col(group).alias("grp"), F.to_date(date_col).alias("ds"))
+               .agg(F.sum(value).cast("double").alias("y")))
+    cps = [CHANGEPOINT_RANGE * (j + 1) / (n_changepoints + 1) for j in range(n_changepoints)]
+    seas = [YEARLY, WEEKLY]
+
+    def fit(pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values("ds")
+        epoch = pd.Timestamp("1970-01-01")
+        days = ((pd.to_datetime(pdf["ds"]) - epoch).dt.days).to_numpy(dtype=float)
+        y = pdf["y"].to_numpy(dtype=float)
+        t0, span = days.min(), max(days.max() - days.min(), 1.0)
+        X_ = _group_design(days, t0, span, cps, seas)
+        mu, sd = X_[:, 1:].mean(axis=0), X_[:, 1:].std(axis=0)
+        sd[sd == 0] = 1.0
+        Z = np.column_stack([np.ones(len(y)), (X_[:, 1:] - mu) / sd])
+        pen = reg_param * len(y) * np.eye(Z.shape[1])
+        pen[0, 0] = 0.0
+        beta = np.linalg.solve(Z.T @ Z + pen, Z.T @ y)
+        sigma = float(np.sqrt(np.mean((y - Z @ beta) ** 2)))
+        fut = np.arange(days.max() + 1, days.max() + periods + 1, dtype=float)
+        all_days = np.concatenate([days, fut])
+        Xa = _group_design(all_days, t0, span, cps, seas)
+        yhat = np.column_stack([np.ones(len(all_days)), (Xa[:, 1:] - mu) / sd]) @ beta
+        actual = np.concatenate([y, np.full(len(fut), np.nan)])
+        return pd.DataFrame({
+            "grp": pdf["grp"].iloc[0],
+            "ds": (epoch + pd.to_timedelta(all_days, unit="D")).date,
+            "y": actual, "yhat": yhat,
+            "yhat_lower": yhat - Z80 * sigma, "yhat_upper": yhat + Z80 * sigma})
+
+    schema = "grp string, ds date, y double, yhat double, yhat_lower double, yhat_upper double"
+    out = daily.groupBy("grp").applyInPandas(fit, schema)
+    return out.withColumnRenamed("grp", group)

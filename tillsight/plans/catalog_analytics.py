@@ -643,3 +643,66 @@ def q_business_suggestions(spark, sf):
     """R14 + R15: ordered suggestion list with kinds (stand-in labels and forecast)."""
     s = labelled(spark, sf).withColumn("hour", X.hour_of_time("time"))
     return IN.business_suggestions(s, forecast=standin(spark, sf))
+
+
+# ---------------------------------------------------------------- variants and remaining keys
+
+@register("churn_train")
+def q_churn_train(spark, sf):
+    """The trained 100-tree forest, one row per tree (nodes, depth)."""
+    _, model = _trained(spark, sf)
+    rows = [(i, t.numNodes, t.depth) for i, t in enumerate(model.model.trees)]
+    return spark.createDataFrame(rows, "tree int, nodes int, depth int")
+
+
+@register("insight_kind")
+def q_insight_kind(spark, sf):
+    """Kind of each suggestion derived from its leading mark."""
+    s = q_business_suggestions(spark, sf)
+    return s.select("rank", "text", IN.insight_kind("text").alias("kind_from_mark"))
+
+
+@register("ranked_correlations_floor", SALES + f""", m as ({_matrix_sql(CORR_COLS + ['profit'], 'sp')})
+select col1, col2, r from m where i < j and abs(r) >= 0.1 order by abs(r) desc, i, j limit 2"""
+          .replace("from sp", "from (select *, total - quantity * unit_price as profit from sales)"))
+def q_ranked_correlations_floor(spark, sf):
+    """W5 variant: |r| >= 0.1, top 2 (the suggestion list's rule)."""
+    s = sales(spark, sf).withColumn("profit", X.profit())
+    return CR.ranked_correlations(s, CORR_COLS + ["profit"], k=2, min_abs=0.1).withColumn("r", F.round("r", 4))
+
+
+@register("peak_day_hours_slowest", EV + """, c as (select cast(isodow(date) - 1 as integer) as weekday,
+  cast(hour(date) as integer) as hour, sum(total) as s from ev group by 1, 2),
+pk as (select weekday from c order by s asc, weekday, hour limit 1),
+hh as (select cast(isodow(date) - 1 as integer) as weekday, cast(hour(date) as integer) as hour, sum(total) as s
+  from ev where cast(isodow(date) - 1 as integer) in (select weekday from pk) group by 1, 2)
+select pk.weekday, cast(h.i as integer) as hour, round(coalesce(hh.s, 0), 2) as sales
+from pk join range(24) h(i) on true left join hh on hh.weekday = pk.weekday and hh.hour = h.i""")
+def q_peak_day_hours_slowest(spark, sf):
+    """A20 for the slowest weekday."""
+    e = events_hourly(spark, sf)
+    pk = R.peak_periods(e).where("which = 'slowest'")
+    return rounded(A.peak_day_hours(e, pk))
+
+
+@register("segment_offers_else_bundle", _seg_sql("""case when avg_total > 1.2 * all_total then 'vip'
+  when avg_quantity < 0.8 * all_quantity then 'bundle' else 'bundle' end as offer"""))
+def q_segment_offers_else_bundle(spark, sf):
+    """R10, older copy: clusters that are not VIP get the bundle offer."""
+    return rounded(IN.segment_offers(labelled(spark, sf), else_bundle=True))
+
+
+@register("forecast_extremes_last_n", STANDIN + """, l as (select * from joined order by ds desc limit 30)
+select (select ds from l order by yhat desc, ds limit 1) as peak_date,
+  (select round(max(yhat), 2) from l) as peak_yhat,
+  (select ds from l order by yhat asc, ds limit 1) as trough_date,
+  (select round(min(yhat), 2) from l) as trough_yhat""")
+def q_forecast_extremes_last_n(spark, sf):
+    """R3, browser form: extremes over the last 30 forecast days."""
+    return rounded(IN.forecast_extremes(standin(spark, sf), last_n=30))
+
+
+@register("sales_forecast_by_category")
+def q_sales_forecast_by_category(spark, sf):
+    """M19 per category: one small model per category's daily series (applyInPandas)."""
+    return FC.forecast_by_group(sales(spark, sf), "product_line", periods=30)

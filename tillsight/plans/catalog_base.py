@@ -677,3 +677,13 @@ def q_has_time_of_day(spark, sf):
 def q_has_time_of_day_sales(spark, sf):
     """A27 on the sales table (dates at midnight only)."""
     return A.has_time_of_day(sales(spark, sf))
+
+
+@register("csv_scan", UPLOAD_SQL)
+def q_csv_scan(spark, sf):
+    """Header CSV in a chosen encoding (cp1252, which needs Spark's legacy charsets)."""
+    path = _scratch(spark, "csv-cp1252")
+    up = _upload_frame(spark, sf)
+    up.select([F.col(c).alias(IO.SNAKE_TO_HEADER.get(c, c)) for c in up.columns]) \
+      .write.mode("overwrite").option("header", True).option("encoding", "cp1252").csv(path)
+    return _contract(IO.csv_scan(spark, path, encoding="cp1252"))
