@@ -33,10 +33,15 @@ def top_bottom_products(df, n: int = 3, key="product_line", value="total") -> Da
     Returns (which, rank, key, sales). Ranking runs over the per-category sums.
     """
     sums = A.sum_by(df, key, value, "sales")
-    top = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sales"), key)))
-    bot = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.asc("sales"), key)))
-    return (top.where(F.col("rank") <= n).withColumn("which", F.lit("top"))
-               .unionByName(bot.where(F.col("rank") <= n).withColumn("which", F.lit("bottom")))
+    # Distributed top-k (each task keeps k rows, then k x tasks are merged);
+    # the rank window afterwards only sees the k survivors.
+    top_order, bot_order = [F.desc("sales"), F.col(key)], [F.asc("sales"), F.col(key)]
+    top = sums.orderBy(*top_order).limit(n)
+    bot = sums.orderBy(*bot_order).limit(n)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*top_order)))
+    bot = bot.withColumn("rank", F.row_number().over(Window.orderBy(*bot_order)))
+    return (top.withColumn("which", F.lit("top"))
+               .unionByName(bot.withColumn("which", F.lit("bottom")))
                .select("which", "rank", key, "sales"))
 
 
@@ -60,10 +65,12 @@ def top_products_share(df, k: int = 5, key="product_line", value="total", qty="q
            .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("sales"),
                 F.coalesce(F.sum(qty), F.lit(0)).cast("long").alias("quantity")))
     tot = g.agg(F.sum("sales").alias("_all"))
-    ranked = (g.join(F.broadcast(tot), on=F.lit(True))
-               .withColumn("share_pct", F.try_divide(F.col("sales") * 100.0, F.col("_all")))
-               .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sales"), key))))
-    return ranked.where(F.col("rank") <= k).select("rank", key, "sales", "quantity", "share_pct")
+    order = [F.desc("sales"), F.col(key)]
+    top = g.orderBy(*order).limit(k)  # distributed top-k
+    ranked = (top.join(F.broadcast(tot), on=F.lit(True))
+                 .withColumn("share_pct", F.try_divide(F.col("sales") * 100.0, F.col("_all")))
+                 .withColumn("rank", F.row_number().over(Window.orderBy(*order))))
+    return ranked.select("rank", key, "sales", "quantity", "share_pct")
 
 
 def head_n(df, n: int, order) -> DataFrame:

@@ -117,7 +117,11 @@ def cluster_demographics(df, label="cluster", attrs=None) -> DataFrame:
     tot = counts.groupBy(label, "attribute").agg(F.sum("n").alias("_tot"))
     w = Window.partitionBy(label, "attribute").orderBy(F.desc("n"), "value")
     keep = F.create_map(*[x for a, n in attrs.items() for x in (F.lit(a), F.lit(n))])
-    ranked = (counts.join(tot, [label, "attribute"]).withColumn("rank", F.row_number().over(w))
-                    .where(F.col("rank") <= F.element_at(keep, F.col("attribute"))))
+    # The literal bound lets Spark insert a per-task WindowGroupLimit before the
+    # shuffle, so each task ships at most max(k) values per (cluster, attribute).
+    ranked = (counts.withColumn("rank", F.row_number().over(w))
+                    .where(F.col("rank") <= max(attrs.values()))
+                    .where(F.col("rank") <= F.element_at(keep, F.col("attribute")))
+                    .join(tot, [label, "attribute"]))
     return ranked.select(label, "attribute", "rank", "value", "n",
                          (F.col("n") / F.col("_tot")).alias("share"))
