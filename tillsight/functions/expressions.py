@@ -20,6 +20,20 @@ HOURS_PER_DAY = 24
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS",
                 "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "M/d/yyyy HH:mm", "M/d/yyyy")
 
+# Shape each format can possibly accept. A failed parse is far more expensive
+# than a regex test, so a format is only tried on strings of its shape; the
+# parser still validates, so results equal trying every format.
+_YMD, _MDY, _HM = r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{1,2}:\d{1,2}"
+FORMAT_SHAPES = {
+    "yyyy-MM-dd HH:mm:ss": rf"^{_YMD} {_HM}:\d{{1,2}}$",
+    "yyyy-MM-dd'T'HH:mm:ss": rf"^{_YMD}T{_HM}:\d{{1,2}}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS": rf"^{_YMD}T{_HM}:\d{{1,2}}\.\d{{1,9}}$",
+    "yyyy-MM-dd HH:mm": rf"^{_YMD} {_HM}$",
+    "yyyy-MM-dd": rf"^{_YMD}$",
+    "M/d/yyyy HH:mm": rf"^{_MDY} {_HM}$",
+    "M/d/yyyy": rf"^{_MDY}$",
+}
+
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -28,8 +42,13 @@ def col(c) -> Column:
 def parse_date(c, formats=DATE_FORMATS) -> Column:
     """String -> timestamp; unparseable -> NULL. Timestamps pass through."""
     s = col(c).cast("string")
+    tries = []
+    for f in formats:
+        parsed = F.try_to_timestamp(s, F.lit(f))
+        shape = FORMAT_SHAPES.get(f)
+        tries.append(F.when(s.rlike(shape), parsed) if shape else parsed)
     # Zone-less result (the session zone is UTC), like the parquet timestamps.
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def weekday_index(d) -> Column:

@@ -8,13 +8,13 @@ runs and seeds. Rows with a NULL feature keep a NULL label (J3).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.operators.stats import attach_scalars
+from tillsight.session import materialize
 
 
 def zscore(df: DataFrame, cols, suffix: str = "_z") -> DataFrame:
@@ -47,9 +47,9 @@ def segment_customers(df: DataFrame, features=("total", "quantity", "unit_price"
     zc = [f"{c}_z" for c in feats]
     z = zscore(valid, feats)
     vec = VectorAssembler(inputCols=zc, outputCol="_features").transform(z)
-    # Lloyd iterations re-read the vectors; keep them (memory, spilling to disk)
-    # for the fits only. Lost blocks are recomputed from the lineage.
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    # The fits (init + Lloyd iterations) and the final labelling all read the
+    # vectors: write them once rather than recompute the input per pass.
+    vec = materialize(vec)
     best = None
     for r in range(max(1, restarts)):
         model = KMeans(k=k, seed=seed + r, featuresCol="_features", predictionCol="_pred",
@@ -58,7 +58,6 @@ def segment_customers(df: DataFrame, features=("total", "quantity", "unit_price"
         if best is None or cost < best[0]:
             best = (cost, model)
     model = best[1]
-    vec.unpersist()
     centers = model.clusterCenters()
     order = sorted(range(len(centers)), key=lambda i: (float(centers[i][0]), i))
     remap = [0] * len(centers)

@@ -84,8 +84,11 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
     sk = lv.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("_min"), F.max("v").alias("_max"),
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.percentile_approx("v", F.array(*[F.lit(a) for _, _, a, _ in grid]), accuracy).alias("_lo"),
-        F.percentile_approx("v", F.array(*[F.lit(b) for _, _, _, b in grid]), accuracy).alias("_hi"))
+        # One sketch answers both edge lists: lower edges first, then upper edges.
+        F.percentile_approx("v", F.array(*[F.lit(a) for _, _, a, _ in grid] +
+                                          [F.lit(b) for _, _, _, b in grid]), accuracy).alias("_q_all"))
+    ng = len(grid)
+    sk = sk.withColumns({"_lo": F.slice("_q_all", 1, ng), "_hi": F.slice("_q_all", ng + 1, ng)}).drop("_q_all")
     nl = len(levels)
     idx = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)]
     base = sk.select(*keys, "n", "mean", "std", "_min", "_max", "_lo", "_hi",

@@ -395,8 +395,10 @@ def q_train_test_split(spark, sf):
 
 
 def _trained(spark, sf):
+    from tillsight.session import materialize
     rows = CH.churn_features_row(sales(spark, sf), AS_OF)
-    rows = CH.train_test_split(rows, "invoice_id", method="hash")
+    # Fit, scoring and summaries all read the feature rows: materialize once.
+    rows = materialize(CH.train_test_split(rows, "invoice_id", method="hash"))
     model = CH.churn_train(rows, num_trees=100, seed=42)
     return rows, model
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import expressions as X
 from tillsight.operators import clean
+from tillsight.session import materialize
 
 
 def _parse_and_parts(df: DataFrame, date_col: str, month_year: bool) -> DataFrame:
@@ -33,7 +34,9 @@ def clean_basic(df: DataFrame, order_cols, date_col="date", time_col="time",
                 buckets: int = 64) -> DataFrame:
     """Dedupe -> forward fill -> parse date -> day name -> hour."""
     order_cols = list(order_cols)
-    d = clean.dedupe(df)
+    # The fill reads the deduped rows three times (split points, bucket tails,
+    # the fill itself): write them once instead of re-running the dedupe shuffle.
+    d = materialize(clean.dedupe(df))
     d = clean.forward_fill(d, order_cols, cols=d.columns, buckets=buckets)
     d = _parse_and_parts(d, date_col, month_year=False)
     return _hour(d, time_col)
@@ -43,7 +46,9 @@ def clean_prepare(df: DataFrame, order_cols, date_col="date", time_col="time",
                   buckets: int = 64) -> DataFrame:
     """C14: C13 with month and year, plus average item price."""
     order_cols = list(order_cols)
-    d = clean.dedupe(df)
+    # The fill reads the deduped rows three times (split points, bucket tails,
+    # the fill itself): write them once instead of re-running the dedupe shuffle.
+    d = materialize(clean.dedupe(df))
     d = clean.forward_fill(d, order_cols, cols=d.columns, buckets=buckets)
     d = _parse_and_parts(d, date_col, month_year=True)
     d = _hour(d, time_col)
@@ -59,6 +64,8 @@ def process_sales(df: DataFrame, date_col="date", time_col="time", accuracy: int
     d = clean.dedupe(df)
     d = _parse_and_parts(d, date_col, month_year=True)
     d = _hour(d, time_col)
+    # Both imputers and the final projection read the parsed rows.
+    d = materialize(d)
     d = clean.impute_median(d, accuracy=accuracy)
     d = clean.impute_mode(d)
     p = X.profit()

@@ -73,3 +73,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tillsight-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it from there.
+
+    Used where several jobs read the same expensive intermediate (a deduped
+    table, model features): each would otherwise recompute the joins and
+    shuffles behind it, and a cache would be lost with its executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    # AQE coalesces a small result into very few partitions; iterative readers
+    # (MLlib fits) would then run on one or two cores. Spreading the written
+    # copy only happens in that small-data case: a large intermediate already
+    # has at least as many partitions as the cluster has cores.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < cores:
+        out = out.repartition(cores)
+    return out
