@@ -202,13 +202,15 @@ def box_stats(df, group="cluster", value="total", accuracy: int = 100000):
     Quartiles are exact; whiskers are the most extreme values inside the
     fences, found by joining the (#groups-row) fence table back and aggregating.
     """
-    q = exact_quantiles(df, [value], [0.25, 0.5, 0.75], group_cols=[group], accuracy=accuracy)
+    from tillsight.session import materialize
+    v = F.col(value).cast("double")
+    # Quartiles and whiskers both read (group, value): evaluate the input once.
+    rows = materialize(df.where(F.col(group).isNotNull() & v.isNotNull()).select(group, v.alias("v")))
+    q = exact_quantiles(rows, ["v"], [0.25, 0.5, 0.75], group_cols=[group], accuracy=accuracy)
     qw = q.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                                 for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     fences = qw.select("*", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                        (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    v = F.col(value).cast("double")
-    rows = df.where(F.col(group).isNotNull() & v.isNotNull()).select(group, v.alias("v"))
     ext = (rows.join(fences.select(group, "lo_fence", "hi_fence"), group, "inner")
                .groupBy(group).agg(
                    F.min("v").alias("min"), F.max("v").alias("max"),

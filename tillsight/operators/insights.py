@@ -209,6 +209,12 @@ def business_suggestions(df, forecast: DataFrame | None = None, label="cluster",
     alert. Each part is a tiny frame; ``rank`` keeps the order.
     """
     parts = []
+    # Six small rule queries read the same rows: write the columns they use
+    # once (the input is usually the joined sales view).
+    from tillsight.session import materialize
+    used = [c for c in ("date", "total", "quantity", "unit_price", "product_line", "hour", label,
+                        *corr_cols) if c in df.columns]
+    df = materialize(df.select(*dict.fromkeys(used)))
     cols = set(df.columns)
     if {"product_line", "total"} <= cols:
         tb = R.top_bottom_products(df, 3)

@@ -55,10 +55,11 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
     (the moments come from the same pass as the sketch); a column with no
     non-null values gives no rows.
 
-    The input is scanned twice: once for the sketch and moments, once for the
+    The input is evaluated twice: once for the sketch and moments, once for the
     (value, count) table. With ``materialize`` that table is written once to the
     shared checkpoint folder, so the two passes over it (bracket counts, band)
-    do not recompute the input (a join of fact tables, typically).
+    do not recompute it. Callers holding an expensive input (a fact-table join)
+    that they query repeatedly should materialize it first (``session.materialize``).
 
     Brackets: for each p the sketch gives lower / upper values at p -+ w/accuracy
     for every width w, plus the whole range as a last resort. One pass over the
@@ -71,9 +72,8 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
     lv = long_values(df, cols, g)
     vc = lv.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
     if materialize:
-        from tillsight.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        vc = vc.checkpoint(eager=True)
+        from tillsight.session import materialize as _write_once
+        vc = _write_once(vc)
 
     probs = [float(p) for p in probs]
     levels = [w / float(accuracy) for w in widths]
