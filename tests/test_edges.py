@@ -139,3 +139,34 @@ def test_probability_histogram_edges(spark):
     assert got == {0: 1, 6: 1, 14: 1, 19: 1}
     rb = [r[0] for r in df.select(X.risk_bucket("p")).collect()]
     assert rb == [None, "Low", "Medium", "High"]
+
+
+def test_exact_quantiles_hot_group_with_duplicates(spark):
+    rnd = random.Random(7)
+    rows = [("hot", float(rnd.choice([1, 2, 2, 3, 50]))) for _ in range(6000)]
+    rows += [(f"g{i % 40}", rnd.random()) for i in range(12000)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(8)
+    got = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], group_cols=["g"], accuracy=2000).collect()
+    assert len(got) == 41 * 3
+    for r in got:
+        xs = np.array([x for g, x in rows if g == r.g])
+        assert math.isclose(r.value, float(np.quantile(xs, r.p)), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_forward_fill_hot_partition(spark):
+    rows = []
+    for i in range(6000):
+        part = "hot" if i % 3 else f"p{i % 7}"
+        rows.append((part, i, None if i % 4 else float(i)))
+    df = spark.createDataFrame(rows, "part string, k long, v double")
+    got = {(r.part, r.k): r.v for r in C.forward_fill(df, "k", ["v"], buckets=16, partition_cols=["part"]).collect()}
+    last = {}
+    for part, k, v in sorted(rows, key=lambda t: t[1]):
+        last[part] = v if v is not None else last.get(part)
+        assert got[(part, k)] == last[part]
+
+
+def test_dedupe_hot_duplicate_group(spark):
+    rows = [("same", 1)] * 5000 + [(f"u{i}", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b int").repartition(8)
+    assert C.dedupe(df).count() == 2001

@@ -550,16 +550,16 @@ def q_day_hour_sales(spark, sf):
     return rounded(A.day_hour_sales(events_hourly(spark, sf)))
 
 
-@register("sales_heatmap", EV + """, cells as (select cast(isodow(date) - 1 as integer) as weekday,
-  cast(hour(date) as integer) as hour, sum(total) as s from ev where invoice_id % 50 = 0 group by 1, 2),
+@register("sales_heatmap", SALES + f""", cells as (select cast(isodow(date) - 1 as integer) as weekday,
+  {HOUR_SQL.format(t='time')} as hour, sum(total) as s from sales
+  where date is not null and {HOUR_SQL.format(t='time')} is not null group by 1, 2),
 spine as (select cast(i // 24 as integer) as weekday, cast(i % 24 as integer) as hour from range(168) t(i))
 select spine.weekday, ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][spine.weekday + 1] as day,
   spine.hour, round(coalesce(s, 0), 2) as sales
 from spine left join cells using (weekday, hour)""")
 def q_sales_heatmap(spark, sf):
-    """Dense 7x24 grid; every 50th event only, so empty cells show as 0."""
-    e = events_hourly(spark, sf).where(F.col("invoice_id") % 50 == 0)
-    return rounded(A.sales_heatmap(e))
+    """Dense 7x24 grid over all sales; hours outside 10-20 have no sales and show 0."""
+    return rounded(A.sales_heatmap(hourly(spark, sf)))
 
 
 @register("avg_price_by_category", SALES + """select product_line, round(avg(unit_price), 2) as avg_price
