@@ -142,7 +142,12 @@ def q_records_export(spark, sf):
     return IO.records_export(rounded(A.sales_by_category(sales(spark, sf))))
 
 
-@register("schema_profile")
+@register("schema_profile", SALES + """, d as (select row_number() over () - 1 as position, column_name,
+  column_type from (describe select * from sales))
+select cast(position as integer) as position, column_name as column,
+  case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double'
+       when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' else lower(column_type) end as type,
+  (select count(*) from sales) as row_count from d""")
 def q_schema_profile(spark, sf):
     """Columns, types and row count of the sales table."""
     return IO.schema_profile(sales(spark, sf))
@@ -408,7 +413,7 @@ def q_purchase_frequency(spark, sf):
                             .alias("frequency")))
 
 
-@register("numeric_columns")
+@register("numeric_columns", SALES + "select invoice_id, customer_id, total, quantity, unit_price from sales")
 def q_numeric_columns(spark, sf):
     """P10: the numeric columns of the sales table (rows only)."""
     s = sales(spark, sf)
