@@ -42,14 +42,15 @@ def segment_customers(df: DataFrame, features=("total", "quantity", "unit_price"
     for c in feats:
         cnd = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
         valid_cond = cnd if valid_cond is None else valid_cond & cnd
-    valid = df.where(valid_cond)
-    invalid = df.where(~valid_cond)
+    # The scaling pass, the fits, the labelling and the unscored rows all read
+    # the input: write it once (with its validity flag) and read that copy.
+    staged = materialize(df.withColumn("_valid", valid_cond))
+    valid = staged.where("_valid").drop("_valid")
+    invalid = staged.where(~F.col("_valid")).drop("_valid")
     zc = [f"{c}_z" for c in feats]
     z = zscore(valid, feats)
+    # KMeans caches its own copy of the vectors for the init and Lloyd passes.
     vec = VectorAssembler(inputCols=zc, outputCol="_features").transform(z)
-    # The fits (init + Lloyd iterations) and the final labelling all read the
-    # vectors: write them once rather than recompute the input per pass.
-    vec = materialize(vec)
     best = None
     for r in range(max(1, restarts)):
         model = KMeans(k=k, seed=seed + r, featuresCol="_features", predictionCol="_pred",
