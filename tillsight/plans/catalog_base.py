@@ -692,3 +692,17 @@ def q_csv_scan(spark, sf):
     up.select([F.col(c).alias(IO.SNAKE_TO_HEADER.get(c, c)) for c in up.columns]) \
       .write.mode("overwrite").option("header", True).option("encoding", "cp1252").csv(path)
     return _contract(IO.csv_scan(spark, path, encoding="cp1252"))
+
+
+@register("partitioned_sales_range", SALES + f"""select product_line, round(coalesce(sum(total), 0), 2) as sales,
+  count(*) as n from sales where date >= timestamp '{D0}' and date <= timestamp '{D1}'
+  and product_line is not null group by 1""")
+def q_partitioned_sales_range(spark, sf):
+    """Sales table written once partitioned by month; a date-range query reads only
+    the months in range (PartitionFilters) and sums per category."""
+    path = _scratch(spark, "sales-by-month")
+    IO.write_partitioned_table(sales(spark, sf), path)
+    rng = IO.read_months(spark, path, D0, D1)
+    g = rng.where(F.col("product_line").isNotNull()).groupBy("product_line").agg(
+        F.coalesce(F.sum("total"), F.lit(0.0)).alias("sales"), F.count(F.lit(1)).alias("n"))
+    return rounded(g)
