@@ -65,7 +65,8 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     from tillsight.session import build_session
     import __spark_entry__ as E
-    spark = build_session("local[8]", shuffle_partitions=8)
+    extra = {"spark.sql.session.timeZone": os.environ["CHECK_TZ"]} if os.environ.get("CHECK_TZ") else None
+    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     qs, sql = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0

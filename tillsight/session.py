@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     # cp1252 input (S1) needs the legacy charset list in Spark 4.
     "spark.sql.legacy.javaCharsets": "true",
+    # Checkpointed intermediates are deleted once their DataFrame is gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
