@@ -66,7 +66,12 @@ def main(argv):
     from tillsight.session import build_session
     import __spark_entry__ as E
     extra = {"spark.sql.session.timeZone": os.environ["CHECK_TZ"]} if os.environ.get("CHECK_TZ") else None
-    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
+    if os.environ.get("CHECK_PLAIN"):  # Spark's defaults only, as another caller's session
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     qs, sql = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0

@@ -119,9 +119,7 @@ def q_csv_export(spark, sf):
 def q_csv_scan_fallback(spark, sf):
     """A latin1-encoded export read back through encoding detection."""
     path = _scratch(spark, "csv-latin1")
-    out = _upload_frame(spark, sf).select([F.col(c).alias(IO.SNAKE_TO_HEADER.get(c, c))
-                                           for c in _upload_frame(spark, sf).columns])
-    out.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    IO.csv_export(_upload_frame(spark, sf), path, upload_names=True, encoding="ISO-8859-1")
     return _contract(IO.csv_scan_fallback(spark, path))
 
 
@@ -688,9 +686,7 @@ def q_has_time_of_day_sales(spark, sf):
 def q_csv_scan(spark, sf):
     """Header CSV in a chosen encoding (cp1252, which needs Spark's legacy charsets)."""
     path = _scratch(spark, "csv-cp1252")
-    up = _upload_frame(spark, sf)
-    up.select([F.col(c).alias(IO.SNAKE_TO_HEADER.get(c, c)) for c in up.columns]) \
-      .write.mode("overwrite").option("header", True).option("encoding", "cp1252").csv(path)
+    IO.csv_export(_upload_frame(spark, sf), path, upload_names=True, encoding="cp1252")
     return _contract(IO.csv_scan(spark, path, encoding="cp1252"))
 
 

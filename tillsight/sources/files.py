@@ -41,6 +41,17 @@ REQUIRED_RULES = [
 ]
 
 
+# Charsets Spark 4 accepts without the legacy switch.
+STANDARD_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
+
+
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Enable Spark's full Java charset list when a legacy one (cp1252, latin1
+    aliases) is requested; the standard ones need nothing."""
+    if encoding.lower() not in STANDARD_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _header_schema(spark: SparkSession, path: str, encoding: str, sep: str) -> T.StructType:
     """Schema from the header line only (one tiny read, no inference pass)."""
     head = (spark.read.option("header", False).option("encoding", encoding)
@@ -59,6 +70,7 @@ def standardize(df: DataFrame) -> DataFrame:
 def csv_scan(spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",",
              schema: T.StructType | None = None, rename: bool = True) -> DataFrame:
     """Header CSV in a chosen encoding with pinned types for known columns."""
+    allow_charset(spark, encoding)
     schema = schema or _header_schema(spark, path, encoding, sep)
     df = (spark.read.schema(schema).option("header", True).option("encoding", encoding)
           .option("sep", sep).option("mode", "PERMISSIVE").csv(path))
@@ -146,12 +158,14 @@ def required_columns(df: DataFrame, rules=REQUIRED_RULES) -> DataFrame:
     return rule_df.join(F.broadcast(present), "column", "left_anti")
 
 
-def csv_export(df: DataFrame, path: str, headers: bool = True, upload_names: bool = False) -> None:
+def csv_export(df: DataFrame, path: str, headers: bool = True, upload_names: bool = False,
+               encoding: str = "utf-8") -> None:
     """Write CSV with a header line (one file per partition; no coalesce to one task)."""
+    allow_charset(df.sparkSession, encoding)
     out = df
     if upload_names:
         out = df.select([F.col(c).alias(SNAKE_TO_HEADER.get(c, c)) for c in df.columns])
-    out.write.mode("overwrite").option("header", headers).csv(path)
+    out.write.mode("overwrite").option("header", headers).option("encoding", encoding).csv(path)
 
 
 def records_export(df: DataFrame, path: str | None = None) -> DataFrame:
