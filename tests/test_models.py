@@ -19,7 +19,9 @@ AS_OF = "2001-08-01"
 
 @pytest.fixture(scope="module")
 def sales(spark):
-    return TB.sales(spark, SF_SMALL).cache()
+    df = TB.sales(spark, SF_SMALL).cache()
+    yield df
+    df.unpersist()
 
 
 def test_kmeans_labels_valid_and_deterministic(sales):

@@ -11,6 +11,12 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 
+@pytest.fixture(autouse=True)
+def no_cached_relations(spark):
+    # A cached copy of the same view would replace the scans in the plan.
+    spark.catalog.clearCache()
+
+
 def plan_of(df) -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
