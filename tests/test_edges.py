@@ -170,3 +170,16 @@ def test_dedupe_hot_duplicate_group(spark):
     rows = [("same", 1)] * 5000 + [(f"u{i}", i) for i in range(2000)]
     df = spark.createDataFrame(rows, "a string, b int").repartition(8)
     assert C.dedupe(df).count() == 2001
+
+
+def test_dashboard_builds_every_chart_from_one_filtered_copy(spark):
+    from tillsight.plans.dashboard import dashboard
+    from tillsight.sources import tables as TB
+    charts = dashboard(TB.sales(spark, "/root/testdata/sf0.001"), customer_type="BUILDING",
+                       start="1996-01-01", end="2000-12-31")
+    assert charts["heatmap"].count() == 168
+    assert charts["first_rows"].count() == 50
+    total = charts["kpis"].first().total_sales
+    assert math.isclose(sum(r.sales for r in charts["by_category"].collect()), total, rel_tol=1e-9)
+    for name, df in charts.items():
+        assert df.count() >= 1, name
