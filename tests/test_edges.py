@@ -183,3 +183,14 @@ def test_dashboard_builds_every_chart_from_one_filtered_copy(spark):
     assert math.isclose(sum(r.sales for r in charts["by_category"].collect()), total, rel_tol=1e-9)
     for name, df in charts.items():
         assert df.count() >= 1, name
+
+
+def test_describe_approx_close_to_exact(spark):
+    from tillsight.sources import tables as TB
+    s = TB.sales(spark, "/root/testdata/sf0.001")
+    ex = {r.column: r for r in A.describe_numeric(s, ["total", "quantity"]).collect()}
+    ap = {r.column: r for r in A.describe_numeric(s, ["total", "quantity"], approx=True).collect()}
+    for c in ex:
+        assert ex[c]["count"] == ap[c]["count"] and math.isclose(ex[c]["mean"], ap[c]["mean"], rel_tol=1e-9)
+        for k in ("p25", "p50", "p75"):
+            assert abs(ex[c][k] - ap[c][k]) <= 0.02 * (ex[c]["max"] - ex[c]["min"])

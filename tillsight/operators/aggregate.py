@@ -124,11 +124,22 @@ def kpi_summary(df, value="total", invoice="invoice_id", qty="quantity"):
                       "items")
 
 
-def describe_numeric(df, cols, accuracy: int = 100000):
+def describe_numeric(df, cols, accuracy: int = 100000, approx: bool = False):
     """Pandas ``describe`` per numeric column as rows.
 
     count, mean, sample std, min, 25/50/75 % (exact, linear interpolation), max.
+    ``approx`` answers the quartiles from the sketch alone (rank error at most
+    1/accuracy of the rows, one pass, no value-count table).
     """
+    if approx:
+        from tillsight.operators.stats import long_values
+        lv = long_values(df, cols)
+        qs = F.percentile_approx("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
+        return lv.groupBy("column").agg(
+            F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+            F.min("v").alias("min"), qs.alias("_q"), F.max("v").alias("max")).select(
+            "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
+            F.col("_q")[2].alias("p75"), "max")
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy=accuracy)
     return q.groupBy("column").agg(
         F.first("n").alias("count"), F.first("mean").alias("mean"), F.first("std").alias("std"),
