@@ -194,3 +194,11 @@ def test_describe_approx_close_to_exact(spark):
         assert ex[c]["count"] == ap[c]["count"] and math.isclose(ex[c]["mean"], ap[c]["mean"], rel_tol=1e-9)
         for k in ("p25", "p50", "p75"):
             assert abs(ex[c][k] - ap[c][k]) <= 0.02 * (ex[c]["max"] - ex[c]["min"])
+
+
+def test_nan_in_csv_becomes_null(spark, tmp_path):
+    p = tmp_path / "nan.csv"
+    p.write_text("Invoice ID,Total,Quantity\nA,NaN,1\nB,2.5,2\n")
+    df = IO.csv_scan(spark, str(p))
+    assert [r.total for r in df.orderBy("invoice_id").collect()] == [None, 2.5]
+    assert A.kpi_summary(df).first().total_sales == 2.5

@@ -62,9 +62,17 @@ def _header_schema(spark: SparkSession, path: str, encoding: str, sep: str) -> T
 
 
 def standardize(df: DataFrame) -> DataFrame:
-    """Rename upload headers to the snake_case contract; other columns unchanged."""
-    return df.select([F.col(f"`{c}`").alias(UPLOAD_HEADERS[c][0]) if c in UPLOAD_HEADERS
-                      else F.col(f"`{c}`") for c in df.columns])
+    """Rename upload headers to the snake_case contract; other columns unchanged.
+
+    NaN in floating columns becomes NULL here, at ingest (pandas treats NaN as
+    missing; Spark would carry it into sums and maxima)."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.nanvl(c, F.lit(None).cast(f.dataType))
+        out.append(c.alias(UPLOAD_HEADERS[f.name][0] if f.name in UPLOAD_HEADERS else f.name))
+    return df.select(out)
 
 
 def csv_scan(spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",",
