@@ -101,3 +101,27 @@ def test_forecast_by_group_recovers_each_group(spark):
         base, slope = (500.0, 1.0) if r.product_line == "a" else (2000.0, -0.5)
         truth = base + slope * i + (15.0 if r.ds.weekday() == 0 else 0.0)
         assert abs(r.yhat - truth) / truth < 0.02
+
+
+def test_suggestions_ordered_with_kinds(spark):
+    from tillsight.operators import insights as IN
+    from tillsight.plans.catalog_analytics import labelled, standin
+    from tillsight.functions import expressions as X
+    s = labelled(spark, SF_SMALL).withColumn("hour", X.hour_of_time("time"))
+    out = IN.business_suggestions(s, forecast=standin(spark, SF_SMALL))
+    rows = out.collect()
+    ranks = [r["rank"] for r in rows]
+    assert len(ranks) == len(set(ranks)) and {10, 11, 30, 31} <= set(ranks)
+    assert all(r.kind in {"success", "warning", "info"} for r in rows)
+    kinds = out.select("kind", IN.insight_kind("text").alias("k")).collect()
+    assert all(r.kind == r.k for r in kinds)
+
+
+def test_churn_recommendations_rules(spark):
+    from tillsight.operators import insights as IN
+    summ = spark.createDataFrame([(40, 100, 40.0, 60.0)], "churned bigint, entities bigint, churn_rate double, retention_rate double")
+    imp = spark.createDataFrame([("days_since_last", 0.9), ("total", 0.1)], "feature string, importance double")
+    got = {r["rank"]: r for r in IN.churn_recommendations(summ, imp).collect()}
+    assert set(got) == {1, 2, 3} and got[2].title == "Re-engage inactive customers"
+    low = spark.createDataFrame([(10, 100, 10.0, 90.0)], "churned bigint, entities bigint, churn_rate double, retention_rate double")
+    assert {r["rank"] for r in IN.churn_recommendations(low, imp).collect()} == {2, 3}
