@@ -91,8 +91,14 @@ def churn_train(df, features=ROW_FEATURES, label="churn", num_trees: int = 100,
     feats = list(features)
     train = df.where(~F.col(split_col)) if split_col in df.columns else df
     vec = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip").transform(train)
+    # Node ids are cached per row between levels (checkpointed every 10
+    # iterations into the shared checkpoint folder) instead of re-walking every
+    # tree for every row at each level.
+    from tillsight.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     rf = RandomForestClassifier(numTrees=num_trees, seed=seed, featuresCol="_features",
-                                labelCol=label, maxDepth=max_depth)
+                                labelCol=label, maxDepth=max_depth, cacheNodeIds=True,
+                                checkpointInterval=10)
     model = rf.fit(vec.withColumn(label, F.col(label).cast("double")))
     return ChurnModel(model, feats, label)
 
