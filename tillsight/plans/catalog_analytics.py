@@ -19,7 +19,7 @@ from tillsight.operators import forecast as FC
 from tillsight.operators import insights as IN
 from tillsight.operators import ranking as R
 from tillsight.operators import segment as SG
-from tillsight.plans.catalog_base import AS_OF, EV, HOUR_SQL, SALES, WEEK_END_SQL, events_hourly, sales
+from tillsight.plans.catalog_base import AS_OF, EV, SALES, WEEK_END_SQL, events_hourly, sales
 from tillsight.plans.registry import register, rounded
 
 CORR_COLS = ["total", "quantity", "unit_price"]
@@ -55,8 +55,8 @@ joined as (select fc.*, s.y from fc left join series s using (ds))
 """
 
 
-def _pair_sql(a, b, src="sales"):
-    return (f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)")
+def _pair_sql(a, b):
+    return f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
 
 
 def _matrix_sql(cols, src="sales"):
@@ -129,8 +129,7 @@ HEAD_ORDER = ["total", "invoice_id", "quantity", "unit_price", "product_line"]
 order by total desc, invoice_id, quantity, unit_price, product_line limit 10""")
 def q_head_n(spark, sf):
     """First 10 rows by total (a top-k report)."""
-    return R.head_n(sales(spark, sf), 10, [F.desc("total"), "invoice_id", "quantity", "unit_price",
-                                           "product_line"])
+    return R.head_n(sales(spark, sf), 10, [F.desc(HEAD_ORDER[0]), *HEAD_ORDER[1:]])
 
 
 @register("page", SALES + """select *, (select cast(ceil(count(*) / 10.0) as bigint) from sales) as pages
