@@ -105,6 +105,11 @@ def _contract(df):
                       "product_line", "payment", "gender", "customer_type")
 
 
+def _sum_sql_text(key, src="sales", value="total"):
+    return (f"select {key}, round(coalesce(sum({value}), 0), 2) as sales from {src} "
+            f"where {key} is not null group by {key}")
+
+
 # ---------------------------------------------------------------- sources
 
 @register("csv_export", UPLOAD_SQL)
@@ -134,10 +139,14 @@ def q_records_scan(spark, sf):
     return _contract(IO.records_scan(spark, path))
 
 
-@register("records_export")
+@register("records_export", SALES + _sum_sql_text("product_line"))
 def q_records_export(spark, sf):
-    """Category sums as JSON records (rows only: JSON number text differs by engine)."""
-    return IO.records_export(rounded(A.sales_by_category(sales(spark, sf))))
+    """Category sums written as JSON records and read back with their schema
+    (the text of JSON numbers differs between engines, the values do not)."""
+    out = rounded(A.sales_by_category(sales(spark, sf)))
+    path = _scratch(spark, "records")
+    IO.records_export(out, path)
+    return spark.read.schema(out.schema).json(path)
 
 
 @register("schema_profile", SALES + """, d as (select row_number() over () - 1 as position, column_name,
