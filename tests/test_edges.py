@@ -202,3 +202,14 @@ def test_nan_in_csv_becomes_null(spark, tmp_path):
     df = IO.csv_scan(spark, str(p))
     assert [r.total for r in df.orderBy("invoice_id").collect()] == [None, 2.5]
     assert A.kpi_summary(df).first().total_sales == 2.5
+
+
+def test_weekly_category_pivot_wide_and_long_agree(spark):
+    rows = [(dt.datetime(2024, 1, 1), "a", 1.0), (dt.datetime(2024, 1, 2), "b", 2.0),
+            (dt.datetime(2024, 1, 9), "a", 4.0), (dt.datetime(2024, 1, 9), "c", 8.0)]
+    df = spark.createDataFrame(rows, "date timestamp, product_line string, total double")
+    keys = spark.createDataFrame([("a",), ("b",)], "product_line string")
+    wide = {r.week: (r.a, r.b) for r in A.weekly_category_pivot(df, keys, wide=True).collect()}
+    assert wide == {dt.date(2024, 1, 1): (1.0, 2.0), dt.date(2024, 1, 8): (4.0, 0.0)}
+    long = {(r.week, r.product_line): r.sales for r in A.weekly_category_pivot(df, keys).collect()}
+    assert long[(dt.date(2024, 1, 8), "b")] == 0.0 and len(long) == 4
