@@ -187,7 +187,7 @@ def weekly_category_pivot(df, keys_df, date_col="date", key="product_line", valu
 
 def peak_day_hours(df, peak_df, date_col="date", hour_col="hour", value="total"):
     """Hour profile 0-23 of the weekday in ``peak_df`` (one row), missing 0."""
-    wd = peak_df.select("weekday")
+    wd = peak_df.select("weekday").distinct()  # at most 7 rows
     rows = (df.where(F.col(date_col).isNotNull())
               .withColumn("weekday", X.weekday_index(date_col))
               .join(F.broadcast(wd), "weekday", "left_semi"))

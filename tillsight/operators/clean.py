@@ -105,7 +105,10 @@ def forward_fill(df: DataFrame, order_col, cols=None, buckets: int = 64,
                                                for c in cols])
     wi = (Window.partitionBy(*pc, "_b").orderBy(*okeys)
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = staged.join(F.broadcast(carry), pc + ["_b"], "left")
+    # Without partition columns the carry table has at most ``buckets`` rows and
+    # is broadcast; per-partition carries grow with the number of partitions, so
+    # then the join strategy is left to AQE's measured sizes.
+    filled = staged.join(F.broadcast(carry) if not pc else carry, pc + ["_b"], "left")
     out = filled.select(*[
         F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(wi), F.col(f"_in_{c}")).alias(c)
         if c in cols else F.col(c) for c in df.columns])

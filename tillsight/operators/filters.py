@@ -80,9 +80,11 @@ def filter_compose(df: DataFrame, category=None, customer_type=None, gender=None
 def filter_isin(df: DataFrame, keys: DataFrame, column: str, key_col: str | None = None) -> DataFrame:
     """keep rows whose ``column`` is in the ``keys`` frame (semi join).
 
-    ``keys`` is a top-k result (k rows), so it is broadcast."""
+    No broadcast hint: a top-k key frame measures tiny and AQE broadcasts it;
+    a large key frame gets a shuffled semi join instead of an unbounded
+    broadcast."""
     k = keys.select(F.col(key_col or column).alias(column)).distinct()
-    return df.join(F.broadcast(k), column, "left_semi")
+    return df.join(k, column, "left_semi")
 
 
 def filter_values(df: DataFrame, column: str) -> DataFrame:
