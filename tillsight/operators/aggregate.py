@@ -176,7 +176,13 @@ def weekly_category_pivot(df, keys_df, date_col="date", key="product_line", valu
     value list. Weeks are those with sales in the chosen categories. ``wide``
     returns the pivot itself, otherwise the same grid as rows.
     """
-    names = sorted(r[0] for r in keys_df.select(key).collect())
+    # The pivot value list comes to the driver, bounded like Spark's own pivot.
+    max_values = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    names = [r[0] for r in keys_df.select(key).where(F.col(key).isNotNull()).distinct()
+             .limit(max_values + 1).collect()]
+    if len(names) > max_values:
+        raise ValueError(f"more than {max_values} pivot values; use the long form per key instead")
+    names = sorted(names)
     d = (df.where(F.col(date_col).isNotNull() & F.col(key).isin(names))
            .withColumn("week", X.week_start_monday(date_col)))
     piv = d.groupBy("week").pivot(key, names).agg(F.sum(value)).fillna(0.0, subset=names)
