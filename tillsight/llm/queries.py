@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from tillsight.llm import exact_dedup, mixing, sharding
+from tillsight.llm import exact_dedup, mixing, secret_links, sharding, token_store
 from tillsight.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed public tokenizers keep ``name``."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_store(spark, sf_dir):
+    return token_store.token_report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op2_credential_links(spark, sf_dir):
+    return secret_links.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_report(table(spark, sf_dir, "documents"))
 
@@ -18,7 +32,7 @@ def op10_systematic_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_extendible_shards, op10_systematic_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op7_extendible_shards, op10_systematic_mix)}
 
 ORACLE = {
     "op3_exact_dedup": exact_dedup.SQL,
