@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tillsight.llm import exact_dedup, mixing, secret_links, sharding, token_store
+from tillsight.llm import (
+    exact_dedup, lang_id, mixing, secret_links, sharding, token_store, winnowing,
+)
 from tillsight.llm.common import table
 
 
@@ -24,6 +26,14 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_report(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_centroid(spark, sf_dir):
+    return lang_id.language_report(table(spark, sf_dir, "documents"))
+
+
+def op6_winnowing(spark, sf_dir):
+    return winnowing.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_extendible_shards(spark, sf_dir):
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
@@ -32,10 +42,12 @@ def op10_systematic_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op7_extendible_shards, op10_systematic_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op5_nearest_centroid, op6_winnowing, op7_extendible_shards,
+                                   op10_systematic_mix)}
 
 ORACLE = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op6_winnowing": winnowing.SQL,
     "op7_extendible_shards": sharding.SQL,
     "op10_systematic_mix": mixing.SQL,
 }
