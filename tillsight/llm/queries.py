@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tillsight.llm import (
-    exact_dedup, lang_id, mixing, secret_links, sharding, token_store, winnowing,
+    exact_dedup, html_extract, lang_id, mixing, secret_links, sharding, token_store, winnowing,
 )
 from tillsight.llm.common import table
 
@@ -26,6 +26,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_report(table(spark, sf_dir, "documents"))
 
 
+def op4_subsequence_text(spark, sf_dir):
+    return html_extract.main_text_report(table(spark, sf_dir, "pages"))
+
+
 def op5_nearest_centroid(spark, sf_dir):
     return lang_id.language_report(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_systematic_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op5_nearest_centroid, op6_winnowing, op7_extendible_shards,
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op4_subsequence_text, op5_nearest_centroid, op6_winnowing, op7_extendible_shards,
                                    op10_systematic_mix)}
 
 ORACLE = {
