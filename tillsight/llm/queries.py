@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tillsight.llm import (
-    chunk_dedup, exact_dedup, html_extract, lang_id, mixing, secret_links, sharding, token_store, winnowing,
+    chunk_dedup, exact_dedup, html_extract, lang_id, mixing, ngram_join, secret_links, sharding, token_store, winnowing,
 )
 from tillsight.llm.common import table
 
@@ -46,12 +46,16 @@ def op8_gear_chunks(spark, sf_dir):
     return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_count_vector_join(spark, sf_dir):
+    return ngram_join.component_report(table(spark, sf_dir, "documents"))
+
+
 def op10_systematic_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op4_subsequence_text, op5_nearest_centroid, op6_winnowing, op7_extendible_shards, op8_gear_chunks,
-                                   op10_systematic_mix)}
+                                   op9_count_vector_join, op10_systematic_mix)}
 
 ORACLE = {
     "op3_exact_dedup": exact_dedup.SQL,
