@@ -14,8 +14,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces kept per worker (about 200 bytes each); a full cache starts anew.
-CACHE_PIECES = 400_000
+#: Pieces kept per cache and age (about 200 bytes each), in each of a worker's three caches.
+CACHE_PIECES = 300_000
 
 #: White space beside a space: then cuts at spaces alone would part a run.
 _RUN = re.compile(r"\s | \s")
@@ -36,14 +36,20 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
+    """Makes what is missing. When full, the entries become the old ones; those met again are taken back."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -67,26 +73,30 @@ class BpeEncoder:
         self.letters = byte_letters()
         self.pre_token = regex.compile(PRE_TOKEN)
         self.words = _Cache(self._word)
-        self.first = _Cache(self._piece)
-        self.spaced = _Cache(lambda w: self._piece(" " + w))
+        self.spaced = _Cache(self._spaced)
+        self.plain = _Cache(lambda piece: b"".join(map(self.words.__getitem__, self._pre_tokens(piece))))
 
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self._word(piece)
-        if not piece:
-            return b""
+    def _pre_tokens(self, piece: str) -> list[str]:
         if _LATIN.fullmatch(piece):
-            words = self.pre_token.findall(piece)
-        else:  # the library's own character classes
-            at, words = 0, []
-            for _, (_, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece):
-                words.append(piece[at:end])
-                at = end
-        return b"".join(map(self.words.__getitem__, words))
+            return self.pre_token.findall(piece)
+        at, words = 0, []  # the library's own character classes
+        for _, (_, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece):
+            words.append(piece[at:end])
+            at = end
+        return words
+
+    def _spaced(self, piece: str) -> bytes:
+        """A piece that a space precedes; after a leading word the rest stands for itself."""
+        if piece.isalpha():
+            return self._word(" " + piece)
+        if piece and piece[0].isalpha():
+            word, *rest = self._pre_tokens(piece)
+            return self.spaced[word] + b"".join(map(self.words.__getitem__, rest))
+        return b"".join(map(self.words.__getitem__, self._pre_tokens(" " + piece)))
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(t in text for t in self.added):
@@ -94,9 +104,9 @@ class BpeEncoder:
         if _RUN.search(text):
             if _ODD.search(text):
                 return self._whole(text)
-            return b"".join(map(self.first.__getitem__, _PIECE.findall(text)))
+            return b"".join(map(self.plain.__getitem__, _PIECE.findall(text)))
         pieces = text.split(" ")
-        head = self.first[pieces[0]] if pieces[0] else b""
+        head = self.plain[pieces[0]] if pieces[0] else b""
         return head + b"".join(map(self.spaced.__getitem__, pieces[1:]))
 
     def _whole(self, text: str) -> bytes:
