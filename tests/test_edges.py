@@ -85,7 +85,7 @@ def test_forward_fill_long_null_run_and_leading_nulls(spark):
     n = 5000
     vals = [None if (i < 3 or 100 <= i < 3000 or i % 7 == 0) else float(i) for i in range(n)]
     df = spark.createDataFrame(list(enumerate(vals)), "k long, v double").repartition(8)
-    got = {r.k: r.v for r in C.forward_fill(df, "k", buckets=32).collect()}
+    got = {r.k: r.v for r in C.forward_fill(df, "k").collect()}
     last = None
     for i, v in enumerate(vals):
         last = v if v is not None else last
@@ -159,7 +159,7 @@ def test_forward_fill_hot_partition(spark):
         part = "hot" if i % 3 else f"p{i % 7}"
         rows.append((part, i, None if i % 4 else float(i)))
     df = spark.createDataFrame(rows, "part string, k long, v double")
-    got = {(r.part, r.k): r.v for r in C.forward_fill(df, "k", ["v"], buckets=16, partition_cols=["part"]).collect()}
+    got = {(r.part, r.k): r.v for r in C.forward_fill(df, "k", ["v"], partition_cols=["part"]).collect()}
     last = {}
     for part, k, v in sorted(rows, key=lambda t: t[1]):
         last[part] = v if v is not None else last.get(part)
@@ -209,7 +209,7 @@ def test_weekly_category_pivot_wide_and_long_agree(spark):
             (dt.datetime(2024, 1, 9), "a", 4.0), (dt.datetime(2024, 1, 9), "c", 8.0)]
     df = spark.createDataFrame(rows, "date timestamp, product_line string, total double")
     keys = spark.createDataFrame([("a",), ("b",)], "product_line string")
-    wide = {r.week: (r.a, r.b) for r in A.weekly_category_pivot(df, keys, wide=True).collect()}
+    wide = {r.week: (r.a, r.b) for r in A.weekly_category_pivot(df, keys, names=["a", "b"]).collect()}
     assert wide == {dt.date(2024, 1, 1): (1.0, 2.0), dt.date(2024, 1, 8): (4.0, 0.0)}
     long = {(r.week, r.product_line): r.sales for r in A.weekly_category_pivot(df, keys).collect()}
     assert long[(dt.date(2024, 1, 8), "b")] == 0.0 and len(long) == 4

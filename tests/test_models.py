@@ -112,9 +112,10 @@ def test_suggestions_ordered_with_kinds(spark):
     rows = out.collect()
     ranks = [r["rank"] for r in rows]
     assert len(ranks) == len(set(ranks)) and {10, 11, 30, 31} <= set(ranks)
-    assert all(r.kind in {"success", "warning", "info"} for r in rows)
-    kinds = out.select("kind", IN.insight_kind("text").alias("k")).collect()
-    assert all(r.kind == r.k for r in kinds)
+    colours = {c for _, _, c in IN.MARKS} | {"warning", "info"}
+    assert all(r.colour in colours and r.text for r in rows)
+    kinds = out.select("symbol", "colour", IN.insight_kind("text").alias("k")).collect()
+    assert all((r.symbol, r.colour) == (r.k.symbol, r.k.colour) for r in kinds)
 
 
 def test_churn_recommendations_rules(spark):
@@ -122,6 +123,6 @@ def test_churn_recommendations_rules(spark):
     summ = spark.createDataFrame([(40, 100, 40.0, 60.0)], "churned bigint, entities bigint, churn_rate double, retention_rate double")
     imp = spark.createDataFrame([("days_since_last", 0.9), ("total", 0.1)], "feature string, importance double")
     got = {r["rank"]: r for r in IN.churn_recommendations(summ, imp).collect()}
-    assert set(got) == {1, 2, 3} and got[2].title == "Re-engage inactive customers"
+    assert set(got) == {1, 2, 3} and got[2].code == "win_back"
     low = spark.createDataFrame([(10, 100, 10.0, 90.0)], "churned bigint, entities bigint, churn_rate double, retention_rate double")
     assert {r["rank"] for r in IN.churn_recommendations(low, imp).collect()} == {2, 3}

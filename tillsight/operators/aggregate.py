@@ -10,11 +10,12 @@ Dense grids (weekday x hour, weeks, hours) are built from ``range`` /
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import expressions as X
 from tillsight.operators.stats import attach_scalars, exact_quantiles
+from tillsight.session import materialize
 
 
 def _sum0(c) -> F.Column:
@@ -160,47 +161,54 @@ def customer_features(df, key="customer_id", date_col="date", value="total", qty
 
 
 def weekly_sales(df, date_col="date", value="total"):
-    """Σ per week ending Sunday; weeks without sales inside the span are 0."""
+    """Σ per week ending Sunday; weeks without sales inside the span are 0.
+
+    Each week with sales also gives the empty weeks up to the next one (a window
+    over one row per week), so the input is read once.
+    """
     d = df.where(F.col(date_col).isNotNull()).withColumn("week", X.week_end_sunday(date_col))
     sums = d.groupBy("week").agg(_sum0(value).alias("sales"))
-    span = sums.agg(F.min("week").alias("a"), F.max("week").alias("b"))
-    spine = span.select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("week"))
-    return spine.join(sums, "week", "left").select("week", F.coalesce("sales", F.lit(0.0)).alias("sales"))
+    following = F.lead("week").over(Window.orderBy("week")).cast("date")
+    until = F.coalesce(F.date_sub(following, 7), F.col("week").cast("date")).cast(sums.schema["week"].dataType)
+    sums = sums.withColumn("until", until)
+    weeks = F.explode(F.sequence("week", "until", F.expr("interval 7 days"))).alias("w")
+    return sums.select("week", "sales", weeks).select(
+        F.col("w").alias("week"), F.when(F.col("w") == F.col("week"), F.col("sales")).otherwise(F.lit(0.0)).alias("sales"))
 
 
-def weekly_category_pivot(df, keys_df, date_col="date", key="product_line", value="total",
-                          wide: bool = False):
+def weekly_category_pivot(df, keys_df, date_col="date", key="product_line", value="total", names=None):
     """Σ per (Monday week, category) for the categories in ``keys_df``, 0 filled.
 
-    ``keys_df`` is a top-k / bottom-k frame (k rows); its names are the pivot
-    value list. Weeks are those with sales in the chosen categories. ``wide``
-    returns the pivot itself, otherwise the same grid as rows.
+    The grid comes as rows: sums of the chosen categories (semi join), joined to
+    the product of the weeks and categories that occur. With an explicit list of
+    ``names`` the sums of those categories come as columns instead.
+    """
+    rows = df.where(F.col(date_col).isNotNull()).withColumn("week", X.week_start_monday(date_col))
+    if names is not None:
+        return rows.where(F.col(key).isin(list(names))).groupBy("week").pivot(key, list(names)).agg(F.sum(value)).fillna(
+            0.0, subset=list(names))
+    chosen = keys_df.select(key).where(F.col(key).isNotNull()).distinct()
+    sums = materialize(rows.join(chosen, key, "left_semi").groupBy("week", key).agg(_sum0(value).alias("sales")))
+    weeks = sums.agg(F.array_sort(F.collect_set("week")).alias("_weeks"))  # one row, one entry per week
+    grid = attach_scalars(sums.select(key).distinct(), weeks).select(key, F.explode("_weeks").alias("week"))
+    return grid.join(sums, ["week", key], "left").select("week", key, F.coalesce("sales", F.lit(0.0)).alias("sales"))
+
+
+def peak_day_hours(df, which="busiest", date_col="date", hour_col="hour", value="total"):
+    """Hour profile 0-23, missing 0, of the weekday with the busiest (or slowest) cell.
+
+    The profile is read off the 168 cells that also decide the weekday, so the
+    input is read once. NULL hours count as hour 0, as in peak finding.
     """
-    # The pivot value list comes to the driver, bounded like Spark's own pivot.
-    max_values = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    names = [r[0] for r in keys_df.select(key).where(F.col(key).isNotNull()).distinct()
-             .limit(max_values + 1).collect()]
-    if len(names) > max_values:
-        raise ValueError(f"more than {max_values} pivot values; use the long form per key instead")
-    names = sorted(names)
-    d = (df.where(F.col(date_col).isNotNull() & F.col(key).isin(names))
-           .withColumn("week", X.week_start_monday(date_col)))
-    piv = d.groupBy("week").pivot(key, names).agg(F.sum(value)).fillna(0.0, subset=names)
-    if wide or not names:
-        return piv
-    return piv.unpivot(["week"], names, key, "sales")
-
-
-def peak_day_hours(df, peak_df, date_col="date", hour_col="hour", value="total"):
-    """Hour profile 0-23 of the weekday in ``peak_df`` (one row), missing 0."""
-    wd = peak_df.select("weekday").distinct()  # at most 7 rows
-    rows = (df.where(F.col(date_col).isNotNull())
-              .withColumn("weekday", X.weekday_index(date_col))
-              .join(F.broadcast(wd), "weekday", "left_semi"))
-    sums = rows.groupBy("weekday", F.col(hour_col).cast("int").alias("hour")).agg(_sum0(value).alias("sales"))
-    spine = wd.select("weekday", F.explode(F.sequence(F.lit(0), F.lit(X.HOURS_PER_DAY - 1))).alias("hour"))
-    return (spine.join(sums, ["weekday", "hour"], "left")
-                 .select("weekday", "hour", F.coalesce("sales", F.lit(0.0)).alias("sales")))
+    cells = day_hour_sales(df.withColumn(hour_col, F.coalesce(F.col(hour_col).cast("int"), F.lit(0))),
+                           date_col, hour_col, value)
+    order = [F.desc("sales") if which == "busiest" else F.asc("sales"), "weekday", "hour"]
+    first = F.first("weekday").over(Window.orderBy(*order))  # at most 168 rows
+    day = cells.withColumn("_first", first).where("weekday = _first")
+    profile = day.groupBy("weekday").agg(F.map_from_entries(F.collect_list(F.struct("hour", "sales"))).alias("_m"))
+    hours = F.explode(F.sequence(F.lit(0), F.lit(X.HOURS_PER_DAY - 1))).alias("hour")
+    return profile.select("weekday", "_m", hours).select(
+        "weekday", "hour", F.coalesce(F.try_element_at("_m", F.col("hour")), F.lit(0.0)).alias("sales"))
 
 
 def count_by(df, keys, alias="n"):
@@ -219,7 +227,6 @@ def box_stats(df, group="cluster", value="total", accuracy: int = 100000):
     Quartiles are exact; whiskers are the most extreme values inside the
     fences, found by joining the (#groups-row) fence table back and aggregating.
     """
-    from tillsight.session import materialize
     v = F.col(value).cast("double")
     # Quartiles and whiskers both read (group, value): evaluate the input once.
     rows = materialize(df.where(F.col(group).isNotNull() & v.isNotNull()).select(group, v.alias("v")))

@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import expressions as X
 from tillsight.operators.stats import attach_scalars
+from tillsight.session import FIT_PARTITIONS, materialize_for_fit
 
 ROW_FEATURES = ("total", "quantity", "avg_purchase_value", "days_since_last")
+ENTITY_FEATURES = ("total_sum", "total_mean", "quantity_sum", "quantity_mean", "purchases", "days_since_first", "frequency")
 
 
 def churn_features_row(df, as_of: str, date_col="date", threshold: int = 60,
-                       label="churn", exclude_recency: bool = False) -> DataFrame:
-    """M7: per row P3 + P4 + P5 after dropping NULL dates and non-finite rows.
+                       label="churn", subset=None) -> DataFrame:
+    """M7: per row P3 + P4 + P5; rows with a NULL (or non-finite feature) in any
+    column are dropped, or only in the ``subset`` columns if given.
 
     An existing ``churn`` column wins over the derived label.
     """
@@ -32,8 +35,7 @@ def churn_features_row(df, as_of: str, date_col="date", threshold: int = 60,
         "avg_purchase_value": X.inf_to_null(X.avg_purchase_value())})
     if label not in d.columns:
         d = d.withColumn(label, X.churn_label("days_since_last", threshold))
-    feats = [c for c in ROW_FEATURES if not (exclude_recency and c == "days_since_last")]
-    return d.na.drop(subset=feats + [label])
+    return d.na.drop(subset=list(subset) if subset else None)
 
 
 def churn_features_entity(df, as_of: str, key="customer_id", date_col="date", value="total",
@@ -69,13 +71,20 @@ class ChurnModel:
     label: str
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Probability of class 1 and the predicted class for every row."""
-        vec = VectorAssembler(inputCols=self.features, outputCol="_features",
-                              handleInvalid="skip").transform(df)
+        """Probability of class 1 and the predicted class for every row.
+
+        A row with a NULL or NaN feature stays, with a NULL probability and class.
+        """
+        known = F.lit(True)
+        for c in self.features:
+            known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+        filled = {f"_f_{c}": F.when(known, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in self.features}
+        vec = VectorAssembler(inputCols=list(filled), outputCol="_features").transform(
+            df.withColumns({**filled, "_known": known}))
         out = self.model.transform(vec)
-        return (out.withColumn("probability_1", vector_to_array("probability").getItem(1))
-                   .withColumnRenamed("prediction", "predicted")
-                   .drop("_features", "rawPrediction", "probability"))
+        return (out.withColumn("probability_1", F.when(F.col("_known"), vector_to_array("probability").getItem(1)))
+                   .withColumn("predicted", F.when(F.col("_known"), F.col("prediction")))
+                   .drop("_features", "rawPrediction", "probability", "prediction", "_known", *filled))
 
     def importances(self, spark) -> DataFrame:
         """(feature, importance) sorted desc; k rows from the model."""
@@ -86,16 +95,19 @@ class ChurnModel:
 
 
 def churn_train(df, features=ROW_FEATURES, label="churn", num_trees: int = 100, seed: int = 42,
-                split_col="is_test", max_depth: int = 5) -> ChurnModel:
-    """Random forest on the training rows (``is_test`` false)."""
+                split_col="is_test", max_depth: int = 5, partitions: int = FIT_PARTITIONS) -> ChurnModel:
+    """Random forest on the training rows (``is_test`` false).
+
+    The fit reads a copy of features and label alone, dealt in a fixed way, so
+    that the model does not depend on how the input is partitioned.
+    """
     feats = list(features)
     train = df.where(~F.col(split_col)) if split_col in df.columns else df
+    train = materialize_for_fit(train.select(*feats, label).na.drop(), partitions)
     vec = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip").transform(train)
     # Node ids are cached per row between levels (checkpointed every 10
     # iterations into the shared checkpoint folder) instead of re-walking every
     # tree for every row at each level.
-    from tillsight.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
     rf = RandomForestClassifier(numTrees=num_trees, seed=seed, featuresCol="_features",
                                 labelCol=label, maxDepth=max_depth, cacheNodeIds=True,
                                 checkpointInterval=10)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tillsight.functions import expressions as X
 from tillsight.operators.stats import attach_scalars, column_modes, exact_quantiles
+from tillsight.session import materialize
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -49,96 +50,64 @@ def dedupe(df: DataFrame, subset=None, order_col: str | None = None) -> DataFram
     return out.select(*df.columns)
 
 
-def forward_fill(df: DataFrame, order_col, cols=None, buckets: int = 64,
-                 partition_cols=()) -> DataFrame:
-    """Fill NULLs with the last non-null value in ``order_col`` order.
+def forward_fill(df: DataFrame, order_col, cols=None, partition_cols=()) -> DataFrame:
+    """Fill NULLs with the last non-null value in ``order_col`` order (NULLs first).
 
-    Two phases instead of one unpartitioned window (which would move every row
-    into one task):
+    No window sees more than one range of the order key:
 
-    1. rows are split into ``buckets`` ranges of the order key, cut at
-       approximate quantiles so the ranges hold similar row counts;
-    2. per bucket the last non-null of each column is taken (a bucket-sized
-       aggregate), and a window over those ``buckets`` rows gives each bucket
-       the value carried in from earlier buckets (runs of empty buckets are
-       bridged by ``ignorenulls``);
-    3. inside each bucket a window fills from earlier rows, falling back to the
-       carried-in value.
+    1. rows are range-partitioned on the key itself (any orderable type), the
+       other columns breaking ties, so that neither equal nor NULL keys make a
+       large partition; Spark samples the bounds and takes as many partitions as
+       the session's shuffle setting asks for. The ranges are written once;
+    2. the last non-null value of each column per range is a partial maximum,
+       and a window over those (one row per range) gives what each range
+       receives from earlier ones;
+    3. inside a range a window fills from earlier rows, else with that value.
 
-    ``order_col`` is a column or a list; the list must be a total order (e.g.
-    all columns after a dedupe) for the result to be deterministic. Buckets are
-    cut on its first column (ascending, NULLs first), which should be close to
-    unique so no bucket is hot. Split points are a ``buckets``-long list, the
-    only data that reaches the driver.
+    ``order_col`` is a column or a list; rows that it leaves equal are ordered
+    by the remaining columns.
     """
     order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
-    order_col = order_cols[0]
-    cols = list(cols) if cols is not None else [c for c in df.columns
-                                                if c not in order_cols and c not in partition_cols]
     pc = list(partition_cols)
-    key = F.col(order_col)
-    okeys = [F.col(c).asc_nulls_first() for c in order_cols]
-    okey = key.cast("double") if not isinstance(df.schema[order_col].dataType,
-                                                (T.TimestampType, T.TimestampNTZType, T.DateType)) \
-        else F.unix_micros(key.cast("timestamp")).cast("double")
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = (df.select(okey.alias("_k")).where(F.col("_k").isNotNull())
-                .stat.approxQuantile("_k", probs, 1.0 / (4 * buckets)))
-    splits = sorted(set(s for s in splits if s is not None))
-    # Bucket = number of split points <= key (binary search happens in the
-    # JVM-side Bucketizer; the split list is bounded by ``buckets``).
-    from pyspark.ml.feature import Bucketizer
-    b = Bucketizer(splits=[-float("inf")] + splits + [float("inf")],
-                   inputCol="_k", outputCol="_b", handleInvalid="keep")
-    # NULL keys sort first, so they go to the first bucket.
-    staged = (b.transform(df.withColumn("_k", F.coalesce(okey, F.lit(-float("inf")))))
-               .withColumn("_b", F.col("_b").cast("int")).drop("_k"))
-
-    last_in_bucket = staged.groupBy(*pc, "_b").agg(*[
-        F.max(F.when(F.col(c).isNotNull(),
-                     F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order_cols)],
-                              F.col(c).alias("v"))))
-         .getField("v").alias(c) for c in cols])
-    wc = (Window.partitionBy(*pc).orderBy("_b") if pc else Window.orderBy("_b")) \
+    cols = list(cols) if cols is not None else [c for c in df.columns if c not in order_cols and c not in pc]
+    total_order = order_cols + [c for c in df.columns if c not in order_cols and c not in pc]
+    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in pc + total_order])
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
+
+    key = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(total_order)])
+    last_in_range = ranged.groupBy(*pc, "_range").agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct(key.alias("k"), F.col(c).alias("v")))).getField("v").alias(c)
+        for c in cols])
+    before = (Window.partitionBy(*pc).orderBy("_range") if pc else Window.orderBy("_range")) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_in_bucket.select(*pc, "_b", *[F.last(c, ignorenulls=True).over(wc).alias(f"_in_{c}")
-                                               for c in cols])
-    wi = (Window.partitionBy(*pc, "_b").orderBy(*okeys)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Without partition columns the carry table has at most ``buckets`` rows and
-    # is broadcast; per-partition carries grow with the number of partitions, so
-    # then the join strategy is left to AQE's measured sizes.
-    filled = staged.join(F.broadcast(carry) if not pc else carry, pc + ["_b"], "left")
-    out = filled.select(*[
-        F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(wi), F.col(f"_in_{c}")).alias(c)
-        if c in cols else F.col(c) for c in df.columns])
-    return out
-
-
-def _as_type(v, dtype: str):
-    """Median back to the column type; integers round half away from zero."""
-    if dtype in ("tinyint", "smallint", "int", "bigint"):
-        return F.round(v).cast(dtype)
-    return v.cast(dtype)
+    carry = last_in_range.select(*pc, "_range", *[F.last(c, ignorenulls=True).over(before).alias(f"_in_{c}") for c in cols])
+    # One row per range (and partition value): Spark broadcasts it if it measures small.
+    inside = (Window.partitionBy(*pc, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in total_order])
+                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = ranged.alias("r").join(carry.alias("c"), [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in pc + ["_range"]], "left")
+    joined = joined.select("r.*", *[F.col(f"c._in_{c}") for c in cols])
+    return joined.select(*[
+        F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_in_{c}")).alias(c) if c in cols else F.col(c)
+        for c in df.columns])
 
 
 def impute_median(df: DataFrame, cols=None, accuracy: int = 100000) -> DataFrame:
     """Numeric NULLs -> exact column median (pandas ``median``).
 
-    Medians come from the distributed exact quantile; the one-row result is
-    attached by broadcast and applied with ``coalesce``. A column with no
-    values keeps its NULLs.
+    Imputed integer columns become double, since a median may lie between two
+    integers. The one-row result is attached by broadcast and applied with
+    ``coalesce``. A column with no values keeps its NULLs.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
     med = exact_quantiles(df, cols, [0.5], accuracy=accuracy)
-    one = med.groupBy().pivot("column", cols).agg(F.first("value"))
-    one = one.select(*[F.col(c).alias(f"_m_{c}") for c in cols])
+    one = med.groupBy().agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_m_{c}") for c in cols])
     out = attach_scalars(df, one)
-    dtypes = dict(df.dtypes)
+    integers = ("tinyint", "smallint", "int", "bigint")
+    types = {c: "double" if t in integers else t for c, t in df.dtypes}
     return out.select(*[
-        F.coalesce(F.col(c), _as_type(F.col(f"_m_{c}"), dtypes[c])).alias(c) if c in cols else F.col(c)
+        F.coalesce(F.col(c).cast(types[c]), F.col(f"_m_{c}").cast(types[c])).alias(c) if c in cols else F.col(c)
         for c in df.columns])
 
 

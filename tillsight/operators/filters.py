@@ -58,23 +58,30 @@ def filter_date_range_days(df, start=None, end=None, date_col="date"):
     return df.where(date_range_predicate(date_col, start, end, whole_days=True))
 
 
-def filter_compose(df: DataFrame, category=None, customer_type=None, gender=None,
-                   start=None, end=None, date_col="date", empty_is_all=False,
-                   whole_days=False) -> DataFrame:
-    """all filters as one conjunctive predicate."""
-    preds = []
+def filter_predicate(df: DataFrame, category=None, customer_type=None, gender=None,
+                     start=None, end=None, date_col="date", empty_is_all=False,
+                     whole_days=False) -> F.Column:
+    """All filters as one conjunctive predicate; true if there are none."""
+    hit = F.lit(True)
     for column, value in (("product_line", category), ("customer_type", customer_type),
                           ("gender", gender)):
         if column in df.columns and not _no_filter(value, empty_is_all):
-            preds.append(F.col(column) == F.lit(value))
+            hit = hit & (F.col(column) == F.lit(value))
     if (start is not None or end is not None) and date_col in df.columns:
-        preds.append(date_range_predicate(date_col, start, end, whole_days))
-    if not preds:
-        return df
-    p = preds[0]
-    for q in preds[1:]:
-        p = p & q
-    return df.where(p)
+        hit = hit & date_range_predicate(date_col, start, end, whole_days)
+    return hit
+
+
+def filter_compose(df: DataFrame, category=None, customer_type=None, gender=None,
+                   start=None, end=None, **options) -> DataFrame:
+    """the rows that pass all filters."""
+    return df.where(filter_predicate(df, category, customer_type, gender, start, end, **options))
+
+
+def filter_count(df: DataFrame, **filters) -> DataFrame:
+    """F6, count: matching rows beside all rows, from one pass over the input."""
+    hit = filter_predicate(df, **filters)
+    return df.agg(F.count_if(hit).alias("matching"), F.count(F.lit(1)).alias("all_rows"))
 
 
 def filter_isin(df: DataFrame, keys: DataFrame, column: str, key_col: str | None = None) -> DataFrame:

@@ -8,13 +8,17 @@ and a text built with ``format_string``. No rule collects data to the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import expressions as X
 from tillsight.operators import correlate as CR
 from tillsight.operators import ranking as R
+from tillsight.operators.clean import hour_fallback, numeric_columns
 from tillsight.operators.stats import attach_scalars
+from tillsight.session import materialize
 
 # Rule thresholds.
 TREND_UP_STRONG, TREND_DOWN_STRONG = 10.0, -10.0
@@ -24,17 +28,47 @@ FIXED_HIGH_TOTAL, FIXED_BULK_QTY, FIXED_LOW_TOTAL = 100.0, 5.0, 50.0
 CHURN_ALERT_RATE = 0.3
 WOW_NOTABLE = 5.0
 
-# Top churn feature -> recommendation.
-CHURN_FEATURE_ADVICE = [
-    ("days_since_last", "Re-engage inactive customers",
-     "Recency predicts churn best: run a win-back campaign for customers inactive 30-60 days."),
-    ("avg_purchase_value", "Segment by purchase value",
-     "Average purchase value drives churn: retain high- and low-value customers differently."),
-    ("total", "Spending tiers",
-     "Total spend drives churn: reward customers by spending tier."),
-    ("quantity", "Volume incentives",
-     "Purchase quantity drives churn: offer volume discounts or bundles."),
+# The feature that explains churn best -> code of the advice.
+CHURN_FEATURE_CODES = [
+    ("days_since_last", "win_back"), ("avg_purchase_value", "value_segments"),
+    ("total", "spending_tiers"), ("quantity", "volume_offers"),
+]
+#: Own wording per code of R13.
+CHURN_TEXTS = {
+    "churn_alert": "More customers have lapsed than the alert level allows.",
+    "win_back": "Customers mostly lapse by staying away; write to those whose last visit is some weeks old.",
+    "value_segments": "What a customer spends per visit tells lapsing ones apart; treat the spending levels differently.",
+    "spending_tiers": "Lifetime spend tells lapsing customers apart; let benefits grow with it.",
+    "volume_offers": "How much customers buy tells lapsing ones apart; make larger baskets cheaper per item.",
+    "feedback": "Survey customers at intervals, so that reasons for leaving are known early.",
+}
+
+# Mark in a suggestion -> (symbol, colour) of its card, tried in this order.
+MARKS = [
+    ("⭐", "star", "warning"), ("⚠️", "exclamation-triangle", "danger"), ("📈", "chart-line", "success"),
+    ("📉", "chart-line", "danger"), ("⏱️", "clock", "info"), ("🐢", "hourglass-half", "secondary"),
+    ("🔗", "link", "primary"), ("🎯", "bullseye", "danger"), ("🛒", "shopping-cart", "success"),
+    ("📊", "chart-bar", "primary"),
 ]
+UNMARKED = ("lightbulb", "warning")
+NO_TEXT = ("info-circle", "info")
+
+#: Code -> (mark, own wording; %s is the subject, %.f the number).
+SUGGESTIONS = {
+    "top_categories": ("⭐", "Best sellers are %s; give them more room."),
+    "low_categories": ("⚠️", "Weakest sellers are %s; try a price or display change."),
+    "sales_up": ("📈", "The last week sold %.1f%% more than the one before."),
+    "sales_down": ("📉", "The last week sold %.1f%% less than the one before."),
+    "busiest": ("⏱️", "Most is sold on %s; plan shifts around it."),
+    "slowest": ("🐢", "Least is sold on %s; a good time for offers."),
+    "no_periods": ("ℹ️", "There are no dated sales to find busy and slow times in."),
+    "correlation": ("🔗", "%s move together (r = %.2f)."),
+    "no_correlation": ("ℹ️", "No two numeric columns move together noticeably."),
+    "few_numbers": ("ℹ️", "Fewer than two numeric columns vary, so none can be compared."),
+    "cluster_spends": ("🎯", "Cluster %s spends well above average (%.0f a sale); offer it a loyalty tier."),
+    "cluster_small": ("🛒", "Cluster %s buys few items at a time (%.1f); offer it sets."),
+    "forecast_low": ("📊", "On %s sales are expected below %.0f."),
+}
 
 
 def forecast_change(joined: DataFrame) -> DataFrame:
@@ -175,98 +209,106 @@ def correlation_notes(df, cols, k: int = 3, min_abs: float = 0.5) -> DataFrame:
 
 
 def churn_recommendations(summary: DataFrame, importances: DataFrame) -> DataFrame:
-    """Churn-rate alert, advice for the top feature, and the standing feedback advice.
+    """(rank, kind, code, number, text): churn-rate alert, advice for the top
+    feature, and the standing feedback advice.
 
-    ``summary`` is M16 (churn_rate in %), ``importances`` is M12.
+    ``summary`` is M16 (churn_rate in %), ``importances`` is M12; ``number`` is the
+    rate, or the top feature's importance.
     """
     spark = summary.sparkSession
+    no_number = F.lit(None).cast("double").alias("number")
     alert = summary.where(F.col("churn_rate") / 100 > CHURN_ALERT_RATE).select(
-        F.lit(1).alias("rank"), F.lit("alert").alias("kind"), F.lit("High churn rate").alias("title"),
-        F.format_string("Churn rate is %.1f%%: start a retention program.", "churn_rate").alias("text"))
-    rules = spark.createDataFrame(CHURN_FEATURE_ADVICE, "feature string, title string, text string")
+        F.lit(1).alias("rank"), F.lit("alert").alias("kind"), F.lit("churn_alert").alias("code"),
+        F.col("churn_rate").cast("double").alias("number"))
+    rules = spark.createDataFrame(CHURN_FEATURE_CODES, "feature string, code string")
     top = importances.orderBy(F.desc("importance"), "feature").limit(1)
-    feat = top.join(F.broadcast(rules), "feature").select(
-        F.lit(2).alias("rank"), F.lit("warning").alias("kind"), "title", "text")
-    fb = spark.range(1).select(F.lit(3).alias("rank"), F.lit("info").alias("kind"),
-                               F.lit("Collect feedback").alias("title"),
-                               F.lit("Ask customers for feedback regularly to spot churn early.").alias("text"))
-    return alert.unionByName(feat).unionByName(fb)
+    best = top.join(F.broadcast(rules), "feature").select(
+        F.lit(2).alias("rank"), F.lit("warning").alias("kind"), "code", F.col("importance").alias("number"))
+    always = spark.range(1).select(F.lit(3).alias("rank"), F.lit("info").alias("kind"), F.lit("feedback").alias("code"), no_number)
+    texts = F.create_map(*[F.lit(x) for pair in CHURN_TEXTS.items() for x in pair])
+    return alert.unionByName(best).unionByName(always).withColumn("text", F.element_at(texts, F.col("code")))
 
 
 def insight_kind(text_col) -> F.Column:
-    """Class of a suggestion from its leading mark."""
+    """struct(symbol, colour) of a suggestion by the first mark of the list that it holds."""
     t = F.col(text_col) if isinstance(text_col, str) else text_col
-    return (F.when(t.startswith("[+]"), "success").when(t.startswith("[!]"), "warning")
-             .when(t.startswith("[i]"), "info").otherwise("info"))
+
+    def kind(symbol, colour):
+        return F.struct(F.lit(symbol).alias("symbol"), F.lit(colour).alias("colour"))
+
+    out = F.when(t.isNull() | (t == ""), kind(*NO_TEXT))
+    for mark, symbol, colour in MARKS:
+        out = out.when(t.contains(mark), kind(symbol, colour))
+    return out.otherwise(kind(*UNMARKED))
+
+
+def _suggestion_text() -> F.Column:
+    """The wording of a row's code with its subject and number."""
+    out = F.lit(None).cast("string")
+    for code, (mark, words) in SUGGESTIONS.items():
+        args = [F.col("subject") if spec == "%s" else F.col("number") for spec in re.findall(r"%s|%\.\df", words)]
+        text = F.concat(F.lit(mark + " "), F.format_string(words, *args) if args else F.lit(words))
+        out = F.when(F.col("code") == code, text).otherwise(out)
+    return out
 
 
-def business_suggestions(df, forecast: DataFrame | None = None, label="cluster",
-                         corr_cols=("total", "quantity", "unit_price")) -> DataFrame:
-    """The ordered suggestion list, each rule skipped when its columns are missing.
+def business_suggestions(df, forecast: DataFrame | None = None, label="cluster", corr_cols=None) -> DataFrame:
+    """The ordered suggestions (rank, code, subject, number, symbol, colour, text).
 
-    Order: top / bottom categories, week-over-week change beyond +-5 %, busiest
-    and slowest period, two strongest correlations, cluster offers, forecast
-    alert. Each part is a tiny frame; ``rank`` keeps the order.
+    Rules whose columns are missing are skipped. Order: top / bottom categories,
+    week-over-week change beyond +-5 %, busiest and slowest period, the two
+    strongest correlations with |r| >= 0.1 among all numeric columns (or
+    ``corr_cols``; a constant one correlates with nothing), cluster offers,
+    forecast alert. Each part is a tiny frame.
     """
-    parts = []
+    cols = set(df.columns)
+    num = list(corr_cols) if corr_cols is not None else numeric_columns(df)
     # Six small rule queries read the same rows: write the columns they use
     # once (the input is usually the joined sales view).
-    from tillsight.session import materialize
-    used = [c for c in ("date", "total", "quantity", "unit_price", "product_line", "hour", label,
-                        *corr_cols) if c in df.columns]
+    used = [c for c in ("date", "time", "total", "quantity", "product_line", "hour", label, *num) if c in cols]
     df = materialize(df.select(*dict.fromkeys(used)))
-    cols = set(df.columns)
+    nothing = F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("number")
+    parts = []
+
+    def add(frame, rank, code, subject=nothing[0], number=nothing[1]):
+        parts.append(frame.select(rank.cast("int").alias("rank"), code.alias("code"), subject.cast("string").alias("subject"),
+                                  number.cast("double").alias("number")))
+
     if {"product_line", "total"} <= cols:
         tb = R.top_bottom_products(df, 3)
         names = tb.groupBy("which").agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "product_line"))), lambda s: s["product_line"]),
             ", ").alias("names"))
-        parts.append(names.select(
-            F.when(F.col("which") == "top", 10).otherwise(11).alias("rank"),
-            F.when(F.col("which") == "top", "success").otherwise("warning").alias("kind"),
-            F.when(F.col("which") == "top", F.format_string("[+] Top-selling categories: %s.", "names"))
-             .otherwise(F.format_string("[!] Low-performing categories: %s.", "names")).alias("text")))
+        is_top = F.col("which") == "top"
+        add(names, F.when(is_top, 10).otherwise(11), F.when(is_top, "top_categories").otherwise("low_categories"), F.col("names"))
     if {"date", "total"} <= cols:
-        wow = R.week_over_week(df).where("is_last")
-        parts.append(wow.where(F.abs("pct_change") > WOW_NOTABLE).select(
-            F.lit(20).alias("rank"),
-            F.when(F.col("pct_change") > 0, "success").otherwise("warning").alias("kind"),
-            F.when(F.col("pct_change") > 0,
-                   F.format_string("[+] Sales up %.1f%% week over week.", "pct_change"))
-             .otherwise(F.format_string("[!] Sales down %.1f%% week over week.", F.abs("pct_change")))
-             .alias("text")))
-        if "hour" in cols:
-            pk = R.peak_periods(df)
-            parts.append(pk.select(
-                F.when(F.col("which") == "busiest", 30).otherwise(31).alias("rank"),
-                F.lit("info").alias("kind"),
-                F.format_string("[i] %s period: %s at %d:00.",
-                                F.when(F.col("which") == "busiest", "Busiest").otherwise("Slowest"),
-                                "day", "hour").alias("text")))
-    num = [c for c in corr_cols if c in cols]
+        wow = R.week_over_week(df).where("is_last").where(F.abs("pct_change") > WOW_NOTABLE)
+        up = F.col("pct_change") > 0
+        add(wow, F.lit(20), F.when(up, "sales_up").otherwise("sales_down"), number=F.abs("pct_change"))
+        pk = materialize(R.peak_periods(hour_fallback(df, null_as_zero=True)))
+        busy = F.col("which") == "busiest"
+        add(pk, F.when(busy, 30).otherwise(31), F.col("which"), F.format_string("%s %d:00", "day", "hour"), F.col("sales"))
+        add(pk.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), F.lit(30), F.lit("no_periods"))
     if len(num) > 1:
-        rc = CR.ranked_correlations(df, num, k=2, min_abs=0.1)
-        parts.append(rc.select(
-            (40 + F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "col1", "col2"))).alias("rank"),
-            F.lit("info").alias("kind"),
-            F.format_string("[i] %s and %s are %s correlated (r = %.2f).", "col1", "col2",
-                            F.when(F.col("r") > 0, "positively").otherwise("negatively"), "r").alias("text")))
+        pairs = materialize(CR.correlation_matrix(df, num).where("i < j and r is not null"))
+        best = pairs.where(F.abs("r") >= 0.1).orderBy(F.desc(F.abs("r")), "i", "j").limit(2)
+        place = F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "i", "j"))
+        add(best, 40 + place, F.lit("correlation"), F.concat_ws(" and ", "col1", "col2"), F.col("r"))
+        known = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("r") >= 0.1).alias("strong"))
+        add(known.where("strong = 0"), F.lit(41), F.when(F.col("n") > 0, "no_correlation").otherwise("few_numbers"))
+    else:
+        add(df.sparkSession.range(1), F.lit(41), F.lit("few_numbers"))
     if label in cols and {"total", "quantity"} <= cols:
         so = segment_offers(df, label).where(F.col("offer").isNotNull())
-        parts.append(so.select(
-            (50 + F.col(label)).alias("rank"), F.lit("info").alias("kind"),
-            F.when(F.col("offer") == "vip",
-                   F.format_string("[i] Cluster %d are top spenders (avg %.0f): VIP rewards.", label, "avg_total"))
-             .otherwise(F.format_string("[i] Cluster %d buys small baskets (avg qty %.1f): bundle deals.",
-                                        label, "avg_quantity")).alias("text")))
+        vip = F.col("offer") == "vip"
+        add(so, 50 + F.col(label), F.when(vip, "cluster_spends").otherwise("cluster_small"), F.col(label),
+            F.when(vip, F.col("avg_total")).otherwise(F.col("avg_quantity")))
     if forecast is not None:
-        fa = forecast_alert(forecast)
-        parts.append(fa.agg(F.min("threshold").alias("t"),
-                            F.array_join(F.collect_list(F.date_format("ds", "yyyy-MM-dd")), ", ").alias("d"))
-                       .where(F.col("t").isNotNull())
-                       .select(F.lit(60).alias("rank"), F.lit("warning").alias("kind"),
-                               F.format_string("[!] Forecast may drop below %.0f on: %s.", "t", "d").alias("text")))
+        fa = forecast_alert(forecast).agg(F.min("threshold").alias("t"), F.array_join(F.array_sort(
+            F.collect_list(F.date_format("ds", "yyyy-MM-dd"))), ", ").alias("d")).where(F.col("t").isNotNull())
+        add(fa, F.lit(60), F.lit("forecast_low"), F.col("d"), F.col("t"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("rank").cast("int").alias("rank"), "kind", "text")
+    words = out.withColumn("text", _suggestion_text())
+    return words.withColumn("_k", insight_kind("text")).select("rank", "code", "subject", "number", "_k.symbol", "_k.colour", "text")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import expressions as X
 from tillsight.operators import aggregate as A
+from tillsight.session import materialize
 
 
 def week_over_week(df, date_col="date", value="total") -> DataFrame:
@@ -61,9 +62,10 @@ def peak_periods(df, date_col="date", hour_col="hour", value="total") -> DataFra
 
 def top_products_share(df, k: int = 5, key="product_line", value="total", qty="quantity") -> DataFrame:
     """Top-k categories with sales, quantity and % of all sales."""
-    g = (df.where(F.col(key).isNotNull()).groupBy(key)
-           .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("sales"),
-                F.coalesce(F.sum(qty), F.lit(0)).cast("long").alias("quantity")))
+    # The total and the top-k both read the sums: written once, the input is read once.
+    g = materialize(df.where(F.col(key).isNotNull()).groupBy(key)
+                      .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("sales"),
+                           F.coalesce(F.sum(qty), F.lit(0)).cast("long").alias("quantity")))
     tot = g.agg(F.sum("sales").alias("_all"))
     order = [F.desc("sales"), F.col(key)]
     top = g.orderBy(*order).limit(k)  # distributed top-k
@@ -78,14 +80,37 @@ def head_n(df, n: int, order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def page(df, page_no: int, size: int, order) -> DataFrame:
-    """Page ``page_no`` (1-based) of ``size`` rows, plus the page count."""
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
+def page(df, page_no: int, size: int, order, with_pages: bool = True) -> DataFrame:
+    """Page ``page_no`` (1-based) of ``size`` rows, plus the page count if asked for.
+
+    A deep page orders all rows before it; walking through many pages is for ``page_after``.
+    """
     rows = df.orderBy(*order).offset((page_no - 1) * size).limit(size)
+    if not with_pages:
+        return rows
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
     return rows.join(F.broadcast(total.select(F.ceil(F.col("_n") / size).cast("long").alias("pages"))),
                      on=F.lit(True))
 
 
+def page_after(df, size: int, keys, last_seen=None) -> DataFrame:
+    """W7, keyset form: the ``size`` rows that follow ``last_seen`` in order of ``keys``.
+
+    ``last_seen`` holds the keys of the page before's last row (None: first
+    page). The predicate reaches the scan and each task keeps ``size`` rows,
+    however deep the page. The keys must be unique and not null.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if last_seen is not None:
+        seen = list(last_seen) if isinstance(last_seen, (list, tuple)) else [last_seen]
+        later, equal = F.lit(False), F.lit(True)
+        for k, v in zip(keys, seen):
+            later = later | (equal & (F.col(k) > F.lit(v)))
+            equal = equal & (F.col(k) == F.lit(v))
+        df = df.where((F.col(keys[0]) >= F.lit(seen[0])) & later)
+    return df.orderBy(*keys).limit(size)
+
+
 def last_n(df, n: int, order_col="ds") -> DataFrame:
     """Last n rows of a series (a top-k by descending order)."""
     return df.orderBy(F.desc(order_col)).limit(n)

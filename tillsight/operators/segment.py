@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.operators.stats import attach_scalars
-from tillsight.session import materialize
+from tillsight.session import FIT_PARTITIONS, materialize_for_fit
 
 
 def zscore(df: DataFrame, cols, suffix: str = "_z") -> DataFrame:
@@ -31,24 +31,23 @@ def zscore(df: DataFrame, cols, suffix: str = "_z") -> DataFrame:
 
 def segment_customers(df: DataFrame, features=("total", "quantity", "unit_price"), k: int = 3,
                       seed: int = 42, restarts: int = 1, label: str = "cluster",
-                      max_iter: int = 20) -> DataFrame:
+                      max_iter: int = 20, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """M1 / M2: k-means on z-scored features; best of ``restarts`` seeds by cost.
 
     The fit is an MLlib job (distributed Lloyd iterations, k-means|| init);
-    only the k centers come back to the driver, to renumber the labels.
+    only the k centers come back to the driver, to renumber the labels. Rows with
+    a NULL or NaN feature keep a NULL label.
     """
     feats = list(features)
     valid_cond = None
     for c in feats:
         cnd = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
         valid_cond = cnd if valid_cond is None else valid_cond & cnd
-    # The scaling pass, the fits, the labelling and the unscored rows all read
-    # the input: write it once (with its validity flag) and read that copy.
-    staged = materialize(df.withColumn("_valid", valid_cond))
-    valid = staged.where("_valid").drop("_valid")
-    invalid = staged.where(~F.col("_valid")).drop("_valid")
+    # The fit reads a copy of the features alone, dealt in a fixed way; the input
+    # is scored by a plain expression of the scaling constants and the centers.
+    fitted = materialize_for_fit(df.where(valid_cond).select(*[F.col(c).cast("double").alias(c) for c in feats]), partitions)
     zc = [f"{c}_z" for c in feats]
-    z = zscore(valid, feats)
+    z = zscore(fitted, feats)
     # KMeans caches its own copy of the vectors for the init and Lloyd passes.
     vec = VectorAssembler(inputCols=zc, outputCol="_features").transform(z)
     best = None
@@ -60,15 +59,18 @@ def segment_customers(df: DataFrame, features=("total", "quantity", "unit_price"
             best = (cost, model)
     model = best[1]
     centers = model.clusterCenters()
-    order = sorted(range(len(centers)), key=lambda i: (float(centers[i][0]), i))
-    remap = [0] * len(centers)
-    for new, old in enumerate(order):
-        remap[old] = new
-    mapping = F.array(*[F.lit(v) for v in remap])
-    scored = (model.transform(vec)
-              .withColumn(label, F.element_at(mapping, F.col("_pred") + 1).cast("int"))
-              .drop("_features", "_pred", *zc))
-    return attach_labels(scored, invalid, label)
+    centers = sorted([[float(x) for x in c] for c in centers])
+    scale = fitted.agg(*[F.avg(c).alias(f"mu_{c}") for c in feats], *[F.stddev_pop(c).alias(f"sd_{c}") for c in feats]).first()
+    nearest = []
+    for i, center in enumerate(centers):
+        far = F.lit(0.0)
+        for c, at in zip(feats, center):
+            mu, sd = scale[f"mu_{c}"], scale[f"sd_{c}"]
+            zed = (F.col(c).cast("double") - F.lit(mu)) / F.lit(sd) if sd else F.lit(0.0)
+            far = far + (zed - F.lit(at)) * (zed - F.lit(at))
+        nearest.append(F.struct(far.alias("far"), F.lit(i).alias("no")))
+    own = F.array_min(F.array(*nearest))["no"] if nearest else F.lit(None).cast("int")
+    return df.withColumn(label, F.when(valid_cond, own))
 
 
 def attach_labels(scored: DataFrame, unscored: DataFrame, label: str = "cluster") -> DataFrame:
@@ -99,6 +101,16 @@ def cluster_profiles(df, label="cluster", value="total", qty="quantity"):
         F.round(F.avg(value), 2).alias("total_mean"), F.round(F.avg(qty), 2).alias("quantity_mean"))
 
 
+def cluster_ratios(df, label="cluster", attrs=("gender", "customer_type")) -> DataFrame:
+    """M6, whole map: count and share of every value per (cluster, attribute)."""
+    items = [F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attrs]
+    long = (df.where(F.col(label).isNotNull()).select(label, F.explode(F.array(*items)).alias("kv"))
+              .select(label, "kv.attribute", "kv.value").where(F.col("value").isNotNull()))
+    counts = long.groupBy(label, "attribute", "value").agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy(label, "attribute")  # a row per value
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(every))
+
+
 def cluster_demographics(df, label="cluster", attrs=None) -> DataFrame:
     """M6: dominant value and its share per (cluster, attribute); top-3 products.
 

@@ -6,11 +6,10 @@ column would put every distinct value of that column into one task. The
 versions here stay partial-aggregable:
 
 * ``exact_quantiles``: a Greenwald-Khanna sketch (``percentile_approx``,
-  mergeable, bounded size) brackets each target rank; one counting pass over the
-  distinct values proves which bracket holds it and gives the exact rank of its
-  lower edge; only the values inside the bracket (a ~2/accuracy slice of the
-  column for large columns) are ordered by a window to read the exact order
-  statistics.
+  mergeable, bounded size) brackets each target rank; one counting pass keeps the
+  values inside a bracket (a ~4/accuracy slice of the column) and only counts the
+  rows between brackets, so next to nothing is shuffled; the kept values are
+  ordered by a window to read the exact order statistics.
   Linear interpolation between ranks floor(h) and ceil(h), h = (n-1)p, is the
   pandas / DuckDB ``quantile_cont`` rule.
 * ``column_modes``: count per (column, value) with map-side combine, then
@@ -48,95 +47,74 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 100000,
-                    widths=(1, 8, 64, 512), materialize: bool = True) -> DataFrame:
+                    widths=(2, 64, None)) -> DataFrame:
     """Exact linear-interpolated quantiles per (group..., column, p).
 
     Returns columns ``group..., column, p, n, mean, std, min, max, value``
     (the moments come from the same pass as the sketch); a column with no
     non-null values gives no rows.
 
-    The input is evaluated twice: once for the sketch and moments, once for the
-    (value, count) table. With ``materialize`` that table is written once to the
-    shared checkpoint folder, so the two passes over it (bracket counts, band)
-    do not recompute it. Callers holding an expensive input (a fact-table join)
-    that they query repeatedly should materialize it first (``session.materialize``).
-
-    Brackets: for each p the sketch gives lower / upper values at p -+ w/accuracy
-    for every width w, plus the whole range as a last resort. One pass over the
-    (value, count) rows counts, per bracket, the rows below its lower edge and
-    up to its upper edge; the narrowest bracket whose counts prove it holds both
-    target ranks is used. Only the values inside that bracket are ordered.
+    The input is read twice. Pass 1: moments and, per p, the sketch's values at
+    p -+ width/accuracy. Pass 2: rows per (column, place), where the place of a
+    value inside a bracket is the value itself and that of any other value is the
+    nearest bracket below; partial sums leave a few rows per task and column.
+    Running sums over the places give exact ranks. Should a target rank lie
+    outside of its bracket (the sketch promises it does not), pass 2 is repeated
+    with the next width, at last with the whole range.
+
+    Callers holding an expensive input (a fact-table join) should materialize it
+    first (``session.materialize``).
     """
-    g = list(group_cols)
-    keys = g + ["column"]
-    lv = long_values(df, cols, g)
-    vc = lv.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
-    if materialize:
-        from tillsight.session import materialize as _write_once
-        vc = _write_once(vc)
-
-    probs = [float(p) for p in probs]
-    levels = [w / float(accuracy) for w in widths]
-    grid = []  # (prob index, level index, lower prob, upper prob)
-    for i, p in enumerate(probs):
-        for j, e in enumerate(levels):
-            grid.append((i, j, max(0.0, p - e), min(1.0, p + e)))
-    sk = lv.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("_min"), F.max("v").alias("_max"),
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        # One sketch answers both edge lists: lower edges first, then upper edges.
-        F.percentile_approx("v", F.array(*[F.lit(a) for _, _, a, _ in grid] +
-                                          [F.lit(b) for _, _, _, b in grid]), accuracy).alias("_q_all"))
-    ng = len(grid)
-    sk = sk.withColumns({"_lo": F.slice("_q_all", 1, ng), "_hi": F.slice("_q_all", ng + 1, ng)}).drop("_q_all")
-    nl = len(levels)
-    idx = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)]
-    base = sk.select(*keys, "n", "mean", "std", "_min", "_max", "_lo", "_hi",
-                     F.explode(F.array(*idx)).alias("_q"))
-    lo_cols = [F.element_at("_lo", F.col("_q.i") * nl + j + 1).alias(f"lo{j}") for j in range(nl)]
-    hi_cols = [F.element_at("_hi", F.col("_q.i") * nl + j + 1).alias(f"hi{j}") for j in range(nl)]
-    bounds = (base.select(*keys, "n", "mean", "std", F.col("_min").alias("min"), F.col("_max").alias("max"),
-                          F.col("_q.p").alias("p"), *lo_cols, *hi_cols,
-                          F.col("_min").alias(f"lo{nl}"), F.col("_max").alias(f"hi{nl}"))
-                  .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p")))
-
-    # bounds has (#groups x #columns x #probs) rows; Spark's size-checked
-    # broadcast (AQE) decides whether to ship it.
-    joined = vc.join(bounds, keys, "inner")
-    cnts = []
-    for j in range(nl + 1):
-        cnts.append(F.coalesce(F.sum(F.when(F.col("v") < F.col(f"lo{j}"), F.col("cnt"))), F.lit(0))
-                    .alias(f"below{j}"))
-        cnts.append(F.coalesce(F.sum(F.when(F.col("v") <= F.col(f"hi{j}"), F.col("cnt"))), F.lit(0))
-                    .alias(f"upto{j}"))
-    counted = joined.groupBy(*keys, "p").agg(*cnts)
-    # Narrowest proven bracket: below <= floor(h) and upto > ceil(h).
-    pick_lo, pick_hi, pick_below = None, None, None
-    for j in reversed(range(nl + 1)):
-        ok = ((F.col(f"below{j}") <= F.floor(F.col("h"))) & (F.col(f"upto{j}") > F.ceil(F.col("h"))))
-        lo_j, hi_j, b_j = F.col(f"lo{j}"), F.col(f"hi{j}"), F.col(f"below{j}")
-        if pick_lo is None:
-            pick_lo, pick_hi, pick_below = lo_j, hi_j, b_j
-        else:
-            pick_lo = F.when(ok, lo_j).otherwise(pick_lo)
-            pick_hi = F.when(ok, hi_j).otherwise(pick_hi)
-            pick_below = F.when(ok, b_j).otherwise(pick_below)
-    chosen = (bounds.join(counted, keys + ["p"], "inner")
-                    .select(*keys, "p", "n", "mean", "std", "min", "max", "h", pick_lo.alias("lo"),
-                            pick_hi.alias("hi"), pick_below.alias("below")))
-    band = (vc.join(chosen, keys, "inner")
-              .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
-    w = (Window.partitionBy(*keys, "p").orderBy("v")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    band = band.withColumn("cum", F.col("below") + F.sum("cnt").over(w))
-    k_lo = F.floor("h")
-    k_hi = F.ceil("h")
-    res = band.groupBy(*keys, "p", "n", "mean", "std", "min", "max", "h").agg(
-        F.min(F.when(F.col("cum") > k_lo, F.col("v"))).alias("v_lo"),
-        F.min(F.when(F.col("cum") > k_hi, F.col("v"))).alias("v_hi"))
+    from tillsight.session import materialize
+    g, cols, probs = list(group_cols), list(cols), [float(p) for p in probs]
+
+    def value(c):
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v)
+
+    edges = [e for w in widths if w for p in probs for e in (max(0.0, p - w / accuracy), min(1.0, p + w / accuracy))]
+    aggs = []
+    for c in cols:
+        v = value(c)
+        aggs.append(F.struct(
+            F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"),
+            F.percentile_approx(v, F.array(*[F.lit(e) for e in edges]), accuracy).alias("edges")))
+    sketch = df.groupBy(*g).agg(F.array(*aggs).alias("_s")).select(*g, F.explode("_s").alias("_s")).select(*g, "_s.*")
+    sketch = materialize(sketch.where("n > 0"))  # a row per group and column
+
+    for step, width in enumerate(widths):
+        lo, hi = F.array(F.col("min")), F.array(F.col("max"))
+        if width:
+            at = [2 * len(probs) * step + 2 * i for i in range(len(probs))]
+            lo = F.array(*[F.get("edges", F.lit(i)) for i in at])
+            hi = F.array(*[F.get("edges", F.lit(i + 1)) for i in at])
+        brackets = sketch.withColumns({"_lo": lo, "_hi": hi})
+        wide = brackets.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("_lo", "_hi")))).alias("_b"))
+        rows = attach_scalars(df.select(*dict.fromkeys(g + cols)), wide) if not g else df.select(*dict.fromkeys(g + cols)).join(wide, g)
+        items = [F.struct(F.lit(c).alias("column"), value(c).alias("v"), F.element_at("_b", F.lit(c)).alias("b")) for c in cols]
+        each = rows.select(*g, F.explode(F.array(*items)).alias("_i")).select(*g, "_i.*").where("v is not null")
+        inside, below = F.lit(False), F.lit(float("-inf"))
+        for i in range(len(probs) if width else 1):
+            inside = inside | F.col("v").between(F.get("b._lo", F.lit(i)), F.get("b._hi", F.lit(i)))
+            below = F.greatest(below, F.when(F.get("b._hi", F.lit(i)) < F.col("v"), F.get("b._hi", F.lit(i))))
+        place = F.when(inside, F.struct(F.col("v").alias("at"), F.lit(0).alias("above"))).otherwise(
+            F.struct(below.alias("at"), F.lit(1).alias("above")))
+        places = each.groupBy(*g, "column", place.alias("place")).agg(F.count(F.lit(1)).alias("cnt"))
+        run = Window.partitionBy(*g, "column").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        places = places.withColumn("cum", F.sum("cnt").over(run))
+        targets = sketch.select(*g, "column", "n", "mean", "std", "min", "max",
+                                F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
+        targets = targets.withColumn("h", (F.col("n") - 1).cast("double") * F.col("p"))
+        hit = places.join(targets, g + ["column"]).groupBy(*g, "column", "p", "n", "mean", "std", "min", "max", "h").agg(
+            F.min(F.when(F.col("cum") > F.floor("h"), F.col("place"))).alias("a"),
+            F.min(F.when(F.col("cum") > F.ceil("h"), F.col("place"))).alias("b"))
+        hit = materialize(hit)  # a row per group, column and p
+        if not width or hit.where("a.above = 1 or b.above = 1").isEmpty():
+            break
     frac = F.col("h") - F.floor("h")
-    return res.select(*keys, "p", "n", "mean", "std", "min", "max",
-                      (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+    return hit.select(*g, "column", "p", "n", "mean", "std", "min", "max",
+                      (F.col("a.at") + frac * (F.col("b.at") - F.col("a.at"))).alias("value"))
 
 
 def column_modes(df: DataFrame, cols) -> DataFrame:

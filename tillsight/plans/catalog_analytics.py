@@ -9,6 +9,7 @@ a weekday-mean forecast).
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import expressions as X
@@ -21,6 +22,8 @@ from tillsight.operators import ranking as R
 from tillsight.operators import segment as SG
 from tillsight.plans.catalog_base import AS_OF, EV, SALES, WEEK_END_SQL, events_hourly, sales
 from tillsight.plans.registry import register, rounded
+from tillsight.sources import tables as TB
+from tillsight.session import materialize
 
 CORR_COLS = ["total", "quantity", "unit_price"]
 
@@ -38,7 +41,8 @@ def series(spark, sf):
 
 
 def standin(spark, sf, periods=30):
-    return FC.weekday_mean_forecast(series(spark, sf), periods)
+    # The forecast reads the daily series several times: written once.
+    return FC.weekday_mean_forecast(FC.materialized_series(sales(spark, sf)), periods)
 
 
 SERIES_CTE = """, series as (select cast(date as date) as ds, cast(sum(total) as double) as y
@@ -139,6 +143,12 @@ def q_page(spark, sf):
     return R.page(sales(spark, sf), 3, 10, ["invoice_id", "total", "quantity", "unit_price", "product_line"])
 
 
+@register("page_after", EV + "select * from ev where invoice_id > 1000 order by invoice_id limit 25")
+def q_page_after(spark, sf):
+    """W7, keyset form: the page after event 1000."""
+    return R.page_after(TB.events_sales(spark, sf), 25, "invoice_id", 1000)
+
+
 @register("last_n", SALES + SERIES_CTE + " select ds, round(y, 2) as y from series order by ds desc limit 30")
 def q_last_n(spark, sf):
     """Last 30 days of the daily series."""
@@ -207,8 +217,7 @@ from pk join range(24) h(i) on true left join hh on hh.weekday = pk.weekday and
 def q_peak_day_hours(spark, sf):
     """Hour profile of the busiest weekday."""
     e = events_hourly(spark, sf)
-    pk = R.peak_periods(e).where("which = 'busiest'")
-    return rounded(A.peak_day_hours(e, pk))
+    return rounded(A.peak_day_hours(e))
 
 
 @register("cluster_sizes", LABELLED + "select cluster, count(*) as n from lab group by 1")
@@ -313,14 +322,66 @@ def q_segment_customers_profit(spark, sf):
                                 restarts=10)
 
 
-@register("attach_labels")
+@register("attach_labels", LABELLED + """select invoice_id, total, case when invoice_id % 7 = 0 then null else unit_price end
+  as unit_price, case when invoice_id % 7 = 0 then null else cluster end as cluster from lab""")
 def q_attach_labels(spark, sf):
-    """Trained labels on all rows; rows with a NULL feature (every 7th invoice
-    has its unit price removed) keep a NULL label."""
-    s = sales(spark, sf)
-    s = s.withColumn("unit_price", F.when(F.col("invoice_id") % 7 == 0, F.lit(None))
-                     .otherwise(F.col("unit_price")))
-    return SG.segment_customers(s, k=3, seed=42).select("invoice_id", "total", "unit_price", "cluster")
+    """Labelled rows and those that could not be scored (stand-in label)."""
+    s = labelled(spark, sf).withColumn("unit_price", F.when(F.col("invoice_id") % 7 != 0, F.col("unit_price")))
+    s = s.select("invoice_id", "total", "unit_price", "cluster")
+    return SG.attach_labels(s.where("unit_price is not null"), s.where("unit_price is null").drop("cluster"))
+
+
+def _label_facts(labelled_rows):
+    """What SQL can say of trained labels: rows, labelled rows, clusters, and that the
+    clusters' totals (M3) sum to those of the table."""
+    facts = labelled_rows.agg(F.count(F.lit(1)).alias("n"), F.count("cluster").alias("labelled"),
+                              F.count_distinct("cluster").alias("clusters"), F.min("cluster").alias("first"),
+                              F.max("cluster").alias("last"))
+    sums = SG.cluster_stats(labelled_rows).agg(F.round(F.sum("total_sum"), 2).alias("total"),
+                                               F.sum("total_count").alias("n_total"),
+                                               F.sum("quantity_sum").alias("quantity"))
+    ordered = SG.cluster_stats(labelled_rows).select(F.lag("total_mean").over(Window.orderBy("cluster")).alias("b"), "total_mean")
+    rising = ordered.agg(F.coalesce(F.min(F.col("total_mean") > F.col("b")), F.lit(True)).alias("means_rise"))
+    return facts.join(F.broadcast(sums), F.lit(True)).join(F.broadcast(rising), F.lit(True))
+
+
+def _label_facts_sql(labelled_if):
+    return SALES + f"""select count(*) as n, count(*) filter (where {labelled_if}) as labelled, 3 as clusters, 0 as first,
+  2 as last, round(sum(total) filter (where {labelled_if}), 2) as total,
+  count(total) filter (where {labelled_if}) as n_total, sum(quantity) filter (where {labelled_if})::bigint as quantity,
+  true as means_rise from sales"""
+
+
+@register("segment_customers_facts", _label_facts_sql("unit_price is not null and invoice_id % 7 <> 0"))
+def q_segment_customers_facts(spark, sf):
+    """M1 -> J3 -> M3 on trained labels, a seventh of the rows without a unit price."""
+    s = sales(spark, sf).withColumn("unit_price", F.when(F.col("invoice_id") % 7 != 0, F.col("unit_price")))
+    return _label_facts(materialize(SG.segment_customers(s, k=3, seed=42)))
+
+
+@register("segment_customers_profit_facts", _label_facts_sql("true"))
+def q_segment_customers_profit_facts(spark, sf):
+    """M2 -> M3 on trained labels."""
+    return _label_facts(materialize(q_segment_customers_profit(spark, sf)))
+
+
+@register("segment_chain_trained", SALES + """select gender, count(*) as n, 3 as clusters,
+  round(sum(total), 2) as total from sales group by 1""")
+def q_segment_chain_trained(spark, sf):
+    """Trained labels -> whole ratio maps (M6): counts and totals per gender over the clusters are the table's."""
+    lab = materialize(SG.segment_customers(sales(spark, sf), k=3, seed=42).select("cluster", "gender", "customer_type", "total"))
+    ratios = SG.cluster_ratios(lab).where("attribute = 'gender'")
+    per = ratios.groupBy(F.col("value").alias("gender")).agg(F.sum("n").alias("n"), F.count_distinct("cluster").cast("int").alias("clusters"))
+    return per.join(rounded(lab.groupBy("gender").agg(F.sum("total").alias("total"))), "gender")
+
+
+@register("cluster_ratios", LABELLED + """, lng as (select cluster, 'gender' as attribute, gender as value from lab union all
+  select cluster, 'customer_type', customer_type from lab),
+c as (select cluster, attribute, value, count(*) as n from lng where value is not null group by 1, 2, 3)
+select *, round(n / sum(n) over (partition by cluster, attribute), 6) as share from c""")
+def q_cluster_ratios(spark, sf):
+    """M6: the whole ratio maps of gender and customer type."""
+    return SG.cluster_ratios(labelled(spark, sf)).withColumn("share", F.round("share", 6))
 
 
 @register("cluster_stats", LABELLED + """select cluster, round(avg(total), 2) as total_mean,
@@ -394,21 +455,75 @@ def q_train_test_split(spark, sf):
 
 
 def _trained(spark, sf):
-    from tillsight.session import materialize
     rows = CH.churn_features_row(sales(spark, sf), AS_OF)
-    # Fit, scoring and summaries all read the feature rows: materialize once.
-    rows = materialize(CH.train_test_split(rows, "invoice_id", method="hash"))
+    rows = CH.train_test_split(rows, "invoice_id", method="hash")
+    # Fit, scoring and summaries read the key, the features, the label and the split: written once.
+    rows = materialize(rows.select("invoice_id", *CH.ROW_FEATURES, "churn", "is_test"))
     model = CH.churn_train(rows, num_trees=100, seed=42)
     return rows, model
 
 
-@register("churn_accuracy")
+@register("churn_accuracy", SALES + f"""select avg(case when (total > 20000)::int = (date_diff('day', cast(date as date),
+  date '{AS_OF}') > 60)::int then 1.0 else 0.0 end) as accuracy, count(*) as test_size from sales where invoice_id % 10 < 3""")
 def q_churn_accuracy(spark, sf):
+    """M11 on the held-out 30 % (modulo split, stand-in prediction)."""
+    rows = CH.train_test_split(CH.churn_features_row(sales(spark, sf), AS_OF), "invoice_id", method="modulo")
+    return CH.churn_accuracy(rows.withColumn("predicted", (F.col("total") > 20000).cast("double")))
+
+
+@register("churn_accuracy_trained")
+def q_churn_accuracy_trained(spark, sf):
     """M10 + M11: 100-tree forest on row features; accuracy on the held-out 30 %."""
     rows, model = _trained(spark, sf)
     return CH.churn_accuracy(model.score(rows.where("is_test")))
 
 
+@register("churn_forest_facts", SALES + f"""select count(*) as n, count(*) filter (where quantity % 5 <> 0) as scored,
+  true as in_range, true as class_fits, 4 as features, 1.0::double as importances, 100 as trees from sales""")
+def q_churn_forest_facts(spark, sf):
+    """All rows come back, NULL features give NULL scores, probabilities fit the
+    classes, importances sum to 1, 100 trees."""
+    rows, model = _trained(spark, sf)
+    holed = rows.withColumn("total", F.when(F.col("quantity") % 5 != 0, F.col("total")))
+    p = F.col("probability_1")
+    facts = model.score(holed).agg(
+        F.count(F.lit(1)).alias("n"), F.count(p).alias("scored"), F.min(p.between(0, 1)).alias("in_range"),
+        F.min((p > 0.5) == (F.col("predicted") == 1)).alias("class_fits"))
+    imp = model.importances(spark).agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("importances"))
+    return facts.join(F.broadcast(imp), F.lit(True)).withColumn("trees", F.lit(len(model.model.trees)))
+
+
+def _trained_customers(spark, sf):
+    """Copy B: forest on seven customer features; every customer scored."""
+    ent = materialize(CH.train_test_split(CH.churn_features_entity(sales(spark, sf), AS_OF), "customer_id", method="modulo"))
+    model = CH.churn_train(ent, features=CH.ENTITY_FEATURES, num_trees=100, seed=42)
+    return materialize(model.score(ent)), model
+
+
+@register("at_risk_trained")
+def q_at_risk_trained(spark, sf):
+    """M14 on the trained customer-level probability."""
+    return CH.at_risk(_trained_customers(spark, sf)[0])
+
+
+@register("risk_summary_trained", ENTITY_SQL + """select count(*) as customers, count(*) as scored, true as buckets_fit,
+  true as at_risk_fits, 7 as features, 1.0::double as importances from ef""")
+def q_risk_summary_trained(spark, sf):
+    """M12-M15 on the trained customer-level probability: every customer scored; the risk table and
+    the at-risk list count what the scores say."""
+    scored, model = _trained_customers(spark, sf)
+    p = F.col("probability_1")
+    facts = scored.agg(F.count(F.lit(1)).alias("customers"), F.count(p).alias("scored"),
+                       F.count_if(p > 0).alias("positive"), F.count_if(p > 0.7).alias("high"))
+    risk = CH.risk_summary(scored).agg(F.sum("n").alias("in_buckets"), F.sum(F.when(F.col("risk") == "High", F.col("n"))).alias("in_high"))
+    listed = CH.at_risk(scored).agg(F.count(F.lit(1)).alias("listed"))
+    imp = model.importances(spark).agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("importances"))
+    one = facts.join(F.broadcast(risk), F.lit(True)).join(F.broadcast(listed), F.lit(True)).join(F.broadcast(imp), F.lit(True))
+    return one.select("customers", "scored",
+                      ((F.col("positive") == F.col("in_buckets")) & (F.col("high") == F.coalesce("in_high", F.lit(0)))).alias("buckets_fit"),
+                      (F.col("high") == F.col("listed")).alias("at_risk_fits"), "features", "importances")
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     """M12."""
@@ -482,6 +597,40 @@ def q_forecast_components(spark, sf):
     return FC.sales_forecast(sales(spark, sf), 30).select("ds", "trend", "weekly", "yearly", "yhat")
 
 
+def _forecast_facts(fc, multiplicative=False):
+    parts = F.col("trend") * (1 + F.col("weekly") + F.col("yearly")) if multiplicative else F.col("trend") + F.col("weekly") + F.col("yearly")
+    near = F.abs(parts - F.col("yhat")) <= 1e-6 * (1 + F.abs("yhat"))
+    return fc.agg(F.count(F.lit(1)).alias("days"), F.min("ds").alias("first"), F.max("ds").alias("last"),
+                  F.min((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("in_band"),
+                  F.min(near).alias("parts_make_yhat"))
+
+
+FORECAST_FACTS = SALES + SERIES_CTE + """ select count(*) + 30 as days, min(ds) as first,
+  cast(max(ds) + interval 30 day as date) as last, true as in_band, true as parts_make_yhat from series"""
+
+
+@register("sales_forecast_facts", FORECAST_FACTS)
+def q_sales_forecast_facts(spark, sf):
+    """Days, span, bands, components that sum to the forecast."""
+    return _forecast_facts(FC.sales_forecast(sales(spark, sf), 30))
+
+
+@register("forecast_chain_trained", SALES + SERIES_CTE + """, h as (select max(ds) as d from series)
+select (select round(y, 2) from series, h where ds = d) as last_actual, (select count(*) from series where y > 0) as days,
+  (select count(*) + 30 from series) as rows, true as peak_above_trough, true as below_listed""")
+def q_forecast_chain_trained(spark, sf):
+    """The trained forecast sent through M22, R1, R3, R4 and R8."""
+    joined = materialize(FC.sales_forecast(sales(spark, sf), 30))
+    one = IN.forecast_change(joined).select("last_actual")
+    acc = IN.forecast_accuracy(joined).select("days")
+    out = FC.forecast_output(joined).agg(F.count(F.lit(1)).alias("rows"))
+    ext = IN.forecast_extremes(joined).select((F.col("peak_yhat") >= F.col("trough_yhat")).alias("peak_above_trough"))
+    low = IN.forecast_alert(joined).agg((F.count(F.lit(1)) <= 3).alias("below_listed"))
+    for part in (acc, out, ext, low):
+        one = one.join(F.broadcast(part), F.lit(True))
+    return rounded(one)
+
+
 @register("forecast_output", STANDIN + """select ds, round(coalesce(y, 0), 2) as y, round(yhat, 2) as yhat,
   round(yhat_lower, 2) as yhat_lower, round(yhat_upper, 2) as yhat_upper from joined""")
 def q_forecast_output(spark, sf):
@@ -631,19 +780,89 @@ def q_correlation_notes(spark, sf):
     return IN.correlation_notes(s, CORR_COLS + ["profit"]).withColumn("r", F.round("r", 4))
 
 
-@register("churn_recommendations")
+@register("churn_recommendations", SALES + f""", l as (select avg((date_diff('day', cast(date as date), date '{AS_OF}') > 60)::int) * 100
+  as rate from sales)
+select 1 as rank, 'alert' as kind, 'churn_alert' as code, round(rate, 2) as number,
+  'More customers have lapsed than the alert level allows.' as text from l where rate > 30 union all
+select 2, 'warning', 'value_segments', 0.4,
+  'What a customer spends per visit tells lapsing ones apart; treat the spending levels differently.' union all
+select 3, 'info', 'feedback', null, 'Survey customers at intervals, so that reasons for leaving are known early.'""")
 def q_churn_recommendations(spark, sf):
-    """From the trained forest's importances and the churn summary."""
-    rows, model = _trained(spark, sf)
-    summ = CH.churn_summary(rows)
-    return IN.churn_recommendations(summ, model.importances(spark))
+    """R13 from the churn summary and stand-in importances."""
+    summ = CH.churn_summary(CH.churn_features_row(sales(spark, sf), AS_OF))
+    imp = spark.createDataFrame([("total", 0.3), ("avg_purchase_value", 0.4), ("quantity", 0.2), ("days_since_last", 0.1)],
+                                "feature string, importance double")
+    return rounded(IN.churn_recommendations(summ, imp))
 
 
-@register("business_suggestions")
+@register("churn_recommendations_trained")
+def q_churn_recommendations_trained(spark, sf):
+    """R13 from the trained forest's importances."""
+    rows, model = _trained(spark, sf)
+    return IN.churn_recommendations(CH.churn_summary(rows), model.importances(spark))
+
+
+SUGGESTION_COLS = ["total", "quantity", "unit_price", "invoice_id", "customer_id"]
+SUGGESTIONS_SQL = STANDIN.rstrip() + f""",
+lab as (select *, cast(customer_id % 3 as integer) as cluster, cast(split_part(time, ':', 1) as integer) as hour from sales),
+cat as (select product_line, sum(total) as s from lab where product_line is not null group by 1),
+tops as (select * from cat order by s desc, product_line limit 3),
+lows as (select * from cat order by s, product_line limit 3),
+wk as (select {WEEK_END_SQL.format(d='date')} as week, sum(total) as s from lab where date is not null group by 1),
+lw as (select (select s from wk order by week desc limit 1) as b,
+  coalesce((select s from wk where week = (select max(week) - 7 from wk)), 0) as a),
+wow as (select (b - a) / nullif(a, 0) * 100 as pct from lw),
+cells as (select isodow(date) as wd, dayname(date) || ' ' || coalesce(hour, 0) || ':00' as cell, coalesce(hour, 0) as hour,
+  sum(total) as s from lab where date is not null group by 1, 2, 3),
+pairs as (select * from ({_matrix_sql(SUGGESTION_COLS, 'lab').replace(', 4) as r', ', 12) as r')}) where i < j and abs(r) >= 0.1
+  order by abs(r) desc, i, j limit 2),
+low as (select ds, t from joined, (select avg(yhat) * 0.8 as t from joined) where yhat < t order by ds limit 3),
+out as (
+  select 10 as rank, 'top_categories' as code, (select string_agg(product_line, ', ' order by s desc, product_line) from tops) as subject,
+    null::double as number, 'star' as symbol, 'warning' as colour
+  union all select 11, 'low_categories', (select string_agg(product_line, ', ' order by s, product_line) from lows), null,
+    'exclamation-triangle', 'danger'
+  union all select 20, case when pct > 0 then 'sales_up' else 'sales_down' end, null, abs(pct), 'chart-line',
+    case when pct > 0 then 'success' else 'danger' end from wow where abs(pct) > 5
+  union all (select 30, 'busiest', cell, s, 'clock', 'info' from cells order by s desc, wd, hour limit 1)
+  union all (select 31, 'slowest', cell, s, 'hourglass-half', 'secondary' from cells order by s, wd, hour limit 1)
+  union all select 40 + row_number() over (order by abs(r) desc, i, j), 'correlation', col1 || ' and ' || col2, r, 'link', 'primary' from pairs
+  union all select 41, 'no_correlation', null, null, 'lightbulb', 'warning' where not exists (from pairs)
+  union all select 50 + cluster, case when t > 1.2 * all_t then 'cluster_spends' else 'cluster_small' end, cluster::varchar,
+    case when t > 1.2 * all_t then t else q end, case when t > 1.2 * all_t then 'bullseye' else 'shopping-cart' end,
+    case when t > 1.2 * all_t then 'danger' else 'success' end
+    from (select cluster, avg(total) as t, avg(quantity) as q from lab group by 1),
+         (select avg(total) as all_t, avg(quantity) as all_q from lab) where t > 1.2 * all_t or q < 0.8 * all_q
+  union all select 60, 'forecast_low', string_agg(strftime(ds, '%Y-%m-%d'), ', ' order by ds), min(t), 'chart-bar', 'primary'
+    from low having count(*) > 0)
+select rank::int as rank, code, subject, round(number, 2) as number, symbol, colour from out"""
+
+
+@register("business_suggestions", SUGGESTIONS_SQL)
 def q_business_suggestions(spark, sf):
-    """R14 + R15: ordered suggestion list with kinds (stand-in labels and forecast)."""
+    """R14 + R15: ordered suggestions with symbol and colour (stand-in labels and forecast, all numeric columns)."""
     s = labelled(spark, sf).withColumn("hour", X.hour_of_time("time"))
-    return IN.business_suggestions(s, forecast=standin(spark, sf))
+    return rounded(IN.business_suggestions(s, forecast=standin(spark, sf), corr_cols=SUGGESTION_COLS).drop("text"))
+
+
+@register("business_suggestions_texts")
+def q_business_suggestions_texts(spark, sf):
+    """R14 with its wording, on trained labels and the trained forecast, hours from the timestamp."""
+    lab = SG.segment_customers(sales(spark, sf), k=3, seed=42).drop("time")
+    fc = FC.sales_forecast(sales(spark, sf), 30)
+    return IN.business_suggestions(lab, forecast=fc, corr_cols=SUGGESTION_COLS)
+
+
+@register("insight_kind", SALES + "select invoice_id, case invoice_id % 12 " + " ".join(
+    f"when {i} then '{symbol}'" for i, (_, symbol, _) in enumerate(IN.MARKS)) + " when 10 then 'lightbulb' else 'info-circle' end as symbol, "
+    "case invoice_id % 12 " + " ".join(f"when {i} then '{colour}'" for i, (_, _, colour) in enumerate(IN.MARKS))
+    + " when 10 then 'warning' else 'info' end as colour from sales")
+def q_insight_kind(spark, sf):
+    """Symbol and colour by mark, over texts that hold each mark, none, or nothing."""
+    k = F.col("invoice_id") % 12
+    marks = F.array(*[F.lit(f"{m} text") for m, _, _ in IN.MARKS], F.lit("no mark"), F.lit(""))
+    texts = sales(spark, sf).select("invoice_id", F.get(marks, k.cast("int")).alias("text"))
+    return texts.select("invoice_id", IN.insight_kind("text").alias("k")).select("invoice_id", "k.symbol", "k.colour")
 
 
 # ---------------------------------------------------------------- variants and remaining keys
@@ -656,13 +875,6 @@ def q_churn_train(spark, sf):
     return spark.createDataFrame(rows, "tree int, nodes int, depth int")
 
 
-@register("insight_kind")
-def q_insight_kind(spark, sf):
-    """Kind of each suggestion derived from its leading mark."""
-    s = q_business_suggestions(spark, sf)
-    return s.select("rank", "text", IN.insight_kind("text").alias("kind_from_mark"))
-
-
 @register("ranked_correlations_floor", SALES + f""", m as ({_matrix_sql(CORR_COLS + ['profit'], 'sp')})
 select col1, col2, r from m where i < j and abs(r) >= 0.1 order by abs(r) desc, i, j limit 2"""
           .replace("from sp", "from (select *, total - quantity * unit_price as profit from sales)"))
@@ -682,8 +894,7 @@ from pk join range(24) h(i) on true left join hh on hh.weekday = pk.weekday and
 def q_peak_day_hours_slowest(spark, sf):
     """A20 for the slowest weekday."""
     e = events_hourly(spark, sf)
-    pk = R.peak_periods(e).where("which = 'slowest'")
-    return rounded(A.peak_day_hours(e, pk))
+    return rounded(A.peak_day_hours(e, "slowest"))
 
 
 @register("segment_offers_else_bundle", _seg_sql("""case when avg_total > 1.2 * all_total then 'vip'

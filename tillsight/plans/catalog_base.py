@@ -87,7 +87,16 @@ def _fill_sql(cols, src):
 
 
 def _scratch(spark, name):
-    return os.path.join(ensure_checkpoint_dir(spark), "exports", f"{name}-{uuid.uuid4().hex}")
+    """A new folder below the shared checkpoint folder, deleted when the application ends."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "exports", f"{name}-{uuid.uuid4().hex}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def _sum_sql(key, src="sales", value="total"):
+    return (f"select {key}, round(coalesce(sum({value}), 0), 2) as sales from {src} "
+            f"where {key} is not null group by {key}")
 
 
 UPLOAD_SQL = SALES + """select cast(invoice_id as varchar) as invoice_id, date, time,
@@ -105,11 +114,6 @@ def _contract(df):
                       "product_line", "payment", "gender", "customer_type")
 
 
-def _sum_sql_text(key, src="sales", value="total"):
-    return (f"select {key}, round(coalesce(sum({value}), 0), 2) as sales from {src} "
-            f"where {key} is not null group by {key}")
-
-
 # ---------------------------------------------------------------- sources
 
 @register("csv_export", UPLOAD_SQL)
@@ -139,7 +143,7 @@ def q_records_scan(spark, sf):
     return _contract(IO.records_scan(spark, path))
 
 
-@register("records_export", SALES + _sum_sql_text("product_line"))
+@register("records_export", SALES + _sum_sql("product_line"))
 def q_records_export(spark, sf):
     """Category sums written as JSON records and read back with their schema
     (the text of JSON numbers differs between engines, the values do not)."""
@@ -199,32 +203,41 @@ def q_forward_fill(spark, sf):
     k = F.col("event_id")
     holes = e.select("event_id", F.when(k % 7 != 0, F.col("value")).alias("value"),
                      F.when(k % 5 != 0, F.col("event_type")).alias("event_type"))
-    return C.forward_fill(holes, "event_id", buckets=16)
+    return C.forward_fill(holes, "event_id")
 
 
 _NUM = ["invoice_id", "customer_id", "total", "quantity", "unit_price"]
 _STR = ["date", "time", "product_line", "payment", "gender", "customer_type"]
 
 
-def _median_sql(src, cols, types):
+def _median_sql(src, cols):
     sel = []
-    for c in SALES_COLS if src == "dirty_all" else cols:
+    for c in SALES_COLS:
         if c in cols:
             med = f"(select quantile_cont({c}, 0.5) from {src})"
-            if types.get(c) == "int":
-                med = f"cast(round({med}) as {types.get(c + '_t', 'bigint')})"
-            sel.append(f"coalesce({c}, {med}) as {c}")
+            sel.append(f"coalesce(cast({c} as double), {med}) as {c}")
         else:
             sel.append(c)
     return ", ".join(sel)
 
 
-@register("impute_median", DIRTY + "select " + _median_sql(
-    "dirty_all", _NUM, {"invoice_id": "int", "customer_id": "int", "quantity": "int",
-                        "quantity_t": "integer"}) + " from dirty_all")
+#: Also an integer column with NULLs whose median may lie between two integers.
+HOLES = """, dirty_holes as (select * replace (
+  case when invoice_id % 3 = 0 or quantity % 2 = 0 then null else quantity * 2 + invoice_id % 2 end as quantity) from dirty_all)
+"""
+
+
+def holed_sales(spark, sf):
+    k, q = F.col("invoice_id"), F.col("quantity")
+    return dirty_sales(spark, sf).withColumn("quantity", F.when((k % 3 == 0) | (q % 2 == 0), F.lit(None)).otherwise(
+        (q * 2 + k % 2).cast("int")))
+
+
+@register("impute_median", DIRTY + HOLES + "select " + _median_sql(
+    "dirty_holes", _NUM) + " from dirty_holes")
 def q_impute_median(spark, sf):
     """Numeric NULLs -> exact median."""
-    return C.impute_median(dirty_sales(spark, sf), _NUM)
+    return C.impute_median(holed_sales(spark, sf), _NUM)
 
 
 def _mode_sql(src, c):
@@ -321,16 +334,16 @@ def _clean_sql(month_year: bool):
 @register("clean_basic", _clean_sql(False))
 def q_clean_basic(spark, sf):
     """Dedupe -> fill -> parse -> weekday -> hour."""
-    return PL.clean_basic(dirty_sales(spark, sf), SALES_COLS, buckets=16)
+    return PL.clean_basic(dirty_sales(spark, sf), SALES_COLS)
 
 
 @register("clean_prepare", _clean_sql(True))
 def q_clean_prepare(spark, sf):
     """C14: C13 + month, year, average item price."""
-    return PL.clean_prepare(dirty_sales(spark, sf), SALES_COLS, buckets=16)
+    return PL.clean_prepare(dirty_sales(spark, sf), SALES_COLS)
 
 
-_P_NUM = ["invoice_id", "customer_id", "total", "quantity", "unit_price", "year", "hour"]
+_P_NUM = ["total", "quantity", "unit_price", "year", "hour"]
 _P_STR = ["date_s", "time", "product_line", "payment", "gender", "customer_type", "day", "month"]
 
 
@@ -341,17 +354,13 @@ def _process_sql():
             f"cast(year(date) as integer) as year, {HOUR_SQL.format(t='time')} as hour from pp), "
             "imp as (select ")
     sel = []
-    ints = {"invoice_id": "bigint", "customer_id": "bigint", "quantity": "integer", "year": "integer",
-            "hour": "integer"}
     for c in ["invoice_id", "customer_id", "date", "time", "total", "quantity", "unit_price",
               "product_line", "payment", "gender", "customer_type", "day", "month", "year", "hour"]:
         if c in _P_NUM:
             med = f"(select quantile_cont({c}, 0.5) from parts)"
-            if c in ints:
-                med = f"cast(round({med}) as {ints[c]})"
-            sel.append(f"coalesce({c}, {med}) as {c}")
-        elif c == "date":
-            sel.append("date")
+            sel.append(f"coalesce(cast({c} as double), {med}) as {c}")
+        elif c in ("date", "invoice_id", "customer_id"):
+            sel.append(c)
         else:
             sel.append(f"coalesce({c}, {_mode_sql('parts', c)}) as {c}")
     return (base + ", ".join(sel) + " from parts)\n"
@@ -438,38 +447,34 @@ def q_series_rename(spark, sf):
 CAT, CTYPE, GENDER, D0, D1 = "PROMO", "BUILDING", "Female", "1997-01-01", "1998-12-31"
 
 
-def _rows(df):
-    return df
-
-
 @register("filter_category", SALES + f"select * from sales where product_line = '{CAT}'")
 def q_filter_category(spark, sf):
-    return _rows(FL.filter_category(sales(spark, sf), CAT))
+    return FL.filter_category(sales(spark, sf), CAT)
 
 
 @register("filter_customer_type",
           SALES + f"select * from sales where customer_type = '{CTYPE}'")
 def q_filter_customer_type(spark, sf):
-    return _rows(FL.filter_customer_type(sales(spark, sf), CTYPE))
+    return FL.filter_customer_type(sales(spark, sf), CTYPE)
 
 
 @register("filter_gender", SALES + f"select * from sales where gender = '{GENDER}'")
 def q_filter_gender(spark, sf):
-    return _rows(FL.filter_gender(sales(spark, sf), GENDER))
+    return FL.filter_gender(sales(spark, sf), GENDER)
 
 
 @register("filter_date_range", EV + """select * from ev
 where date >= timestamp '2024-01-05' and date <= timestamp '2024-01-12'""")
 def q_filter_date_range(spark, sf):
     """end is midnight, so later times on the last day drop."""
-    return _rows(FL.filter_date_range(TB.events_sales(spark, sf), "2024-01-05", "2024-01-12"))
+    return FL.filter_date_range(TB.events_sales(spark, sf), "2024-01-05", "2024-01-12")
 
 
 @register("filter_date_range_days", EV + """select * from ev
 where cast(date as date) between date '2024-01-05' and date '2024-01-12'""")
 def q_filter_date_range_days(spark, sf):
     """the last day is whole."""
-    return _rows(FL.filter_date_range_days(TB.events_sales(spark, sf), "2024-01-05", "2024-01-12"))
+    return FL.filter_date_range_days(TB.events_sales(spark, sf), "2024-01-05", "2024-01-12")
 
 
 @register("filter_compose", SALES + f"""select * from sales
@@ -477,7 +482,35 @@ where product_line = '{CAT}' and customer_type = '{CTYPE}' and gender = '{GENDER
   and date >= timestamp '{D0}' and date <= timestamp '{D1}'""")
 def q_filter_compose(spark, sf):
     """all filters conjunctively."""
-    return _rows(FL.filter_compose(sales(spark, sf), CAT, CTYPE, GENDER, D0, D1))
+    return FL.filter_compose(sales(spark, sf), CAT, CTYPE, GENDER, D0, D1)
+
+
+@register("filter_compose_count", SALES + f"""select count(*) filter (where product_line = '{CAT}'
+  and customer_type = '{CTYPE}' and gender = '{GENDER}' and date >= timestamp '{D0}' and date <= timestamp '{D1}') as matching,
+  count(*) as all_rows from sales""")
+def q_filter_compose_count(spark, sf):
+    """how many rows match."""
+    return FL.filter_count(sales(spark, sf), category=CAT, customer_type=CTYPE, gender=GENDER, start=D0, end=D1)
+
+
+UPLOAD_COLS = [c for c in SALES_COLS if c != "customer_id"]
+
+
+@register("upload_clean_chart", DIRTY + f""", up as (select 'INV-' || invoice_id as invoice_id, date, time, total, quantity,
+  unit_price, product_line, payment, gender, customer_type from dirty_all),
+dd as (select distinct * from up), ff as (select {', '.join(
+    f"last_value({c} ignore nulls) over (order by {', '.join(k + ' nulls first' for k in UPLOAD_COLS)} "
+    f"rows between unbounded preceding and current row) as {c}" for c in UPLOAD_COLS)} from dd)
+select product_line, round(coalesce(sum(total), 0), 2) as sales from ff
+where gender = 'Female' and customer_type = 'BUILDING' and product_line is not null group by 1""")
+def q_upload_clean_chart(spark, sf):
+    """The upload path: CSV with text invoice ids -> C13 -> F6 -> A1."""
+    rows = dirty_sales(spark, sf).drop("customer_id")
+    rows = rows.withColumn("invoice_id", F.concat(F.lit("INV-"), F.col("invoice_id").cast("string")))
+    path = _scratch(spark, "upload")
+    IO.csv_export(rows, path, upload_names=True)
+    clean = PL.clean_basic(IO.csv_scan(spark, path).select(UPLOAD_COLS), UPLOAD_COLS)
+    return rounded(A.sum_by(FL.filter_compose(clean, gender="Female", customer_type="BUILDING"), "product_line"))
 
 
 @register("filter_isin", SALES + """, top as (select product_line from sales group by product_line
@@ -488,7 +521,7 @@ def q_filter_isin(spark, sf):
     from tillsight.operators import ranking as R
     s = sales(spark, sf)
     top = R.top_bottom_products(s, 3).where("which = 'top'")
-    return _rows(FL.filter_isin(s, top, "product_line"))
+    return FL.filter_isin(s, top, "product_line")
 
 
 @register("filter_values", SALES + "select distinct payment from sales where payment is not null")
@@ -505,11 +538,6 @@ def q_date_bounds(spark, sf):
 
 # ---------------------------------------------------------------- aggregates
 
-def _sum_sql(key, src="sales", value="total"):
-    return (f"select {key}, round(coalesce(sum({value}), 0), 2) as sales from {src} "
-            f"where {key} is not null group by {key}")
-
-
 @register("sales_by_category", SALES + _sum_sql("product_line"))
 def q_sales_by_category(spark, sf):
     """A1."""

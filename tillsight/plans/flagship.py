@@ -12,6 +12,6 @@ from tillsight.sources import tables as TB
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = clean_basic(TB.sales(spark, sf_dir), TB.SALES_COLUMNS, buckets=16)
+    s = clean_basic(TB.sales(spark, sf_dir), TB.SALES_COLUMNS)
     s = FL.filter_compose(s, customer_type="BUILDING", start="1996-01-01", end="2000-12-31")
     return rounded(A.sales_by_category(s))

@@ -30,43 +30,40 @@ def _hour(df: DataFrame, time_col: str) -> DataFrame:
     return df
 
 
-def clean_basic(df: DataFrame, order_cols, date_col="date", time_col="time",
-                buckets: int = 64) -> DataFrame:
+def clean_basic(df: DataFrame, order_cols, date_col="date", time_col="time") -> DataFrame:
     """Dedupe -> forward fill -> parse date -> day name -> hour."""
     order_cols = list(order_cols)
-    # The fill reads the deduped rows three times (split points, bucket tails,
-    # the fill itself): write them once instead of re-running the dedupe shuffle.
+    # Bounds and ranges of the fill both read the deduped rows: write them once.
     d = materialize(clean.dedupe(df))
-    d = clean.forward_fill(d, order_cols, cols=d.columns, buckets=buckets)
+    d = clean.forward_fill(d, order_cols, cols=d.columns)
     d = _parse_and_parts(d, date_col, month_year=False)
     return _hour(d, time_col)
 
 
-def clean_prepare(df: DataFrame, order_cols, date_col="date", time_col="time",
-                  buckets: int = 64) -> DataFrame:
+def clean_prepare(df: DataFrame, order_cols, date_col="date", time_col="time") -> DataFrame:
     """C14: C13 with month and year, plus average item price."""
     order_cols = list(order_cols)
-    # The fill reads the deduped rows three times (split points, bucket tails,
-    # the fill itself): write them once instead of re-running the dedupe shuffle.
+    # Bounds and ranges of the fill both read the deduped rows: write them once.
     d = materialize(clean.dedupe(df))
-    d = clean.forward_fill(d, order_cols, cols=d.columns, buckets=buckets)
+    d = clean.forward_fill(d, order_cols, cols=d.columns)
     d = _parse_and_parts(d, date_col, month_year=True)
     d = _hour(d, time_col)
     return d.withColumn("avg_item_price", X.avg_item_price())
 
 
-def process_sales(df: DataFrame, date_col="date", time_col="time", accuracy: int = 100000) -> DataFrame:
+def process_sales(df: DataFrame, date_col="date", time_col="time", accuracy: int = 100000,
+                  keys=("invoice_id", "customer_id")) -> DataFrame:
     """Dedupe -> parse date -> parts -> hour -> median / mode impute -> profit.
 
     The derived year and hour are imputed too, as in the copy this follows,
-    because the parts are added before imputation.
+    because the parts are added before imputation. ``keys`` are not imputed.
     """
     d = clean.dedupe(df)
     d = _parse_and_parts(d, date_col, month_year=True)
     d = _hour(d, time_col)
     # Both imputers and the final projection read the parsed rows.
     d = materialize(d)
-    d = clean.impute_median(d, accuracy=accuracy)
+    d = clean.impute_median(d, clean.numeric_columns(d, exclude=keys), accuracy=accuracy)
     d = clean.impute_mode(d)
     p = X.profit()
     return d.withColumns({"profit": p, "profit_margin": X.profit_margin(p)})

@@ -11,6 +11,7 @@ statistics instead of guessed up front.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -80,8 +81,9 @@ def build_session(master: str | None = None, app: str = "tillsight",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The cluster's ``spark.checkpoint.dir`` wins. Only when it is unset (local
-    tests) a private scratch folder is created, so lineage cuts still work.
+    The cluster's ``spark.checkpoint.dir`` wins. Only a local master without one
+    (tests) gets a private scratch folder: executors on other machines could not
+    read it, so there its absence is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -90,6 +92,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir is not set: on {sc.master} intermediate tables need a folder "
+                             "that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tillsight-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -103,12 +108,19 @@ def materialize(df):
     shuffles behind it, and a cache would be lost with its executor.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    # AQE coalesces a small result into very few partitions; iterative readers
-    # (MLlib fits) would then run on one or two cores. Spreading the written
-    # copy only happens in that small-data case: a large intermediate already
-    # has at least as many partitions as the cluster has cores.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < cores:
-        out = out.repartition(cores)
-    return out
+    return df.checkpoint(eager=True)
+
+
+#: Partitions that the rows of a model fit are dealt to, whatever the input's.
+FIT_PARTITIONS = 8
+
+
+def materialize_for_fit(df, partitions: int = FIT_PARTITIONS):
+    """Write the (narrow) rows of a fit, dealt by hash of all columns and sorted.
+
+    Bagging and k-means initialisation draw per partition and row: with a fixed
+    number of partitions in a fixed order the same rows give the same model,
+    however they were partitioned before. Raise ``partitions`` with the data.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartition(partitions, *df.columns).sortWithinPartitions(*df.columns).checkpoint(eager=True)

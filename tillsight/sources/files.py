@@ -8,6 +8,7 @@ snake_case contract used everywhere else.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +81,10 @@ def csv_scan(spark: SparkSession, path: str, encoding: str = "utf-8", sep: str =
     """Header CSV in a chosen encoding with pinned types for known columns."""
     allow_charset(spark, encoding)
     schema = schema or _header_schema(spark, path, encoding, sep)
+    # Every file's header is held against the schema: files whose columns stand in
+    # another order raise instead of being read by position.
     df = (spark.read.schema(schema).option("header", True).option("encoding", encoding)
-          .option("sep", sep).option("mode", "PERMISSIVE").csv(path))
+          .option("sep", sep).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path))
     return standardize(df) if rename else df
 
 
@@ -90,13 +93,13 @@ def detect_encoding(spark: SparkSession, path: str,
     """S2 helper: first encoding in the list that decodes every file.
 
     Spark's CSV reader replaces undecodable bytes instead of failing, so the
-    check runs on the raw bytes: ``is_valid_utf8`` per file, aggregated on the
-    executors; only one boolean comes back. The single-byte encodings decode any
-    byte, so the first of them wins when UTF-8 fails.
+    check runs on the raw bytes of lines (a line end never lies inside a UTF-8
+    character): files of any size are read in splits and only one boolean comes
+    back. The single-byte encodings decode any byte, so the first of them wins
+    when UTF-8 fails.
     """
-    raw = spark.read.format("binaryFile").load(path)
-    ok = raw.agg(F.coalesce(F.min(F.is_valid_utf8(F.col("content").cast("string")).cast("int")),
-                            F.lit(1)).alias("ok")).first()["ok"]
+    lines = spark.read.text(path)
+    ok = lines.agg(F.coalesce(F.min(F.is_valid_utf8("value").cast("int")), F.lit(1)).alias("ok")).first()["ok"]
     if ok == 1:
         return encodings[0]
     return next((e for e in encodings if e.lower().replace("-", "") not in ("utf8",)), "latin1")
@@ -104,19 +107,31 @@ def detect_encoding(spark: SparkSession, path: str,
 
 def csv_scan_fallback(spark: SparkSession, path: str, encodings=FALLBACK_ENCODINGS,
                       empty_columns=("invoice_id", "date", "total", "quantity")) -> DataFrame:
-    """S1 with the first encoding that decodes; unreadable -> empty frame."""
+    """S1 with the first encoding that decodes; a missing path gives an empty frame.
+
+    Any other failure (permissions, lost storage) is raised, not read as no data.
+    """
     try:
         enc = detect_encoding(spark, path, encodings)
         return csv_scan(spark, path, encoding=enc)
-    except Exception:  # missing path or unreadable bytes
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         schema = T.StructType([T.StructField(c, T.StringType(), True) for c in empty_columns])
         return spark.createDataFrame([], schema)
 
 
 def records_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """S3: JSON records (one object per line) with the contract's schema."""
+    """S3: JSON records (one object per line) with the contract's schema.
+
+    Keys outside of the contract follow as strings in order of name; one pass
+    over the lines collects the different key names.
+    """
     if schema is None:
         schema = T.StructType([T.StructField(h, t, True) for h, (_, t) in UPLOAD_HEADERS.items()])
+        keys = spark.read.text(path).select(F.explode(F.json_object_keys("value")).alias("k")).distinct().collect()
+        for name in sorted(r["k"] for r in keys if r["k"] not in UPLOAD_HEADERS):
+            schema = schema.add(name, T.StringType(), True)
     return standardize(spark.read.schema(schema).json(path))
 
 
