@@ -126,8 +126,11 @@ def secret_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     found = credential_parts(docs, scope)
     base = F.filter("parts", lambda p: p["kind"] < len(STRONG))
-    counts = [F.size(F.filter("parts", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(STRONG)]
+
+    def count(kind):
+        return F.size(F.filter("parts", lambda p: p["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(STRONG)]
     n_linked = (F.size("parts") - F.size(base)).cast("long").alias("n_linked")
     return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
                         _listed(F.col("parts")).alias("spans"), n_linked)
