@@ -4,13 +4,14 @@ A page is read as a sequence of words and tags. Words score positive and tags
 negative, with weights learned from pages that label their own content (an
 article element or the like): a word scores the share of words of its class that
 is content, a tag minus ``TAG_COST`` times the share of tags of its class that is
-not. One linear scan finds the contiguous region with the largest sum. Its text,
-without page furniture inside it, is the main text.
+not. One linear scan finds the contiguous region with the largest sum. Page
+furniture (menus, forms, adverts ...) scores nothing and is left out of the
+region's text, so that a form between two paragraphs does not part them.
 
 The class of a word or tag: its tag (of a word, the nearest block's), whether it
-is in a link, whether it is in page furniture, and whether it stands inside the
-page's labelled content, outside of it, or on a page without labels. Each
-labelled page also trains the classes of pages without labels.
+is in a link, and whether it stands inside the page's labelled content, outside of
+it, or on a page without labels. Each labelled page also trains the classes of
+pages without labels.
 """
 
 from __future__ import annotations
@@ -144,13 +145,13 @@ def page_items(page: str) -> tuple[list[tuple], bool, bool]:
 
 
 def item_class(item: tuple, where: int) -> str:
-    tag, is_text, link, furniture = item[:4]
+    tag, is_text, link = item[:3]
     bare = tag.lstrip("/")
     if bare not in KNOWN:
         tag = tag[:len(tag) - len(bare)] + "other"
     if where == UNLABELLED and bare in ("article", "main"):
         tag = tag.replace(bare, "div")
-    return f"{'w' if is_text else 't'}:{tag}:{int(link)}{int(furniture)}{where}"
+    return f"{'w' if is_text else 't'}:{tag}:{int(link)}{where}"
 
 
 def _place(item: tuple, has_article: bool, has_main: bool) -> int:
@@ -158,19 +159,18 @@ def _place(item: tuple, has_article: bool, has_main: bool) -> int:
 
 
 def class_counts(pages) -> Counter:
-    """(class, is content) -> words or tags, over labelled pages."""
+    """(class, is content) -> words or tags, over labelled pages, without furniture."""
     seen: Counter = Counter()
     for page in pages:
         items, has_article, has_main = page_items(page)
         if not has_article and not has_main:
             continue
         for item in items:
-            place = _place(item, has_article, has_main)
             n = len(entities.unescape(item[6]).split()) if item[1] else 1
-            if n:
-                content = place == IN and not item[3]
-                seen[item_class(item, place), content] += n
-                seen[item_class(item, UNLABELLED), content] += n
+            if n and not item[3]:
+                place = _place(item, has_article, has_main)
+                seen[item_class(item, place), place == IN] += n
+                seen[item_class(item, UNLABELLED), place == IN] += n
     return seen
 
 
@@ -187,9 +187,8 @@ def item_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
 def _weight(name: str, weights: dict[str, float]) -> float:
     if name in weights:
         return weights[name]
-    if name[0] == "t":
-        return -TAG_COST / 2
-    return 0.0 if name[-2] == "1" or name[-1] == str(OUT) else 0.5  # words never seen in furniture or outside
+    share = {str(IN): 1.0, str(OUT): 0.0}.get(name[-1], 0.5)  # a class never seen: as its place says
+    return share if name[0] == "w" else -TAG_COST * (1 - share)
 
 
 def best_region(scores: list[float]) -> tuple[int, int, float]:
@@ -213,7 +212,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         text = entities.unescape(item[6]) if item[1] else ""
         texts.append(text)
         n = len(text.split()) if item[1] else 1
-        scores.append(n * _weight(item_class(item, _place(item, has_article, has_main)), weights) if n else 0.0)
+        counts = n and not item[3]
+        scores.append(n * _weight(item_class(item, _place(item, has_article, has_main)), weights) if counts else 0.0)
     first, end, best = best_region(scores)
     if best < LEAST_SCORE:
         return ""
