@@ -85,6 +85,6 @@ def test_repeats_within_a_row(make_docs):
 
 def test_awkward_rows(awkward, clashing):
     got = repeated_spans(clashing(awkward)).collect()
-    assert {(r.doc_id, tuple(r.first_doc_ids)) for r in got} <= {(i, (f,)) for i in (1, 2, 9) for f in (None, 8)}
+    assert {(r.doc_id, tuple(r.first_doc_ids)) for r in got} <= {(i, (f,)) for i in (1, 2, 9) for f in (None, 8)} | {(1, ()), (2, ())}  # the copies with a null id come first
     assert any(r.doc_id == 9 and r.n_words == 60_000 for r in got)
     assert repeated_spans(awkward.where("false")).collect() == []
