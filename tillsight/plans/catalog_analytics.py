@@ -597,8 +597,8 @@ def q_forecast_components(spark, sf):
     return FC.sales_forecast(sales(spark, sf), 30).select("ds", "trend", "weekly", "yearly", "yhat")
 
 
-def _forecast_facts(fc, multiplicative=False):
-    parts = F.col("trend") * (1 + F.col("weekly") + F.col("yearly")) if multiplicative else F.col("trend") + F.col("weekly") + F.col("yearly")
+def _forecast_facts(fc):
+    parts = F.col("trend") + F.col("weekly") + F.col("yearly")
     near = F.abs(parts - F.col("yhat")) <= 1e-6 * (1 + F.abs("yhat"))
     return fc.agg(F.count(F.lit(1)).alias("days"), F.min("ds").alias("first"), F.max("ds").alias("last"),
                   F.min((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("in_band"),
@@ -615,6 +615,15 @@ def q_sales_forecast_facts(spark, sf):
     return _forecast_facts(FC.sales_forecast(sales(spark, sf), 30))
 
 
+@register("sales_forecast_multiplicative_facts", SALES + SERIES_CTE + """ select count(*) + 30 as days, min(ds) as first,
+  cast(max(ds) + interval 30 day as date) as last, true as in_band from series""")
+def q_sales_forecast_multiplicative_facts(spark, sf):
+    """Days, span, bands."""
+    fc = FC.sales_forecast_multiplicative(sales(spark, sf), 30)
+    return fc.agg(F.count(F.lit(1)).alias("days"), F.min("ds").alias("first"), F.max("ds").alias("last"),
+                  F.min((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("in_band"))
+
+
 @register("forecast_chain_trained", SALES + SERIES_CTE + """, h as (select max(ds) as d from series)
 select (select round(y, 2) from series, h where ds = d) as last_actual, (select count(*) from series where y > 0) as days,
   (select count(*) + 30 from series) as rows, true as peak_above_trough, true as below_listed""")
