@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,6 +37,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more, and let go of finished shuffles.
+
+    Spark removes shuffle files once the driver has collected the plans that made them.
+    """
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def text_of(col: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -14,28 +14,34 @@ how often a shingle's hash group occurs in the corpus, rare first, so that
 passages which many documents share rarely open pages.
 
 Groups of copies make no pairs of all members. Equal texts are one point. First
-every member of a page is compared with the page's least member; links found make
-components. Then trees join only members of different components, box by box:
-pages within one component, which is what a group of near copies has become, are
-done. Every pair of a page is so either linked through others or compared.
+every member of a page is compared with the page's least member, then, in a few
+rounds, with other leaders, as long as the page has members of different
+components of the links found so far. Then trees join only members of different
+components, box by box: pages within one component, which is what a group of near
+copies has become, are done. Every pair of a page is so either linked through
+others or compared.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import SPACED_WORD, small, text_of, written
+from tillsight.llm.common import SPACED_WORD, discard, small, text_of, written
 from tillsight.llm.components import connected_components
 
 #: Words of a shingle; similarity of a link, as 100 * intersection >= 75 * union.
 SHINGLE, PERCENT = 5, 75
 #: Hash groups whose corpus counts order the shingles.
 ORDER_BITS = 16
-#: Shingles per coordinate of a point, about, and coordinates at least.
-PER_COORDINATE, LEAST_COORDINATES = 4, 16
+#: Coordinates of a point: the power of two from the set's size on, and this many at least.
+LEAST_COORDINATES = 16
+#: Star rounds after the first, and leaders that a text meets in one, at most.
+STAR_ROUNDS, LEADERS = 3, 8
 #: Rows of a page, by corpus counts, that one task ranks; larger pages are salted.
 SALT_ROWS = 50_000
 #: Rows of a page that are one tree; a larger page is joined tree by tree.
@@ -105,16 +111,29 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def point_of(shingles: np.ndarray) -> np.ndarray:
-    """Counts per group; the number of groups is a power of two by the size of the set."""
+    """Counts per group, a byte each; the number of groups is a power of two by the size of the set."""
     groups = LEAST_COORDINATES
-    while groups * PER_COORDINATE < len(shingles):
+    while groups < len(shingles):
         groups *= 2
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+    while True:
+        counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max() <= 255:
+            return counts.astype(np.uint8)
+        groups *= 2  # distinct hashes part sooner or later
+
+
+def packed(point: np.ndarray) -> bytes:
+    """Most counts are 0 or 1: a point packs to about a third."""
+    return zlib.compress(point.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8)
 
 
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     """The point over fewer groups."""
-    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0, dtype=point.dtype)
+    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0, dtype=np.int64)
 
 
 def may_link(shared: int, n_a: int, n_b: int, percent: int = PERCENT) -> bool:
@@ -226,7 +245,7 @@ def _points(texts: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 group = (shingles >> shift).astype(np.int64)
                 # ceil(n * percent / 100) shingles at least are shared
                 first = np.lexsort((shingles, counts[group]))[:n + 1 - -(-n * percent // 100)] if n else []
-                rows.append((doc_id, tid, n, point_of(shingles).tobytes() if n else None,
+                rows.append((doc_id, tid, n, packed(point_of(shingles)) if n else None,
                              shingles[first].view(np.int64), salts_of[group[first]].astype(np.int32)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -243,7 +262,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             a, b, n_a, n_b, p_a, p_b = batch.columns
-            keep = [bound_passes(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4"), n, m, percent)
+            keep = [bound_passes(unpacked(x.as_py()), unpacked(y.as_py()), n, m, percent)
                     for x, y, n, m in zip(p_a, p_b, n_a.to_pylist(), n_b.to_pylist())]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -283,7 +302,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     with_b = pairs.join(made.select(F.col("tid").alias("b"), F.col("shingles").alias("s_b")), "b")
     both = with_b.join(made.select(F.col("tid").alias("a"), F.col("shingles").alias("s_a")), "a")
-    return written(both.select("a", "b", "s_a", "s_b").mapInArrow(compared, "a long, b long"), "links")
+    links = written(both.select("a", "b", "s_a", "s_b").mapInArrow(compared, "a long, b long"), "links")
+    discard(made)
+    return links
 
 
 def _page_pairs(pages: DataFrame, percent: int) -> DataFrame:
@@ -294,9 +315,12 @@ def _page_pairs(pages: DataFrame, percent: int) -> DataFrame:
         def pairs():
             if key is None:
                 return None
-            left = tree_of([m[1:] for m in members if m[0] == key[1]])
-            right = left if key[1] == key[2] else tree_of([m[1:] for m in members if m[0] == key[2]])
-            found = list(tree_pairs(left, right, percent))
+            left = [m[1:] for m in members if m[0] == key[1]]
+            right = [m[1:] for m in members if m[0] == key[2]]
+            if not left or not right:  # a part may be empty
+                return None
+            left = tree_of(left)
+            found = list(tree_pairs(left, left if key[1] == key[2] else tree_of(right), percent))
             return pa.RecordBatch.from_arrays(
                 [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -307,7 +331,7 @@ def _page_pairs(pages: DataFrame, percent: int) -> DataFrame:
                     if (out := pairs()) is not None:
                         yield out
                     key, members = (h, i, j), []
-                members.append((part, tid, component, n, np.frombuffer(point.as_py(), "<u4")))
+                members.append((part, tid, component, n, unpacked(point.as_py())))
         if (out := pairs()) is not None:
             yield out
 
@@ -318,11 +342,12 @@ def linked_texts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, t
     """(rows, components): (doc_id, tid, n) of every row, and (tid, component) of the linked texts."""
     texts = _texts(docs)
     counts = group_counts(texts, size)
-    rows = written(_points(texts, counts, size, percent), "points")
-    points = rows.where(F.col("point").isNotNull()).select("tid", "n", "point")
+    table = written(_points(texts, counts, size, percent), "points")
+    rows = written(table.select("doc_id", "tid", "n"), "rows")
+    points = table.where(F.col("point").isNotNull()).select("tid", "n", "point")
 
     # Members of pages of more than one text, each with the page's least member (of its salt).
-    posted = rows.where(F.col("point").isNotNull()).select(
+    posted = table.where(F.col("point").isNotNull()).select(
         "tid", F.explode(F.arrays_zip("prefix", "salts")).alias("p")).select(
         "tid", F.col("p.prefix").alias("h"), F.when(F.col("p.salts") > 1, F.pmod("tid", "p.salts")).otherwise(F.lit(-1)).alias("salt"))
     page = Window.partitionBy("h", "salt")
@@ -335,33 +360,55 @@ def linked_texts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, t
     stars = written(stars.where("a <> b").distinct(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
     used = written(points.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]), "used-points")
+    discard(table)
     links = _verified(written(_bounded(stars, used, percent), "bounded"), texts, size, percent)
     components = written(connected_components(links), "components")
 
-    # What is left: members of different components in pages of three texts or more.
-    members = posted.select("h", "tid").distinct().join(
-        components.select(F.col("node").alias("tid"), "component"), "tid", "left").select(
-        "h", "tid", F.coalesce("component", "tid").alias("component"))
-    members = written(members, "members")
-    each = members.groupBy("h").agg(
-        F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.bit_xor(F.xxhash64("tid")).alias("mark"), F.min("tid").alias("first"), F.max("tid").alias("last"))
+    posted = posted.select("h", "tid").distinct()
+    before = []
+    for round_no in range(1, STAR_ROUNDS + 2):
+        # What is left: members of different components in pages of three texts or more.
+        members = posted.join(components.withColumnRenamed("node", "tid"), "tid", "left").select(
+            "h", "tid", F.coalesce("component", "tid").alias("component"))
+        members = written(members, "members")
+        discard(*before)
+        before = [members]
+        draw = F.min(F.struct(F.xxhash64("tid", F.pmod("h", F.lit(LEADERS)), F.lit(round_no)).alias("x"), "tid", "component"))
+        each = members.groupBy("h").agg(
+            F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+            F.bit_xor(F.xxhash64("tid")).alias("mark"), F.min("tid").alias("first"), F.max("tid").alias("last"),
+            draw.alias("leader"))
+        open_pages = written(each.where("lo <> hi and m > 2"), "open-pages")
+        if open_pages.isEmpty():
+            break
+        # Later rounds look at no page that is closed by now: components only grow.
+        posted = members.join(open_pages.select("h", "m", "leader"), "h")
+        if round_no <= STAR_ROUNDS:
+            stars = posted.where("component <> leader.component").select(
+                F.least("tid", "leader.tid").alias("a"), F.greatest("tid", "leader.tid").alias("b")).distinct()
+        else:
+            stars = _late_pairs(posted, open_pages, used, percent, tree_rows)
+        found = _verified(written(stars if round_no > STAR_ROUNDS else _bounded(stars, used, percent), "bounded"), texts, size, percent)
+        posted = posted.select("h", "tid")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            components = written(connected_components(links), "components")
+    discard(*before, used)
+    return rows, components.withColumnRenamed("node", "tid")
+
+
+def _late_pairs(members: DataFrame, pages: DataFrame, points: DataFrame, percent: int, tree_rows: int) -> DataFrame:
+    """Pairs of different components in one page whose bound suffices."""
     # Of pages with the same members one is enough.
-    open_pages = each.where("lo <> hi and m > 2").groupBy("m", "mark", "first", "last").agg(F.min("h").alias("h")).select("h", "m")
-    open_pages = written(open_pages, "open-pages")
+    chosen = pages.groupBy("m", "mark", "first", "last").agg(F.min("h").alias("h")).select("h")
     parts = F.ceil(F.col("m") / tree_rows).cast("int")
-    dealt = (members.join(open_pages, "h").withColumn("parts", parts)
+    dealt = (members.join(written(chosen, "chosen-pages"), "h").withColumn("parts", parts)
              .withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     # A page of several trees: each pair of trees (i, j) is a group of its own.
     dealt = dealt.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "tid", "component")
-    dealt = dealt.join(used, "tid").select("h", "i", "j", "part", "tid", "component", "n", "point")
-    dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    late = _verified(written(_page_pairs(dealt, percent), "late-pairs"), texts, size, percent)
-    if late.isEmpty():
-        return rows.select("doc_id", "tid", "n"), components.withColumnRenamed("node", "tid")
-    joined = links.unionByName(late)
-    return rows.select("doc_id", "tid", "n"), written(connected_components(joined), "components").withColumnRenamed("node", "tid")
+    dealt = dealt.join(points, "tid").select("h", "i", "j", "part", "tid", "component", "n", "point")
+    return _page_pairs(dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), percent)
 
 
 def component_report(docs: DataFrame, **params) -> DataFrame:
@@ -388,11 +435,15 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     labelled = rows.where("n > 0").join(components, "tid", "left")
     best = labelled.groupBy(F.coalesce("component", "tid").alias("component")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("best"))
-    winners = written(best.select("best.tid", F.col("best.doc_id").alias("id"), F.lit(True).alias("wins")), "winners")
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own"),
+    rows_of = rows.where("n > 0").groupBy("tid", "doc_id").agg((F.count(F.lit(1)) > 1).alias("again"))
+    best = best.select(F.col("best.tid").alias("best_tid"), F.col("best.doc_id").alias("id"))
+    winners = best.join(rows_of, (F.col("best_tid") == F.col("tid")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    winners = written(winners.select("tid", "id", "again"), "winners")
+    packed_rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own"),
                          F.xxhash64(text_of()).alias("own_tid"), (~text_of().rlike(SPACED_WORD)).alias("no_words"))
     mine = (F.col("own_tid") == F.col("tid")) & F.col("own").eqNullSafe(F.col("id"))
-    kept = packed.join(small(winners, 100_000), mine, "left").where("wins or no_words")
-    # Repeated rows of a winner: one stays.
-    again = Window.partitionBy("own_tid", "own").orderBy(F.lit(1))
-    return kept.withColumn("no", F.row_number().over(again)).where("no = 1 or no_words").select("row.*")
+    kept = packed_rows.join(small(winners, 1_000_000), mine, "left").where("again is not null or no_words")
+    # Repeated rows of a winner: one stays. Only those rows, if any, are shuffled.
+    repeated = kept.where("again").withColumn("no", F.row_number().over(Window.partitionBy("own_tid", "own").orderBy(F.lit(1))))
+    out = kept.where("not coalesce(again, false)").select("row.*")
+    return out.unionByName(repeated.where("no = 1").select("row.*"))
