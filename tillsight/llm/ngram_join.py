@@ -351,7 +351,8 @@ def linked_texts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, t
         "tid", F.explode(F.arrays_zip("prefix", "salts")).alias("p")).select(
         "tid", F.col("p.prefix").alias("h"), F.when(F.col("p.salts") > 1, F.pmod("tid", "p.salts")).otherwise(F.lit(-1)).alias("salt"))
     page = Window.partitionBy("h", "salt")
-    posted = posted.select("h", "salt", "tid", F.min("tid").over(page).alias("least"), F.max("tid").over(page).alias("most"))
+    posted = posted.select("h", "salt", "tid", F.min("tid").over(page).alias("least"), F.max("tid").over(page).alias("most"),
+                           F.count(F.lit(1)).over(page).alias("rows"))
     posted = written(posted.where("least <> most or salt >= 0"), "pages")
     salted = posted.where("salt >= 0").select("h", "least").distinct()
     tops = salted.groupBy("h").agg(F.min("least").alias("top"))
@@ -364,7 +365,8 @@ def linked_texts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, t
     links = _verified(written(_bounded(stars, used, percent), "bounded"), texts, size, percent)
     components = written(connected_components(links), "components")
 
-    posted = posted.select("h", "tid").distinct()
+    # A page of two is done; only the rows of larger ones go on.
+    posted = posted.where("rows > 2 or salt >= 0").select("h", "tid").distinct()
     before = []
     for round_no in range(1, STAR_ROUNDS + 2):
         # What is left: members of different components in pages of three texts or more.
