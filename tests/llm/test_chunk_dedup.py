@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tillsight.llm.chunk_dedup import GEAR, LEAST, MOST, cut_points, gear_hash, repeated_spans, text_chunks
+from tillsight.llm.chunk_dedup import GEAR, LEAST, MOST, cut_points, gear_hash, repeated_spans, shared_size, text_chunks
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzäß日"
 
@@ -88,3 +88,42 @@ def test_awkward_rows(awkward, clashing):
     assert {(r.doc_id, tuple(r.first_doc_ids)) for r in got} <= {(i, (f,)) for i in (1, 2, 9) for f in (None, 8)} | {(1, ()), (2, ())}  # the copies with a null id come first
     assert any(r.doc_id == 9 and r.n_words == 60_000 for r in got)
     assert repeated_spans(awkward.where("false")).collect() == []
+
+
+def test_text_without_spaces_and_short_whole_copies(make_docs):
+    rnd = random.Random(4)
+
+    def unspaced(n):
+        return "".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(n))
+
+    whole, part, line = unspaced(5000), unspaced(120), "x".join(str(rnd.random()) for _ in range(40))
+    docs = [(1, whole), (2, whole), (3, unspaced(300) + part + unspaced(200)), (4, unspaced(90) + part + unspaced(100)),
+            (5, line), (6, "z" + line + "z"), (7, "two words"), (8, "two words"), (9, "other words")]
+    got = {r.doc_id: r for r in repeated_spans(make_docs(docs)).collect()}
+    assert set(got) == {2, 4, 6, 8}
+    assert (got[2].start, got[2].end) == (0, 5000) and (got[8].start, got[8].end, got[8].n_words) == (0, 9, 2)
+    assert 90 <= got[4].start < got[4].end <= 210 and got[4].first_doc_ids == [3]
+
+
+def test_the_bar_sees_the_whole_shared_passage(make_docs):
+    """Every passage of 51 one-letter words that shares a chunk is reported, however few words the chunk has."""
+    rnd = random.Random(12)
+    docs, want, few = [], set(), 0
+    for i in range(0, 600, 2):
+        passage = " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(51))
+        a, b = (words(rnd, 40) + " " + passage + " " + words(rnd, 40) for _ in range(2))
+        docs += [(i, a), (i + 1, b)]
+        first = set(text_chunks(a)[0].tolist())
+        digests, _, n_words = text_chunks(b)
+        shared = [int(n) for d, n in zip(digests.tolist(), n_words) if d in first]
+        if shared:
+            want.add(i + 1)
+            few += sum(shared) < 10
+    assert few > 0
+    assert {r.doc_id for r in repeated_spans(make_docs(docs)).collect()} == want
+
+
+def test_size_of_what_is_shared_beyond_a_run():
+    assert shared_size("xx one two ", "yy one two ", ".three four", ".three five") == (3, 16)  # " one two " and "three f"
+    assert shared_size("", "abc", "a", "a") == (0, 0) and shared_size("日本", "木本", "語日", "語日") == (0, 6)
+    assert shared_size("ab", "ab", "x", "y") == (1, 2)
