@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -69,3 +70,19 @@ def test_awkward_rows(awkward, clashing):
     assert language_report(clashing(awkward)).count() == awkward.count()
     assert language_report(awkward.where("false")).collect() == []
     assert {r.lang_pred for r in language_report(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+UNLEARNED = {"fi": "ja talo joki kaunis yli syy oli että kanssa mistä ei se", "tr": "ve ev nehir güzel değil ile neden bir bu şey için çok",
+             "pl": "i dom rzeka piękny nie przez powód był że skąd się jest"}
+
+
+def test_far_latin_texts_of_any_length_are_rejected(corpus):
+    rnd = random.Random(3)
+    model = fit(corpus)
+    for n in (20, 200, 2000):
+        for lang, text in UNLEARNED.items():
+            assert model.predict(" ".join(rnd.choices(text.split(), k=n)))[2], (lang, n)
+        letters = (" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(n)))
+        assert model.predict(letters)[2] and model.predict(base64.b64encode(rnd.randbytes(5 * n)).decode())[2], n
+        for lang, vocab in VOCAB.items():
+            assert model.predict(" ".join(rnd.choices(vocab, k=n)))[::2] == (lang, False)

@@ -4,7 +4,8 @@ A text becomes a vector of hashed character 1- to 3-grams (letters in lower case
 everything between words one space), weighted by TF-IDF and normalised. Each
 language has several centroids, clustered by spherical k-means from a bounded
 sample of its labelled texts. A text gets the language of the centroid with the
-highest cosine; below a distance bound it is rejected.
+highest cosine; below that centroid's bound for texts of its length it is rejected.
+The bounds are learned from the cosines of the sample.
 """
 
 from __future__ import annotations
@@ -24,8 +25,14 @@ DIM = 1 << 13
 SAMPLE_PER_LANGUAGE = 1_000
 #: Centroids per language, and k-means rounds.
 CENTROIDS, ROUNDS = 4, 8
-#: Least cosine of a text that is not rejected.
+#: Least cosine of a text that is not rejected, whatever was learned.
 LEAST_COSINE = 0.1
+#: A centroid's bound: this quantile of the cosines of the sample's texts nearest to it, times this margin.
+BOUND_QUANTILE, BOUND_MARGIN = 0.01, 0.6
+#: Texts that a quantile is taken of, at least: with fewer those of the language's centroids are taken together.
+BOUND_ROWS = 50
+#: Length classes of bounds (cosines rise with length): class i has texts of 2**i letters and spaces or more.
+LENGTHS = 21
 #: The label of texts without letters.
 UNKNOWN = "und"
 #: Code points that are turned into n-grams at a time (a longer text takes several turns).
@@ -85,22 +92,67 @@ def spherical_kmeans(rows: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS)
     return centers
 
 
+def length_class(counts: np.ndarray) -> int:
+    """The class of a text by its n-grams, of which it has three per letter or space."""
+    return min(int(np.log2(max(counts.sum() / 3, 1))), LENGTHS - 1)
+
+
 class Model:
-    """``languages[i]`` is the language of centroid ``i``; ``idf`` weighs the counts."""
+    """``languages[i]`` is the language of centroid ``i``; ``idf`` weighs the counts; ``bounds[i, j]`` is
+    the least cosine of a text of length class ``j`` that centroid ``i`` does not reject (``least`` if not given)."""
 
-    def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray, least: float):
+    def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray, least: float,
+                 bounds: np.ndarray | None = None):
         self.languages, self.centroids, self.idf, self.least = languages, centroids.astype(np.float32), idf, least
+        self.bounds = np.full((len(languages), LENGTHS), least) if bounds is None else bounds
+
+    def nearest(self, counts: np.ndarray) -> tuple[int, float]:
+        """(centroid, cosine in 0 to 1)."""
+        vector = _unit(np.log1p(counts) * self.idf).astype(np.float32)
+        cosines = self.centroids @ vector
+        best = int(np.argmax(cosines))
+        return best, float(min(max(cosines[best], 0.0), 1.0))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine in 0 to 1, rejected)."""
         counts = ngram_counts(text)
         if counts is None or not self.languages:
             return UNKNOWN, 0.0, True
-        vector = _unit(np.log1p(counts) * self.idf).astype(np.float32)
-        cosines = self.centroids @ vector
-        best = int(np.argmax(cosines))
-        score = float(min(max(cosines[best], 0.0), 1.0))
-        return self.languages[best], score, score < self.least
+        best, score = self.nearest(counts)
+        return self.languages[best], score, bool(score < self.bounds[best, length_class(counts)])
+
+
+def learned_bounds(model: Model, sample: DataFrame) -> np.ndarray:
+    """The bounds of ``model`` from the texts of ``sample`` and their beginnings of 8, 16, 32 ... code points.
+
+    With too few texts of a class near a centroid, all near its language's count; with
+    too few of these the bound of the next shorter class holds, so that a text longer
+    than all of the sample is held to no more than they are. The driver receives two
+    quantiles per centroid and class.
+    """
+    def cosines(frames):
+        for frame in frames:
+            made = []
+            for text in frame["text"]:
+                sizes = [1 << i for i in range(3, LENGTHS) if 1 << i < len(text)]
+                for part in [text[:n] for n in sizes] + [text]:
+                    if (counts := ngram_counts(part)) is not None:
+                        no, cosine = model.nearest(counts)
+                        made.append((no, model.languages[no], length_class(counts), cosine))
+            yield pd.DataFrame(made, columns=["no", "lang", "size", "cosine"])
+
+    near = written(sample.select("text").mapInPandas(cosines, "no int, lang string, size int, cosine double"), "lang-cosines")
+    low = {}
+    for by in ("no", "lang"):
+        found = near.groupBy(by, "size").agg(F.percentile("cosine", F.lit(BOUND_QUANTILE)).alias("low"), F.count(F.lit(1)).alias("n"))
+        low.update({(r[by], r["size"]): r["low"] for r in found.where(F.col("n") >= BOUND_ROWS).collect()})
+    bounds = np.full((len(model.languages), LENGTHS), model.least)
+    for no, lang in enumerate(model.languages):
+        for size in range(LENGTHS):
+            shorter = bounds[no, size - 1] if size else model.least
+            least = low.get((no, size), low.get((lang, size)))
+            bounds[no, size] = shorter if least is None else max(model.least, BOUND_MARGIN * least)
+    return bounds
 
 
 def held_out() -> Column:
@@ -126,10 +178,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTR
 
     def vectors(frames):
         for frame in frames:
-            made = [(lang, c) for lang, text in zip(frame["lang"], frame["text"]) if (c := ngram_counts(text)) is not None]
-            yield pd.DataFrame({"lang": [m[0] for m in made], "counts": [m[1].astype("<f4").tobytes() for m in made]})
+            made = [(lang, c, text) for lang, text in zip(frame["lang"], frame["text"]) if (c := ngram_counts(text)) is not None]
+            yield pd.DataFrame({"lang": [m[0] for m in made], "counts": [m[1].astype("<f4").tobytes() for m in made],
+                                "text": [m[2] for m in made]})
 
-    sample = written(sample.mapInPandas(vectors, "lang string, counts binary"), "lang-sample")
+    sample = written(sample.mapInPandas(vectors, "lang string, counts binary, text string"), "lang-sample")
 
     def frequencies(frames):
         df, n = np.zeros(DIM), 0
@@ -148,9 +201,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTR
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "no": range(len(centers)),
                              "centroid": [c.tolist() for c in centers]})
 
-    found = sample.groupBy("lang").applyInPandas(clustered, "lang string, no int, centroid array<double>").collect()
+    found = sample.select("lang", "counts").groupBy("lang").applyInPandas(clustered, "lang string, no int, centroid array<double>").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["no"]))
-    return Model([r["lang"] for r in found], np.array([r["centroid"] for r in found]).reshape(-1, DIM), idf, least)
+    model = Model([r["lang"] for r in found], np.array([r["centroid"] for r in found]).reshape(-1, DIM), idf, least)
+    model.bounds = learned_bounds(model, sample)
+    return model
 
 
 def predicted(model: Model, text: str = "text") -> Column:
