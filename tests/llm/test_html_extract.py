@@ -71,3 +71,13 @@ def test_awkward_rows(spark):
     got = main_text_report(df.withColumn("text", df.html).withColumn("n_chars", df.url)).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 0, 399_999]
     assert main_text_report(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<article><p>one <svg class="i"/> two</p><p>three</p></article>', "one two\n\nthree"),
+    ('<article><p>one <svg class="i" /> two <svg><path d="M0"/>no</svg> three</p></article>', "one two three"),
+    ("<article><template-card><p>one</p></template-card><svg-icon></svg-icon><p>two</p></article>", "one\n\ntwo"),
+    ("<article><p>one</p><template><p>no</p></template><iframe src=x>no</iframe><svg\n><text>no</text></svg><p>two</p></article>", "one\n\ntwo")])
+def test_raw_elements_end_where_they_do(html, text):
+    weights = item_weights(class_counts([page(random.Random(i))[0] for i in range(20)]))
+    assert main_text(html, weights) == text

@@ -35,7 +35,8 @@ LEAST_SCORE = 0.5
 
 _ITEM = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg(?=[\s/])[^>]*/>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>"""
     r"|<[/!?a-z][^>]*>"
     r"|(?P<text>[^<]+|<)", re.I | re.S)
