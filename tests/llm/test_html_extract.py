@@ -81,3 +81,28 @@ def test_awkward_rows(spark):
 def test_raw_elements_end_where_they_do(html, text):
     weights = item_weights(class_counts([page(random.Random(i))[0] for i in range(20)]))
     assert main_text(html, weights) == text
+
+
+STORY = "<p>" + " ".join(WORDS) + "</p><p>" + " ".join(WORDS[:7]) + "</p>"
+STORY_TEXT = " ".join(WORDS) + "\n\n" + " ".join(WORDS[:7])
+ASIDE = '<div class="sidebar"><p>more to read here</p></div><div id="comments"><article class="comment"><p>nice one</p></article></div>'
+
+
+@pytest.mark.parametrize("wrap", [
+    '<div class="container has-sidebar">{}</div>', '<div class="no-sidebar">{}</div>', '<div class="layout-with-nav">{}</div>',
+    '<form id="aspnetForm">{}</form>', '<div class="page-header-fixed"><div id="site-overlay">{}</div></div>', '<div class="widget">{}</div>'])
+@pytest.mark.parametrize("inner", [
+    "<article>{}</article>", "<main>{}</main>", '<article><div class="post social-share-enabled">{}</div></article>',
+    '<div class="post social-share-buttons">{}</div>', "<article class='post ad-free'>{}</article>",
+    '<article><div class="post social-share-buttons">{}</div><div id="comments"><p>first words of a comment</p></div></article>'])
+def test_wrappers_of_the_content_are_no_furniture(wrap, inner):
+    weights = item_weights(class_counts([page(random.Random(i))[0] for i in range(20)]))
+    body = wrap.format(inner.format(STORY) + ASIDE)
+    assert main_text(f"<html><body><nav><a href=x>Home</a></nav>{body}<footer>&copy; us</footer></body></html>", weights) == STORY_TEXT
+
+
+def test_furniture_beside_the_content_stays_furniture():
+    weights = item_weights(class_counts([page(random.Random(i))[0] for i in range(20)]))
+    related = '<div class="related-posts">' + "<article><p>other story of many words to read next</p></article>" * 9 + "</div>"
+    assert main_text(f"<article>{STORY}</article>{related}", weights) == STORY_TEXT
+    assert main_text(f"<main>{STORY}{related}<form>Your name please</form></main>", weights) == STORY_TEXT

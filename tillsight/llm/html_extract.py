@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,46 +61,117 @@ FURNITURE_NAMES = frozenset(
     "notification popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended comment comments discussion disqus respond reply replies pagination pager toolbar skip copyright".split())
 
+ARTICLE_FURNITURE = frozenset("comment comments reply ad advert promo related".split())
+#: A class that tells of a state of the element or of what goes with it does not name the element.
+_STATE = re.compile(r"(?:has|no|not|is|with|without)[-_]|.*[-_](?:with|without|no|has)[-_]|.*[-_](?:enabled|disabled|open|opened|closed|free)$", re.I)
+#: Share of the words outside links that an element must hold so that a name or form does not make it
+#: furniture; more if a whole class or id of it is such a name ('comments'), or within labelled content.
+HELD, HELD_NAMED = 0.5, 0.9
+
 OUT, IN, UNLABELLED = 0, 1, 2
+SURE, BY_NAME, BY_WHOLE_NAME = 1, 2, 3
 
 
 class _Open:
-    __slots__ = ("tag", "furniture", "article", "main")
+    __slots__ = ("tag", "furniture", "article", "main", "named", "label", "first")
 
-    def __init__(self, tag, furniture, article, main):
+    def __init__(self, tag, furniture, article, main, named, label, first):
         self.tag, self.furniture, self.article, self.main = tag, furniture, article, main
+        self.named, self.label, self.first = named, label, first
 
 
 def _attributes(attrs: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(attrs)} if attrs and not attrs.isspace() else {}
 
 
-def _is_furniture(tag: str, at: dict[str, str], within: bool) -> bool:
-    if tag in FURNITURE_TAGS or (tag == "header" and not within):
-        return True
-    if not at:
-        return False
-    if (at.get("role", "").lower() in FURNITURE_ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true"
-            or re.search(r"display\s*:\s*none", at.get("style", ""), re.I)):
-        return True
-    names = {n.lower() for n in _NAME.findall(f"{at.get('class', '')} {at.get('id', '')}")}
-    if tag in ("html", "body", "main"):
-        return False
-    if tag == "article":
-        return bool(names & {"comment", "comments", "reply", "ad", "advert", "promo", "related"})
-    return bool(names & FURNITURE_NAMES) or ("header" in names and not within)
+def _furniture(tag: str, at: dict[str, str], within: bool) -> int:
+    """0, or how it is known that the element is furniture: SURE, BY_NAME (or as a form) or BY_WHOLE_NAME."""
+    if (tag in FURNITURE_TAGS and tag != "form") or (tag == "header" and not within):
+        return SURE
+    if at and (at.get("role", "").lower() in FURNITURE_ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true"
+               or re.search(r"display\s*:\s*none", at.get("style", ""), re.I)):
+        return SURE
+    by_name = BY_NAME if tag == "form" else 0
+    if not at or tag in ("html", "body", "main"):
+        return by_name
+    known = ARTICLE_FURNITURE if tag == "article" else FURNITURE_NAMES if within else FURNITURE_NAMES | {"header"}
+    named = [c for c in f"{at.get('class', '')} {at.get('id', '')}".split() if not _STATE.match(c)]
+    if any(c.lower() in known for c in named):
+        return BY_WHOLE_NAME
+    return BY_NAME if any(n.lower() in known for c in named for n in _NAME.findall(c)) else by_name
+
+
+def _wrappers(items: list[tuple], named: list[list[int]], labels: list[tuple]) -> frozenset[int]:
+    """Numbers of the elements in ``named`` (number, how, first, end) that hold the page's content.
+
+    If an article or main (``labels``: is main, first, end) stands outside of all of them, those that hold
+    most of its words; else those around a main or the longest article; else those with most of the page's words.
+    Words in elements whose whole class or id is a furniture name don't count against the others.
+    """
+    sizes = [len(entities.unescape(i[6]).split()) if i[1] and not i[2] and not i[3] else 0 for i in items]
+    words = [0, *accumulate(sizes)]
+    free: set[int] = set()
+
+    def depth(spans):
+        steps = [0] * (len(items) + 1)
+        for first, end in spans:
+            steps[first] += 1
+            steps[end] -= 1
+        return list(accumulate(steps))
+
+    while True:
+        held = [e for e in named if e[0] not in free]
+        inside = depth((first, end) for _, _, first, end in held)
+        seen = [x for x in labels if not inside[x[1]]]
+        new: set[int] = set()
+        if labels and not seen:
+            mains = [x for x in labels if x[0]]
+            best = max(mains or labels, key=lambda x: words[x[2]] - words[x[1]])
+            new = {no for no, _, first, end in held if first <= best[1] < end}
+        else:
+            articles = [x for x in seen if not x[0]]
+            scope = depth((first, end) for _, first, end in articles or seen) if seen else [1] * len(items)
+            outer = depth((first, end) for _, how, first, end in held if how == BY_WHOLE_NAME)
+            every = [0, *accumulate(n if scope[i] else 0 for i, n in enumerate(sizes))]
+            other = [0, *accumulate(n if scope[i] and not outer[i] else 0 for i, n in enumerate(sizes))]
+            for no, how, first, end in held:
+                of = every if how == BY_WHOLE_NAME else other
+                if of[end] - of[first] > (HELD_NAMED if seen or how == BY_WHOLE_NAME else HELD) * of[-1]:
+                    new.add(no)
+        if not new:
+            return frozenset(free)
+        free |= new
 
 
 def page_items(page: str) -> tuple[list[tuple], bool, bool]:
-    """([(tag or '', is_text, in link, furniture, in article, in main, text)], has article, has main)."""
-    items, stack = [], []
-    links = 0
+    """([(tag or '', is_text, in link, furniture, in article, in main, text)], has article, has main).
+
+    A page with elements that only a name or a form makes furniture is read once without
+    these, to see which of them hold its content.
+    """
+    items, has_article, has_main, named, labels = _read(page, None)
+    if not named:
+        return items, has_article, has_main
+    return _read(page, _wrappers(items, named, labels))[:3]
+
+
+def _read(page: str, free: frozenset[int] | None) -> tuple[list[tuple], bool, bool, list[list[int]], list[tuple]]:
+    """The items of a page, and its elements with furniture names and its labels, as ``_wrappers`` takes them.
+
+    Of the elements with such names those in ``free`` are not furniture, without ``free`` none is.
+    """
+    items, stack, named, labels = [], [], [], []
+    links = number = 0
     furniture = article = main = 0
     has_article = has_main = False
 
     def pop():
         nonlocal links, furniture, article, main
         e = stack.pop()
+        if e.named:
+            e.named[3] = len(items)
+        if e.label and not furniture:
+            labels.append((e.main, e.first, len(items)))
         links -= e.tag == "a"
         furniture -= e.furniture
         article -= e.article
@@ -132,17 +204,25 @@ def page_items(page: str) -> tuple[list[tuple], bool, bool]:
         if tag in VOID or m["attrs"].endswith("/"):
             continue
         at = _attributes(m["attrs"])
-        off = _is_furniture(tag, at, article > 0 or main > 0)
+        how = _furniture(tag, at, article > 0 or main > 0)
+        number += 1
+        off = how == SURE or (how > SURE and free is not None and number not in free)
+        mark = [number, how, len(items), 0] if how > SURE else None
+        if mark and not furniture:
+            named.append(mark)
         is_article = tag == "article" and not off
         is_main = not off and (tag == "main" or at.get("role", "").lower() == "main" or at.get("itemprop") == "articleBody")
         has_article |= is_article and not furniture
         has_main |= is_main and not furniture
-        stack.append(_Open(tag, off, is_article, is_main))
+        # A named article is a label of its own only when it is read as one.
+        stack.append(_Open(tag, off, is_article, is_main, mark, (is_article or is_main) and not mark, len(items)))
         links += tag == "a"
         furniture += off
         article += is_article
         main += is_main
-    return items, has_article, has_main
+    while stack:
+        pop()
+    return items, has_article, has_main, named, labels
 
 
 def item_class(item: tuple, where: int) -> str:
