@@ -67,3 +67,33 @@ def test_awkward_rows(awkward, clashing):
     got = secret_report(clashing(awkward)).collect()
     assert len(got) == awkward.count() and all(r.spans == "" for r in got)
     assert secret_report(awkward.where("false")).collect() == []
+
+
+def brute_by_gap(text, scope=SCOPE):
+    """As ``brute``, with the distance from the end of a part to the start of the other."""
+    parts, out = parts_of(text), []
+    for start, kind, end in parts:
+        near = [(ROLE[KINDS[k]], k < len(STRONG)) for s, k, e in parts if max(s - end, start - e) <= scope and ROLE[KINDS[k]] != ROLE[KINDS[kind]]]
+        if kind < len(STRONG) or any(strong for _, strong in near) or len({r for r, _ in near}) == 2:
+            out.append((start, kind, end))
+    return out
+
+
+def test_gaps_match_brute_force(make_docs):
+    rnd = random.Random(21)
+    pieces = [*PIECES, "token=" + "a1B2" * 70 + " ", "https://db.example.com/" + "p" * 300 + "?user=alice&x=" + "q" * 300 + " ", "x" * 3]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14))) for _ in range(300)]
+    got = {r.doc_id: r for r in secret_report(make_docs(list(enumerate(texts))), gaps=True).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].spans == listed(brute_by_gap(text))
+        assert got[i].base_sha256 == hashlib.sha256(listed(base_spans(text)).encode()).hexdigest()
+    assert sum(brute(t) != brute_by_gap(t) for t in texts) > 20
+
+
+def test_the_query_links_what_follows_a_long_secret(spark, make_docs, tmp_path):
+    from tillsight.llm.queries import op2_credential_links
+    token = "token=" + "a1B2" * 80
+    far = " y" * 100 + " "  # 201 code points
+    docs = make_docs([(1, f"{token} https://db.example.com"), (2, f"{token}{far[1:]}user: bob"), (3, f"{token}{far}https://db.example.com"), (4, None)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_linked for r in op2_credential_links(spark, str(tmp_path)).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}

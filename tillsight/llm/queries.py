@@ -19,7 +19,7 @@ def op1_token_store(spark, sf_dir):
 
 
 def op2_credential_links(spark, sf_dir):
-    return secret_links.secret_report(table(spark, sf_dir, "documents"))
+    return secret_links.secret_report(table(spark, sf_dir, "documents"), gaps=True)
 
 
 def op3_exact_dedup(spark, sf_dir):

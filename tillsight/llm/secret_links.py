@@ -14,6 +14,11 @@ each kind in its own and the two adjacent bins, which decides the test exactly:
 the own bin is all within the scope, of the bin before only the last position
 matters and of the bin after only the first. A text with thousands of parts so
 makes no pairs of them.
+
+With ``gaps``, as the query asks, the distance is not that of the starts but from the
+end of a part to the start of the next, so that a long secret does not push what
+follows it out of scope. Of all parts of a kind that start earlier the largest end
+decides then, of all later ones the first start: one pass each way over a text's parts.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import text_of, written
 
-#: Code points between the starts of two parts of one credential, at most.
+#: Code points between the starts (with ``gaps``: between the end and the start) of two parts of one credential, at most.
 SCOPE = 200
 
 #: Fixed values of the contract: kind, pattern, group whose length counts, least length.
@@ -75,14 +80,43 @@ def parts_of(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def linked_by_gap(parts: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
+    """The reported ones of a text's parts (in order): distances from end to start, touching and overlapping parts are near."""
+    groups = [(ROLE[KINDS[kind]], kind < len(STRONG)) for _, kind, _ in parts]
+    near: list[set] = [set() for _ in parts]
+    reach: dict[tuple[str, bool], int] = {}
+    for (start, _, end), own, found in zip(parts, groups, near):
+        found.update(g for g, z in reach.items() if start - z <= scope)
+        reach[own] = max(reach.get(own, 0), end)
+    ahead: dict[tuple[str, bool], int] = {}
+    for (start, _, end), own, found in zip(reversed(parts), reversed(groups), reversed(near)):
+        found.update(g for g, a in ahead.items() if a - end <= scope)
+        ahead[own] = start
+    kept = []
+    for part, (role, strong), found in zip(parts, groups, near):
+        others = [g for g in found if g[0] != role]
+        if strong or any(s for _, s in others) or len({r for r, _ in others}) == 2:
+            kept.append(part)
+    return kept
+
+
 def _scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: parts_of(t) if t else [])
 
 
-def credential_parts(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def credential_parts(docs: DataFrame, scope: int = SCOPE, gaps: bool = False) -> DataFrame:
     """(seq, doc_id, parts): the reported parts of every row, in order of start, then kind."""
     text = text_of()
+    if gaps:
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in _scan(texts):
+                yield batch.map(lambda parts: linked_by_gap(parts, scope))
+
+        run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        linked = F.pandas_udf(run, "array<struct<start:int,kind:int,end:int>>")
+        return docs.select(F.monotonically_increasing_id().alias("seq"), "doc_id",
+                           linked(F.when(text.rlike(MAY_HOLD), text).otherwise(F.lit(""))).alias("parts"))
     scan = F.pandas_udf(_scan, "array<struct<start:int,kind:int,end:int>>")
     scanned = docs.select(F.monotonically_increasing_id().alias("seq"), "doc_id",
                           scan(F.when(text.rlike(MAY_HOLD), text).otherwise(F.lit(""))).alias("parts"))
@@ -117,14 +151,14 @@ def _listed(parts: Column) -> Column:
         ":", F.element_at(names, p["kind"] + 1), p["start"].cast("string"), p["end"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def secret_report(docs: DataFrame, scope: int = SCOPE, gaps: bool = False) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all reported spans.
 
     A span is a whole match in code points, end exclusive (of an account, the
     name alone). Defined results: a null text counts as empty and has no spans;
     repeated rows are reported each; an empty table gives no rows.
     """
-    found = credential_parts(docs, scope)
+    found = credential_parts(docs, scope, gaps)
     base = F.filter("parts", lambda p: p["kind"] < len(STRONG))
 
     def count(kind):
