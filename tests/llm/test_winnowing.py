@@ -70,3 +70,23 @@ def test_no_benchmark_and_no_documents(spark, awkward):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert not any(r.contaminated for r in decontamination_report(awkward, bench.where("false")).collect())
     assert decontamination_report(awkward.where("false"), bench).collect() == []
+
+
+def test_windows_are_broadcast_by_their_own_number_and_bytes(spark, make_docs):
+    """Many windows share the fingerprint of one frequent 5-gram."""
+    from pyspark.sql import functions as F
+
+    from tillsight.llm.winnowing import benchmark_windows, contamination
+    docs, items = corpus(0)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = benchmark_windows(bench)
+    n, prints = known.count(), known.select("len", "m").distinct().count()
+    assert prints < n
+
+    def hinted(**bounds):
+        found = contamination(make_docs(docs), bench, {"doc_id": F.col("doc_id")}, **bounds)
+        return "strategy=broadcast" in found._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(broadcast_rows=n) and not hinted(broadcast_rows=prints) and not hinted(broadcast_bytes=100)
+    got = decontamination_report(make_docs(docs), bench, broadcast_rows=prints).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(docs, items)

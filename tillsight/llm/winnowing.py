@@ -19,8 +19,10 @@ WINDOW, GRAM = 10, 5
 #: Fixed value of the contract: what stands between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Benchmark fingerprints that are broadcast; more are joined by shuffle.
+#: Benchmark fingerprints, and windows, that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of words and item ids of the windows that are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 256 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -87,11 +89,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], window: int = WINDOW,
-                  gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                  gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS,
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The ``keep`` columns, n_words, n_hit, items (sorted ids) and contaminated, for every document.
 
     Defined results: a null text has no words; repeated rows are rows of their
-    own; without benchmark windows nothing is hit; no documents give no rows.
+    own; without benchmark windows nothing is hit, and items without id have none
+    (as in ``SQL``); no documents give no rows.
     """
     known = written(benchmark_windows(benchmark, window, gram), "bench")
     lengths = sorted(r["len"] for r in known.select("len").distinct().collect()) or [window]  # ``window`` values at most
@@ -122,7 +126,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column]
         F.when(F.col("r.len") == 0, F.size("words").cast("long")).alias("n_words"),
         F.when(F.col("r.len") > 0, cut).alias("span")), "hits")
 
-    exact = small(known.select("len", "key", "items"), broadcast_rows, n_prints)
+    # A fingerprint has any number of windows, and a window any number of items.
+    item_bytes = F.aggregate("items", F.lit(0).cast("long"), lambda n, i: n + F.octet_length(i) + 8)
+    extent = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("key") + item_bytes).alias("size")).first()
+    exact = known.select("len", "key", "items")
+    if (extent["size"] or 0) <= broadcast_bytes:
+        exact = small(exact, broadcast_rows, extent["n"])
     spans = found.where("len > 0").select("seq", "len", "first", "last", "span")
     windows = _windows(spans).join(exact, ["len", "key"])
     per_doc = windows.groupBy("seq").agg(
