@@ -6,6 +6,7 @@ from tillsight.llm import (
     chunk_dedup, exact_dedup, html_extract, lang_id, mixing, ngram_join, secret_links, sharding, token_store, winnowing,
 )
 from tillsight.llm.common import table
+from tillsight.llm.periodic_runs import op12_periodic_runs
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -55,7 +56,7 @@ def op10_systematic_mix(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op4_subsequence_text, op5_nearest_centroid, op6_winnowing, op7_extendible_shards, op8_gear_chunks,
-                                   op9_count_vector_join, op10_systematic_mix)}
+                                   op9_count_vector_join, op10_systematic_mix, op12_periodic_runs)}
 
 ORACLE = {
     "op3_exact_dedup": exact_dedup.SQL,
