@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tillsight.llm import (
-    chunk_dedup, exact_dedup, html_extract, lang_id, mixing, ngram_join, secret_links, sharding, token_store, winnowing,
+    chunk_dedup, collocations, exact_dedup, html_extract, lang_id, mixing, ngram_join, secret_links, sharding, token_store, winnowing,
 )
+from tillsight.llm.collocations import op13_collocations
 from tillsight.llm.common import table
 from tillsight.llm.periodic_runs import op12_periodic_runs
 
@@ -56,11 +57,12 @@ def op10_systematic_mix(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op4_subsequence_text, op5_nearest_centroid, op6_winnowing, op7_extendible_shards, op8_gear_chunks,
-                                   op9_count_vector_join, op10_systematic_mix, op12_periodic_runs)}
+                                   op9_count_vector_join, op10_systematic_mix, op12_periodic_runs, op13_collocations)}
 
 ORACLE = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op6_winnowing": winnowing.SQL,
     "op7_extendible_shards": sharding.SQL,
     "op10_systematic_mix": mixing.SQL,
+    "op13_collocations": collocations.SQL,
 }
