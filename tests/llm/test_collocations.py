@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tillsight.llm.collocations import collocations
+from tillsight.llm.collocations import collocations, windows
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -64,3 +64,20 @@ def test_awkward_rows(spark, awkward, clashing):
     assert sorted(tuple(r) for r in got) == plain(rows)
     assert {r["phrase"] for r in got} == {"wörd wörd wörd wörd"}  # a phrase of four holds its parts
     assert collocations(awkward.limit(0), slices=1).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 7, 60, 10_000])
+def test_windows_across_segments(spark, size):
+    """However small the segments that are counted at once, each word gives its whole window."""
+    rows = rows_of(9)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    found, expected = Counter(), Counter()
+    for part in range(2):
+        for r in windows(docs, part, 2, size).collect():
+            found[tuple(r)[:5]] += r["n"]
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOW)):
+            w = re.findall(r"[^\x20\x09]+", piece) + [None] * 3
+            for i in range(len(w) - 3):
+                expected[("und" if lang is None else lang, *w[i:i + 4])] += 1
+    assert found == expected

@@ -1,16 +1,16 @@
 """Phrase collocations by top-order marginalisation.
 
 Only the longest windows are counted: each word with the three that follow it in its
-piece, as columns w1..w4 padded with null at the piece's end (a word list zipped with
-itself shifted by one, two and three places). One ROLLUP over (lang, w1, .., w4) then
-sums these counts over ever shorter prefixes: the sum over a prefix of k words is how
-often that phrase occurs, and the sum over the language is its number of words. So no
-text is exploded into n-grams of several lengths.
+piece, as lead columns w1..w4 padded with null at the piece's end. One ROLLUP over
+(lang, w1, w2, w3) then sums these counts over ever shorter prefixes: the sum over a
+prefix of k words is how often that phrase occurs, and the sum over the language is
+its number of words. So no text is exploded into n-grams of several lengths.
 
+Equal windows of a few megabytes of text are counted before they leave their task, so
+a word, pair or language that holds a third of all windows is a few rows per task.
 The windows are counted in SLICES passes over the table, each taking the first words
 of one hash slice: the shuffles of a pass are let go before the next one, which bounds
-scratch space to a slice's. Counts are partial sums before every shuffle, so a word,
-pair or language that holds a third of all windows is a row per task.
+scratch space to a slice's.
 
 From then on only phrases with LEAST occurrences are kept: every part of a candidate
 occurs as often as the candidate itself.
@@ -18,8 +18,11 @@ occurs as often as the candidate itself.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,37 +33,113 @@ LEAST, TOP = 30, 2000
 #: A phrase goes if a longer one holds it in this per cent of its occurrences.
 ABSORBED = 80
 #: Passes over the table, each for a share of the first words.
-SLICES = 4
+SLICES = 3
+#: Bytes of text whose windows are counted together before they are shuffled.
+SEGMENT = 8 << 20
+#: Rows of a batch that goes back to Spark.
+ROWS = 1 << 16
 
 ORDER = 4
 COLUMNS = [f"w{i}" for i in range(1, ORDER + 1)]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SCHEMA = pa.schema([("lang", pa.string()), *[(c, pa.string()) for c in COLUMNS], ("n", pa.int64())])
 
+#: Stands between pieces: no byte of UTF-8.
+_END = b"\xff"
+_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _END * 10)
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(lang, w1..w4): a row per word, with the words that follow it in its piece; null past its end."""
-    low = F.translate(text_of(), UPPER, LOWER)
-    pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(low, r"[.,;:!?\x0A-\x0D]+")).alias("piece"))
-    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(r"([^\x20\x09]+)"), F.lit(1)).alias("words")).where(F.size("words") > 0)
-    ahead = [F.col("words").alias("w1")] + [
-        F.slice("words", i, F.size("words")).alias(f"w{i}") for i in range(2, ORDER + 1)]
-    return words.select("lang", F.explode(F.arrays_zip(*ahead)).alias("w")).select("lang", "w.*")
+
+def segments(octets: bytes, size: int):
+    """Lists of the words of a text, _END between its pieces and at its end, of about ``size`` bytes each."""
+    octets, at = octets.translate(_BYTES), 0
+    while at < len(octets):
+        end = min(len(octets), at + size)
+        while end < len(octets) and octets[end] not in b" \xff":
+            end += 1
+        yield octets[at:end].replace(_END, b" \xff ").split()
+        at = end
+    yield [_END]
+
+
+def counted_windows(words: list[bytes], langs: np.ndarray, names: list[str], last: int, part: int, parts: int):
+    """Batches (lang, w1..w4, n) of the windows that start at one of the first ``last`` words, in the slice ``part``.
+
+    ``langs`` numbers the language of every word by ``names``.
+    """
+    numbers: dict[bytes, int] = {_END: 0}
+    codes = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    own = np.array([zlib.crc32(w) % parts == part for w in numbers])
+    own[0] = False
+    starts = np.flatnonzero(own[codes[:last]])
+    if not len(starts):
+        return
+    codes = np.append(codes, np.zeros(ORDER, np.int64))
+    lead = [codes[starts]]
+    for i in range(1, ORDER):
+        lead.append(np.where(lead[-1] > 0, codes[starts + i], 0))
+    base = np.int64(len(numbers))
+    head = (langs[starts] * base + lead[0]) * base + lead[1]
+    tail = lead[2] * base + lead[3]
+    order = np.lexsort((tail, head))
+    head, tail = head[order], tail[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(head) != 0) | (np.diff(tail) != 0)]))
+    counts = np.diff(np.append(first, len(head)))
+    rows = order[first]
+    vocabulary = pa.array([None, *list(numbers)[1:]], pa.binary()).cast(pa.string())
+    langs_of = pa.array(names, pa.string())
+    for at in range(0, len(rows), ROWS):
+        pick = rows[at:at + ROWS]
+        columns = [langs_of.take(pa.array(langs[starts[pick]]))] + [vocabulary.take(pa.array(c[pick])) for c in lead]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[at:at + ROWS], pa.int64())], schema=SCHEMA)
+
+
+def windows(docs: DataFrame, part: int = 0, parts: int = 1, size: int = SEGMENT) -> DataFrame:
+    """(lang, w1..w4, n): counted windows of the words whose hash slice is ``part``."""
+    def run(batches):
+        words, runs, names, held = [], [], {}, 0
+
+        def flush(last: int):
+            nonlocal words, runs, names, held
+            langs = np.repeat([k for k, _ in runs], [n for _, n in runs]) if runs else np.zeros(0, np.int64)
+            yield from counted_windows(words, langs.astype(np.int64), list(names), last, part, parts)
+            # The last words wait for those that follow them.
+            words, kept = words[last:], [list(names)[k] for k in langs[last:].tolist()]
+            names = {}
+            runs, held = [(names.setdefault(k, len(names)), 1) for k in kept], 0
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                name = lang.as_py()
+                for more in segments(text.as_py(), size):
+                    words += more
+                    runs.append((names.setdefault(name, len(names)), len(more)))
+                    held += sum(map(len, more)) + len(more)
+                    if held >= size and len(words) >= ORDER:
+                        yield from flush(len(words) - ORDER + 1)
+        yield from flush(len(words))
+
+    columns = ", ".join(f"{c} string" for c in ("lang", *COLUMNS))
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text")).mapInArrow(run, f"{columns}, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, slices: int = SLICES) -> DataFrame:
     """(lang, words, phrase, f): phrases of 1 to 4 words with f >= least; words = 0 holds the language's own count."""
-    every = windows(docs)
     parts = []
     for i in range(slices):
-        own = every.where(F.pmod(F.xxhash64("w1"), F.lit(slices)) == i)
-        longest = own.groupBy("lang", *COLUMNS).agg(F.count(F.lit(1)).alias("n"))
-        sums = longest.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
-        # g has a bit for each column that is summed over: 2^j - 1 leaves the first ORDER - j words.
-        level = reduce(lambda c, k: c.when(F.col("g") == (1 << (ORDER - k)) - 1, k), range(1, ORDER + 1), F.when(F.col("g") == (1 << ORDER) - 1, 0))
-        last = F.element_at(F.array(F.lit(""), *COLUMNS), F.col("words") + 1)
-        sums = sums.withColumn("words", level).where("words = 0 or (words > 0 and f >= %d)" % least).where(last.isNotNull())
-        part = written(sums.select("lang", "words", F.concat_ws(" ", *COLUMNS).alias("phrase"), "f"), "phrase-counts")
-        parts.append(part)
+        # Dealt by three words: the sums over four and over three need no other shuffle.
+        dealt = windows(docs, i, slices).repartition("lang", "w1", "w2", "w3")
+        longest = dealt.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
+        threes = longest.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
+        # A third word that is too rare for a phrase needs no row of its own in the sums over two and one.
+        threes = threes.withColumn("w3", F.when(F.col("n") >= least, F.col("w3")))
+        sums = threes.rollup("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+        # g has a bit for each column that is summed over: 2^j - 1 leaves the first 3 - j words.
+        words = F.when(F.col("g") == 0, 3).when(F.col("g") == 1, 2).when(F.col("g") == 3, 1).when(F.col("g") == 7, 0)
+        last = F.element_at(F.array(F.lit(""), "w1", "w2", "w3"), F.col("words") + 1)
+        sums = sums.withColumn("words", words).where((F.col("words") == 0) | (F.col("f") >= least)).where(last.isNotNull())
+        sums = sums.select("lang", "words", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "f")
+        fours = longest.where((F.col("n") >= least) & F.col("w4").isNotNull()).select(
+            "lang", F.lit(4).alias("words"), F.concat_ws(" ", *COLUMNS).alias("phrase"), F.col("n").alias("f"))
+        parts.append(written(sums.unionByName(fours), "phrase-counts"))
         discard()
     whole = reduce(DataFrame.unionByName, parts)
     totals = whole.where("words = 0").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))

@@ -47,8 +47,9 @@ def discard(*tables: DataFrame) -> None:
             folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
     gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session._jvm.System.gc()
 
 
 def text_of(col: str = "text") -> Column:
