@@ -35,7 +35,7 @@ ABSORBED = 80
 #: Passes over the table, each for a share of the first words.
 SLICES = 3
 #: Bytes of text whose windows are counted together before they are shuffled.
-SEGMENT = 8 << 20
+SEGMENT = 12 << 20
 #: Rows of a batch that goes back to Spark.
 ROWS = 1 << 16
 
@@ -65,8 +65,9 @@ def counted_windows(words: list[bytes], langs: np.ndarray, names: list[str], las
 
     ``langs`` numbers the language of every word by ``names``.
     """
-    numbers: dict[bytes, int] = {_END: 0}
-    codes = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    coded = pa.array([_END, *words], pa.binary()).dictionary_encode()
+    codes = coded.indices.to_numpy()[1:].astype(np.int64)
+    numbers = coded.dictionary.to_pylist()
     own = np.array([zlib.crc32(w) % parts == part for w in numbers])
     own[0] = False
     starts = np.flatnonzero(own[codes[:last]])
@@ -84,7 +85,7 @@ def counted_windows(words: list[bytes], langs: np.ndarray, names: list[str], las
     first = np.flatnonzero(np.concatenate([[True], (np.diff(head) != 0) | (np.diff(tail) != 0)]))
     counts = np.diff(np.append(first, len(head)))
     rows = order[first]
-    vocabulary = pa.array([None, *list(numbers)[1:]], pa.binary()).cast(pa.string())
+    vocabulary = pa.array([None, *numbers[1:]], pa.binary()).cast(pa.string())
     langs_of = pa.array(names, pa.string())
     for at in range(0, len(rows), ROWS):
         pick = rows[at:at + ROWS]
@@ -121,25 +122,30 @@ def windows(docs: DataFrame, part: int = 0, parts: int = 1, size: int = SEGMENT)
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text")).mapInArrow(run, f"{columns}, n long")
 
 
+def _slice_counts(docs: DataFrame, least: int, part: int, parts: int) -> DataFrame:
+    """phrase_counts of the phrases whose first word is in one slice; the language's share of words among them."""
+    # Dealt by three words: the sums over three and over four need no other shuffle.
+    dealt = windows(docs, part, parts).repartition("lang", "w1", "w2", "w3")
+    threes = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
+    # A third word that is too rare for a phrase needs no row of its own in the sums over two and one.
+    threes = threes.withColumn("w3", F.when(F.col("n") >= least, F.col("w3")))
+    sums = threes.rollup("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    # g has a bit for each column that is summed over: 2^j - 1 leaves the first 3 - j words.
+    words = F.when(F.col("g") == 0, 3).when(F.col("g") == 1, 2).when(F.col("g") == 3, 1).when(F.col("g") == 7, 0)
+    last = F.element_at(F.array(F.lit(""), "w1", "w2", "w3"), F.col("words") + 1)
+    sums = sums.withColumn("words", words).where((F.col("words") == 0) | (F.col("f") >= least)).where(last.isNotNull())
+    sums = sums.select("lang", "words", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "f")
+    # One condition on count and word, so that it stays above the sum and both sums read the same shuffle.
+    fours = dealt.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("f")).where(F.when(F.col("f") >= least, F.col("w4")).isNotNull())
+    fours = fours.select("lang", F.lit(4).alias("words"), F.concat_ws(" ", *COLUMNS).alias("phrase"), "f")
+    return written(sums.unionByName(fours), "phrase-counts")
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, slices: int = SLICES) -> DataFrame:
     """(lang, words, phrase, f): phrases of 1 to 4 words with f >= least; words = 0 holds the language's own count."""
     parts = []
     for i in range(slices):
-        # Dealt by three words: the sums over four and over three need no other shuffle.
-        dealt = windows(docs, i, slices).repartition("lang", "w1", "w2", "w3")
-        longest = dealt.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
-        threes = longest.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-        # A third word that is too rare for a phrase needs no row of its own in the sums over two and one.
-        threes = threes.withColumn("w3", F.when(F.col("n") >= least, F.col("w3")))
-        sums = threes.rollup("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
-        # g has a bit for each column that is summed over: 2^j - 1 leaves the first 3 - j words.
-        words = F.when(F.col("g") == 0, 3).when(F.col("g") == 1, 2).when(F.col("g") == 3, 1).when(F.col("g") == 7, 0)
-        last = F.element_at(F.array(F.lit(""), "w1", "w2", "w3"), F.col("words") + 1)
-        sums = sums.withColumn("words", words).where((F.col("words") == 0) | (F.col("f") >= least)).where(last.isNotNull())
-        sums = sums.select("lang", "words", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "f")
-        fours = longest.where((F.col("n") >= least) & F.col("w4").isNotNull()).select(
-            "lang", F.lit(4).alias("words"), F.concat_ws(" ", *COLUMNS).alias("phrase"), F.col("n").alias("f"))
-        parts.append(written(sums.unionByName(fours), "phrase-counts"))
+        parts.append(_slice_counts(docs, least, i, slices))
         discard()
     whole = reduce(DataFrame.unionByName, parts)
     totals = whole.where("words = 0").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
