@@ -8,6 +8,7 @@ from tillsight.llm import (
 from tillsight.llm.collocations import op13_collocations
 from tillsight.llm.common import table
 from tillsight.llm.periodic_runs import op12_periodic_runs
+from tillsight.llm.pii_bootstrap import op11_context_bootstrap
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -57,7 +58,7 @@ def op10_systematic_mix(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_credential_links, op3_exact_dedup, op4_subsequence_text, op5_nearest_centroid, op6_winnowing, op7_extendible_shards, op8_gear_chunks,
-                                   op9_count_vector_join, op10_systematic_mix, op12_periodic_runs, op13_collocations)}
+                                   op9_count_vector_join, op10_systematic_mix, op11_context_bootstrap, op12_periodic_runs, op13_collocations)}
 
 ORACLE = {
     "op3_exact_dedup": exact_dedup.SQL,
