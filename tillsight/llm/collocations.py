@@ -126,7 +126,8 @@ def _slice_counts(docs: DataFrame, least: int, part: int, parts: int) -> DataFra
     """phrase_counts of the phrases whose first word is in one slice; the language's share of words among them."""
     # Dealt by three words: the sums over three and over four need no other shuffle.
     dealt = windows(docs, part, parts).repartition("lang", "w1", "w2", "w3")
-    threes = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
+    longest = dealt.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
+    threes = longest.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
     # A third word that is too rare for a phrase needs no row of its own in the sums over two and one.
     threes = threes.withColumn("w3", F.when(F.col("n") >= least, F.col("w3")))
     sums = threes.rollup("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
@@ -136,8 +137,8 @@ def _slice_counts(docs: DataFrame, least: int, part: int, parts: int) -> DataFra
     sums = sums.withColumn("words", words).where((F.col("words") == 0) | (F.col("f") >= least)).where(last.isNotNull())
     sums = sums.select("lang", "words", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "f")
     # One condition on count and word, so that it stays above the sum and both sums read the same shuffle.
-    fours = dealt.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("f")).where(F.when(F.col("f") >= least, F.col("w4")).isNotNull())
-    fours = fours.select("lang", F.lit(4).alias("words"), F.concat_ws(" ", *COLUMNS).alias("phrase"), "f")
+    fours = longest.where(F.when(F.col("n") >= least, F.col("w4")).isNotNull())
+    fours = fours.select("lang", F.lit(4).alias("words"), F.concat_ws(" ", *COLUMNS).alias("phrase"), F.col("n").alias("f"))
     return written(sums.unionByName(fours), "phrase-counts")
 
 
