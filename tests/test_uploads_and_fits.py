@@ -103,7 +103,7 @@ def model_rows(spark, parts):
 
 def test_models_do_not_depend_on_partitions(spark):
     trees, labels = [], []
-    for parts in (2, 7):
+    for parts in (2, 40):
         df = model_rows(spark, parts)
         trees.append(CH.churn_train(df, num_trees=5).model.toDebugString.split("\n", 1)[1])
         seg = SG.segment_customers(df, ("total", "quantity"), k=3)
@@ -159,3 +159,43 @@ def test_keyset_pages_walk_the_table(spark):
         seen += [tuple(r) for r in page]
         last = tuple(page[-1])
     assert seen == sorted(tuple(r) for r in df.collect())
+
+
+def test_clusters_match_plain_lloyd(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (200, 2)) for c in ((0, 0), (4, 1), (1, 5))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x] + [(None, 1.0), (float("nan"), 2.0), (float("inf"), 0.0)], "a double, b double")
+    scale, runs = SG.fit_clusters(df, ["a", "b"], ks=(2, 3, 4), restarts=4)
+    assert len(runs) == 12
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    best = {k: min((r for r in runs if r[0] == k), key=lambda r: r[2]) for k in (2, 3, 4)}
+    for k, (_, _, cost, centers) in best.items():
+        d = ((z[:, None] - centers[None]) ** 2).sum(axis=2)
+        assert cost == pytest.approx(d.min(axis=1).sum(), rel=1e-3)
+        own = d.argmin(axis=1)  # settled: every center is the mean of its points
+        assert np.allclose([z[own == j].mean(axis=0) for j in range(k)], centers, atol=1e-3)
+    assert best[2][2] > best[3][2] > best[4][2]
+    got = SG.segment_customers(df, ["a", "b"], k=3, restarts=4).groupBy("cluster").count().collect()
+    assert {r["cluster"]: r["count"] for r in got} == {0: 200, 1: 200, 2: 200, None: 3}
+
+
+def test_restarts_share_one_scan_per_iteration(spark, monkeypatch):
+    df = model_rows(spark, 3)
+    jobs = []
+    collect = type(df).collect
+
+    def counted(self):
+        if "far" in self.columns:
+            jobs.append(self._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+        return collect(self)
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    _, runs = SG.fit_clusters(df, ("total", "quantity"), ks=(2, 3, 4, 5, 6), restarts=10, max_iter=6)
+    assert len(runs) == 50 and 1 <= len(jobs) <= 7 and set(jobs) == {1}
+
+
+def test_clusters_of_few_points(spark):
+    schema = "total double, quantity int"
+    assert SG.segment_customers(spark.createDataFrame([], schema), ("total", "quantity")).collect() == []
+    same = spark.createDataFrame([(1.0, 2)] * 5 + [(None, 2)], schema)
+    assert {r["cluster"] for r in SG.segment_customers(same, ("total", "quantity")).collect()} == {0, None}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import expressions as X
 from tillsight.operators.stats import attach_scalars
-from tillsight.session import FIT_PARTITIONS, materialize_for_fit
+from tillsight.session import materialize_for_fit
 
 ROW_FEATURES = ("total", "quantity", "avg_purchase_value", "days_since_last")
 ENTITY_FEATURES = ("total_sum", "total_mean", "quantity_sum", "quantity_mean", "purchases", "days_since_first", "frequency")
@@ -95,15 +95,16 @@ class ChurnModel:
 
 
 def churn_train(df, features=ROW_FEATURES, label="churn", num_trees: int = 100, seed: int = 42,
-                split_col="is_test", max_depth: int = 5, partitions: int = FIT_PARTITIONS) -> ChurnModel:
+                split_col="is_test", max_depth: int = 5) -> ChurnModel:
     """Random forest on the training rows (``is_test`` false).
 
-    The fit reads a copy of features and label alone, dealt in a fixed way, so
+    The fit reads a copy of features and label alone, dealt by the rows' own hash
+    into a number of partitions that grows with their count (``fit_partitions``), so
     that the model does not depend on how the input is partitioned.
     """
     feats = list(features)
     train = df.where(~F.col(split_col)) if split_col in df.columns else df
-    train = materialize_for_fit(train.select(*feats, label).na.drop(), partitions)
+    train = materialize_for_fit(train.select(*feats, label).na.drop())
     vec = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip").transform(train)
     # Node ids are cached per row between levels (checkpointed every 10
     # iterations into the shared checkpoint folder) instead of re-walking every

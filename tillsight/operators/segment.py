@@ -1,4 +1,4 @@
-"""Customer segmentation (M1-M6, P7, J3) with MLlib k-means.
+"""Customer segmentation (M1-M6, P7, J3): k-means by batched Lloyd iterations.
 
 Scaling is the population z-score (T6, not MLlib's sample-std scaler); the
 scaling constants are one global aggregate attached by broadcast. Clusters are
@@ -8,13 +8,17 @@ runs and seeds. Rows with a NULL feature keep a NULL label (J3).
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.operators.stats import attach_scalars
-from tillsight.session import FIT_PARTITIONS, materialize_for_fit
+from tillsight.session import materialize
+
+#: Rows that starts are drawn from, about; movement of a center below which a run has settled.
+START_ROWS, TOLERANCE = 4_000, 1e-4
 
 
 def zscore(df: DataFrame, cols, suffix: str = "_z") -> DataFrame:
@@ -29,48 +33,130 @@ def zscore(df: DataFrame, cols, suffix: str = "_z") -> DataFrame:
     return out.withColumns(z).drop(*[f"_mu_{c}" for c in cols], *[f"_sd_{c}" for c in cols])
 
 
+def _valid(feats) -> Column:
+    """Rows whose features are all finite numbers."""
+    known = F.lit(True)
+    for c in feats:
+        x = F.col(c).cast("double")
+        known = known & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return known
+
+
+def _start_rows(points: DataFrame, n: int, size: int = START_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct points of about ``size`` rows, chosen by a hash of their values, and how many rows each stands for."""
+    share = max(1, n // size)
+    drawn = points.where(F.pmod(F.xxhash64(*points.columns), F.lit(share)) == 0)
+    rows = drawn.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_w")).orderBy(*points.columns).limit(4 * size).collect()
+    if not rows:  # few different points, none of them drawn
+        rows = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_w")).orderBy(F.desc("_w"), *points.columns).limit(size).collect()
+    table = np.array([tuple(r) for r in rows], float).reshape(len(rows), len(points.columns) + 1)
+    return table[:, :-1], table[:, -1]
+
+
+def _distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((rows[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+
+
+def _start(rows: np.ndarray, weights: np.ndarray, k: int, seed: int, max_iter: int) -> np.ndarray:
+    """Weighted k-means++ on the drawn rows, improved on them alone."""
+    draw = np.random.RandomState(seed)
+    centers = rows[[draw.choice(len(rows), p=weights / weights.sum())]]
+    while len(centers) < k:
+        far = weights * _distances(rows, centers).min(axis=1)
+        if far.sum() <= 0:
+            break
+        centers = np.vstack([centers, rows[draw.choice(len(rows), p=far / far.sum())]])
+    for _ in range(max_iter):
+        own = _distances(rows, centers).argmin(axis=1)
+        moved = np.array([np.average(rows[own == j], axis=0, weights=weights[own == j]) if (own == j).any() else centers[j] for j in range(len(centers))])
+        if np.abs(moved - centers).max() < TOLERANCE:
+            break
+        centers = moved
+    return centers
+
+
+def _nearest(zs: list[Column], centers: np.ndarray) -> Column:
+    """struct(distance, number) of the nearest center; the first on ties."""
+    return F.array_min(F.array(*[F.struct(reduce(Column.__add__, [(z - F.lit(float(x))) * (z - F.lit(float(x))) for z, x in zip(zs, center)]).alias("far"),
+                                          F.lit(j).alias("no")) for j, center in enumerate(centers)]))
+
+
+def fit_clusters(df: DataFrame, features, ks=(3,), seed: int = 42, restarts: int = 1, max_iter: int = 20):
+    """Batched Lloyd: k-means for every k of ``ks`` and every restart, one scan of the points per iteration.
+
+    Returns (scale, runs): the mean and population std per feature, and a list of
+    (k, restart, cost, centers) in z-scores, centers in ascending order. The points are
+    written once; starts come from a bounded sample by a hash of the values; each
+    iteration is one aggregate over (run, nearest center), whose partial sums are a row
+    per task, run and center. Neither depends on how the input is partitioned. Runs
+    that have settled leave the batch. Identical rows may leave fewer centers than k;
+    without a valid row there are no runs.
+    """
+    feats = list(features)
+    points = materialize(df.where(_valid(feats)).select(*[F.col(c).cast("double").alias(c) for c in feats]))
+    scale = points.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mu_{c}") for c in feats], *[F.stddev_pop(c).alias(f"sd_{c}") for c in feats]).first()
+    if not scale["n"]:
+        return scale, []
+    sample, weights = _start_rows(points, scale["n"])
+    mu, sd = np.array([scale[f"mu_{c}"] for c in feats]), np.array([scale[f"sd_{c}"] for c in feats])
+    sample = np.divide(sample - mu, sd, out=np.zeros_like(sample), where=sd > 0)
+    zs = [_zed(c, scale) for c in feats]
+    live = {(k, r): _start(sample, weights, k, seed + r, max_iter) for k in ks for r in range(max(1, restarts))}
+    done = []
+    for step in range(max_iter + 1):
+        keys = list(live)
+        runs = F.explode(F.array(*[F.struct(F.lit(i).alias("run"), _nearest(zs, live[key]).alias("near")) for i, key in enumerate(keys)]))
+        near = points.select(*[z.alias(f"z{i}") for i, z in enumerate(zs)], runs.alias("x"))
+        sums = near.groupBy("x.run", "x.near.no").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("x.near.far").alias("far"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(len(feats))]).collect()
+        cost = dict.fromkeys(range(len(keys)), 0.0)
+        moved = {key: live[key].copy() for key in keys}
+        for r in sorted(sums, key=lambda r: (r["run"], r["no"])):
+            cost[r["run"]] += r["far"]
+            moved[keys[r["run"]]][r["no"]] = [round(r[f"s{i}"] / r["n"], 12) for i in range(len(feats))]
+        for i, key in enumerate(keys):
+            if step == max_iter or np.abs(moved[key] - live[key]).max() < TOLERANCE:
+                done.append((*key, cost[i], np.unique(live.pop(key), axis=0)))
+            else:
+                live[key] = moved[key]
+        if not live:
+            break
+    return scale, sorted(done, key=lambda d: (d[0], d[1]))
+
+
+def _zed(c: str, scale) -> Column:
+    mu, sd = scale[f"mu_{c}"], scale[f"sd_{c}"]
+    return (F.col(c).cast("double") - F.lit(mu)) / F.lit(sd) if sd else F.lit(0.0)
+
+
 def segment_customers(df: DataFrame, features=("total", "quantity", "unit_price"), k: int = 3,
-                      seed: int = 42, restarts: int = 1, label: str = "cluster",
-                      max_iter: int = 20, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """M1 / M2: k-means on z-scored features; best of ``restarts`` seeds by cost.
+                      seed: int = 42, restarts: int = 1, label: str = "cluster", max_iter: int = 20) -> DataFrame:
+    """M1 / M2: k-means on z-scored features; the best of ``restarts`` starts by cost.
 
-    The fit is an MLlib job (distributed Lloyd iterations, k-means|| init);
-    only the k centers come back to the driver, to renumber the labels. Rows with
-    a NULL or NaN feature keep a NULL label.
+    Only the k centers are on the driver; the input is scored by a plain expression of
+    them, numbered by their first feature. Rows with a NULL, NaN or infinite feature keep
+    a NULL label.
     """
     feats = list(features)
-    valid_cond = None
-    for c in feats:
-        cnd = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-        valid_cond = cnd if valid_cond is None else valid_cond & cnd
-    # The fit reads a copy of the features alone, dealt in a fixed way; the input
-    # is scored by a plain expression of the scaling constants and the centers.
-    fitted = materialize_for_fit(df.where(valid_cond).select(*[F.col(c).cast("double").alias(c) for c in feats]), partitions)
-    zc = [f"{c}_z" for c in feats]
-    z = zscore(fitted, feats)
-    # KMeans caches its own copy of the vectors for the init and Lloyd passes.
-    vec = VectorAssembler(inputCols=zc, outputCol="_features").transform(z)
-    best = None
-    for r in range(max(1, restarts)):
-        model = KMeans(k=k, seed=seed + r, featuresCol="_features", predictionCol="_pred",
-                       initMode="k-means||", maxIter=max_iter).fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    model = best[1]
-    centers = model.clusterCenters()
-    centers = sorted([[float(x) for x in c] for c in centers])
-    scale = fitted.agg(*[F.avg(c).alias(f"mu_{c}") for c in feats], *[F.stddev_pop(c).alias(f"sd_{c}") for c in feats]).first()
-    nearest = []
-    for i, center in enumerate(centers):
-        far = F.lit(0.0)
-        for c, at in zip(feats, center):
-            mu, sd = scale[f"mu_{c}"], scale[f"sd_{c}"]
-            zed = (F.col(c).cast("double") - F.lit(mu)) / F.lit(sd) if sd else F.lit(0.0)
-            far = far + (zed - F.lit(at)) * (zed - F.lit(at))
-        nearest.append(F.struct(far.alias("far"), F.lit(i).alias("no")))
-    own = F.array_min(F.array(*nearest))["no"] if nearest else F.lit(None).cast("int")
-    return df.withColumn(label, F.when(valid_cond, own))
+    scale, runs = fit_clusters(df, feats, (k,), seed, restarts, max_iter)
+    if not runs:
+        return df.withColumn(label, F.lit(None).cast("int"))
+    centers = min(runs, key=lambda r: (r[2], r[1]))[3]
+    own = _nearest([_zed(c, scale) for c in feats], centers)["no"]
+    return df.withColumn(label, F.when(_valid(feats), own))
+
+
+def segment_choices(df: DataFrame, features=("total", "quantity", "unit_price"), ks=(2, 3, 4, 5, 6), seed: int = 42,
+                    restarts: int = 3, max_iter: int = 20) -> DataFrame:
+    """Per number of clusters: clusters found, cost of the best start, share of the variance it explains."""
+    scale, runs = fit_clusters(df, features, ks, seed, restarts, max_iter)
+    best = {}
+    for k, _, cost, centers in runs:
+        if k not in best or cost < best[k][0]:
+            best[k] = (cost, len(centers))
+    whole = scale["n"] * sum(1.0 for c in features if scale[f"sd_{c}"])
+    rows = [(k, n, float(cost), 1.0 - cost / whole if whole else None) for k, (cost, n) in sorted(best.items())]
+    return df.sparkSession.createDataFrame(rows, "k int, clusters int, cost double, explained double")
 
 
 def attach_labels(scored: DataFrame, unscored: DataFrame, label: str = "cluster") -> DataFrame:

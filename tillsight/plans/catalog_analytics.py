@@ -322,6 +322,14 @@ def q_segment_customers_profit(spark, sf):
                                 restarts=10)
 
 
+@register("segment_choices", SALES + """select * from (select unnest([2, 3, 4, 5, 6]) as k) t, (select count(*) > 0 as rising from sales) u""")
+def q_segment_choices(spark, sf):
+    """M1 for every number of clusters that the page offers: each finds as many, and explains more than the one before."""
+    found = SG.segment_choices(sales(spark, sf))
+    before = F.coalesce(F.lag("explained").over(Window.orderBy("k")), F.lit(0.0))
+    return found.withColumn("rising", (F.col("explained") > before) & (F.col("clusters") == F.col("k"))).select("k", "rising")
+
+
 @register("attach_labels", LABELLED + """select invoice_id, total, case when invoice_id % 7 = 0 then null else unit_price end
   as unit_price, case when invoice_id % 7 = 0 then null else cluster end as cluster from lab""")
 def q_attach_labels(spark, sf):

@@ -13,8 +13,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -100,27 +102,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared checkpoint folder, deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it from there.
 
     Used where several jobs read the same expensive intermediate (a deduped
     table, model features): each would otherwise recompute the joins and
-    shuffles behind it, and a cache would be lost with its executor.
+    shuffles behind it, and a cache would be lost with its executor. Later reads
+    fetch only the columns they use.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    untyped = [c for c, t in df.dtypes if t == "void"]  # Parquet has no such type
+    kept = df.drop(*untyped) if untyped else df
+    if not kept.columns:
+        return df.checkpoint(eager=True) if ensure_checkpoint_dir(spark) else df
+    path = shared_folder(spark, "rows")
+    kept.write.parquet(path)
+    back = spark.read.schema(kept.schema).parquet(path)
+    return back.withColumns({c: F.lit(None) for c in untyped}).select(*df.columns) if untyped else back
 
 
-#: Partitions that the rows of a model fit are dealt to, whatever the input's.
-FIT_PARTITIONS = 8
+def fit_partitions(rows: int) -> int:
+    """Partitions of a model fit over so many rows: grows with the data, and depends on nothing else."""
+    return max(1, min(-(-rows // 50_000), 8 + rows // 1_000_000))
 
 
-def materialize_for_fit(df, partitions: int = FIT_PARTITIONS):
+def materialize_for_fit(df):
     """Write the (narrow) rows of a fit, dealt by hash of all columns and sorted.
 
-    Bagging and k-means initialisation draw per partition and row: with a fixed
-    number of partitions in a fixed order the same rows give the same model,
-    however they were partitioned before. Raise ``partitions`` with the data.
+    Bagging draws per partition and row: with partitions that follow from the
+    number of rows alone, in a fixed order, the same rows give the same model,
+    however they were partitioned before, and the tasks grow with the rows.
     """
+    rows = materialize(df)
+    dealt = rows.repartition(fit_partitions(rows.count()), *rows.columns)
     ensure_checkpoint_dir(df.sparkSession)
-    return df.repartition(partitions, *df.columns).sortWithinPartitions(*df.columns).checkpoint(eager=True)
+    return dealt.sortWithinPartitions(*rows.columns).checkpoint(eager=True)
