@@ -11,14 +11,17 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.operators.stats import attach_scalars
 from tillsight.session import materialize
 
-#: Rows that starts are drawn from, about; movement of a center below which a run has settled.
-START_ROWS, TOLERANCE = 4_000, 1e-4
+#: Rows that starts are drawn from, about.
+START_ROWS = 10_000
+#: A run has settled when its centers move, or its cost falls, by less (of 1).
+TOLERANCE, GAIN = 1e-4, 1e-4
 
 
 def zscore(df: DataFrame, cols, suffix: str = "_z") -> DataFrame:
@@ -57,8 +60,8 @@ def _distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return ((rows[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
 
 
-def _start(rows: np.ndarray, weights: np.ndarray, k: int, seed: int, max_iter: int) -> np.ndarray:
-    """Weighted k-means++ on the drawn rows, improved on them alone."""
+def _start(rows: np.ndarray, weights: np.ndarray, k: int, seed: int, max_iter: int = 200) -> np.ndarray:
+    """Weighted k-means++ on the drawn rows, brought to rest on them alone: few scans of all points are left to do."""
     draw = np.random.RandomState(seed)
     centers = rows[[draw.choice(len(rows), p=weights / weights.sum())]]
     while len(centers) < k:
@@ -86,9 +89,8 @@ def fit_clusters(df: DataFrame, features, ks=(3,), seed: int = 42, restarts: int
 
     Returns (scale, runs): the mean and population std per feature, and a list of
     (k, restart, cost, centers) in z-scores, centers in ascending order. The points are
-    written once; starts come from a bounded sample by a hash of the values; each
-    iteration is one aggregate over (run, nearest center), whose partial sums are a row
-    per task, run and center. Neither depends on how the input is partitioned. Runs
+    written once; starts come from a bounded sample by a hash of the values; an
+    iteration reads the points in Arrow batches. Neither depends on how the input is partitioned. Runs
     that have settled leave the batch. Identical rows may leave fewer centers than k;
     without a valid row there are no runs.
     """
@@ -100,30 +102,59 @@ def fit_clusters(df: DataFrame, features, ks=(3,), seed: int = 42, restarts: int
     sample, weights = _start_rows(points, scale["n"])
     mu, sd = np.array([scale[f"mu_{c}"] for c in feats]), np.array([scale[f"sd_{c}"] for c in feats])
     sample = np.divide(sample - mu, sd, out=np.zeros_like(sample), where=sd > 0)
-    zs = [_zed(c, scale) for c in feats]
-    live = {(k, r): _start(sample, weights, k, seed + r, max_iter) for k in ks for r in range(max(1, restarts))}
-    done = []
+    live = {(k, r): _start(sample, weights, k, seed + r) for k in ks for r in range(max(1, restarts))}
+    done, before = [], {}
     for step in range(max_iter + 1):
         keys = list(live)
-        runs = F.explode(F.array(*[F.struct(F.lit(i).alias("run"), _nearest(zs, live[key]).alias("near")) for i, key in enumerate(keys)]))
-        near = points.select(*[z.alias(f"z{i}") for i, z in enumerate(zs)], runs.alias("x"))
-        sums = near.groupBy("x.run", "x.near.no").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("x.near.far").alias("far"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(len(feats))]).collect()
-        cost = dict.fromkeys(range(len(keys)), 0.0)
-        moved = {key: live[key].copy() for key in keys}
-        for r in sorted(sums, key=lambda r: (r["run"], r["no"])):
-            cost[r["run"]] += r["far"]
-            moved[keys[r["run"]]][r["no"]] = [round(r[f"s{i}"] / r["n"], 12) for i in range(len(feats))]
+        cost, moved = _lloyd_step(points, mu, sd, [live[key] for key in keys])
         for i, key in enumerate(keys):
-            if step == max_iter or np.abs(moved[key] - live[key]).max() < TOLERANCE:
+            settled = np.abs(moved[i] - live[key]).max() < TOLERANCE or before.get(key, np.inf) - cost[i] <= GAIN * cost[i]
+            if step == max_iter or settled:
                 done.append((*key, cost[i], np.unique(live.pop(key), axis=0)))
             else:
-                live[key] = moved[key]
+                live[key], before[key] = moved[i], cost[i]
         if not live:
             break
     return scale, sorted(done, key=lambda d: (d[0], d[1]))
 
 
+def _lloyd_step(points: DataFrame, mu: np.ndarray, sd: np.ndarray, runs: list[np.ndarray]) -> tuple[list[float], list[np.ndarray]]:
+    """Cost of every run's centers and the means of the points nearest to each, from one scan.
+
+    A task adds up its batches in arrays and gives one row per run and center; these are
+    summed by an aggregate, so what reaches the driver does not grow with the data.
+    """
+    width = len(mu)
+    schema = pa.schema([("run", pa.int32()), ("no", pa.int32()), ("n", pa.int64()), ("far", pa.float64()), ("at", pa.list_(pa.float64()))])
+
+    def partial(batches):
+        n = [np.zeros(len(c), np.int64) for c in runs]
+        far, at = [np.zeros(len(c)) for c in runs], [np.zeros((len(c), width)) for c in runs]
+        for batch in batches:
+            z = np.column_stack([c.to_numpy() for c in batch.columns]) - mu
+            z = np.divide(z, sd, out=np.zeros_like(z), where=sd > 0)
+            for i, centers in enumerate(runs):
+                d = ((z[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+                own = d.argmin(axis=1)
+                n[i] += np.bincount(own, minlength=len(centers))
+                far[i] += np.bincount(own, d[np.arange(len(d)), own], len(centers))
+                for f in range(width):
+                    at[i][:, f] += np.bincount(own, z[:, f], len(centers))
+        rows = [(i, j, int(n[i][j]), float(far[i][j]), at[i][j].tolist()) for i in range(len(runs)) for j in range(len(runs[i])) if n[i][j]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    parts = points.mapInArrow(partial, "run int, no int, n long, far double, at array<double>")
+    sums = parts.groupBy("run", "no").agg(F.sum("n").alias("n"), F.sum("far").alias("far"),
+                                          *[F.sum(F.get("at", F.lit(f))).alias(f"s{f}") for f in range(width)]).collect()
+    cost, moved = [0.0] * len(runs), [c.copy() for c in runs]
+    for r in sorted(sums, key=lambda r: (r["run"], r["no"])):
+        cost[r["run"]] += r["far"]
+        # Rounded: the order of the sums must not decide when a run has settled.
+        moved[r["run"]][r["no"]] = [round(r[f"s{f}"] / r["n"], 12) for f in range(width)]
+    return cost, moved
+
+
 def _zed(c: str, scale) -> Column:
     mu, sd = scale[f"mu_{c}"], scale[f"sd_{c}"]
     return (F.col(c).cast("double") - F.lit(mu)) / F.lit(sd) if sd else F.lit(0.0)
