@@ -18,8 +18,9 @@ every member of a page is compared with the page's least member, then, in a few
 rounds, with other leaders, as long as the page has members of different
 components of the links found so far. Then trees join only members of different
 components, box by box: pages within one component, which is what a group of near
-copies has become, are done. Every pair of a page is so either linked through
-others or compared.
+copies has become, are done. The pairs that are left are compared where the page is,
+and only links that join two components leave it, fewer than the page has members.
+Every pair of a page is so either linked through others or compared.
 """
 
 from __future__ import annotations
@@ -270,9 +271,8 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, by their whole sets."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+def _sets(need: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(tid, shingles): the whole sets of the texts in ``need`` (tid), written."""
     need = written(need, "need")
     slots = written(need.select(F.pmod("tid", F.lit(SLOTS)).alias("slot")).distinct(), "need-slots")
 
@@ -289,15 +289,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     wanted = texts.select("tid", "text", F.pmod("tid", F.lit(SLOTS)).alias("slot")).join(F.broadcast(slots), "slot", "left_semi")
     made = wanted.select("tid", "text").mapInArrow(sets, "tid long, shingles binary")
-    made = written(made.join(need, "tid", "left_semi").dropDuplicates(["tid"]), "sets")
+    return written(made.join(need, "tid", "left_semi").dropDuplicates(["tid"]), "sets")
+
+
+def links_of(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets of shingles link."""
+    return may_link(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that link, by their whole sets."""
+    made = _sets(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), texts, size)
 
     def compared(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(may_link(shared, len(x), len(y), percent))
+            keep = [links_of(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
+                    for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(made.select(F.col("tid").alias("b"), F.col("shingles").alias("s_b")), "b")
@@ -307,32 +314,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return links
 
 
-def _page_pairs(pages: DataFrame, percent: int) -> DataFrame:
-    """(h, i, j, part, tid, component, n, point), sorted by page -> pairs (a, b) by tree join."""
+def joined_links(left: Node, right: Node, sets: dict[int, np.ndarray], components: dict[int, int], percent: int = PERCENT):
+    """Links (a, b) that join two components, found by tree join: fewer than there are components.
+
+    A pair whose members have become one component meanwhile is not compared.
+    """
+    above: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
+    for a, b in tree_pairs(left, right, percent):
+        x, y = root(components[a]), root(components[b])
+        if x != y and links_of(sets[a], sets[b], percent):
+            above[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def _page_links(pages: DataFrame, percent: int) -> DataFrame:
+    """(h, i, j, part, tid, component, n, point, shingles), sorted by page -> links (a, b) by tree join."""
     def run(batches):
-        key, members = None, []
+        key, members, sets = None, [], {}
 
-        def pairs():
+        def links():
             if key is None:
                 return None
             left = [m[1:] for m in members if m[0] == key[1]]
             right = [m[1:] for m in members if m[0] == key[2]]
             if not left or not right:  # a part may be empty
                 return None
+            components = {m[1]: m[2] for m in members}
             left = tree_of(left)
-            found = list(tree_pairs(left, left if key[1] == key[2] else tree_of(right), percent))
+            found = list(joined_links(left, left if key[1] == key[2] else tree_of(right), sets, components, percent))
             return pa.RecordBatch.from_arrays(
                 [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[:7]]
-            for h, i, j, part, tid, component, n, point in zip(*columns, batch.column(7)):
+            for h, i, j, part, tid, component, n, point, shingles in zip(*columns, batch.column(7), batch.column(8)):
                 if (h, i, j) != key:
-                    if (out := pairs()) is not None:
+                    if (out := links()) is not None:
                         yield out
-                    key, members = (h, i, j), []
+                    key, members, sets = (h, i, j), [], {}
                 members.append((part, tid, component, n, unpacked(point.as_py())))
-        if (out := pairs()) is not None:
+                sets[tid] = np.frombuffer(shingles.as_py(), np.uint64)
+        if (out := links()) is not None:
             yield out
 
     return pages.mapInArrow(run, "a long, b long").distinct()
@@ -388,9 +416,9 @@ def linked_texts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, t
         if round_no <= STAR_ROUNDS:
             stars = posted.where("component <> leader.component").select(
                 F.least("tid", "leader.tid").alias("a"), F.greatest("tid", "leader.tid").alias("b")).distinct()
+            found = _verified(written(_bounded(stars, used, percent), "bounded"), texts, size, percent)
         else:
-            stars = _late_pairs(posted, open_pages, used, percent, tree_rows)
-        found = _verified(written(stars if round_no > STAR_ROUNDS else _bounded(stars, used, percent), "bounded"), texts, size, percent)
+            found = _late_links(posted, open_pages, used, texts, size, percent, tree_rows)
         posted = posted.select("h", "tid")
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -399,18 +427,22 @@ def linked_texts(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, t
     return rows, components.withColumnRenamed("node", "tid")
 
 
-def _late_pairs(members: DataFrame, pages: DataFrame, points: DataFrame, percent: int, tree_rows: int) -> DataFrame:
-    """Pairs of different components in one page whose bound suffices."""
+def _late_links(members: DataFrame, pages: DataFrame, points: DataFrame, texts: DataFrame, size: int, percent: int, tree_rows: int) -> DataFrame:
+    """Links between different components in one page, found and verified where the page is."""
     # Of pages with the same members one is enough.
     chosen = pages.groupBy("m", "mark", "first", "last").agg(F.min("h").alias("h")).select("h")
+    own = written(members.join(written(chosen, "chosen-pages"), "h").select("h", "m", "tid", "component"), "late-members")
+    sets = _sets(own.select("tid").distinct(), texts, size)
     parts = F.ceil(F.col("m") / tree_rows).cast("int")
-    dealt = (members.join(written(chosen, "chosen-pages"), "h").withColumn("parts", parts)
+    dealt = (own.withColumn("parts", parts)
              .withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     # A page of several trees: each pair of trees (i, j) is a group of its own.
     dealt = dealt.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "tid", "component")
-    dealt = dealt.join(points, "tid").select("h", "i", "j", "part", "tid", "component", "n", "point")
-    return _page_pairs(dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), percent)
+    dealt = dealt.join(points, "tid").join(sets, "tid").select("h", "i", "j", "part", "tid", "component", "n", "point", "shingles")
+    links = written(_page_links(dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), percent), "links")
+    discard(own, sets)
+    return links
 
 
 def component_report(docs: DataFrame, **params) -> DataFrame:
