@@ -181,6 +181,18 @@ def _possible(a: Node, b: Node, percent: int) -> bool:
     return bound_passes(a.box, b.box, a.low, b.low, percent)
 
 
+def _leaf_pairs(x: Node, y: Node, percent: int) -> list[tuple[Node, Node]]:
+    """Pairs of the points of two leaves by the bound over the fewest groups of any, all at once."""
+    groups = min(len(p.box) for p in (*x.points, *y.points))
+    left, right = (np.array([folded(p.box, groups) for p in node.points]) for node in (x, y))
+    n_left, n_right = (np.array([p.low for p in node.points]) for node in (x, y))
+    shared = np.minimum(left[:, None, :], right[None, :, :]).sum(axis=2, dtype=np.int64)
+    able = (100 + percent) * shared >= percent * (n_left[:, None] + n_right[None, :])
+    if x is y:
+        able = np.triu(able, 1)
+    return [(x.points[i], y.points[j]) for i, j in np.argwhere(able)]
+
+
 def tree_pairs(a: Node, b: Node, percent: int = PERCENT):
     """Ids of the pairs of different components whose bound suffices, each once."""
     todo = [(a, b)]
@@ -189,10 +201,9 @@ def tree_pairs(a: Node, b: Node, percent: int = PERCENT):
         if not _possible(x, y, percent):
             continue
         if x.below is None and y.below is None:
-            for i, p in enumerate(x.points):
-                for q in y.points[i + 1:] if x is y else y.points:
-                    if _possible(p, q, percent):
-                        yield min(p.points[0], q.points[0]), max(p.points[0], q.points[0])
+            for p, q in _leaf_pairs(x, y, percent):
+                if _possible(p, q, percent):
+                    yield min(p.points[0], q.points[0]), max(p.points[0], q.points[0])
         elif x is y:
             todo += [(p, q) for i, p in enumerate(x.below) for q in x.below[i:]]
         elif y.below is None or (x.below is not None and len(x.below) >= len(y.below)):
