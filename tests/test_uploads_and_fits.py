@@ -199,3 +199,41 @@ def test_clusters_of_few_points(spark):
     assert SG.segment_customers(spark.createDataFrame([], schema), ("total", "quantity")).collect() == []
     same = spark.createDataFrame([(1.0, 2)] * 5 + [(None, 2)], schema)
     assert {r["cluster"] for r in SG.segment_customers(same, ("total", "quantity")).collect()} == {0, None}
+
+
+def test_correlations_of_many_columns(spark):
+    """300 columns with holes: pairwise-complete r; a column without values, and a constant one, correlate with nothing."""
+    from tillsight.operators.correlate import correlation_matrix
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 300)) @ np.diag(rng.random(300) * 100) + 1e6
+    x[:, 7] = 3.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 9] = np.nan
+    names = [f"c{i}" for i in range(300)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{n} double" for n in names))
+    got = {(r["i"], r["j"]): r["r"] for r in correlation_matrix(df, names).collect()}
+    assert len(got) == 90_000
+    for i, j in [(0, 1), (1, 0), (5, 5), (17, 250), (299, 3), (100, 101), (7, 8), (9, 2), (9, 9), (7, 7)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        if 7 in (i, j) or 9 in (i, j):
+            assert got[i, j] is None
+        else:
+            assert got[i, j] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert correlation_matrix(df.limit(0), names[:3]).where("r is null").count() == 9
+
+
+def test_suggestions_read_their_copy_twice(spark, monkeypatch):
+    from tillsight.operators import insights as IN
+    plans, write = [], IN.materialize
+
+    def counted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return write(df)
+
+    monkeypatch.setattr(IN, "materialize", counted)
+    df = model_rows(spark, 3).withColumns({"date": F.expr("date_add(date'2024-01-01', cast(id % 90 as int))"), "cluster": F.col("id") % 3,
+                                          "product_line": F.concat(F.lit("p"), F.col("id") % 5)})
+    df = write(df)
+    out = IN.business_suggestions(df, corr_cols=["total", "quantity"])
+    # The copy, then every sum and the correlations from one scan of it each; the rules read those.
+    assert plans == [1, 1, 1] and out.count() >= 4

@@ -124,9 +124,8 @@ def impute_mode(df: DataFrame, cols=None) -> DataFrame:
                         for c in df.columns])
 
 
-def hour_fallback(df: DataFrame, hour_col="hour", time_col="time", date_col="date",
-                  null_as_zero: bool = False) -> DataFrame:
-    """Existing hour, else from the time string, else from the timestamp."""
+def hour_column(df: DataFrame, hour_col="hour", time_col="time", date_col="date"):
+    """Existing hour, else from the time string, else from the timestamp, of the columns that ``df`` has."""
     cands = []
     if hour_col in df.columns:
         cands.append(F.col(hour_col).cast("int"))
@@ -134,7 +133,13 @@ def hour_fallback(df: DataFrame, hour_col="hour", time_col="time", date_col="dat
         cands.append(X.hour_of_time(time_col))
     if date_col in df.columns:
         cands.append(F.hour(F.col(date_col)).cast("int"))
-    h = F.coalesce(*cands) if cands else F.lit(None).cast("int")
+    return F.coalesce(*cands) if cands else F.lit(None).cast("int")
+
+
+def hour_fallback(df: DataFrame, hour_col="hour", time_col="time", date_col="date",
+                  null_as_zero: bool = False) -> DataFrame:
+    """C8 as a column of ``df``."""
+    h = hour_column(df, hour_col, time_col, date_col)
     if null_as_zero:
         h = F.coalesce(h, F.lit(0))
     return df.withColumn(hour_col, h)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tillsight.functions import expressions as X
 from tillsight.operators import correlate as CR
 from tillsight.operators import ranking as R
-from tillsight.operators.clean import hour_fallback, numeric_columns
+from tillsight.operators.clean import hour_column, numeric_columns
 from tillsight.operators.stats import attach_scalars
 from tillsight.session import materialize
 
@@ -170,7 +170,10 @@ def segment_actions(df, label="cluster", value="total", qty="quantity") -> DataF
 
 def segment_offers(df, label="cluster", value="total", qty="quantity", else_bundle: bool = False) -> DataFrame:
     """VIP / bundle / none per cluster (``else_bundle``: the older copy's fallback)."""
-    m = _segment_means(df, label, value, qty)
+    return _offers(_segment_means(df, label, value, qty), label, else_bundle)
+
+
+def _offers(m: DataFrame, label: str, else_bundle: bool = False) -> DataFrame:
     offer = (F.when(F.col("avg_total") > SEGMENT_HIGH * F.col("all_total"), "vip")
               .when(F.col("avg_quantity") < SEGMENT_LOW * F.col("all_quantity"), "bundle"))
     offer = offer.otherwise("bundle" if else_bundle else None)
@@ -252,6 +255,35 @@ def _suggestion_text() -> F.Column:
     return out
 
 
+def _suggestion_sums(rows: DataFrame, label: str) -> DataFrame:
+    """Σ and count of total and quantity per category, per week, per (weekday, hour), per cluster and overall.
+
+    One scan: GROUPING SETS over whichever of these columns there are. ``part`` names the
+    set; a row per value, so the result is small and is written once.
+    """
+    cols = set(rows.columns)
+    keys, sets = {}, {"all": []}
+    if "product_line" in cols:
+        keys["product_line"] = F.col("product_line")
+        sets["product_line"] = ["product_line"]
+    if "date" in cols:
+        keys |= {"week": X.week_end_sunday("date"), "weekday": X.weekday_index("date"), "slot": F.coalesce("_slot", F.lit(0))}
+        sets |= {"week": ["week"], "period": ["weekday", "slot"]}
+    if label in cols:
+        keys["_label"] = F.col(label)
+        sets["cluster"] = ["_label"]
+    qty = F.col("quantity") if "quantity" in cols else F.lit(None).cast("double")
+    narrow = rows.select(*[c.alias(k) for k, c in keys.items()], "total", qty.alias("quantity"))
+    names = list(keys)
+    sums = narrow.groupingSets([[F.col(c) for c in of] for of in sets.values()], *names).agg(
+        F.grouping_id().alias("_g"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.count("total").alias("n_total"),
+        F.sum("quantity").cast("double").alias("quantity"), F.count("quantity").alias("n_quantity"))
+    part = F.lit(None).cast("string")
+    for name, of in sets.items():  # a bit per column, the first one highest, set where the column is summed over
+        part = F.when(F.col("_g") == sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in of), name).otherwise(part)
+    return materialize(sums.withColumn("part", part).drop("_g"))
+
+
 def business_suggestions(df, forecast: DataFrame | None = None, label="cluster", corr_cols=None) -> DataFrame:
     """The ordered suggestions (rank, code, subject, number, symbol, colour, text).
 
@@ -259,14 +291,15 @@ def business_suggestions(df, forecast: DataFrame | None = None, label="cluster",
     week-over-week change beyond +-5 %, busiest and slowest period, the two
     strongest correlations with |r| >= 0.1 among all numeric columns (or
     ``corr_cols``; a constant one correlates with nothing), cluster offers,
-    forecast alert. Each part is a tiny frame.
+    forecast alert. The columns in use are written once; one scan of that copy gives
+    every sum, another one the correlations, and the rules read these small results.
     """
     cols = set(df.columns)
     num = list(corr_cols) if corr_cols is not None else numeric_columns(df)
-    # Six small rule queries read the same rows: write the columns they use
-    # once (the input is usually the joined sales view).
-    used = [c for c in ("date", "time", "total", "quantity", "product_line", "hour", label, *num) if c in cols]
+    df = df.withColumn("_slot", hour_column(df))
+    used = ["_slot", *[c for c in ("date", "total", "quantity", "product_line", label, *num) if c in cols]]
     df = materialize(df.select(*dict.fromkeys(used)))
+    sums = _suggestion_sums(df, label) if "total" in cols else None
     nothing = F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("number")
     parts = []
 
@@ -275,17 +308,20 @@ def business_suggestions(df, forecast: DataFrame | None = None, label="cluster",
                                   number.cast("double").alias("number")))
 
     if {"product_line", "total"} <= cols:
-        tb = R.top_bottom_products(df, 3)
+        tb = R.top_bottom_products(sums.where("part = 'product_line'"), 3)
         names = tb.groupBy("which").agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "product_line"))), lambda s: s["product_line"]),
             ", ").alias("names"))
         is_top = F.col("which") == "top"
         add(names, F.when(is_top, 10).otherwise(11), F.when(is_top, "top_categories").otherwise("low_categories"), F.col("names"))
     if {"date", "total"} <= cols:
-        wow = R.week_over_week(df).where("is_last").where(F.abs("pct_change") > WOW_NOTABLE)
+        weeks = sums.where("part = 'week'").select(F.col("week").alias("date"), "total")
+        wow = R.week_over_week(weeks).where("is_last").where(F.abs("pct_change") > WOW_NOTABLE)
         up = F.col("pct_change") > 0
         add(wow, F.lit(20), F.when(up, "sales_up").otherwise("sales_down"), number=F.abs("pct_change"))
-        pk = materialize(R.peak_periods(hour_fallback(df, null_as_zero=True)))
+        monday = F.lit("1970-01-05").cast("date")
+        cells = sums.where("part = 'period'").select(F.date_add(monday, F.col("weekday")).alias("date"), F.col("slot").alias("hour"), "total")
+        pk = R.peak_periods(cells)
         busy = F.col("which") == "busiest"
         add(pk, F.when(busy, 30).otherwise(31), F.col("which"), F.format_string("%s %d:00", "day", "hour"), F.col("sales"))
         add(pk.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), F.lit(30), F.lit("no_periods"))
@@ -299,7 +335,11 @@ def business_suggestions(df, forecast: DataFrame | None = None, label="cluster",
     else:
         add(df.sparkSession.range(1), F.lit(41), F.lit("few_numbers"))
     if label in cols and {"total", "quantity"} <= cols:
-        so = segment_offers(df, label).where(F.col("offer").isNotNull())
+        means = F.try_divide("total", F.col("n_total")), F.try_divide("quantity", F.col("n_quantity"))
+        per = sums.where("part = 'cluster' and _label is not null").select(
+            F.col("_label").alias(label), means[0].alias("avg_total"), means[1].alias("avg_quantity"))
+        overall = sums.where("part = 'all'").select(means[0].alias("all_total"), means[1].alias("all_quantity"))
+        so = _offers(attach_scalars(per, overall), label).where(F.col("offer").isNotNull())
         vip = F.col("offer") == "vip"
         add(so, 50 + F.col(label), F.when(vip, "cluster_spends").otherwise("cluster_small"), F.col(label),
             F.when(vip, F.col("avg_total")).otherwise(F.col("avg_quantity")))
