@@ -79,6 +79,47 @@ def test_forecast_recovers_planted_signal(spark):
         assert abs(r.yhat - truth) / truth < 0.01
 
 
+def test_forecast_keeps_a_planted_break_and_widens(spark):
+    start = dt.date(2022, 1, 1)
+    truth = [500.0 + 2.0 * i - (3.0 * (i - 300) if i > 300 else 0.0) for i in range(790)]
+    rows = [(dt.datetime(2022, 1, 1) + dt.timedelta(days=i), truth[i] + 8.0 * math.sin(i * 12.9898)) for i in range(730)]
+    df = spark.createDataFrame(rows, "date timestamp, total double")
+    out = FC.sales_forecast(df, periods=60, yearly=False).orderBy("ds").collect()
+    assert all(abs(r.yhat - truth[(r.ds - start).days]) < 15 for r in out)
+    widths = [r.yhat_upper - r.yhat_lower for r in out]
+    assert max(widths[:730]) - min(widths[:730]) < 1e-9 and all(a < b for a, b in zip(widths[730:], widths[731:]))
+    model = FC.fit_forecast(FC.materialized_series(df), yearly=False)
+    changes = [c for n, c in model.coef.items() if n.startswith("cp")]
+    assert sum(abs(c) < 1e-6 for c in changes) >= 15  # sparse
+
+
+def test_daily_season_of_an_hourly_series(spark):
+    start = dt.datetime(2024, 1, 1)
+    y = lambda at: 100.0 + (30.0 if 10 <= at.hour < 18 else 0.0) + at.hour
+    hours = [start + dt.timedelta(hours=i) for i in range(24 * 60)]
+    df = spark.createDataFrame([(h, y(h)) for h in hours], "date timestamp, total double")
+    out = FC.sales_forecast(df, periods=3, yearly=False, daily=True).orderBy("ds").collect()
+    assert len(out) == 24 * 63 and {"daily", "weekly", "trend"} <= set(out[0].asDict())
+    assert all(math.isclose(r.trend + r.weekly + r.daily, r.yhat, rel_tol=1e-9) for r in out)
+    mean = [sum(r.yhat for r in out[-72:] if r.ds.hour == h) / 3 for h in range(24)]
+    assert all(abs(m - y(start.replace(hour=h))) < 12 for h, m in enumerate(mean))  # four harmonics of a step
+
+
+def test_multiplicative_forecast_recovers_a_product(spark):
+    start = dt.date(2022, 1, 1)
+
+    def truth(i):
+        d = start + dt.timedelta(days=i)
+        return (300.0 + 1.0 * i) * (1.3 if d.weekday() == 5 else 0.0 if d.weekday() == 6 else 0.94)
+
+    rows = [(dt.datetime(2022, 1, 1) + dt.timedelta(days=i), truth(i)) for i in range(700)]  # no sales on Sundays
+    df = spark.createDataFrame(rows, "date timestamp, total double")
+    out = FC.sales_forecast_multiplicative(df, periods=28).orderBy("ds").collect()
+    for r in out[-28:]:
+        assert abs(r.yhat - truth((r.ds - start).days)) < 60
+        assert math.isclose(r.trend * (1 + r.weekly + r.yearly + r.monthly), r.yhat, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_multiplicative_forecast_positive(sales):
     out = FC.sales_forecast_multiplicative(sales, periods=7)
     r = out.agg(F.min("yhat"), F.count(F.lit(1))).first()
