@@ -344,35 +344,54 @@ def joined_links(left: Node, right: Node, sets: dict[int, np.ndarray], component
             yield a, b
 
 
+def _by_page(batches, width: int):
+    """((h, i, j), rows) of each page in sorted batches; a row is all columns from the fourth on."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns[:width]]):
+            if row[:3] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:3], []
+            rows.append(row[3:])
+    if rows:
+        yield key, rows
+
+
+def _trees(key: tuple, members: list[tuple]) -> tuple[Node, Node] | None:
+    """The two trees of a page of (part, tid, component, n, point, ...); None where a part is empty."""
+    left, right = ([(m[1], m[2], m[3], unpacked(m[4])) for m in members if m[0] == part] for part in key[1:])
+    if not left or not right:
+        return None
+    first = tree_of(left)
+    return first, first if key[1] == key[2] else tree_of(right)
+
+
+def _page_members(pages: DataFrame, percent: int) -> DataFrame:
+    """(h, i, j, part, tid, component, n, point), sorted by page -> the members that any bound lets link."""
+    names = ["h", "i", "j", "part", "tid", "component"]
+    schema = pa.schema([(c, pa.int32() if c in ("i", "j", "part") else pa.int64()) for c in names])
+
+    def run(batches):
+        for key, members in _by_page(batches, 8):
+            trees = _trees(key, members)
+            able = {t for pair in tree_pairs(*trees, percent) for t in pair} if trees else set()
+            rows = [(*key, *m[:3]) for m in members if m[1] in able]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return pages.mapInArrow(run, "h long, i int, j int, part int, tid long, component long")
+
+
 def _page_links(pages: DataFrame, percent: int) -> DataFrame:
     """(h, i, j, part, tid, component, n, point, shingles), sorted by page -> links (a, b) by tree join."""
     def run(batches):
-        key, members, sets = None, [], {}
-
-        def links():
-            if key is None:
-                return None
-            left = [m[1:] for m in members if m[0] == key[1]]
-            right = [m[1:] for m in members if m[0] == key[2]]
-            if not left or not right:  # a part may be empty
-                return None
-            components = {m[1]: m[2] for m in members}
-            left = tree_of(left)
-            found = list(joined_links(left, left if key[1] == key[2] else tree_of(right), sets, components, percent))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:7]]
-            for h, i, j, part, tid, component, n, point, shingles in zip(*columns, batch.column(7), batch.column(8)):
-                if (h, i, j) != key:
-                    if (out := links()) is not None:
-                        yield out
-                    key, members, sets = (h, i, j), [], {}
-                members.append((part, tid, component, n, unpacked(point.as_py())))
-                sets[tid] = np.frombuffer(shingles.as_py(), np.uint64)
-        if (out := links()) is not None:
-            yield out
+        for key, members in _by_page(batches, 9):
+            trees = _trees(key, members)
+            if trees:
+                sets = {m[1]: np.frombuffer(m[5], np.uint64) for m in members}
+                found = list(joined_links(*trees, sets, {m[1]: m[2] for m in members}, percent))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return pages.mapInArrow(run, "a long, b long").distinct()
 
@@ -442,17 +461,23 @@ def _late_links(members: DataFrame, pages: DataFrame, points: DataFrame, texts:
     """Links between different components in one page, found and verified where the page is."""
     # Of pages with the same members one is enough.
     chosen = pages.groupBy("m", "mark", "first", "last").agg(F.min("h").alias("h")).select("h")
-    own = written(members.join(written(chosen, "chosen-pages"), "h").select("h", "m", "tid", "component"), "late-members")
-    sets = _sets(own.select("tid").distinct(), texts, size)
     parts = F.ceil(F.col("m") / tree_rows).cast("int")
-    dealt = (own.withColumn("parts", parts)
+    dealt = (members.join(written(chosen, "chosen-pages"), "h").withColumn("parts", parts)
              .withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     # A page of several trees: each pair of trees (i, j) is a group of its own.
     dealt = dealt.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "tid", "component")
-    dealt = dealt.join(points, "tid").join(sets, "tid").select("h", "i", "j", "part", "tid", "component", "n", "point", "shingles")
-    links = written(_page_links(dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), percent), "links")
-    discard(own, sets)
+
+    def by_page(rows: DataFrame) -> DataFrame:
+        return rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+    # First by points alone; whole sets go only to members that some bound lets link.
+    key = ["h", "i", "j", "part", "tid", "component"]
+    able = written(_page_members(by_page(dealt.join(points, "tid").select(*key, "n", "point")), percent), "able")
+    sets = _sets(able.select("tid").distinct(), texts, size)
+    whole = able.join(points.join(sets, "tid"), "tid").select(*key, "n", "point", "shingles")
+    links = written(_page_links(by_page(whole), percent), "links")
+    discard(able, sets)
     return links
 
 
