@@ -56,7 +56,8 @@ def process_sales(df: DataFrame, date_col="date", time_col="time", accuracy: int
     """Dedupe -> parse date -> parts -> hour -> median / mode impute -> profit.
 
     The derived year and hour are imputed too, as in the copy this follows,
-    because the parts are added before imputation. ``keys`` are not imputed.
+    because the parts are added before imputation. Numeric ``keys`` get no median; text
+    columns, keys among them, take their most frequent value, as in that copy.
     """
     d = clean.dedupe(df)
     d = _parse_and_parts(d, date_col, month_year=True)
