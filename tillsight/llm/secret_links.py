@@ -8,17 +8,16 @@ a strong part of another role, or parts of both other roles.
 
 Roles: identifier (access, account), secret (assign, hex, opaque), endpoint.
 
-The scope test is an interval join by position bins of one scope's width. It
-joins a candidate not with every part but with the first and last position of
-each kind in its own and the two adjacent bins, which decides the test exactly:
-the own bin is all within the scope, of the bin before only the last position
-matters and of the bin after only the first. A text with thousands of parts so
-makes no pairs of them.
-
-With ``gaps``, as the query asks, the distance is not that of the starts but from the
-end of a part to the start of the next, so that a long secret does not push what
-follows it out of scope. Of all parts of a kind that start earlier the largest end
-decides then, of all later ones the first start: one pass each way over a text's parts.
+The scope test is an interval join by position bins of one scope's width. A part
+lies in every bin that it covers; per bin, role and strength the first start and the
+last end of its parts are kept. A candidate meets these rows, not the parts: any part
+in a bin that the candidate covers is near, of the bin before it the last end decides
+and of the bin after it the first start. The test is exact, and a text with thousands
+of parts makes no pairs of them; rows grow with the length of what the parts cover.
+
+With ``gaps``, as the query asks, the distance is that from the end of a part to the
+start of the next, so that a long secret does not push what follows it out of scope;
+without it parts are points, their starts.
 """
 
 from __future__ import annotations
@@ -80,26 +79,6 @@ def parts_of(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def linked_by_gap(parts: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
-    """The reported ones of a text's parts (in order): distances from end to start, touching and overlapping parts are near."""
-    groups = [(ROLE[KINDS[kind]], kind < len(STRONG)) for _, kind, _ in parts]
-    near: list[set] = [set() for _ in parts]
-    reach: dict[tuple[str, bool], int] = {}
-    for (start, _, end), own, found in zip(parts, groups, near):
-        found.update(g for g, z in reach.items() if start - z <= scope)
-        reach[own] = max(reach.get(own, 0), end)
-    ahead: dict[tuple[str, bool], int] = {}
-    for (start, _, end), own, found in zip(reversed(parts), reversed(groups), reversed(near)):
-        found.update(g for g, a in ahead.items() if a - end <= scope)
-        ahead[own] = start
-    kept = []
-    for part, (role, strong), found in zip(parts, groups, near):
-        others = [g for g in found if g[0] != role]
-        if strong or any(s for _, s in others) or len({r for r, _ in others}) == 2:
-            kept.append(part)
-    return kept
-
-
 def _scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: parts_of(t) if t else [])
@@ -108,34 +87,29 @@ def _scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def credential_parts(docs: DataFrame, scope: int = SCOPE, gaps: bool = False) -> DataFrame:
     """(seq, doc_id, parts): the reported parts of every row, in order of start, then kind."""
     text = text_of()
-    if gaps:
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in _scan(texts):
-                yield batch.map(lambda parts: linked_by_gap(parts, scope))
-
-        run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        linked = F.pandas_udf(run, "array<struct<start:int,kind:int,end:int>>")
-        return docs.select(F.monotonically_increasing_id().alias("seq"), "doc_id",
-                           linked(F.when(text.rlike(MAY_HOLD), text).otherwise(F.lit(""))).alias("parts"))
     scan = F.pandas_udf(_scan, "array<struct<start:int,kind:int,end:int>>")
     scanned = docs.select(F.monotonically_increasing_id().alias("seq"), "doc_id",
                           scan(F.when(text.rlike(MAY_HOLD), text).otherwise(F.lit(""))).alias("parts"))
     scanned = written(scanned, "parts")
-    part = scanned.select("seq", F.explode("parts").alias("part")).select("seq", "part.*")
-    part = part.withColumn("bin", F.floor(F.col("start") / scope))
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("kind") + 1)
-    part = part.withColumn("role", role).withColumn("strong", F.col("kind") < len(STRONG))
-
-    weak = part.where(~F.col("strong"))
+    first_bin = F.floor(F.col("start") / scope)
+    last_bin = F.floor(F.col("end" if gaps else "start") / scope)
     # Only texts with a weak candidate need the join.
-    ends = (part.join(weak.select("seq").distinct(), "seq", "left_semi")
-                .groupBy("seq", "bin", "role", "strong")
-                .agg(F.min("start").alias("first"), F.max("start").alias("last")))
-    ends = ends.select("seq", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"),
-                       F.col("role").alias("other"), F.col("strong").alias("other_strong"), "first", "last")
+    part = (scanned.where(F.exists("parts", lambda p: p["kind"] >= len(STRONG)))
+                   .select("seq", F.explode("parts").alias("part")).select("seq", "part.*")
+                   .withColumns({"role": role, "strong": F.col("kind") < len(STRONG), "first_bin": first_bin, "last_bin": last_bin}))
+    reach = F.col("end" if gaps else "start")
+    covered = (part.select("seq", F.explode(F.sequence("first_bin", "last_bin")).alias("bin"),
+                           F.col("role").alias("other"), F.col("strong").alias("other_strong"), "start", reach.alias("reach"))
+                   .groupBy("seq", "bin", "other", "other_strong")
+                   .agg(F.min("start").alias("first"), F.max("reach").alias("last")))
+    weak = (part.where(~F.col("strong")).withColumn("reach", reach)
+                .withColumn("bin", F.explode(F.sequence(F.col("first_bin") - 1, F.col("last_bin") + 1))))
     near = ((F.col("role") != F.col("other"))
-            & (F.least(F.abs(F.col("first") - F.col("start")), F.abs(F.col("last") - F.col("start"))) <= scope))
-    linked = (weak.join(ends, ["seq", "bin"]).where(near)
+            & F.when(F.col("bin") < F.col("first_bin"), F.col("start") - F.col("last") <= scope)
+               .when(F.col("bin") > F.col("last_bin"), F.col("first") - F.col("reach") <= scope)
+               .otherwise(F.lit(True)))
+    linked = (weak.join(covered, ["seq", "bin"]).where(near)
                   .groupBy("seq", "start", "kind", "end")
                   .agg(F.max("other_strong").alias("by_strong"), F.countDistinct("other").alias("roles"))
                   .where(F.col("by_strong") | (F.col("roles") == 2)))
