@@ -1,9 +1,13 @@
 import random
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from tillsight.llm import bpe_cache
 from tillsight.llm.bpe_cache import encoder
 from tillsight.llm.queries import tokenizer_path
 from tillsight.llm.token_store import LENGTHS, pack, read_corpus, token_report, unpack, write_corpus
@@ -41,6 +45,42 @@ def test_pieces_encode_like_whole_texts(whole):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == whole(text), repr(text)
 
 
+def test_batches_encode_like_whole_texts(whole, monkeypatch):
+    enc = encoder(tokenizer_path())
+    parts = [" ", "  ", "\n", "a", "it's", "é", "中文", "12", "!", "\x1c", "\xa0", " \xa0", "\u3000", " \u2003", "\x85", "\x0b ",
+             "word ", "Word*** ", "the ", "<|endoftext|>", "😀 ", "x" * 90 + " "]
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    array = pa.array(["skipped", *texts]).slice(1)
+    for size in (1, 500, 4 << 20):
+        monkeypatch.setattr(bpe_cache, "SLICE_BYTES", size)
+        got = list(enc.encode_batch(array))
+        assert len(got) == len(texts)
+        for text, ids in zip(texts, got):
+            assert np.frombuffer(ids, enc.dtype).tolist() == whole(text), repr(text)
+    assert list(enc.encode_batch(array.slice(0, 0))) == []
+
+
+def test_every_white_space_of_python_is_arrows():
+    import re
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found = pc.match_substring_regex(pa.array([c + " " for c in every]), bpe_cache._ARROW_RUN).to_pylist()
+    assert [c for c, f in zip(every, found) if f] == [c for c in every if re.match(r"\s", c)]
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe_cache, "CACHE_BYTES", 200_000)
+    enc = bpe_cache.BpeEncoder(tokenizer_path())
+    rnd = random.Random(2)
+    unspaced = ["".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(2000)) for _ in range(100)]
+    spaced = [" ".join(str(rnd.random()) for _ in range(200)) for _ in range(100)]
+    list(enc.encode_batch(pa.array(unspaced + spaced)))
+    for cache in (enc.words, enc.spaced, enc.plain):
+        for age in (cache, cache.old):
+            assert all(len(k) <= bpe_cache.CACHE_LENGTH for k in age)
+            assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in age.items()) <= 200_000
+
+
 def test_files_hold_every_document_in_order(spark, awkward, clashing, whole, tmp_path):
     docs = clashing(awkward)
     path = str(tmp_path / "tokens")

@@ -2,23 +2,38 @@
 
 A byte-level BPE splits a text into pre-tokens before merging, and no pre-token
 goes on over white space after a non-space character. A text is therefore cut
-there, and each distinct piece is encoded once per worker by the library's own
-model. Texts outside that rule go to the library whole.
+there, and each distinct piece is encoded by the library's own model and cached. The
+texts of a batch are cut and numbered by Arrow, so that Python sees each of a
+slice's distinct pieces once; numpy lays their ids out in the order of the texts.
+Texts outside that rule go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Pieces kept per cache and age (about 200 bytes each), in each of a worker's three caches.
-CACHE_PIECES = 300_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of entries kept per age (two of them) in a worker's cache of spaced pieces; its two other caches keep an eighth.
+CACHE_BYTES = 128 << 20
+#: Longer pieces (code points) are not kept: they hardly come again.
+CACHE_LENGTH = 64
+#: New pieces given to the library as one text.
+JOINED = 1000
+#: Bytes of text numbered at once, about; a longer text is a slice of its own.
+SLICE_BYTES = 4 << 20
 
 #: White space beside a space: then cuts at spaces alone would part a run.
 _RUN = re.compile(r"\s | \s")
+#: The same for Arrow, whose own class of white space is ASCII only.
+_SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_ARROW_RUN = f"{_SPACE} | {_SPACE}"
 _PIECE = re.compile(r"\s*\S+|\s+")
 #: White space to Python, but not to the library.
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -38,19 +53,25 @@ def byte_letters() -> dict[int, str]:
 class _Cache(dict):
     """Makes what is missing. When full, the entries become the old ones; those met again are taken back."""
 
-    def __init__(self, make):
+    def __init__(self, make, share: int = 1):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.share, self.old, self.held = make, share, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value):
+        if len(key) > CACHE_LENGTH:
+            return
+        self.held += 250 + 4 * len(key) + len(value)  # at most: two objects and the entry's share of the table
+        if self.held >= CACHE_BYTES // self.share:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
-        return value
 
 
 class BpeEncoder:
@@ -59,6 +80,7 @@ class BpeEncoder:
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
@@ -71,10 +93,13 @@ class BpeEncoder:
                          and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.letters = byte_letters()
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)  # ids that begin with a space
+        self.opens[[i for token, i in vocab.items() if token.startswith(self.letters[0x20])]] = True
         self.pre_token = regex.compile(PRE_TOKEN)
-        self.words = _Cache(self._word)
+        self.words = _Cache(self._word, 8)
         self.spaced = _Cache(self._spaced)
-        self.plain = _Cache(lambda piece: b"".join(map(self.words.__getitem__, self._pre_tokens(piece))))
+        self.plain = _Cache(lambda piece: b"".join(map(self.words.__getitem__, self._pre_tokens(piece))), 8)
 
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
@@ -109,6 +134,77 @@ class BpeEncoder:
         head = self.plain[pieces[0]] if pieces[0] else b""
         return head + b"".join(map(self.spaced.__getitem__, pieces[1:]))
 
+    def encode_batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of each text in turn, by slices of about ``SLICE_BYTES``."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            done = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
+            yield from self._encode_slice(texts.slice(at, to - at))
+            at = to
+
+    def _encode_slice(self, texts: pa.Array) -> list[bytes]:
+        if not self.by_piece:
+            return [self._whole(t) for t in texts.to_pylist()]
+        special = pc.match_substring_regex(texts, _ARROW_RUN)
+        for token in self.added:
+            special = pc.or_(special, pc.match_substring(texts, token))
+        special = special.to_numpy(zero_copy_only=False)
+        plain = iter(self._encode_spaced(texts.filter(pa.array(~special))))
+        return [self.encode(texts[i].as_py()) if alone else next(plain) for i, alone in enumerate(special)]
+
+    def _encode_spaced(self, texts: pa.Array) -> list[bytes]:
+        """Texts without white space beside a space: the first piece stands alone, a space precedes each other."""
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        numbered = cut.flatten().dictionary_encode()
+        code = numbered.indices.to_numpy().astype(np.int64)
+        pieces = numbered.dictionary.to_pylist()
+        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        heads, head_code = np.unique(code[first], return_inverse=True)
+        follows = np.ones(len(code), dtype=bool)
+        follows[first] = False
+        used = np.zeros(len(pieces), dtype=bool)
+        used[code[follows]] = True
+        coded = self._spaced_pieces([p if u else None for p, u in zip(pieces, used.tolist())])
+        coded += [self.plain[pieces[h]] if pieces[h] else b"" for h in heads.tolist()]
+        code[first] = len(pieces) + head_code
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        n = size[code]
+        place = np.repeat(start[code] - (np.cumsum(n) - n), n)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(coded), self.dtype)[place].tobytes()
+        ends = np.cumsum(np.add.reduceat(n, first)) * self.dtype.itemsize
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def _spaced_pieces(self, pieces: list[str | None]) -> list[bytes]:
+        """``_spaced`` of every piece (none of a None). New ones go to the library joined; the ids that begin with a space part them."""
+        known, new = self.spaced, []
+        coded = [b"" if p is None else known.get(p) for p in pieces]
+        for i in [i for i, c in enumerate(coded) if c is None]:
+            coded[i] = known.old.get(pieces[i])
+            if coded[i] is None:
+                new.append(i)
+            else:
+                known.keep(pieces[i], coded[i])
+        for at in range(0, len(new), JOINED):
+            group = new[at:at + JOINED]
+            text = "".join([" " + pieces[i] for i in group])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
+            if len(cuts) != len(group) or "" in (pieces[i] for i in group):
+                found = [self._spaced(pieces[i]) for i in group]
+            else:
+                ids = ids.tobytes()
+                found = [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+            for i, value in zip(group, found):
+                coded[i] = value
+                known.keep(pieces[i], value)
+        return coded
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 

@@ -85,8 +85,8 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int) ->
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                coded = enc.encode(text.as_py()) + end
+            for doc_id, coded in zip(batch.column(0).to_pylist(), enc.encode_batch(batch.column(1))):
+                coded += end
                 doc_ids.append(doc_id)
                 lengths.append(len(coded) // item)
                 ids.append(coded)
