@@ -9,7 +9,7 @@ versions here stay partial-aggregable:
   mergeable, bounded size) brackets each target rank; one counting pass keeps the
   values inside a bracket (a ~4/accuracy slice of the column) and only counts the
   rows between brackets, so next to nothing is shuffled; the kept values are
-  ordered by a window to read the exact order statistics.
+  dealt into ranges, and only the ranges that hold a target rank are ordered.
   Linear interpolation between ranks floor(h) and ceil(h), h = (n-1)p, is the
   pandas / DuckDB ``quantile_cont`` rule.
 * ``column_modes``: count per (column, value) with map-side combine, then
@@ -58,7 +58,7 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
     p -+ width/accuracy. Pass 2: rows per (column, place), where the place of a
     value inside a bracket is the value itself and that of any other value is the
     nearest bracket below; partial sums leave a few rows per task and column.
-    Running sums over the places give exact ranks. Should a target rank lie
+    The places at the target ranks are selected by ranges (``_at_ranks``). Should a target rank lie
     outside of its bracket (the sketch promises it does not), pass 2 is repeated
     with the next width, at last with the whole range.
 
@@ -101,14 +101,10 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
         place = F.when(inside, F.struct(F.col("v").alias("at"), F.lit(0).alias("above"))).otherwise(
             F.struct(below.alias("at"), F.lit(1).alias("above")))
         places = each.groupBy(*g, "column", place.alias("place")).agg(F.count(F.lit(1)).alias("cnt"))
-        run = Window.partitionBy(*g, "column").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        places = places.withColumn("cum", F.sum("cnt").over(run))
         targets = sketch.select(*g, "column", "n", "mean", "std", "min", "max",
                                 F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
         targets = targets.withColumn("h", (F.col("n") - 1).cast("double") * F.col("p"))
-        hit = places.join(targets, g + ["column"]).groupBy(*g, "column", "p", "n", "mean", "std", "min", "max", "h").agg(
-            F.min(F.when(F.col("cum") > F.floor("h"), F.col("place"))).alias("a"),
-            F.min(F.when(F.col("cum") > F.ceil("h"), F.col("place"))).alias("b"))
+        hit = _at_ranks(places, targets, g)
         hit = materialize(hit)  # a row per group, column and p
         if not width or hit.where("a.above = 1 or b.above = 1").isEmpty():
             break
@@ -117,6 +113,30 @@ def exact_quantiles(df: DataFrame, cols, probs, group_cols=(), accuracy: int = 1
                       (F.col("a.at") + frac * (F.col("b.at") - F.col("a.at"))).alias("value"))
 
 
+def _at_ranks(places: DataFrame, targets: DataFrame, g: list) -> DataFrame:
+    """The places ``a`` and ``b`` at ranks floor(h) and ceil(h) of every target.
+
+    Places are dealt by range (Spark samples the bounds) and written, so that ranges
+    keep their rows. Counts per range, a row each, tell which range holds a rank; only
+    those are ordered, each by a window of its own. No column is gathered in one task.
+    """
+    from tillsight.session import materialize
+    dealt = places.repartitionByRange(*g, "column", "place.at", "place.above")
+    dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*g, "column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (dealt.groupBy(*g, "column", "_range").agg(F.sum("cnt").alias("_n"))
+                   .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))))
+    held = (F.col("_before") <= F.ceil("h")) & (F.col("_before") + F.col("_n") > F.floor("h"))
+    wanted = ranges.join(targets, g + ["column"]).where(held)
+    keys = [*g, "column", "_range"]
+    inside = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = (dealt.join(wanted.select(*keys, "_before").distinct(), keys)
+                    .withColumn("cum", F.col("_before") + F.sum("cnt").over(inside)).drop("_before"))
+    return ordered.join(wanted.drop("_n", "_before"), keys).groupBy(*g, "column", "p", "n", "mean", "std", "min", "max", "h").agg(
+        F.min(F.when(F.col("cum") > F.floor("h"), F.col("place"))).alias("a"),
+        F.min(F.when(F.col("cum") > F.ceil("h"), F.col("place"))).alias("b"))
+
+
 def column_modes(df: DataFrame, cols) -> DataFrame:
     """Most frequent non-null value per column, lowest value on ties.
 
