@@ -29,16 +29,22 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in exclude]
 
 
-def dedupe(df: DataFrame, subset=None, order_col: str | None = None) -> DataFrame:
+#: Digests of repeated rows (16 bytes each) that are broadcast; beyond them rows are shuffled whole.
+BROADCAST_DIGESTS = 1_000_000
+
+
+def dedupe(df: DataFrame, subset=None, order_col: str | None = None,
+           broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """Drop rows equal in all (or ``subset``) columns; NULLs compare equal.
 
     With ``order_col`` the surviving row carries the smallest order value of its
-    duplicates (the first row, T17). Both forms are hash aggregates with
-    map-side combine, so a duplicate group holding a large share of the rows is
-    collapsed before the shuffle.
+    duplicates (the first row, T17). With ``order_col`` or ``subset`` this is a hash
+    aggregate with map-side combine, so a duplicate group holding a large share of
+    the rows is collapsed before the shuffle. Whole rows are compared in two phases
+    (``_distinct_rows``).
     """
     if order_col is None:
-        return df.dropDuplicates(subset) if subset else df.dropDuplicates()
+        return df.dropDuplicates(subset) if subset else _distinct_rows(df, broadcast_digests)
     data_cols = list(subset) if subset else [c for c in df.columns if c != order_col]
     others = [c for c in df.columns if c not in data_cols and c != order_col]
     aggs = [F.min(order_col).alias(order_col)]
@@ -50,6 +56,28 @@ def dedupe(df: DataFrame, subset=None, order_col: str | None = None) -> DataFram
     return out.select(*df.columns)
 
 
+def _distinct_rows(df: DataFrame, broadcast_digests: int) -> DataFrame:
+    """The different rows of ``df``: only digests of 128 bits are shuffled, and rows whose digest repeats.
+
+    The rows are written with their digest, and digests are counted with map-side
+    combine. A row whose digest occurs once is kept as it is. The others, copies and
+    rows that share a digest by chance, are compared column by column, so the digest
+    decides nothing but which rows to compare. Repeated digests are broadcast if their
+    counted number is at most ``broadcast_digests``; with more of them a large share
+    of the table repeats, and all rows are compared.
+    """
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    digest = {"_h1": F.xxhash64(*names), "_h2": F.xxhash64(F.lit(1), *reversed(names))}
+    rows = materialize(rows.withColumns(digest))
+    repeated = materialize(rows.groupBy(*digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest))
+    if repeated.count() > broadcast_digests:
+        return rows.drop(*digest).dropDuplicates().toDF(*df.columns)
+    alone = rows.join(F.broadcast(repeated), [*digest], "left_anti")
+    copies = rows.join(F.broadcast(repeated), [*digest], "left_semi").dropDuplicates(names)
+    return alone.unionByName(copies).select(*names).toDF(*df.columns)
+
+
 def forward_fill(df: DataFrame, order_col, cols=None, partition_cols=()) -> DataFrame:
     """Fill NULLs with the last non-null value in ``order_col`` order (NULLs first).
 

@@ -7,8 +7,11 @@ by an explicit key so results do not depend on partitioning (T9).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillsight.functions import expressions as X
 from tillsight.operators import aggregate as A
@@ -80,11 +83,62 @@ def head_n(df, n: int, order) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+#: Rows up to which a page is a top-k of the whole input; deeper pages go by an index.
+SHALLOW = 10_000
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """Rows dealt by range of an order, and the number of rows per range with those before it."""
+
+    rows: DataFrame  # the input's columns and _range, a folder per range
+    ranges: DataFrame  # (_range, n, before)
+    total: int
+    order: tuple
+
+
+def page_index(df, order) -> PageIndex:
+    """Write ``df`` by ranges of ``order`` once, so that any page reads a range or two.
+
+    Spark samples the bounds; columns that ``order`` leaves out break its ties, so that
+    a value of a third of all rows spans as many ranges as it needs. The number of ranges
+    is the session's shuffle setting. The counts are a row per range; an empty input has
+    no ranges.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    ties = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    dealt = df.repartitionByRange(*order, *ties).withColumn("_range", F.spark_partition_id())
+    rows = materialize(dealt, partition_by="_range")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = materialize(rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+                             .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    total = ranges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return PageIndex(rows, ranges, total, (*order, *ties))
+
+
+def page_at(index: PageIndex, page_no: int, size: int, with_pages: bool = True) -> DataFrame:
+    """Page ``page_no`` (1-based) of an index: only the ranges that hold its rows are read and ordered.
+
+    A page past the end has no rows.
+    """
+    first = (page_no - 1) * size
+    held = index.ranges.where((F.col("before") < first + size) & (F.col("before") + F.col("n") > first))
+    held = held.orderBy("_range").collect()  # at most as many as the page has rows
+    rows = index.rows.where(F.col("_range").isin([r["_range"] for r in held])) if held else index.rows.where(F.lit(False))
+    skip = first - held[0]["before"] if held else 0
+    rows = rows.orderBy(*index.order).offset(skip).limit(size).drop("_range")
+    return rows.withColumn("pages", F.lit(-(-index.total // size)).cast("long")) if with_pages else rows
+
+
 def page(df, page_no: int, size: int, order, with_pages: bool = True) -> DataFrame:
     """Page ``page_no`` (1-based) of ``size`` rows, plus the page count if asked for.
 
-    A deep page orders all rows before it; walking through many pages is for ``page_after``.
+    A page within the first ``SHALLOW`` rows is a top-k (each task keeps that many rows).
+    A deeper one goes by a ``page_index``, which callers with many pages keep and ask by
+    ``page_at``; walking forward by unique keys is for ``page_after``.
     """
+    if page_no * size > SHALLOW:
+        return page_at(page_index(df, order), page_no, size, with_pages)
     rows = df.orderBy(*order).offset((page_no - 1) * size).limit(size)
     if not with_pages:
         return rows

@@ -143,6 +143,13 @@ def q_page(spark, sf):
     return R.page(sales(spark, sf), 3, 10, ["invoice_id", "total", "quantity", "unit_price", "product_line"])
 
 
+@register("page_deep", SALES + """select *, (select cast(ceil(count(*) / 50.0) as bigint) from sales) as pages
+from sales order by invoice_id, total, quantity, unit_price, product_line limit 50 offset 49950""")
+def q_page_deep(spark, sf):
+    """Page 1,000 of 50 rows, by the page index."""
+    return R.page(sales(spark, sf), 1000, 50, ["invoice_id", "total", "quantity", "unit_price", "product_line"])
+
+
 @register("page_after", EV + "select * from ev where invoice_id > 1000 order by invoice_id limit 25")
 def q_page_after(spark, sf):
     """W7, keyset form: the page after event 1000."""

@@ -33,8 +33,8 @@ def _hour(df: DataFrame, time_col: str) -> DataFrame:
 def clean_basic(df: DataFrame, order_cols, date_col="date", time_col="time") -> DataFrame:
     """Dedupe -> forward fill -> parse date -> day name -> hour."""
     order_cols = list(order_cols)
-    # Bounds and ranges of the fill both read the deduped rows: write them once.
-    d = materialize(clean.dedupe(df))
+    # The rows are written by dedupe; bounds and ranges of the fill both read them from there.
+    d = clean.dedupe(df)
     d = clean.forward_fill(d, order_cols, cols=d.columns)
     d = _parse_and_parts(d, date_col, month_year=False)
     return _hour(d, time_col)
@@ -43,8 +43,8 @@ def clean_basic(df: DataFrame, order_cols, date_col="date", time_col="time") ->
 def clean_prepare(df: DataFrame, order_cols, date_col="date", time_col="time") -> DataFrame:
     """C14: C13 with month and year, plus average item price."""
     order_cols = list(order_cols)
-    # Bounds and ranges of the fill both read the deduped rows: write them once.
-    d = materialize(clean.dedupe(df))
+    # The rows are written by dedupe; bounds and ranges of the fill both read them from there.
+    d = clean.dedupe(df)
     d = clean.forward_fill(d, order_cols, cols=d.columns)
     d = _parse_and_parts(d, date_col, month_year=True)
     d = _hour(d, time_col)

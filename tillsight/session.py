@@ -110,9 +110,12 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df):
+def materialize(df, partition_by: str | None = None):
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it from there.
 
+    With ``partition_by`` (an int column) there is a folder per value, and filters on it
+    read only those folders.
+
     Used where several jobs read the same expensive intermediate (a deduped
     table, model features): each would otherwise recompute the joins and
     shuffles behind it, and a cache would be lost with its executor. Later reads
@@ -124,7 +127,7 @@ def materialize(df):
     if not kept.columns:
         return df.checkpoint(eager=True) if ensure_checkpoint_dir(spark) else df
     path = shared_folder(spark, "rows")
-    kept.write.parquet(path)
+    (kept.write.partitionBy(partition_by) if partition_by else kept.write).parquet(path)
     back = spark.read.schema(kept.schema).parquet(path)
     return back.withColumns({c: F.lit(None) for c in untyped}).select(*df.columns) if untyped else back
 
