@@ -2,11 +2,10 @@
 
 Every document of a source has the same expected number of copies, the source's
 target divided by its size. The running sum of expected copies within the source
-plus one offset per source crosses integers; a document is emitted once for each
-integer that its step crosses. The running sum follows ascending sizes, so what
-a source gives stays within about one document of its target; of ``OFFSETS``
-evenly spaced offsets from a random one on, the source takes that which comes
-nearest, which matters for sources of a few documents.
+plus one random offset per source crosses integers; a document is emitted once for
+each integer that its step crosses, so its expected copies are the same as any other's
+of its source. The running sum follows ascending sizes, so what a source gives stays
+within about one document of its target.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import SPACED_WORD, id_bits, md5_bits, small, two_level_rank, written
+from tillsight.llm.common import SPACED_WORD, id_bits, md5_bits, two_level_rank, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -23,8 +22,6 @@ MOST_COPIES = 3
 #: Rows that one ranking task takes of a (source, size band), about.
 ROWS_PER_SLOT = 65_536
 SEED = "mix-1"
-#: Offsets that a source chooses from.
-OFFSETS = 32
 
 
 def n_words(text: Column) -> Column:
@@ -87,31 +84,13 @@ def planned_copies(docs: DataFrame, keep: list[str], weights=WEIGHTS, most: int
     plan = bands.select(*source, "band", F.ceil(F.col("n") / rows_per_slot).alias("slots")).join(share, source)
     plan = written(plan, "mix-plan")
 
-    def placed(df):
-        return (df.join(plan, source + ["band"])
-                  .withColumn("slot", F.pmod(F.col("bits"), F.col("slots"))))
-
-    def ranked(df):
-        return two_level_rank(placed(df), source, ["band", "slot"], ["size", "id"])
-
+    ranked = two_level_rank(rows.join(plan, source + ["band"]).withColumn("slot", F.pmod(F.col("bits"), F.col("slots"))),
+                            source, ["band", "slot"], ["size", "id"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    drawn = md5_bits(F.concat(F.lit(seed), F.col("no_source").cast("string"), F.col("src")), 8) / F.lit(2.0 ** 32)
-
-    def copies(offset):
-        crossed = (F.floor(rate * F.col("rank") + offset) - F.floor(rate * (F.col("rank") - 1) + offset)).cast("long")
-        return F.least(crossed, F.lit(most).cast("long"))
-
-    def offset_no(j):
-        return drawn + F.lit(j / OFFSETS) - F.floor(drawn + F.lit(j / OFFSETS))
-
-    sums = ranked(narrow).groupBy(*source, "target").agg(
-        *[F.sum(copies(offset_no(j)) * F.col("size")).alias(f"t{j}") for j in range(OFFSETS)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("far"), F.lit(j).alias("j"),
-                                             offset_no(j).alias("offset")) for j in range(OFFSETS)]))
-    # One row per source.
-    chosen = written(sums.select(*source, nearest["offset"].alias("offset")), "mix-offsets")
-    return ranked(rows).join(small(chosen, 1_000_000), source).select(
-        "row", "size", "source_size", "target", copies(F.col("offset")).alias("copies"))
+    offset = md5_bits(F.concat(F.lit(seed), F.col("no_source").cast("string"), F.col("src")), 8) / F.lit(2.0 ** 32)
+    crossed = (F.floor(rate * F.col("rank") + offset) - F.floor(rate * (F.col("rank") - 1) + offset)).cast("long")
+    return ranked.select("row", "size", "source_size", "target",
+                         F.least(crossed, F.lit(most).cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
@@ -147,12 +126,9 @@ t as (select no_source, src, source_size, least(cap::double, (max(level_here) ov
 b as (select *, floor(sqrt(size))::bigint as band from d),
 p as (select *, bits % ceil(count(*) over (partition by no_source, src, band) / {ROWS_PER_SLOT}.0)::bigint as slot from b),
 r as (select *, row_number() over (partition by no_source, src order by band, slot, size, doc_id) as rk from p),
-k as (select t.*, case when source_size > 0 then target / source_size else 0 end as rate, j,
-             u0 + j / {OFFSETS}.0 - floor(u0 + j / {OFFSETS}.0) as u from t, range({OFFSETS}) o(j)),
-a as (select r.doc_id, r.size, k.*, least(floor(rate * rk + u)::bigint - floor(rate * (rk - 1) + u)::bigint, {MOST_COPIES}) as copies
-      from r join k using (no_source, src)),
-e as (select no_source, src, j, abs(sum(copies * size) - any_value(target)) as far from a group by all),
-f as (select no_source, src, j from e qualify row_number() over (partition by no_source, src order by far, j) = 1),
-c as (select a.doc_id, a.size, a.source_size, a.target, a.copies from a join f using (no_source, src, j))
+k as (select *, case when source_size > 0 then target / source_size else 0 end as rate from t),
+c as (select r.doc_id, r.size, k.source_size, k.target,
+             least(floor(rate * rk + u0)::bigint - floor(rate * (rk - 1) + u0)::bigint, {MOST_COPIES}) as copies
+      from r join k using (no_source, src))
 select doc_id, size, source_size, target, copies * size as taken, copies from c
 """
