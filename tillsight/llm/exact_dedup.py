@@ -18,6 +18,8 @@ PREFIX = 256
 #: The third step's candidates are looked up by slot: a set of at most this many
 #: numbers (8 MB), whatever the corpus. A slot shared by chance only costs a hash.
 SLOTS = 1 << 20
+#: Groups of equal texts (about 150 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 500_000
 
 
 def exact_groups(docs: DataFrame, carry: dict[str, Column] | None = None, id_col: str = "doc_id",
@@ -57,7 +59,9 @@ def exact_groups(docs: DataFrame, carry: dict[str, Column] | None = None, id_col
     best = F.max(F.struct("doc_id", "seq"))
     groups = candidates.groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     carried = list(carry or {})
-    grouped = candidates.join(groups, key).select(
+    # Written before it is joined: the join has shuffles of its own, if any, whose skew Spark can split.
+    groups = written(groups, "groups")
+    grouped = candidates.join(small(groups, BROADCAST_GROUPS), key).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("seq") == F.col("best.seq")).alias("kept"), *carried)
     alone = rows.where(F.col("full").isNull()).select(
