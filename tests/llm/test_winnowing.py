@@ -66,6 +66,14 @@ def test_filter_keeps_clean_rows_whole(spark, awkward, clashing):
     assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if r.text != text)
 
 
+def test_items_without_id_hit_in_the_filter(spark, make_docs):
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = make_docs([(1, "before " + passage + " after"), (2, "clean text of some words that no item has at all"), (3, "short one")])
+    bench = spark.createDataFrame([(None, passage), (None, "SHORT one")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminated(docs, bench).collect()] == [2]
+    assert not any(r.contaminated for r in decontamination_report(docs, bench).collect())
+
+
 def test_no_benchmark_and_no_documents(spark, awkward):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert not any(r.contaminated for r in decontamination_report(awkward, bench.where("false")).collect())

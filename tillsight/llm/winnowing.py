@@ -72,13 +72,14 @@ def _windows(spans: DataFrame) -> DataFrame:
     return each.withColumn("key", key).drop("span", "first", "last")
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, unnamed: bool = False) -> DataFrame:
     """(len, m, key, items): every different window and the sorted ids of the items that hold it.
 
-    An item shorter than a window is one window; one without words has none.
+    An item shorter than a window is one window; one without words has none. Items
+    without id are left out, or with ``unnamed`` have windows that name no item.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(text_of()).alias("words"))
-    items = items.where((F.size("words") > 0) & F.col("item").isNotNull())
+    items = items.where((F.size("words") > 0) & (F.col("item").isNotNull() | F.lit(unnamed)))
     own = F.least(F.size("words"), F.lit(window))
     runs = F.coalesce(*[F.when(own == n, _runs(F.col("words"), n, window, gram)) for n in range(1, window + 1)])
     spans = items.select("item", "words", F.explode(runs).alias("r")).select(
@@ -90,14 +91,15 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], window: int = WINDOW,
                   gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS,
-                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES, unnamed: bool = False) -> DataFrame:
     """The ``keep`` columns, n_words, n_hit, items (sorted ids) and contaminated, for every document.
 
     Defined results: a null text has no words; repeated rows are rows of their
     own; without benchmark windows nothing is hit, and items without id have none
-    (as in ``SQL``); no documents give no rows.
+    (as in ``SQL``) unless ``unnamed``: then they hit, but are not among ``items``;
+    no documents give no rows.
     """
-    known = written(benchmark_windows(benchmark, window, gram), "bench")
+    known = written(benchmark_windows(benchmark, window, gram, unnamed), "bench")
     lengths = sorted(r["len"] for r in known.select("len").distinct().collect()) or [window]  # ``window`` values at most
     prints = known.select("len", "m").distinct()
     n_prints = prints.count()
@@ -158,11 +160,12 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, **params) -> D
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of ``docs`` without a hit. Whether a row has one depends on its text alone."""
+    """The rows of ``docs`` without a hit, by an item without id either. Whether a row has one depends on its text alone."""
     def key(df):
         return F.md5(F.coalesce(df["text"], F.lit("")))
 
-    found = contamination(docs.select("text"), benchmark, {"text_md5": key(docs)}, broadcast_rows=broadcast_rows)
+    found = contamination(docs.select("text"), benchmark, {"text_md5": key(docs)}, broadcast_rows=broadcast_rows,
+                          unnamed=True)
     bad = written(found.where("contaminated").select("text_md5").distinct(), "contaminated")
     return docs.join(small(bad, broadcast_rows), key(docs) == bad["text_md5"], "left_anti")
 
