@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -81,3 +82,25 @@ def test_windows_across_segments(spark, size):
             for i in range(len(w) - 3):
                 expected[("und" if lang is None else lang, *w[i:i + 4])] += 1
     assert found == expected
+
+
+def test_shuffles_end_with_their_pass(spark):
+    """Nothing of a pass is left in the shuffle folders when the next one begins; the setting is put back."""
+    from tillsight.llm.common import shuffles_released, table, written
+    from tillsight.llm.collocations import windows
+
+    def blocks():
+        """Bytes of shuffle files below the folders of this application."""
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return sum(os.path.getsize(os.path.join(at, f)) for folder in folders for at, _, files in os.walk(folder.getPath())
+                   for f in files if f.startswith("shuffle_"))
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, dealt = spark.conf.get(setting), windows(table(spark, "/root/testdata/sf0.001", "documents"), 0, 1).repartition("w1")
+    start = blocks()
+    with shuffles_released(spark):
+        kept = written(dealt, "released")
+        assert blocks() <= start
+    assert spark.conf.get(setting) == was and kept.count() > 0
+    written(dealt, "held")
+    assert blocks() > start

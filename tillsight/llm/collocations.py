@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import discard, table, text_of, written
+from tillsight.llm.common import shuffles_released, table, text_of, written
 
 #: Occurrences of a phrase, at least; rows reported per language.
 LEAST, TOP = 30, 2000
@@ -144,10 +144,8 @@ def _slice_counts(docs: DataFrame, least: int, part: int, parts: int) -> DataFra
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, slices: int = SLICES) -> DataFrame:
     """(lang, words, phrase, f): phrases of 1 to 4 words with f >= least; words = 0 holds the language's own count."""
-    parts = []
-    for i in range(slices):
-        parts.append(_slice_counts(docs, least, i, slices))
-        discard()
+    with shuffles_released(docs.sparkSession):
+        parts = [_slice_counts(docs, least, i, slices) for i in range(slices)]
     whole = reduce(DataFrame.unionByName, parts)
     totals = whole.where("words = 0").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return written(whole.where("words > 0").unionByName(totals), "phrases")
