@@ -74,3 +74,24 @@ def test_awkward_rows(awkward, clashing):
     assert len(got) == awkward.count()
     assert all(r.taken == 0 for r in got if r["size"] == 0)
     assert mix_report(awkward.where("false")).collect() == []
+
+
+def test_a_source_of_few_documents_takes_the_offset_nearest_to_its_target(make_docs):
+    sizes = {s: [1 + (i * 37 + k * 101) % 400 for i in range(5 + k)] for k, s in enumerate("abcdefgh")}
+    rows = [(f"{s}{i}", s, n) for s, ns in sizes.items() for i, n in enumerate(ns)]
+    docs = make_docs([(j, "w " * n, "en", s) for j, (_, s, n) in enumerate(rows)], 3)
+    got = mix_report(docs).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[rows[r.doc_id][1]] += r.taken
+        target[rows[r.doc_id][1]] = r.target
+    for s, ns in sizes.items():
+        rate = target[s] / sum(ns)
+        ordered = sorted((int(n ** 0.5), n) for n in ns)
+
+        def gap(u):
+            copies = [min(3, int(rate * k + u) - int(rate * (k - 1) + u)) for k in range(1, len(ns) + 1)]
+            return abs(sum(c * n for c, (_, n) in zip(copies, ordered)) - target[s])
+
+        # Any choice of 32 evenly spaced offsets holds one below each 32nd.
+        assert abs(taken[s] - target[s]) <= max(min(gap(j / 32 + e) for j in range(32)) for e in (0.001, 0.01, 0.02, 0.03))

@@ -50,8 +50,14 @@ def plain_mix(docs):
         u = int(md5(key.encode()).hexdigest()[:8], 16) / 2**32
         rate = target[s] / sizes[s] if sizes[s] else 0
         rows.sort(key=lambda r: (r[2], r[3][0]))
-        for k, (*_, d) in enumerate(rows, 1):
-            out += [d] * min(3, int(rate * k + u) - int(rate * (k - 1) + u))
+
+        def taken(u):
+            return [min(3, int(rate * k + u) - int(rate * (k - 1) + u)) for k in range(1, len(rows) + 1)]
+
+        offsets = [u + j / mixing.OFFSETS - int(u + j / mixing.OFFSETS) for j in range(mixing.OFFSETS)]
+        best = min(offsets, key=lambda u: abs(sum(n * r[2] for n, r in zip(taken(u), rows)) - target[s]))
+        for n, (*_, d) in zip(taken(best), rows):
+            out += [d] * n
     return out
 
 
