@@ -90,3 +90,36 @@ def test_rows_without_a_copy_are_not_shuffled(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
     assert len(moved) == 1  # of the rows whose digest repeats
+
+
+def test_neighbours_in_ranges_are_distinct_and_filled(spark):
+    df = spark.createDataFrame(AWKWARD * 3, "`_h1` int, `b.c` string, n double").repartition(5).toDF("_h1", "b", "n")
+    ranged = C.by_ranges(df, ["_h1", "b"])
+    got = C.dedupe(ranged, ranged=True)
+    shown = lambda rows: sorted(repr(tuple(r)).replace("-0.0", "0.0") for r in rows)
+    assert shown(got.collect()) == shown(df.dropDuplicates().collect())
+    nested = df.select("_h1", F.array("b", "b").alias("a"), F.struct("n").alias("s"))
+    assert shown(C.dedupe(C.by_ranges(nested, "_h1"), ranged=True).collect()) == shown(nested.dropDuplicates().collect())
+    seen, want = [None] * 3, []
+    for r in sorted(got.collect(), key=lambda r: [(v is not None, v != v, 0 if v is None or v != v else v) for v in r]):
+        seen = [old if new is None else new for old, new in zip(seen, r)]
+        want.append(tuple(seen))
+    assert shown(C.forward_fill(got, ["_h1", "b"], cols=df.columns, ranged=True).collect()) == shown(want)
+
+
+def test_clean_rows_move_into_ranges_once(spark):
+    from tillsight.plans.pipelines import clean_basic
+    cols = ["invoice_id", "date", "time", "total"]
+    df = spark.range(500).selectExpr("id % 100 as invoice_id", "'2024-01-02' as date", "'10:00' as time",
+                                     "if(id % 3 = 0, null, double(id % 7)) as total")
+    out = clean_basic(df, cols)
+    assert out.count() == df.dropDuplicates().count()
+    assert "hashpartitioning" not in plan_of(out)  # the rows of the last step are not dealt again
+    plan = plan_of(C.dedupe(C.by_ranges(df, cols), ranged=True))
+    assert plan.count("rangepartitioning") and "hashpartitioning" not in plan
+
+
+def test_broken_rows_join_the_view_once(spark):
+    from conftest import SF_SMALL
+    from tillsight.plans.catalog_base import dirty_sales
+    assert plan_of(dirty_sales(spark, SF_SMALL)).count("lineitem.parquet") == 1

@@ -6,6 +6,10 @@ first duplicate, fill from the previous row) takes an explicit order column.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,16 +37,38 @@ def string_columns(df: DataFrame, exclude=()) -> list[str]:
 BROADCAST_DIGESTS = 1_000_000
 
 
+def by_ranges(df: DataFrame, order_cols) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order_cols`` (NULLs first), the other columns breaking ties.
+
+    Equal rows share a range and are neighbours, so ``dedupe`` and ``forward_fill``
+    take them (``ranged=True``) without another shuffle. Spark samples the bounds
+    and takes as many ranges as the session's shuffle setting asks for. The rows are
+    written once, since the bounds and the ranges both read them.
+    """
+    order = [F.col(c).asc_nulls_first() for c in _total_order(df, order_cols)]
+    return materialize(df).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _total_order(df: DataFrame, order_cols) -> list[str]:
+    first = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    return first + [c for c in df.columns if c not in first]
+
+
 def dedupe(df: DataFrame, subset=None, order_col: str | None = None,
-           broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+           broadcast_digests: int = BROADCAST_DIGESTS, ranged: bool = False) -> DataFrame:
     """Drop rows equal in all (or ``subset``) columns; NULLs compare equal.
 
     With ``order_col`` the surviving row carries the smallest order value of its
     duplicates (the first row, T17). With ``order_col`` or ``subset`` this is a hash
     aggregate with map-side combine, so a duplicate group holding a large share of
     the rows is collapsed before the shuffle. Whole rows are compared in two phases
-    (``_distinct_rows``).
+    (``_distinct_rows``), or with their neighbours alone if ``df`` comes from
+    ``by_ranges`` (``ranged``).
     """
+    if ranged:
+        names = [f"_c{i}" for i in range(len(df.columns))]
+        rows = df.toDF(*names)
+        return rows.mapInArrow(_unlike_neighbours, rows.schema).toDF(*df.columns)
     if order_col is None:
         return df.dropDuplicates(subset) if subset else _distinct_rows(df, broadcast_digests)
     data_cols = list(subset) if subset else [c for c in df.columns if c != order_col]
@@ -78,9 +104,108 @@ def _distinct_rows(df: DataFrame, broadcast_digests: int) -> DataFrame:
     return alone.unionByName(copies).select(*names).toDF(*df.columns)
 
 
-def forward_fill(df: DataFrame, order_col, cols=None, partition_cols=()) -> DataFrame:
+def _plain(value):
+    """A nested value in which NaN equals NaN (zeros of either sign are equal in Python too)."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return "NaN" if isinstance(value, float) and value != value else (type(value), value)
+
+
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two columns are equal as Spark's grouping sees it: NULLs, NaNs and zeros of either sign are equal."""
+    if pa.types.is_nested(a.type) or pa.types.is_null(a.type):
+        return np.fromiter(map(lambda x, y: _plain(x) == _plain(y), a.to_pylist(), b.to_pylist()), bool, len(a))
+    equal = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+    if a.null_count or b.null_count:
+        equal = equal | pc.and_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(a.type):
+        equal = equal | pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False).to_numpy(zero_copy_only=False)
+    return equal
+
+
+def _unlike_neighbours(batches):
+    """Sorted batches without the rows that equal the row before them."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        like = np.ones(batch.num_rows, dtype=bool)
+        like[0] = last is not None
+        if last is not None:
+            like[0] = all(_same(c.slice(0, 1), k)[0] for c, k in zip(batch.columns, last))
+        for c in batch.columns:
+            like[1:] &= _same(c.slice(1), c.slice(0, len(c) - 1))
+        last = [c.slice(len(c) - 1) for c in batch.columns]
+        yield batch.filter(pa.array(~like))
+
+
+def _filled_ranges(filled: list[bool]):
+    """Sorted batches -> ``filled`` columns filled within the task's range, its number, and a mark on its last row."""
+    def fill(batches):
+        number, carry, held = TaskContext.get().partitionId(), None, None
+
+        def marked(columns, end):
+            n = len(columns[0])
+            last = np.zeros(n, dtype=bool)
+            last[-1] = end
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.full(n, number, dtype=np.int32)), pa.array(last)],
+                names=[*(f"_c{i}" for i in range(len(filled))), "_range", "_last"])
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = []
+            for i, column in enumerate(batch.columns):
+                if filled[i] and column.null_count:
+                    known = column.is_valid().to_numpy(zero_copy_only=False)
+                    at = np.maximum.accumulate(np.where(known, np.arange(1, n + 1), 0))
+                    before = carry[i] if carry else pa.nulls(1, column.type)
+                    column = pa.concat_arrays([before, column]).take(pa.array(at))
+                columns.append(column)
+            carry = [c.slice(n - 1) for c in columns]
+            if held:
+                yield marked(held, False)
+            held = columns
+        if held:
+            yield marked(held, True)
+
+    return fill
+
+
+def forward_fill(df: DataFrame, order_col, cols=None, partition_cols=(), ranged: bool = False) -> DataFrame:
     """Fill NULLs with the last non-null value in ``order_col`` order (NULLs first).
 
+    ``order_col`` is a column or a list; rows that it leaves equal are ordered
+    by the remaining columns. Rows are shuffled once, into ranges (``by_ranges``; not
+    at all if ``df`` comes from there, ``ranged``). A task fills its sorted range from
+    the range's own rows, batch by batch. What is still NULL precedes every value of
+    its range and takes the last value of the ranges before: a window over the
+    ranges' last rows (one row per range, broadcast).
+    """
+    if partition_cols:
+        return _fill_partitions(df, order_col, cols, list(partition_cols))
+    order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
+    cols = list(cols) if cols is not None else [c for c in df.columns if c not in order_cols]
+    rows = df if ranged else by_ranges(df, order_cols)
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    into = {f"_c{i}" for i, c in enumerate(df.columns) if c in cols}
+    rows = rows.toDF(*names)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]) \
+        .add("_range", T.IntegerType()).add("_last", T.BooleanType())
+    rows = materialize(rows.mapInArrow(_filled_ranges([n in into for n in names]), schema))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.where("_last").select("_range", *[F.last(n, ignorenulls=True).over(before).alias(f"_in{n}") for n in names if n in into])
+    return rows.join(F.broadcast(carry), "_range", "left").select(*[
+        F.coalesce(F.col(n), F.col(f"_in{n}")).alias(n) if n in into else F.col(n) for n in names]).toDF(*df.columns)
+
+
+def _fill_partitions(df: DataFrame, order_col, cols, partition_cols) -> DataFrame:
+    """``forward_fill`` within each value of ``partition_cols``.
+
     No window sees more than one range of the order key:
 
     1. rows are range-partitioned on the key itself (any orderable type), the
@@ -91,28 +216,24 @@ def forward_fill(df: DataFrame, order_col, cols=None, partition_cols=()) -> Data
        and a window over those (one row per range) gives what each range
        receives from earlier ones;
     3. inside a range a window fills from earlier rows, else with that value.
-
-    ``order_col`` is a column or a list; rows that it leaves equal are ordered
-    by the remaining columns.
     """
     order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
-    pc = list(partition_cols)
-    cols = list(cols) if cols is not None else [c for c in df.columns if c not in order_cols and c not in pc]
-    total_order = order_cols + [c for c in df.columns if c not in order_cols and c not in pc]
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in pc + total_order])
+    by = list(partition_cols)
+    cols = list(cols) if cols is not None else [c for c in df.columns if c not in order_cols and c not in by]
+    total_order = order_cols + [c for c in df.columns if c not in order_cols and c not in by]
+    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by + total_order])
     ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
 
     key = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(total_order)])
-    last_in_range = ranged.groupBy(*pc, "_range").agg(*[
+    last_in_range = ranged.groupBy(*by, "_range").agg(*[
         F.max(F.when(F.col(c).isNotNull(), F.struct(key.alias("k"), F.col(c).alias("v")))).getField("v").alias(c)
         for c in cols])
-    before = (Window.partitionBy(*pc).orderBy("_range") if pc else Window.orderBy("_range")) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_in_range.select(*pc, "_range", *[F.last(c, ignorenulls=True).over(before).alias(f"_in_{c}") for c in cols])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last_in_range.select(*by, "_range", *[F.last(c, ignorenulls=True).over(before).alias(f"_in_{c}") for c in cols])
     # One row per range (and partition value): Spark broadcasts it if it measures small.
-    inside = (Window.partitionBy(*pc, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in total_order])
+    inside = (Window.partitionBy(*by, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in total_order])
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = ranged.alias("r").join(carry.alias("c"), [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in pc + ["_range"]], "left")
+    joined = ranged.alias("r").join(carry.alias("c"), [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by + ["_range"]], "left")
     joined = joined.select("r.*", *[F.col(f"c._in_{c}") for c in cols])
     return joined.select(*[
         F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_in_{c}")).alias(c) if c in cols else F.col(c)

@@ -33,9 +33,9 @@ def _hour(df: DataFrame, time_col: str) -> DataFrame:
 def clean_basic(df: DataFrame, order_cols, date_col="date", time_col="time") -> DataFrame:
     """Dedupe -> forward fill -> parse date -> day name -> hour."""
     order_cols = list(order_cols)
-    # The rows are written by dedupe; bounds and ranges of the fill both read them from there.
-    d = clean.dedupe(df)
-    d = clean.forward_fill(d, order_cols, cols=d.columns)
+    # One shuffle into ranges serves both: equal rows are neighbours there.
+    d = clean.dedupe(clean.by_ranges(df, order_cols), ranged=True)
+    d = clean.forward_fill(d, order_cols, cols=d.columns, ranged=True)
     d = _parse_and_parts(d, date_col, month_year=False)
     return _hour(d, time_col)
 
@@ -43,9 +43,9 @@ def clean_basic(df: DataFrame, order_cols, date_col="date", time_col="time") ->
 def clean_prepare(df: DataFrame, order_cols, date_col="date", time_col="time") -> DataFrame:
     """C14: C13 with month and year, plus average item price."""
     order_cols = list(order_cols)
-    # The rows are written by dedupe; bounds and ranges of the fill both read them from there.
-    d = clean.dedupe(df)
-    d = clean.forward_fill(d, order_cols, cols=d.columns)
+    # One shuffle into ranges serves both: equal rows are neighbours there.
+    d = clean.dedupe(clean.by_ranges(df, order_cols), ranged=True)
+    d = clean.forward_fill(d, order_cols, cols=d.columns, ranged=True)
     d = _parse_and_parts(d, date_col, month_year=True)
     d = _hour(d, time_col)
     return d.withColumn("avg_item_price", X.avg_item_price())
