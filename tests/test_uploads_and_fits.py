@@ -101,6 +101,12 @@ def model_rows(spark, parts):
     return df.withColumn("avg_purchase_value", F.col("total") / 3).repartition(parts)
 
 
+def test_a_fit_task_takes_a_bounded_number_of_rows():
+    from tillsight.session import FIT_ROWS, fit_partitions
+    assert [fit_partitions(n) for n in (0, 1, 50_001, 400_000)] == [1, 1, 2, 8]
+    assert all(n / fit_partitions(n) <= FIT_ROWS for n in (10**6, 25_200_000, 151_200_000, 10**9))
+
+
 def test_models_do_not_depend_on_partitions(spark):
     trees, labels = [], []
     for parts in (2, 40):

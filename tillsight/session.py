@@ -132,9 +132,13 @@ def materialize(df, partition_by: str | None = None):
     return back.withColumns({c: F.lit(None) for c in untyped}).select(*df.columns) if untyped else back
 
 
+#: Rows that one task of a fit takes at most: a forest of 100 trees caches 0.5 to 1.5 kB a row.
+FIT_ROWS = 200_000
+
+
 def fit_partitions(rows: int) -> int:
     """Partitions of a model fit over so many rows: grows with the data, and depends on nothing else."""
-    return max(1, min(-(-rows // 50_000), 8 + rows // 1_000_000))
+    return max(1, min(-(-rows // 50_000), 8), -(-rows // FIT_ROWS))
 
 
 def materialize_for_fit(df):
