@@ -61,6 +61,23 @@ def test_batches_encode_like_whole_texts(whole, monkeypatch):
     assert list(enc.encode_batch(array.slice(0, 0))) == []
 
 
+def test_pieces_of_a_batch_are_encoded_once(monkeypatch):
+    """Texts of some megabytes are numbered together: what they share goes to the library once, cache or not."""
+    monkeypatch.setattr(bpe_cache, "CACHE_BYTES", 1)
+    enc, sent = bpe_cache.BpeEncoder(tokenizer_path()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(p for t in texts for p in t.split())
+            return tokenizer.encode_batch_fast(texts, **kw)
+
+    tokenizer, text = enc.tokenizer, " ".join(f"word{i:x}" for i in range(300_000))
+    enc.tokenizer = Counted()
+    got = list(enc.encode_batch(pa.array([text] * 3)))
+    assert got[0] == got[1] == got[2] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, enc.dtype).tobytes()
+    assert len(sent) <= 300_000
+
+
 def test_every_white_space_of_python_is_arrows():
     import re
     every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]

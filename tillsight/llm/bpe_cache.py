@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 CACHE_BYTES = 128 << 20
 #: Longer pieces (code points) are not kept: they hardly come again.
 CACHE_LENGTH = 64
-#: New pieces given to the library as one text.
-JOINED = 1000
+#: New pieces given to the library as one text, and pieces kept at once.
+JOINED, KEPT = 1000, 500
 #: Bytes of text numbered at once, about; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 16 << 20
 
 #: White space beside a space: then cuts at spaces alone would part a run.
 _RUN = re.compile(r"\s | \s")
@@ -67,11 +67,24 @@ class _Cache(dict):
     def keep(self, key, value):
         if len(key) > CACHE_LENGTH:
             return
-        self.held += 250 + 4 * len(key) + len(value)  # at most: two objects and the entry's share of the table
+        self._room(250 + 4 * len(key) + len(value))  # at most: two objects and the entry's share of the table
+        self[key] = value
+
+    def keep_all(self, keys: list[str], values: list[bytes]):
+        """``keep`` of many at once."""
+        if keys and max(map(len, keys)) > CACHE_LENGTH:
+            fit = [(k, v) for k, v in zip(keys, values) if len(k) <= CACHE_LENGTH]
+            keys, values = [k for k, _ in fit], [v for _, v in fit]
+        for at in range(0, len(keys), KEPT):
+            some, coded = keys[at:at + KEPT], values[at:at + KEPT]
+            self._room(250 * len(some) + 4 * sum(map(len, some)) + sum(map(len, coded)))
+            self.update(zip(some, coded))
+
+    def _room(self, size: int):
+        self.held += size
         if self.held >= CACHE_BYTES // self.share:
-            self.old, self.held = dict(self), 0
+            self.old, self.held = dict(self), size
             self.clear()
-        self[key] = value
 
 
 class BpeEncoder:
@@ -171,38 +184,43 @@ class BpeEncoder:
         coded = self._spaced_pieces([p if u else None for p, u in zip(pieces, used.tolist())])
         coded += [self.plain[pieces[h]] if pieces[h] else b"" for h in heads.tolist()]
         code[first] = len(pieces) + head_code
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.dtype.itemsize
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, coded), np.int32, len(coded)) // self.dtype.itemsize  # a slice has fewer than 2^31 ids
+        start = np.cumsum(size, dtype=np.int32) - size
         n = size[code]
-        place = np.repeat(start[code] - (np.cumsum(n) - n), n)
-        place += np.arange(len(place))
+        place = np.repeat(start[code] - (np.cumsum(n, dtype=np.int32) - n), n)
+        place += np.arange(len(place), dtype=np.int32)
         ids = np.frombuffer(b"".join(coded), self.dtype)[place].tobytes()
-        ends = np.cumsum(np.add.reduceat(n, first)) * self.dtype.itemsize
+        ends = np.cumsum(np.add.reduceat(n, first), dtype=np.int64) * self.dtype.itemsize
         return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def _spaced_pieces(self, pieces: list[str | None]) -> list[bytes]:
         """``_spaced`` of every piece (none of a None). New ones go to the library joined; the ids that begin with a space part them."""
-        known, new = self.spaced, []
-        coded = [b"" if p is None else known.get(p) for p in pieces]
-        for i in [i for i, c in enumerate(coded) if c is None]:
-            coded[i] = known.old.get(pieces[i])
-            if coded[i] is None:
-                new.append(i)
+        known = self.spaced
+        coded = list(map(known.get, pieces))
+        missing = [i for i, c in enumerate(coded) if c is None]
+        new, again = [], []
+        for i, value in zip(missing, map(known.old.get, map(pieces.__getitem__, missing))):
+            if value is not None:
+                coded[i] = value
+                again.append(i)
+            elif pieces[i] is None:
+                coded[i] = b""
             else:
-                known.keep(pieces[i], coded[i])
+                new.append(i)
+        known.keep_all([pieces[i] for i in again], [coded[i] for i in again])
         for at in range(0, len(new), JOINED):
             group = new[at:at + JOINED]
-            text = "".join([" " + pieces[i] for i in group])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            own = [pieces[i] for i in group]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
-            if len(cuts) != len(group) or "" in (pieces[i] for i in group):
-                found = [self._spaced(pieces[i]) for i in group]
+            if len(cuts) != len(group) or "" in own:
+                found = [self._spaced(p) for p in own]
             else:
                 ids = ids.tobytes()
                 found = [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
             for i, value in zip(group, found):
                 coded[i] = value
-                known.keep(pieces[i], value)
+            known.keep_all(own, found)
         return coded
 
     def _whole(self, text: str) -> bytes:

@@ -61,28 +61,36 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 _RAW = "shard int, block int, before long, doc_ids array<long>, lengths array<int>, n_tokens long, ids binary"
 _BLOCKS = _RAW.replace("ids binary", "control binary, data binary")
+#: A task's last block also has its counts of ids.
+_COUNTS = "token_id array<int>, n array<long>"
 
 
 def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int) -> DataFrame:
-    """Documents in ascending doc_id order -> blocks of plain ids."""
+    """Documents in ascending doc_id order -> blocks of plain ids, counted."""
     item = encoder(tokenizer).dtype.itemsize
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()),
                         ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
-                        ("n_tokens", pa.int64()), ("ids", pa.binary())])
+                        ("n_tokens", pa.int64()), ("ids", pa.binary()),
+                        ("token_id", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
 
     def blocks(batches):
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, ids, n = [], [], [], 0
+        total, last = np.zeros(1, dtype=np.int64), None
 
         def close():
-            nonlocal block, before, doc_ids, lengths, ids, n
-            out = pa.RecordBatch.from_pylist([{
-                "shard": shard, "block": block, "before": before, "doc_ids": doc_ids, "lengths": lengths,
-                "n_tokens": n, "ids": b"".join(ids)}], schema=schema)
+            nonlocal block, before, doc_ids, lengths, ids, n, total, last
+            out, joined = last, b"".join(ids)
+            last = {"shard": shard, "block": block, "before": before, "doc_ids": doc_ids, "lengths": lengths,
+                    "n_tokens": n, "ids": joined}
+            found = np.bincount(np.frombuffer(joined, enc.dtype), minlength=len(total))
+            found[:len(total)] += total
+            total = found
             block, before, doc_ids, lengths, ids, n = block + 1, before + n, [], [], [], 0
-            return out
+            if out:
+                yield pa.RecordBatch.from_pylist([out], schema=schema)
 
         for batch in batches:
             for doc_id, coded in zip(batch.column(0).to_pylist(), enc.encode_batch(batch.column(1))):
@@ -92,16 +100,19 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int) ->
                 ids.append(coded)
                 n += lengths[-1]
                 if n >= block_ids:
-                    yield close()
+                    yield from close()
         if doc_ids:
-            yield close()
+            yield from close()
+        if last:
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pylist([last | {"token_id": used.tolist(), "n": total[used].tolist()}], schema=schema)
 
     text = text_of()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
                         F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("seq"))
     order = ["doc_id", "h", "seq"]  # repeated ids do not have to share a partition
     return (keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-                 .select("doc_id", "text").mapInArrow(blocks, _RAW))
+                 .select("doc_id", "text").mapInArrow(blocks, f"{_RAW}, {_COUNTS}"))
 
 
 def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
@@ -116,18 +127,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     raw = written(_tokenised(docs, tokenizer, end_id, block_ids), "ids")
     dtype = encoder(tokenizer).dtype
 
-    def counted(batches):
-        total = np.zeros(1, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_py(), dtype), minlength=len(total))
-                n[:len(total)] += total
-                total = n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())],
-                                         names=["token_id", "n"])
-
-    counts = (raw.select("ids").mapInArrow(counted, "token_id int, n long")
+    counts = (raw.where("n is not null").select(F.inline(F.arrays_zip("token_id", "n")))
                  .groupBy("token_id").agg(F.sum("n").alias("n")))
     ranked = counts.orderBy(F.desc("n"), "token_id").collect()  # a row per vocabulary entry at most
     rows = [(rank, r["token_id"], r["n"]) for rank, r in enumerate(ranked)]
@@ -144,7 +144,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     [*row.columns[:6], pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                     names=[*row.schema.names[:6], "control", "data"])
 
-    raw.mapInArrow(coded, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    raw.drop("token_id", "n").mapInArrow(coded, _BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_corpus(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
