@@ -104,3 +104,36 @@ def test_shuffles_end_with_their_pass(spark):
     assert spark.conf.get(setting) == was and kept.count() > 0
     written(dealt, "held")
     assert blocks() > start
+
+
+def test_windows_are_read_once_in_a_pass(spark, monkeypatch):
+    """The phrases of every length come from one shuffle of the windows, and no row is copied for each prefix."""
+    from tillsight.llm import collocations as module
+    plans, written = [], module.written
+
+    def kept(df, tag):
+        plans.append(df._jdf.queryExecution().toString())
+        return written(df, tag)
+
+    monkeypatch.setattr(module, "written", kept)
+    rows = rows_of(4)
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    found = {(r["lang"], r["phrase"]): r["f"] for r in module._slice_counts(docs, 5, 0, 1).where("words > 0").collect()}
+    expected = Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOW)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            expected.update(("und" if lang is None else lang, " ".join(w[i:j])) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 4) + 1))
+    assert found == {p: f for p, f in expected.items() if f >= 5}
+    physical = plans[0].split("== Physical Plan ==")[1]
+    assert physical.count("MapInArrow") == 1 and "Expand" not in physical
+
+
+def test_slices_part_the_words():
+    import numpy as np
+    import pyarrow as pa
+    from tillsight.llm.collocations import slices_of
+    words = pa.array([b"\xff", *[f"w{i}".encode() for i in range(3000)], b"x" * 5000], pa.binary())
+    found = slices_of(words, 3)
+    assert (slices_of(words.slice(7), 3) == found[7:]).all()
+    assert np.bincount(found[1:].astype(int), minlength=3).min() > 800

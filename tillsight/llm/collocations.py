@@ -1,10 +1,12 @@
 """Phrase collocations by top-order marginalisation.
 
 Only the longest windows are counted: each word with the three that follow it in its
-piece, as lead columns w1..w4 padded with null at the piece's end. One ROLLUP over
-(lang, w1, w2, w3) then sums these counts over ever shorter prefixes: the sum over a
+piece, as lead columns w1..w4 padded with null at the piece's end. These counts are then
+summed over ever shorter prefixes, each sum from the one before it: the sum over a
 prefix of k words is how often that phrase occurs, and the sum over the language is
-its number of words. So no text is exploded into n-grams of several lengths.
+its number of words. So no text is exploded into n-grams of several lengths, and the
+sum over a prefix carries the frequent phrases found below it along, so that one
+reading of the windows gives the phrases of every length.
 
 Equal windows of a few megabytes of text are counted before they leave their task, so
 a word, pair or language that holds a third of all windows is a few rows per task.
@@ -18,7 +20,6 @@ occurs as often as the candidate itself.
 
 from __future__ import annotations
 
-import zlib
 from functools import reduce
 
 import numpy as np
@@ -49,15 +50,26 @@ _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"ab
 
 
 def segments(octets: bytes, size: int):
-    """Lists of the words of a text, _END between its pieces and at its end, of about ``size`` bytes each."""
+    """(words, bytes) of a text, _END between its pieces and at its end, by about ``size`` bytes each."""
     octets, at = octets.translate(_BYTES), 0
     while at < len(octets):
         end = min(len(octets), at + size)
         while end < len(octets) and octets[end] not in b" \xff":
             end += 1
-        yield octets[at:end].replace(_END, b" \xff ").split()
+        yield octets[at:end].replace(_END, b" \xff ").split(), end - at
         at = end
-    yield [_END]
+    yield [_END], 1
+
+
+def slices_of(words: pa.Array, parts: int) -> np.ndarray:
+    """The slice of each word (none is empty), by a sum over its bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    octets = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    starts = offsets[:-1] - offsets[0]
+    place = (np.arange(len(octets)) - np.repeat(starts, np.diff(offsets))) & 0xFFFF  # bounds the powers, however long a word
+    power = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    sums = np.add.reduceat((octets + np.uint64(1)) * power[place], starts)
+    return (((sums ^ (sums >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(parts)
 
 
 def counted_windows(words: list[bytes], langs: np.ndarray, names: list[str], last: int, part: int, parts: int):
@@ -66,30 +78,30 @@ def counted_windows(words: list[bytes], langs: np.ndarray, names: list[str], las
     ``langs`` numbers the language of every word by ``names``.
     """
     coded = pa.array([_END, *words], pa.binary()).dictionary_encode()
-    codes = coded.indices.to_numpy()[1:].astype(np.int64)
-    numbers = coded.dictionary.to_pylist()
-    own = np.array([zlib.crc32(w) % parts == part for w in numbers])
+    codes, numbers = coded.indices.to_numpy()[1:], coded.dictionary
+    own = slices_of(numbers, parts) == part
     own[0] = False
     starts = np.flatnonzero(own[codes[:last]])
     if not len(starts):
         return
-    codes = np.append(codes, np.zeros(ORDER, np.int64))
+    codes = np.append(codes, np.zeros(ORDER, codes.dtype))
     lead = [codes[starts]]
     for i in range(1, ORDER):
         lead.append(np.where(lead[-1] > 0, codes[starts + i], 0))
     base = np.int64(len(numbers))
     head = (langs[starts] * base + lead[0]) * base + lead[1]
-    tail = lead[2] * base + lead[3]
+    tail = lead[2].astype(np.int64) * base + lead[3]
     order = np.lexsort((tail, head))
     head, tail = head[order], tail[order]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(head) != 0) | (np.diff(tail) != 0)]))
     counts = np.diff(np.append(first, len(head)))
     rows = order[first]
-    vocabulary = pa.array([None, *numbers[1:]], pa.binary()).cast(pa.string())
+    vocabulary = numbers.slice(1).cast(pa.string())
     langs_of = pa.array(names, pa.string())
     for at in range(0, len(rows), ROWS):
         pick = rows[at:at + ROWS]
-        columns = [langs_of.take(pa.array(langs[starts[pick]]))] + [vocabulary.take(pa.array(c[pick])) for c in lead]
+        columns = [langs_of.take(pa.array(langs[starts[pick]]))] + [
+            vocabulary.take(pa.array(c[pick] - 1, mask=c[pick] == 0)) for c in lead]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[at:at + ROWS], pa.int64())], schema=SCHEMA)
 
 
@@ -110,10 +122,10 @@ def windows(docs: DataFrame, part: int = 0, parts: int = 1, size: int = SEGMENT)
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
                 name = lang.as_py()
-                for more in segments(text.as_py(), size):
+                for more, n_bytes in segments(text.as_py(), size):
                     words += more
                     runs.append((names.setdefault(name, len(names)), len(more)))
-                    held += sum(map(len, more)) + len(more)
+                    held += n_bytes
                     if held >= size and len(words) >= ORDER:
                         yield from flush(len(words) - ORDER + 1)
         yield from flush(len(words))
@@ -122,24 +134,32 @@ def windows(docs: DataFrame, part: int = 0, parts: int = 1, size: int = SEGMENT)
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text")).mapInArrow(run, f"{columns}, n long")
 
 
+def _marginalised(rows: DataFrame, k: int, least: int) -> DataFrame:
+    """Counts of k words -> their share in the counts of k - 1 words; a phrase of k words that is frequent also stays.
+
+    Shorter windows, of a piece's end, and phrases that are longer and were kept go on as they are. Only
+    the k-th word is exploded, so that the rows stay dealt by the words before it.
+    """
+    sums = rows.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
+    word = f"w{k}"
+    shorter = F.lit(None).cast("string")
+    ends = F.when(F.col("n") >= least, F.array(word, shorter)).otherwise(F.array(shorter))
+    ends = F.when(F.col(word).isNull(), F.array(shorter)).otherwise(ends)
+    if k < ORDER:
+        ends = F.when(F.col(f"w{k + 1}").isNotNull(), F.array(word)).otherwise(ends)
+    kept = [c for c in COLUMNS if c != word]
+    return sums.select("lang", *kept, "n", F.explode(ends).alias(word))
+
+
 def _slice_counts(docs: DataFrame, least: int, part: int, parts: int) -> DataFrame:
     """phrase_counts of the phrases whose first word is in one slice; the language's share of words among them."""
-    # Dealt by three words: the sums over three and over four need no other shuffle.
-    dealt = windows(docs, part, parts).repartition("lang", "w1", "w2", "w3")
-    longest = dealt.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
-    threes = longest.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    # A third word that is too rare for a phrase needs no row of its own in the sums over two and one.
-    threes = threes.withColumn("w3", F.when(F.col("n") >= least, F.col("w3")))
-    sums = threes.rollup("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
-    # g has a bit for each column that is summed over: 2^j - 1 leaves the first 3 - j words.
-    words = F.when(F.col("g") == 0, 3).when(F.col("g") == 1, 2).when(F.col("g") == 3, 1).when(F.col("g") == 7, 0)
-    last = F.element_at(F.array(F.lit(""), "w1", "w2", "w3"), F.col("words") + 1)
-    sums = sums.withColumn("words", words).where((F.col("words") == 0) | (F.col("f") >= least)).where(last.isNotNull())
-    sums = sums.select("lang", "words", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "f")
-    # One condition on count and word, so that it stays above the sum and both sums read the same shuffle.
-    fours = longest.where(F.when(F.col("n") >= least, F.col("w4")).isNotNull())
-    fours = fours.select("lang", F.lit(4).alias("words"), F.concat_ws(" ", *COLUMNS).alias("phrase"), F.col("n").alias("f"))
-    return written(sums.unionByName(fours), "phrase-counts")
+    # Dealt by three words: the sums over four and over three need no other shuffle.
+    rows = windows(docs, part, parts).repartition("lang", "w1", "w2", "w3")
+    for k in range(ORDER, 0, -1):
+        rows = _marginalised(rows, k, least)
+    rows = rows.groupBy("lang", *COLUMNS).agg(F.sum("n").alias("f"))
+    words = reduce(lambda x, y: x + y, [F.col(c).isNotNull().cast("int") for c in COLUMNS])
+    return written(rows.select("lang", words.alias("words"), F.concat_ws(" ", *COLUMNS).alias("phrase"), "f"), "phrase-counts")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, slices: int = SLICES) -> DataFrame:
