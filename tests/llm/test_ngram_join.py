@@ -157,3 +157,16 @@ def test_unlinked_texts_of_a_shared_passage_stay_few_rows(make_docs, monkeypatch
     got = {r["doc_id"]: r["component_id"] for r in N.component_report(make_docs(docs)).collect()}
     assert got == {i: i - 5000 if i >= 5000 else i for i, _ in docs}
     assert sum(made) <= 1205
+
+
+def test_order_tells_rare_shingles_in_a_large_corpus(make_docs):
+    """Among two million other shingles, those that three texts share open no page while they have rarer ones."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(800)) + " " + passage) for i in range(3)]
+    docs += [(10 + i, " ".join(f"o{i}x{k}" for k in range(40_000))) for i in range(50)]
+    texts = N._texts(make_docs(docs))
+    counts = N.group_counts(texts, N.SHINGLE)
+    assert counts.sum() == 3 * 996 + 50 * 39_996
+    rows = N._points(texts.where("doc_id < 3"), counts, N.SHINGLE, N.PERCENT).select("n", "prefix").collect()
+    assert {r["n"] for r in rows} == {996} and {len(r["prefix"]) for r in rows} == {996 - 747 + 1}
+    assert len({h for r in rows for h in r["prefix"]}) == 3 * 250

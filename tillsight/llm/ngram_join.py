@@ -37,8 +37,10 @@ from tillsight.llm.components import connected_components
 
 #: Words of a shingle; similarity of a link, as 100 * intersection >= 75 * union.
 SHINGLE, PERCENT = 5, 75
-#: Hash groups whose corpus counts order the shingles.
-ORDER_BITS = 16
+#: Hash groups whose corpus counts order the shingles, as a power of two, and the blocks of them that are summed apart.
+ORDER_BITS, COUNT_BLOCKS = 20, 64
+#: Shingles that a task counts at once, about.
+COUNTED = 1 << 20
 #: Coordinates of a point: the power of two from the set's size on, and this many at least.
 LEAST_COORDINATES = 16
 #: Star rounds after the first, and leaders that a text meets in one, at most.
@@ -219,28 +221,51 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def group_counts(texts: DataFrame, size: int) -> np.ndarray:
-    """How often each hash group of shingles occurs in the corpus: one number per group."""
+    """How often each hash group of shingles occurs in the corpus: one number per group.
+
+    A task hands on a packed row per block of groups, so that many groups, which tell rare
+    shingles of a large corpus from common ones, are little to shuffle and no row each.
+    """
     shift = np.uint64(64 - ORDER_BITS)
 
     def counted(batches):
-        total = np.zeros(1 << ORDER_BITS, np.int64)
+        total, held, n = np.zeros(1 << ORDER_BITS, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0):
-                total += np.bincount((shingle_set(text.as_py(), size) >> shift).astype(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["g", "n"])
+                held.append((shingle_set(text.as_py(), size) >> shift).astype(np.int32))
+                n += len(held[-1])
+                if n >= COUNTED:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        if total.any():
+            yield blocks_of(dict(enumerate(total.reshape(COUNT_BLOCKS, -1))))
+
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(n.as_py()), np.int64)
+        if total:
+            yield blocks_of(total)
+
+    def blocks_of(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        # Counts of one task are small numbers: they pack to a byte or two each.
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(
+            [zlib.compress(n.tobytes(), 1) for n in found.values()], pa.binary())], names=["block", "n"])
 
-    total = np.zeros(1 << ORDER_BITS, np.int64)
-    rows = texts.select("text").mapInArrow(counted, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    for r in rows:
-        total[r["g"]] = r["n"]
-    return total
+    total = np.zeros((COUNT_BLOCKS, (1 << ORDER_BITS) // COUNT_BLOCKS), np.int64)
+    of_task = texts.select("text").mapInArrow(counted, "block int, n binary")
+    for r in of_task.repartition("block").mapInArrow(summed, "block int, n binary").collect():
+        total[r["block"]] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
+    return total.reshape(-1)
 
 
 def _points(texts: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
     """(doc_id, tid, n, point, prefix, salts); point and prefix only where a task meets a text first."""
     shift = np.uint64(64 - ORDER_BITS)
-    salts_of = -(-counts // SALT_ROWS)
+    counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)  # goes to every task
     schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("point", pa.binary()),
                         ("prefix", pa.list_(pa.int64())), ("salts", pa.list_(pa.int32()))])
 
@@ -258,7 +283,7 @@ def _points(texts: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 # ceil(n * percent / 100) shingles at least are shared
                 first = np.lexsort((shingles, counts[group]))[:n + 1 - -(-n * percent // 100)] if n else []
                 rows.append((doc_id, tid, n, packed(point_of(shingles)) if n else None,
-                             shingles[first].view(np.int64), salts_of[group[first]].astype(np.int32)))
+                             shingles[first].view(np.int64), (-(-counts[group[first]].astype(np.int64) // SALT_ROWS)).astype(np.int32)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
