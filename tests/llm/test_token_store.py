@@ -78,6 +78,51 @@ def test_pieces_of_a_batch_are_encoded_once(monkeypatch):
     assert len(sent) <= 300_000
 
 
+def test_a_word_is_encoded_once_whatever_marks_follow_it(whole):
+    enc, sent = bpe_cache.BpeEncoder(tokenizer_path()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(p for t in texts for p in t.split())
+            return tokenizer.encode_batch_fast(texts, **kw)
+
+    tokenizer, enc.tokenizer = enc.tokenizer, Counted()
+    marks = ["", ",", ".", "***", "$$$", "?!", "'", ")\"", "\\", "`~", "'s", "'.s", "é", "×", "1"]
+    texts = [" ".join(["x", *(f"{w}{m}" for m in marks for w in ("bakery", "año", "Ørsted"))]) for _ in range(2)]
+    for text, ids in zip(texts, enc.encode_batch(pa.array(texts))):
+        assert np.frombuffer(ids, enc.dtype).tolist() == whole(text)
+    assert [sent.count(w) for w in ("bakery", "año", "Ørsted")] == [1, 1, 1]
+    assert not {"bakery,", "año***", "Ørsted`~"} & set(sent)
+
+
+def test_coded_pieces_take_few_bytes():
+    """What a worker holds from slice to slice: a word of 9 letters with its ids and places, 100 bytes at most, and the whole is bounded."""
+    import gc
+    import tracemalloc
+    enc, digits = bpe_cache.BpeEncoder(tokenizer_path()), str.maketrans("0123456789", "abcdefghij")
+    words = [f"{i * 7919 % 10**9:09d}".translate(digits) for i in range(100_000)]
+    list(enc.encode_batch(pa.array(["x " + " ".join(words[:10])])))
+    gc.collect()
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    list(enc.encode_batch(pa.array(["x " + " ".join(words)])))
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held <= 100 * len(words)
+
+
+def test_kept_pieces_are_bounded_by_bytes(whole, monkeypatch):
+    monkeypatch.setattr(bpe_cache, "KEPT_BYTES", 5_000)
+    enc = bpe_cache.BpeEncoder(tokenizer_path())
+    for k in range(20):
+        texts = [f"x common word{k} {'y' * 70} " + " ".join(f"{k}a{i}b" for i in range(200)) for k in (k, k, k + 1)]
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode_batch(pa.array(texts))] == list(map(whole, texts))
+        assert len(enc.kept.pieces) == len(enc.kept.size) and enc.kept.size.sum() == len(enc.kept.ids)
+        assert enc.kept.pieces.get_total_buffer_size() + enc.kept.ids.nbytes + enc.kept.size.nbytes <= 5_200
+        assert "y" * 70 not in enc.kept.pieces.to_pylist()
+
+
 def test_every_white_space_of_python_is_arrows():
     import re
     every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]

@@ -3,9 +3,11 @@
 A byte-level BPE splits a text into pre-tokens before merging, and no pre-token
 goes on over white space after a non-space character. A text is therefore cut
 there, and each distinct piece is encoded by the library's own model and cached. The
-texts of a batch are cut and numbered by Arrow, so that Python sees each of a
-slice's distinct pieces once; numpy lays their ids out in the order of the texts.
-Texts outside that rule go to the library whole.
+texts of a batch are cut and numbered by Arrow; a word and the marks behind it are
+encoded apart, so that a word goes to the library once, whatever marks follow it.
+Coded pieces stay in Arrow and numpy arrays, and only new ones become Python strings;
+numpy lays the ids out in the order of the texts. Texts outside that rule go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of entries kept per age (two of them) in a worker's cache of spaced pieces; its two other caches keep an eighth.
-CACHE_BYTES = 128 << 20
+#: Bytes of entries kept per age (two of them) in each of a worker's three caches of single pieces.
+CACHE_BYTES = 16 << 20
+#: Bytes of coded pieces that a worker keeps from slice to slice.
+KEPT_BYTES = 16 << 20
 #: Longer pieces (code points) are not kept: they hardly come again.
 CACHE_LENGTH = 64
-#: New pieces given to the library as one text, and pieces kept at once.
-JOINED, KEPT = 1000, 500
-#: Bytes of text numbered at once, about; a longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+#: New pieces given to the library as one text.
+JOINED = 1000
+#: Bytes of text numbered at once, at most; a longer text is a slice of its own.
+SLICE_BYTES = 20 << 20
 
 #: White space beside a space: then cuts at spaces alone would part a run.
 _RUN = re.compile(r"\s | \s")
@@ -38,6 +42,10 @@ _PIECE = re.compile(r"\s*\S+|\s+")
 #: White space to Python, but not to the library.
 _ODD = re.compile(r"[\x1c-\x1f]")
 _LATIN = re.compile(r"[\x00-ɏ]*")
+#: Letters, and ASCII marks, in every version of Unicode. A run of marks that ends a piece is one pre-token.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKED = f"^[{_LETTERS}]+[{re.escape(_MARKS)}]+$"
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,38 +61,64 @@ def byte_letters() -> dict[int, str]:
 class _Cache(dict):
     """Makes what is missing. When full, the entries become the old ones; those met again are taken back."""
 
-    def __init__(self, make, share: int = 1):
+    def __init__(self, make):
         super().__init__()
-        self.make, self.share, self.old, self.held = make, share, {}, 0
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.keep(key, value)
+        if len(key) <= CACHE_LENGTH:
+            size = 250 + 4 * len(key) + len(value)  # at most: two objects and the entry's share of the table
+            self.held += size
+            if self.held >= CACHE_BYTES:
+                self.old, self.held = dict(self), size
+                self.clear()
+            self[key] = value
         return value
 
-    def keep(self, key, value):
-        if len(key) > CACHE_LENGTH:
-            return
-        self._room(250 + 4 * len(key) + len(value))  # at most: two objects and the entry's share of the table
-        self[key] = value
-
-    def keep_all(self, keys: list[str], values: list[bytes]):
-        """``keep`` of many at once."""
-        if keys and max(map(len, keys)) > CACHE_LENGTH:
-            fit = [(k, v) for k, v in zip(keys, values) if len(k) <= CACHE_LENGTH]
-            keys, values = [k for k, _ in fit], [v for _, v in fit]
-        for at in range(0, len(keys), KEPT):
-            some, coded = keys[at:at + KEPT], values[at:at + KEPT]
-            self._room(250 * len(some) + 4 * sum(map(len, some)) + sum(map(len, coded)))
-            self.update(zip(some, coded))
-
-    def _room(self, size: int):
-        self.held += size
-        if self.held >= CACHE_BYTES // self.share:
-            self.old, self.held = dict(self), size
-            self.clear()
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``start`` to ``start + size`` of each pair, one pair after the other."""
+    ends = np.cumsum(size, dtype=np.int32)  # a slice has fewer than 2^31 ids
+    place = np.repeat(start.astype(np.int32) - (ends - size), size)
+    place += np.arange(len(place), dtype=np.int32)
+    return place
+
+
+def _starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size, dtype=np.int32) - size
+
+
+class _Kept:
+    """Spaced pieces and their ids; those of the last slices, as far as ``KEPT_BYTES`` go."""
+
+    def __init__(self, dtype):
+        self.pieces, self.ids, self.size = pa.array([], pa.string()), np.zeros(0, dtype), np.zeros(0, np.int32)
+
+    def coded(self, pieces: pa.Array, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): where in ``ids`` each of the distinct ``pieces`` has its own; ``make`` gives those of new ones."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        made, made_size = make(pieces.take(pa.array(new)).to_pylist())
+        ids = np.concatenate([self.ids, made])
+        at = at.copy()
+        at[new] = len(self.size) + np.arange(len(new))
+        size = np.concatenate([self.size, made_size])
+        start = _starts(size)
+        unseen = np.ones(len(self.size), dtype=bool)
+        unseen[at[at < len(unseen)]] = False
+        self._keep(pa.concat_arrays([pieces, self.pieces.filter(pa.array(unseen))]),
+                   ids, np.concatenate([at, np.flatnonzero(unseen)]), start, size)
+        return ids, start[at], size[at]
+
+    def _keep(self, pieces: pa.Array, ids: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray):
+        short = pc.less_equal(pc.utf8_length(pieces), CACHE_LENGTH).to_numpy(zero_copy_only=False)
+        held = pc.binary_length(pieces).to_numpy() + size[at] * ids.itemsize + 8  # with the places of both
+        fits = np.flatnonzero(short & (np.cumsum(np.where(short, held, 0), dtype=np.int64) <= KEPT_BYTES))
+        self.pieces, at = pieces.take(pa.array(fits)), at[fits]
+        self.ids, self.size = ids[_spans(start[at], size[at])], size[at]
 
 
 class BpeEncoder:
@@ -110,9 +144,10 @@ class BpeEncoder:
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)  # ids that begin with a space
         self.opens[[i for token, i in vocab.items() if token.startswith(self.letters[0x20])]] = True
         self.pre_token = regex.compile(PRE_TOKEN)
-        self.words = _Cache(self._word, 8)
+        self.words = _Cache(self._word)
         self.spaced = _Cache(self._spaced)
-        self.plain = _Cache(lambda piece: b"".join(map(self.words.__getitem__, self._pre_tokens(piece))), 8)
+        self.plain = _Cache(lambda piece: b"".join(map(self.words.__getitem__, self._pre_tokens(piece))))
+        self.kept = _Kept(self.dtype)
 
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
@@ -148,12 +183,13 @@ class BpeEncoder:
         return head + b"".join(map(self.spaced.__getitem__, pieces[1:]))
 
     def encode_batch(self, texts: pa.Array) -> Iterator[bytes]:
-        """``encode`` of each text in turn, by slices of about ``SLICE_BYTES``."""
+        """``encode`` of each text in turn, by even slices of ``SLICE_BYTES`` at most."""
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = 0
+        at, total = 0, int(sizes[-1]) if len(sizes) else 0
+        share = -(-total // max(1, -(-total // SLICE_BYTES)))
         while at < len(texts):
             done = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(sizes, done + share, side="right")))
             yield from self._encode_slice(texts.slice(at, to - at))
             at = to
 
@@ -173,55 +209,59 @@ class BpeEncoder:
             return []
         cut = pc.split_pattern(texts, " ")
         numbered = cut.flatten().dictionary_encode()
-        code = numbered.indices.to_numpy().astype(np.int64)
-        pieces = numbered.dictionary.to_pylist()
+        code, pieces = numbered.indices.to_numpy().copy(), numbered.dictionary
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        del cut, numbered
         heads, head_code = np.unique(code[first], return_inverse=True)
-        follows = np.ones(len(code), dtype=bool)
-        follows[first] = False
-        used = np.zeros(len(pieces), dtype=bool)
-        used[code[follows]] = True
-        coded = self._spaced_pieces([p if u else None for p, u in zip(pieces, used.tolist())])
-        coded += [self.plain[pieces[h]] if pieces[h] else b"" for h in heads.tolist()]
-        code[first] = len(pieces) + head_code
-        size = np.fromiter(map(len, coded), np.int32, len(coded)) // self.dtype.itemsize  # a slice has fewer than 2^31 ids
-        start = np.cumsum(size, dtype=np.int32) - size
+        code[first] = len(pieces)
+        used = np.zeros(len(pieces) + 1, dtype=bool)
+        used[code] = True
+        used = used[:-1]
+        ids, size = self._spaced_pieces(pieces.filter(pa.array(used)))
+        lead = [self.plain[p] if p else b"" for p in pieces.take(pa.array(heads)).to_pylist()]
+        lead_size = np.fromiter(map(len, lead), np.int32, len(lead)) // self.dtype.itemsize
+        code = (np.cumsum(used, dtype=np.int32) - 1)[np.minimum(code, len(pieces) - 1)]
+        code[first] = len(size) + head_code
+        ids = np.concatenate([ids, np.frombuffer(b"".join(lead), self.dtype)])
+        size = np.concatenate([size, lead_size])
         n = size[code]
-        place = np.repeat(start[code] - (np.cumsum(n, dtype=np.int32) - n), n)
-        place += np.arange(len(place), dtype=np.int32)
-        ids = np.frombuffer(b"".join(coded), self.dtype)[place].tobytes()
+        ids = ids[_spans(_starts(size)[code], n)].tobytes()
         ends = np.cumsum(np.add.reduceat(n, first), dtype=np.int64) * self.dtype.itemsize
         return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
-    def _spaced_pieces(self, pieces: list[str | None]) -> list[bytes]:
-        """``_spaced`` of every piece (none of a None). New ones go to the library joined; the ids that begin with a space part them."""
-        known = self.spaced
-        coded = list(map(known.get, pieces))
-        missing = [i for i, c in enumerate(coded) if c is None]
-        new, again = [], []
-        for i, value in zip(missing, map(known.old.get, map(pieces.__getitem__, missing))):
-            if value is not None:
-                coded[i] = value
-                again.append(i)
-            elif pieces[i] is None:
-                coded[i] = b""
-            else:
-                new.append(i)
-        known.keep_all([pieces[i] for i in again], [coded[i] for i in again])
-        for at in range(0, len(new), JOINED):
-            group = new[at:at + JOINED]
-            own = [pieces[i] for i in group]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cuts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
-            if len(cuts) != len(group) or "" in own:
+    def _spaced_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``_spaced`` of distinct pieces, one after the other, and the number of ids of each."""
+        marked = pc.match_substring_regex(pieces, _MARKED)
+        some = pieces.filter(marked)
+        stems = pc.ascii_rtrim(some, characters=_MARKS)
+        tails = pc.replace_substring_regex(some, f"^[{_LETTERS}]+", "", max_replacements=1).dictionary_encode()
+        keys = pc.replace_with_mask(pieces, marked, stems).dictionary_encode()
+        ids, start, size = self.kept.coded(keys.dictionary, self._new)
+        # A piece is its key's ids and its marks', of which there are none if it is its own key.
+        marks = [self.words[t] for t in tails.dictionary.to_pylist()]
+        marks_size = np.fromiter(map(len, marks), np.int32, len(marks)) // self.dtype.itemsize
+        pair_start, pair_size = np.zeros((2, len(pieces), 2), dtype=np.int32)
+        pair_start[:, 0], pair_size[:, 0] = start[keys.indices], size[keys.indices]
+        behind = marked.to_numpy(zero_copy_only=False)
+        pair_start[behind, 1] = len(ids) + _starts(marks_size)[tails.indices]
+        pair_size[behind, 1] = marks_size[tails.indices]
+        pool = np.concatenate([ids, np.frombuffer(b"".join(marks), self.dtype)])
+        return pool[_spans(pair_start.ravel(), pair_size.ravel())], pair_size.sum(axis=1, dtype=np.int32)
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has. The library gets them joined; the ids that begin with a space part them."""
+        ids, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int32)]
+        for at in range(0, len(pieces), JOINED):
+            own = pieces[at:at + JOINED]
+            coded = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            size = np.diff(np.append(np.flatnonzero(self.opens[coded]), len(coded)))
+            if len(size) != len(own) or "" in own:
                 found = [self._spaced(p) for p in own]
-            else:
-                ids = ids.tobytes()
-                found = [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
-            for i, value in zip(group, found):
-                coded[i] = value
-            known.keep_all(own, found)
-        return coded
+                coded = np.frombuffer(b"".join(found), self.dtype)
+                size = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
+            ids.append(coded)
+            sizes.append(size.astype(np.int32))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
