@@ -39,14 +39,18 @@ _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit numbers."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    top = int(ranks.max(initial=0))
+    width = 1 + (top > 0xFF) + (top > 0xFFFF) + (top > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[:len(ranks)] = code
-    four = padded.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    width = int(code.max(initial=0)) + 1
+    code = padded[:len(ranks)]
+    kept = np.ones((len(ranks), width), dtype=bool)
+    for more in range(1, width):  # a number has its next byte if it is above what the bytes before hold
+        kept[:, more] = ranks > _MASK[more]
+        code += kept[:, more]
+    four = padded.view("<u4")
+    control = four | four >> 6 | four >> 12 | four >> 18
     octets = ranks.view(np.uint8).reshape(-1, 4)[:, :width]
-    return control.astype(np.uint8).tobytes(), octets[np.arange(width) <= code[:, None]].tobytes()
+    return control.astype(np.uint8).tobytes(), np.ascontiguousarray(octets).ravel()[kept.ravel()].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
