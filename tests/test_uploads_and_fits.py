@@ -11,7 +11,7 @@ from tillsight.operators import churn as CH
 from tillsight.operators import clean as C
 from tillsight.operators import ranking as R
 from tillsight.operators import segment as SG
-from tillsight.operators.stats import exact_quantiles
+from tillsight.operators.stats import cut_points, exact_quantiles
 from tillsight.plans.pipelines import clean_basic
 from tillsight.sources import files as IO
 
@@ -243,3 +243,62 @@ def test_suggestions_read_their_copy_twice(spark, monkeypatch):
     out = IN.business_suggestions(df, corr_cols=["total", "quantity"])
     # The copy, then every sum and the correlations from one scan of it each; the rules read those.
     assert plans == [1, 1, 1] and out.count() >= 4
+
+
+def many_rows(spark, parts):
+    """More rows than two features have pairs of bins: 1,600 pairs of values, most of them twice or more."""
+    d = spark.range(6000).select(((F.col("id") * 7919) % 40).alias("total"), F.pmod(F.xxhash64("id"), F.lit(4000)).alias("q"))
+    noise = F.pmod(F.xxhash64("total", "q"), F.lit(10)) == 0
+    return d.withColumn("churn", (((F.col("total") > 25) | (F.col("q") < 700)) != noise).cast("int")).repartition(parts)
+
+
+def test_a_forest_takes_cells_of_many_rows(spark, monkeypatch):
+    fitted, fit = [], CH.RandomForestClassifier._fit
+    monkeypatch.setattr(CH.RandomForestClassifier, "_fit", lambda self, d: fitted.append(d.count()) or fit(self, d))
+    models = [CH.churn_train(many_rows(spark, parts), ("total", "q"), num_trees=6) for parts in (2, 9)]
+    assert max(fitted) <= 2 * 32 ** 2 < 6000
+    assert len({m.model.toDebugString.split("\n", 1)[1] for m in models}) == 1
+    assert len(models[0].model.trees) == 6 and math.isclose(sum(r.importance for r in models[0].importances(spark).collect()), 1)
+
+
+def test_cells_count_all_rows_and_draw_as_rows_do(spark):
+    rows = many_rows(spark, 3)
+    cells = CH.bagged_cells(rows, cut_points(rows, ["total", "q"], 32), "churn", 40, seed=7).toPandas()
+    n, w = cells["n"].to_numpy(), cells[[f"w{i}" for i in range(40)]].to_numpy()
+    assert n.sum() == 6000 and len(cells) <= 2 * 32 ** 2
+    assert abs(w.sum() / 40 - 6000) < 5 * math.sqrt(6000 / 40)
+    # Poisson(n): the variance is n as well.
+    assert np.mean((w - n[:, None]) ** 2 / n[:, None]) == pytest.approx(1, abs=0.1)
+    assert len({tuple(x) for x in w.T}) == 40
+
+
+def test_a_forest_on_cells_scores_as_one_on_rows(spark, monkeypatch):
+    rows = many_rows(spark, 4).withColumn("id", F.monotonically_increasing_id())
+    rows = spark.createDataFrame(rows.collect())
+    on_cells = CH.churn_train(rows, ("total", "q"), num_trees=30)
+    monkeypatch.setattr(CH, "MAX_BINS", 1000)
+    on_rows = CH.churn_train(rows, ("total", "q"), num_trees=30)
+    assert on_cells.points and not on_rows.points
+    holed = rows.withColumn("total", F.when(F.col("id") % 5 != 0, F.col("total")))
+    a, b = ({r.id: r for r in m.score(holed).collect()} for m in (on_cells, on_rows))
+    assert len(a) == 6000 and all((r.probability_1 is None) == (i % 5 == 0) for i, r in a.items())
+    known = [i for i, r in a.items() if r.probability_1 is not None]
+    assert np.mean([abs(a[i].probability_1 - b[i].probability_1) for i in known]) < 0.05
+    right = [np.mean([m[i].predicted == m[i].churn for i in known]) for m in (a, b)]
+    assert abs(right[0] - right[1]) < 0.03 and min(right) > 0.8
+
+
+def test_cut_points_are_exact(spark):
+    rng, n = np.random.default_rng(1), 5000
+    data = {"wide": rng.lognormal(3, 2, n), "few": rng.integers(0, 5, n).astype(float), "one": np.full(n, 7.0),
+            "heavy": np.where(rng.random(n) < 0.98, 0.0, rng.random(n)), "rare": (np.arange(n) == 77).astype(float),
+            "far": np.where(rng.random(n) < 0.01, np.inf, rng.normal(size=n))}
+    df = spark.createDataFrame([(*map(float, r),) for r in zip(*data.values())], list(data))
+    got = cut_points(df.repartition(2), list(data), 32)
+    assert got == cut_points(df.repartition(11), list(data), 32) == cut_points(df, list(data), 32, accuracy=20)
+    for c in ("wide", "far"):
+        x = np.sort(data[c][np.isfinite(data[c])])
+        assert got[c] == [x[(len(x) - 1) * i // 32] for i in range(1, 32)]
+    assert got["few"] == [1, 2, 3, 4] and got["one"] == [] and got["rare"] == [1]
+    assert got["heavy"][0] == 0 and 0 < got["heavy"][1] <= data["heavy"][data["heavy"] > 0].min()
+    assert cut_points(df.where("wide < 0"), list(data), 32) == {c: [] for c in data}

@@ -7,17 +7,23 @@ the entity key, so it does not depend on partitioning or task retries the way
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillsight.functions import expressions as X
-from tillsight.operators.stats import attach_scalars
-from tillsight.session import materialize_for_fit
+from tillsight.operators.stats import attach_scalars, cut_points
+from tillsight.session import deal_for_fit, materialize
 
 ROW_FEATURES = ("total", "quantity", "avg_purchase_value", "days_since_last")
 ENTITY_FEATURES = ("total_sum", "total_mean", "quantity_sum", "quantity_mean", "purchases", "days_since_first", "frequency")
@@ -69,6 +75,7 @@ class ChurnModel:
     model: RandomForestClassificationModel
     features: list
     label: str
+    points: dict | None = None  # split points per feature, if the trees were grown on bins
 
     def score(self, df: DataFrame) -> DataFrame:
         """Probability of class 1 and the predicted class for every row.
@@ -79,12 +86,13 @@ class ChurnModel:
         for c in self.features:
             known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
         filled = {f"_f_{c}": F.when(known, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in self.features}
-        vec = VectorAssembler(inputCols=list(filled), outputCol="_features").transform(
-            df.withColumns({**filled, "_known": known}))
-        out = self.model.transform(vec)
+        d, inputs = df.withColumns({**filled, "_known": known}), list(filled)
+        if self.points:
+            d, inputs = binned(d, {f"_f_{c}": self.points[c] for c in self.features})
+        out = self.model.transform(VectorAssembler(inputCols=inputs, outputCol="_features").transform(d))
         return (out.withColumn("probability_1", F.when(F.col("_known"), vector_to_array("probability").getItem(1)))
                    .withColumn("predicted", F.when(F.col("_known"), F.col("prediction")))
-                   .drop("_features", "rawPrediction", "probability", "prediction", "_known", *filled))
+                   .drop("_features", "rawPrediction", "probability", "prediction", "_known", *filled, *inputs))
 
     def importances(self, spark) -> DataFrame:
         """(feature, importance) sorted desc; k rows from the model."""
@@ -94,18 +102,84 @@ class ChurnModel:
                      .orderBy(F.desc("importance"), "feature"))
 
 
+#: Bins of a feature that a tree's splits lie between (MLlib's default).
+MAX_BINS = 32
+#: Trees grown on cells that are fitted at the same time.
+PARALLEL_FITS = 8
+
+
+def binned(df, points: dict) -> tuple:
+    """``df`` with the number of its bin per column of ``points``; and the names of these columns."""
+    out = [f"_b_{c}" for c in points]
+    splits = [[-math.inf, *(p or [0.0]), math.inf] for p in points.values()]
+    return Bucketizer(splitsArray=splits, inputCols=list(points), outputCols=out).transform(df), out
+
+
+def bagged_cells(rows, points: dict, label: str, num_trees: int, seed: int) -> DataFrame:
+    """Rows of the same bins and label as one row, with their number ``n`` and its bootstrap counts
+    ``w0``, ``w1``, ... per tree.
+
+    Bagging repeats each row of a tree's sample Poisson(1) times. Over n rows that no tree can tell
+    apart these sum to Poisson(n), which is drawn here at once: the samples have the same
+    distribution, though other draws than row by row.
+    """
+    d, bins = binned(rows, points)
+    cells = deal_for_fit(materialize(d.groupBy(*bins, F.col(label).cast("double").alias(label)).agg(F.count(F.lit(1)).alias("n"))))
+    bags = [f"w{i}" for i in range(num_trees)]
+
+    def draw(batches):
+        # Cells lie in partitions and an order of their own (deal_for_fit), so reruns draw alike.
+        rng = np.random.default_rng([seed % 2**32, TaskContext.get().partitionId()])
+        for batch in batches:
+            counts = rng.poisson(batch["n"].to_numpy()[:, None], (len(batch), num_trees)).astype(float)
+            yield pd.concat([batch, pd.DataFrame(counts, columns=bags, index=batch.index)], axis=1)
+
+    schema = T.StructType([*cells.schema, *(T.StructField(w, T.DoubleType()) for w in bags)])
+    return materialize(cells.mapInPandas(draw, schema))
+
+
+def _forest_on_cells(cells, bins, label, num_trees, seed, max_depth) -> RandomForestClassificationModel:
+    """Each tree grown by MLlib on all cells, weighted by its bootstrap counts."""
+    vec = VectorAssembler(inputCols=bins, outputCol="_features").transform(cells)
+    # MLlib looks for split points in max(10,000, maxBins^2) of its rows: so many bins that it takes
+    # all cells, of which no feature has more than MAX_BINS values.
+    rf = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt" if num_trees > 1 else "all",
+                                featuresCol="_features", labelCol=label, maxDepth=max_depth,
+                                maxBins=max(MAX_BINS, math.isqrt(cells.count()) + 1))
+    seeds = np.random.default_rng(seed % 2**32).integers(2**62, size=num_trees).tolist()
+    fits = rf.fitMultiple(vec, [{rf.weightCol: f"w{i}", rf.seed: s} for i, s in enumerate(seeds)])
+    with ThreadPool(PARALLEL_FITS) as pool:
+        one = inheritable_thread_target(cells.sparkSession)(lambda: next(fits))
+        grown = dict(pool.imap_unordered(lambda _: one(), range(num_trees)))
+    sc = cells.sparkSession.sparkContext
+    ml = sc._jvm.org.apache.spark.ml.classification
+    trees = sc._gateway.new_array(ml.DecisionTreeClassificationModel, num_trees)
+    for i, m in grown.items():
+        trees[i] = m.trees[0]._java_obj
+    forest = RandomForestClassificationModel(ml.RandomForestClassificationModel(trees, len(bins), grown[0].numClasses))
+    return forest.setFeaturesCol("_features")
+
+
 def churn_train(df, features=ROW_FEATURES, label="churn", num_trees: int = 100, seed: int = 42,
                 split_col="is_test", max_depth: int = 5) -> ChurnModel:
     """Random forest on the training rows (``is_test`` false).
 
-    The fit reads a copy of features and label alone, dealt by the rows' own hash
-    into a number of partitions that grows with their count (``fit_partitions``), so
-    that the model does not depend on how the input is partitioned.
+    Up to MAX_BINS ^ features rows, MLlib bags and fits a copy of features and label
+    alone, dealt by the rows' own hash into a number of partitions that grows with their
+    count (``fit_partitions``), so that the model does not depend on how the input is
+    partitioned. With more rows than features have bins together, rows must share their
+    bins, and a tree cannot tell those apart: all rows are counted per cell of bins and
+    label (``bagged_cells``), and the trees grow on cells, whose number is bounded.
     """
     feats = list(features)
     train = df.where(~F.col(split_col)) if split_col in df.columns else df
-    train = materialize_for_fit(train.select(*feats, label).na.drop())
-    vec = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip").transform(train)
+    rows = materialize(train.select(*feats, label).na.drop())
+    if rows.count() > MAX_BINS ** len(feats):
+        points = cut_points(rows, feats, MAX_BINS)
+        cells = bagged_cells(rows, points, label, num_trees, seed)
+        model = _forest_on_cells(cells, [f"_b_{c}" for c in feats], label, num_trees, seed, max_depth)
+        return ChurnModel(model, feats, label, points)
+    vec = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="skip").transform(deal_for_fit(rows))
     # Node ids are cached per row between levels (checkpointed every 10
     # iterations into the shared checkpoint folder) instead of re-walking every
     # tree for every row at each level.

@@ -18,6 +18,9 @@ versions here stay partial-aggregable:
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +140,60 @@ def _at_ranks(places: DataFrame, targets: DataFrame, g: list) -> DataFrame:
         F.min(F.when(F.col("cum") > F.ceil("h"), F.col("place"))).alias("b"))
 
 
+def cut_points(df: DataFrame, cols, bins: int, accuracy: int = 10000) -> dict:
+    """At most ``bins`` - 1 points per column that deal all rows into bins; x >= point is above.
+
+    Between all values of a column that has ``bins`` values or fewer, else at its exact
+    quantiles (ranks floor((n - 1)p), no interpolation), however rows are partitioned; a
+    value that fills several quantiles is parted from both sides. Infinities lie in the
+    outer bins. ``exact_quantiles`` without groups for many quantiles: the brackets are
+    collected, 2 * ``bins`` numbers per column, and values find theirs by binary search.
+    """
+    from tillsight.session import materialize
+    cols, probs, top = list(cols), [i / bins for i in range(1, bins)], math.nextafter(math.inf, 0)
+    finite = df.select(*[F.when(F.abs(F.col(c).cast("double")) <= top, F.col(c).cast("double")).alias(c) for c in cols])
+    edges = F.array(*[F.lit(e) for p in probs for e in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))])
+    sketch = finite.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, accuracy).alias("edges")).alias(c) for c in cols]).first()
+    points = {c: [] for c in cols}
+    many = []
+    for c in (c for c in cols if sketch[c].n):
+        if len(set(sketch[c].edges)) <= bins:
+            values = sorted(r[0] for r in finite.select(c).where(F.col(c).isNotNull()).distinct().limit(bins + 1).collect())
+            if len(values) <= bins:
+                points[c] = values[1:]
+                continue
+        many.append(c)
+    ranks = [(c, p, sketch[c].n, float(math.floor((sketch[c].n - 1) * p))) for c in many for p in probs]
+    for whole in (False, True):
+        if not many:
+            break
+        starts = {}  # of brackets and of the gaps behind them, in turn
+        for c in many:
+            starts[c] = [-top] if whole else []
+            for lo, hi in [] if whole else sorted(zip(sketch[c].edges[::2], sketch[c].edges[1::2])):
+                after = min(math.nextafter(hi, math.inf), top)
+                if starts[c] and lo <= starts[c][-1]:
+                    starts[c][-1] = max(starts[c][-1], after)
+                else:
+                    starts[c] += [lo, after]
+        bucket = Bucketizer(splitsArray=[sorted({-math.inf, *starts[c], math.inf}) for c in many], inputCols=many,
+                            outputCols=[f"_in_{c}" for c in many], handleInvalid="keep")
+        items = [F.struct(F.lit(c).alias("column"), F.col(c).alias("v"), F.col(f"_in_{c}").cast("int").alias("bin")) for c in many]
+        each = bucket.transform(finite).select(F.explode(F.array(*items)).alias("_i")).select("_i.*").where("v is not null")
+        counts = each.groupBy("column", "bin", F.when(F.col("bin") % 2 == 1, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+        gaps = F.create_map(*[x for c in many for x in (F.lit(c), F.array(*[F.lit(v) for v in (-math.inf, *starts[c])]))])
+        place = F.struct(F.coalesce("v", F.get(F.element_at(gaps, F.col("column")), F.col("bin"))).alias("at"), (F.col("bin") % 2 == 0).cast("int").alias("above"))
+        targets = df.sparkSession.createDataFrame(ranks, "column string, p double, n long, h double").withColumns(
+            {m: F.lit(None).cast("double") for m in ("mean", "std", "min", "max")})
+        hit = materialize(_at_ranks(counts.select("column", place.alias("place"), "cnt"), targets, [])).collect()
+        if whole or not any(r.a.above for r in hit):
+            for c in many:
+                for v in sorted(r.a.at for r in hit if r.column == c):
+                    points[c].append(math.nextafter(v, math.inf) if v in points[c] else v)
+            break
+    return {c: sorted({v for v in points[c] if abs(v) <= top}) for c in cols}
+
+
 def column_modes(df: DataFrame, cols) -> DataFrame:
     """Most frequent non-null value per column, lowest value on ties.
 

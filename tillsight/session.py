@@ -141,14 +141,13 @@ def fit_partitions(rows: int) -> int:
     return max(1, min(-(-rows // 50_000), 8), -(-rows // FIT_ROWS))
 
 
-def materialize_for_fit(df):
-    """Write the (narrow) rows of a fit, dealt by hash of all columns and sorted.
+def deal_for_fit(rows):
+    """The (narrow, written) rows of a fit, dealt by hash of all columns and sorted.
 
     Bagging draws per partition and row: with partitions that follow from the
     number of rows alone, in a fixed order, the same rows give the same model,
     however they were partitioned before, and the tasks grow with the rows.
     """
-    rows = materialize(df)
     dealt = rows.repartition(fit_partitions(rows.count()), *rows.columns)
-    ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(rows.sparkSession)
     return dealt.sortWithinPartitions(*rows.columns).checkpoint(eager=True)
